@@ -178,7 +178,8 @@ def exact_pairs(queries: DataFrame, entries: DataFrame, threshold: float, dim: i
     """All distinct-vector pairs of a scope with cosine >= threshold: qid, eid, similarity."""
     columns = [*SCOPE, "_x", "_y", "gid", "vec", "norm"]
     q = _cells(queries, threshold, dim, probe=True).select(*columns)
-    e = _cells(entries, threshold, dim, probe=False).select(*columns)
+    # fresh names, as both sides are often the same frame
+    e = _cells(entries, threshold, dim, probe=False).select(*(F.col(c).alias(c) for c in columns))
     a, b, on = split_blocks(q, e, [*SCOPE, "_x", "_y"], "gid", "gid")
     product = _block_product(threshold, best, ordered)
     return a.groupBy(*on).cogroup(b.groupBy(*on)).applyInArrow(

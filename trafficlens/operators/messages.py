@@ -43,19 +43,19 @@ def chunk_completion(completions: DataFrame) -> DataFrame:
     """completion_id, position, delta, finish_reason, prompt_tokens, completion_tokens.
 
     One row per word, blank kept except on the last, then an end row that carries the usage."""
-    words = F.split("content", " ")
     # trailing empty words disappear, as in a plain split without limit
     trimmed = F.regexp_replace("content", " +$", "")
-    kept = F.when(F.col("content") == "", words).when(
-        trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " "))
-    deltas = F.transform(kept, lambda w, i: F.when(i < F.size(kept) - 1, F.concat(w, F.lit(" "))).otherwise(w))
-    rows = F.concat(deltas, F.array(F.lit("")))
+    words = F.when((trimmed == "") & (F.col("content") != ""), F.array().cast("array<string>")).otherwise(
+        F.split(trimmed, " "))
+    # the blank is put back after the explode: inside the array it would need the array's length at every element
     exploded = completions.select(
-        "completion_id", "prompt_tokens", "completion_tokens", F.size(rows).alias("n"),
-        F.posexplode(rows).alias("position", "delta"))
-    end = F.col("position") == F.col("n") - 1
+        "completion_id", "prompt_tokens", "completion_tokens",
+        F.posexplode(F.concat(words, F.array(F.lit(None).cast("string")))).alias("position", "word"),
+        F.size(words).alias("n"))
+    end = F.col("position") == F.col("n")
+    delta = F.when(end, "").when(F.col("position") < F.col("n") - 1, F.concat("word", F.lit(" "))).otherwise(F.col("word"))
     return exploded.select(
-        "completion_id", "position", "delta", F.when(end, "stop").alias("finish_reason"),
+        "completion_id", "position", delta.alias("delta"), F.when(end, "stop").alias("finish_reason"),
         F.when(end, F.col("prompt_tokens")).alias("prompt_tokens"),
         F.when(end, F.col("completion_tokens")).alias("completion_tokens"))
 

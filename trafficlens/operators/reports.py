@@ -141,10 +141,13 @@ def latency_percentiles(usage: DataFrame, by: list[str], points=(0.50, 0.95, 0.9
     upto = Window.partitionBy(*at).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*at)
     blocks = blocks.select(
-        *by, "block", F.coalesce(F.sum("bc").over(upto), F.lit(0)).alias("before"),
+        *(F.col(c).alias(f"_{c}") for c in by), F.col("block").alias("_block"),
+        F.coalesce(F.sum("bc").over(upto), F.lit(0)).alias("before"),
         F.sum("bc").over(whole).alias("n"), F.sum("bs").over(whole).alias("total"))
+    # null groups count too
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, "block"]]
     inside = Window.partitionBy(*by, "block").orderBy("latency_ms")
-    ranked = (hist.withColumn("upto", F.sum("c").over(inside)).join(blocks, [*by, "block"])
+    ranked = (hist.withColumn("upto", F.sum("c").over(inside)).join(blocks, same)
               .withColumn("hi", F.col("before") + F.col("upto")).withColumn("lo", F.col("hi") - F.col("c")))
     index = [F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(float(p)))) for p in points]
     picks = [F.max(F.when((F.col("lo") <= i) & (i < F.col("hi")), F.col("latency_ms"))).alias(f"p{round(p * 100)}")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.functions.text import render_messages
 from trafficlens.operators.metering import price_usage
 from trafficlens.sources import dims
 
@@ -126,15 +125,20 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").alias("request_id"), "turn", "role", F.col("text").alias("content"))
 
 
-def _turns(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
+def turns_of(conversations: DataFrame, role: str) -> DataFrame:
+    """Turns of one role as cache traffic, batch or streaming: id, tenant, model, prompt, ts."""
     stamp = F.col("conv_id") * 100 + F.col("turn")
-    return table(spark, sf_dir, "conversations").filter(F.col("role") == role).select(
+    return conversations.filter(F.col("role") == role).select(
         stamp.alias("id"), F.concat(F.lit("team-"), (F.col("conv_id") % 4).cast("string")).alias("tenant"),
         F.lit("m-fast-1").alias("model"), F.col("text").alias("prompt"),
         (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
          + F.make_dt_interval(mins=stamp.cast("int"))).alias("ts"))
 
 
+def _turns(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
+    return turns_of(table(spark, sf_dir, "conversations"), role)
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as cache traffic: id, tenant, model, prompt, ts."""
     return _turns(spark, sf_dir, "user")

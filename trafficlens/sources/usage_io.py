@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 WIRE = ("virtualKeyId bigint, requestedModel string, resolvedModel string, provider string, status string,"
         " promptTokens int, completionTokens int, costUsd string, cacheHit boolean, fallbackUsed boolean,"
-        " latencyMs bigint, createdAt string")
+        " latencyMs bigint, createdAt string, _corrupt_record string")
 BODY = ("model string, messages array<struct<role: string, content: string>>, stream boolean, temperature double,"
         " max_tokens int, maxTokens int")
 
@@ -45,7 +45,7 @@ def ingest_usage(events: DataFrame, received_at: Column, strict: bool = False) -
     when = F.when(e["createdAt"].isNull(), received_at).otherwise(
         F.regexp_replace(e["createdAt"], "Z$", "").try_cast("timestamp_ntz"))
     typed = read.withColumns({"_cost": cost, "_at": when})
-    bad = e.isNull() | F.col("_cost").isNull() | F.col("_at").isNull()
+    bad = e.isNull() | e["_corrupt_record"].isNotNull() | F.col("_cost").isNull() | F.col("_at").isNull()
     if strict:
         typed = typed.withColumn("_cost", F.when(bad, F.raise_error(F.concat(F.lit("bad usage event: "), "wire")).cast(
             "decimal(18,6)")).otherwise(F.col("_cost")))
