@@ -23,3 +23,14 @@ def plus_seconds(ts: Column, seconds: int) -> Column:
 
 def minus_days(ts: Column, days: int) -> Column:
     return ts - F.expr(f"interval '{int(days)}' day")
+
+
+def instant(ts: Column) -> Column:
+    """A zoned timestamp for watermarks: the wall time read as UTC."""
+    return F.timestamp_micros(epoch_us(ts))
+
+
+def wall_time(moment: Column) -> Column:
+    """Inverse of ``instant``."""
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+        secs=(F.unix_micros(moment) * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(18,6)"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that mark a prompt as hard (matched as substrings of the lowercased text).
@@ -34,26 +34,28 @@ def word_count(text: Column) -> Column:
     return F.greatest(F.lit(1), F.size(F.split(F.regexp_replace(text, r"\s+$", ""), r"\s+")))
 
 
-def difficulty_features(text: Column) -> dict[str, Column]:
-    lower = F.lower(text)
-    words = word_count(lower)
-    letters = F.length(F.replace(lower, F.lit(" "), F.lit("")))
-    marks = F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit("")))
+def with_difficulty(rows: DataFrame, text: str) -> DataFrame:
+    """Adds the five signals and the score of a text column.
+
+    The lowercased text and the word count are columns of their own: Catalyst keeps a projection whose costly result is
+    used many times, so each is computed once per row and not once per keyword."""
+    low, words = F.col("_lower"), F.col("_words")
+    staged = rows.withColumn("_lower", F.lower(text)).withColumn("_words", word_count(low))
+    letters = F.length(F.replace(low, F.lit(" "), F.lit("")))
+    marks = F.length(text) - F.length(F.replace(F.col(text), F.lit("?"), F.lit("")))
     half = F.lit(0.5)
-    return {
-        "keyword_signal": F.least(F.lit(1.0), _hits(lower, HARD_KEYWORDS) / F.lit(2.0)),
-        "code_signal": F.when(F.rlike(text, F.lit(CODE_OR_MATH)), 1.0).otherwise(0.0),
+    signals = {
+        "keyword_signal": F.least(F.lit(1.0), _hits(low, HARD_KEYWORDS) / F.lit(2.0)),
+        "code_signal": F.when(F.rlike(F.col(text), F.lit(CODE_OR_MATH)), 1.0).otherwise(0.0),
         "step_signal": F.least(
-            F.lit(1.0), F.when(marks > 1, half).otherwise(0.0) + _hits(lower, STEP_PHRASES) * half),
+            F.lit(1.0), F.when(marks > 1, half).otherwise(0.0) + _hits(low, STEP_PHRASES) * half),
         "lexical_signal": F.least(F.lit(1.0), F.greatest(F.lit(0.0), (letters / words - 4.0) / 4.0)),
         "length_signal": F.least(F.lit(1.0), words / F.lit(400.0)),
     }
-
-
-def difficulty_score(text: Column) -> Column:
-    signals = difficulty_features(text).values()
-    weighted = [F.lit(w) * s for w, s in zip(WEIGHTS, signals)]
-    return F.least(F.lit(1.0), reduce(lambda a, b: a + b, weighted))
+    weighted = [F.lit(w) * F.col(name) for w, name in zip(WEIGHTS, signals)]
+    return (staged.withColumns(signals)
+            .withColumn("score", F.least(F.lit(1.0), reduce(lambda a, b: a + b, weighted)))
+            .drop("_lower", "_words"))
 
 
 def classify_tier(score: Column) -> Column:

@@ -7,8 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.functions.text import (
-    classify_tier, difficulty_features, difficulty_score, length_baseline)
+from trafficlens.functions.text import classify_tier, length_baseline, with_difficulty
 
 
 def _in_order(*columns: str):
@@ -34,12 +33,10 @@ def user_text(messages: DataFrame) -> DataFrame:
 
 def score_prompts(prompts: DataFrame, text: str = "prompt") -> DataFrame:
     """Adds the five signals, score, tier and baseline_tier."""
-    signals = prompts.withColumns(difficulty_features(F.col(text)))
-    scored = signals.withColumn("score", difficulty_score(F.col(text)))
-    return scored.withColumns({"tier": classify_tier(F.col("score")), "baseline_tier": length_baseline(F.col(text))})
+    return with_difficulty(prompts, text).withColumns({"tier": classify_tier(F.col("score")), "baseline_tier": length_baseline(F.col(text))})
 
 
-def chunk_completion(completions: DataFrame) -> DataFrame:
+def chunk_completion(completions: DataFrame, extra: list[str] = ()) -> DataFrame:
     """completion_id, position, delta, finish_reason, prompt_tokens, completion_tokens.
 
     One row per word, blank kept except on the last, then an end row that carries the usage."""
@@ -49,7 +46,7 @@ def chunk_completion(completions: DataFrame) -> DataFrame:
         F.split(trimmed, " "))
     # the blank is put back after the explode: inside the array it would need the array's length at every element
     exploded = completions.select(
-        "completion_id", "prompt_tokens", "completion_tokens",
+        "completion_id", "prompt_tokens", "completion_tokens", *extra,
         F.posexplode(F.concat(words, F.array(F.lit(None).cast("string")))).alias("position", "word"),
         F.size(words).alias("n"))
     end = F.col("position") == F.col("n")
@@ -57,7 +54,7 @@ def chunk_completion(completions: DataFrame) -> DataFrame:
     return exploded.select(
         "completion_id", "position", delta.alias("delta"), F.when(end, "stop").alias("finish_reason"),
         F.when(end, F.col("prompt_tokens")).alias("prompt_tokens"),
-        F.when(end, F.col("completion_tokens")).alias("completion_tokens"))
+        F.when(end, F.col("completion_tokens")).alias("completion_tokens"), *extra)
 
 
 def assemble_chunks(chunks: DataFrame) -> DataFrame:

@@ -16,12 +16,16 @@ def cost_of(prompt_tokens, completion_tokens, price_in, price_out):
     return (total * F.lit("0.001").cast("decimal(4,3)")).cast("decimal(18,6)")
 
 
-def price_usage(usage: DataFrame, pricing: DataFrame, model: str = "resolved_model") -> DataFrame:
-    """Adds model_provider, cost_usd, total_tokens and price_error; a model without a price is an error row, kept."""
+def _with_prices(rows: DataFrame, pricing: DataFrame, model: str) -> DataFrame:
     sheet = pricing.select(
         F.col("model").alias("_model"), F.col("provider").alias("model_provider"), "price_in", "price_out")
+    return rows.join(sheet, rows[model] == sheet["_model"], "left")
+
+
+def price_usage(usage: DataFrame, pricing: DataFrame, model: str = "resolved_model") -> DataFrame:
+    """Adds model_provider, cost_usd, total_tokens and price_error; a model without a price is an error row, kept."""
     return (
-        usage.join(sheet, usage[model] == sheet["_model"], "left")
+        _with_prices(usage, pricing, model)
         .withColumn("cost_usd", cost_of(
             F.col("prompt_tokens"), F.col("completion_tokens"), F.col("price_in"), F.col("price_out")))
         .withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
@@ -43,11 +47,10 @@ def prompt_tokens_of(messages: DataFrame) -> DataFrame:
 
 def estimate_cost(requests: DataFrame, pricing: DataFrame, model: str = "primary_model") -> DataFrame:
     """Price of the estimated prompt plus max_tokens (256 when absent) on the primary model, as estimate_usd."""
-    sized = requests.withColumn(
-        "completion_tokens", F.coalesce("max_tokens", F.lit(DEFAULT_COMPLETION_TOKENS)))
-    return (price_usage(sized, pricing, model)
-            .withColumnRenamed("cost_usd", "estimate_usd")
-            .drop("total_tokens", "model_provider", "price_error", "completion_tokens"))
+    limit = F.coalesce("max_tokens", F.lit(DEFAULT_COMPLETION_TOKENS))
+    return (_with_prices(requests, pricing, model)
+            .withColumn("estimate_usd", cost_of(F.col("prompt_tokens"), limit, F.col("price_in"), F.col("price_out")))
+            .drop("_model", "model_provider", "price_in", "price_out"))
 
 
 def true_up(charges: DataFrame) -> DataFrame:

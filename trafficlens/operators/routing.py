@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.functions.text import classify_tier, difficulty_score, extract_credential, is_blank, user_text_of
+from trafficlens.functions.text import classify_tier, extract_credential, is_blank, user_text_of, with_difficulty
 
 
 def authenticate(requests: DataFrame, keys: DataFrame) -> DataFrame:
@@ -32,9 +32,11 @@ def resolve_route(requests: DataFrame, aliases: DataFrame, pricing: DataFrame) -
 
     'auto' in any case goes to the tier's alias; aliases match case-insensitively, models exactly."""
     auto = F.lower("model") == "auto"
-    tier = classify_tier(difficulty_score(user_text_of(F.col("messages"))))
-    named = requests.withColumns({
-        "auto_routed": auto, "_alias": F.when(auto, tier).otherwise(F.lower("model"))})
+    # only 'auto' requests have their text read
+    read = requests.withColumn("auto_routed", auto).withColumn(
+        "_text", F.when(F.col("auto_routed"), user_text_of(F.col("messages"))))
+    named = with_difficulty(read, "_text").withColumn(
+        "_alias", F.when(F.col("auto_routed"), classify_tier(F.col("score"))).otherwise(F.lower("model")))
     by_alias = aliases.select(F.col("alias").alias("_a"), F.col("primary_model").alias("_p"), F.col("chain").alias("_c"))
     by_model = pricing.select(F.col("model").alias("_m")).distinct()
     joined = (named.join(by_alias, named["_alias"] == by_alias["_a"], "left")
@@ -43,7 +45,8 @@ def resolve_route(requests: DataFrame, aliases: DataFrame, pricing: DataFrame) -
         "primary_model": F.coalesce("_p", "_m"),
         "chain": F.coalesce("_c", F.when(F.col("_m").isNotNull(), F.array().cast("array<string>"))),
     }).withColumn("route_error", F.when(F.col("primary_model").isNull(), "UNKNOWN_MODEL_ALIAS")).drop(
-        "_alias", "_a", "_p", "_c", "_m")
+        "_text", "_alias", "_a", "_p", "_c", "_m", "keyword_signal", "code_signal", "step_signal", "lexical_signal",
+        "length_signal", "score")
 
 
 def expand_chain(routed: DataFrame, columns: list[str]) -> DataFrame:

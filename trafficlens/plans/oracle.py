@@ -479,9 +479,8 @@ SQL["breaker_stream"] = SQL["breaker_replay"]
 _q("usage_rollup_stream", USAGE, """select date_trunc('day', created_at)::timestamp as window_start, provider,
   count(*) as request_count, coalesce(sum(cost_usd), 0)::decimal(18,6) as total_cost_usd,
   count(*) filter (fallback_used) as fallback_count, avg(latency_ms) as avg_latency_ms from usage
-  group by all having date_trunc('day', created_at) + interval 1 day
-    <= (select max(created_at) from usage) - interval 1 hour""")
-SQL["usage_rollup_stream"] = SQL["usage_rollup_stream"].replace("having date_trunc('day', created_at)", "having window_start")
+  where date_trunc('day', created_at) + interval 1 day <= (select max(created_at) from usage) - interval 1 hour
+  group by 1, 2""")
 
 # -- composites ---
 

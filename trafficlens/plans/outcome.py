@@ -12,6 +12,7 @@ from trafficlens.operators.cache import THRESHOLD, TTL_SECONDS, live_hits
 from trafficlens.operators.metering import estimate_cost, price_usage
 from trafficlens.operators.routing import (
     authenticate, check_allowlist, resolve_route, route_around_outage, validate_requests)
+from trafficlens.session import shared_dir
 
 _FACTS = ["request_id", "ts", "key_id", "tenant", "rpm", "budget", "model", "stream", "primary_model", "chain",
           "prompt_tokens", "estimate_usd", "auth_error", "body_error", "allow_error", "route_error"]
@@ -19,11 +20,19 @@ _FACTS = ["request_id", "ts", "key_id", "tenant", "rpm", "budget", "model", "str
 
 def request_facts(requests: DataFrame, keys: DataFrame, aliases: DataFrame, pricing: DataFrame,
                   extra: list[str] = ()) -> DataFrame:
-    """Everything about a request that needs no other request: errors, route, estimate. Map-side joins only."""
+    """Everything about a request that needs no other request: errors, route, estimate, and the vector of its prompt
+    where it gets as far as the cache. Map-side joins only.
+
+    The passes that follow all start from these narrow rows, so they are written out once and the message texts are read
+    once."""
+    shared_dir(requests.sparkSession)
     checked = check_allowlist(validate_requests(authenticate(requests, keys)))
     routed = resolve_route(checked, aliases, pricing)
     sized = routed.withColumn("prompt_tokens", estimate_message_tokens(F.col("messages")))
-    return estimate_cost(sized, pricing).select(*_FACTS, "messages", *extra)
+    reaches = F.col("auth_error").isNull() & _static_error().isNull()
+    text = F.when(reaches, render_messages(F.col("messages")))
+    priced = estimate_cost(sized, pricing).withColumn("vec", F.when(reaches, embed(text)))
+    return priced.select(*_FACTS, "vec", *extra).checkpoint()
 
 
 def _static_error() -> Column:
@@ -31,9 +40,8 @@ def _static_error() -> Column:
 
 
 def prompts_of(facts: DataFrame, model: str = "primary_model") -> DataFrame:
-    """id, tenant, model, ts, vec of the rendered prompt, as the cache sees it."""
-    return facts.select(F.col("request_id").alias("id"), "tenant", F.col(model).alias("model"), "ts",
-                        embed(render_messages(F.col("messages"))).alias("vec"))
+    """id, tenant, model, ts, vec of the prompt, as the cache sees it."""
+    return facts.select(F.col("request_id").alias("id"), "tenant", F.col(model).alias("model"), "ts", "vec")
 
 
 def streamed_stores(facts: DataFrame, aliases: DataFrame, pricing: DataFrame, health: DataFrame) -> DataFrame:
@@ -50,7 +58,7 @@ def request_outcome(facts: DataFrame, stores: DataFrame, aliases: DataFrame, pri
 
     Rates and budgets see only the requests that get that far; the others go round the ordered scans by a union, so no
     request is joined back to itself."""
-    extra = [c for c in facts.columns if c not in _FACTS and c != "messages"]
+    extra = [c for c in facts.columns if c not in _FACTS and c != "vec"]
     narrow = facts.select(*_FACTS, *extra)
     none = F.lit(None)
     known = rate_limit(narrow.filter(F.col("auth_error").isNull()), "key_id", "ts", "request_id", F.col("rpm"), window_us)

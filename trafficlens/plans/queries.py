@@ -463,8 +463,8 @@ def cache_savings(spark, d):
 
 # -- completions -------------------------------------------------------------------------------------------------------
 
-def _completions(turns):
-    return turns.select(F.col("id").alias("completion_id"), F.col("prompt").alias("content"),
+def _completions(turns, *extra):
+    return turns.select(*extra, F.col("id").alias("completion_id"), F.col("prompt").alias("content"),
                         F.length("prompt").alias("prompt_tokens"), F.size(F.split("prompt", " ")).alias("completion_tokens"))
 
 
@@ -561,10 +561,7 @@ def cache_replay_ttl(spark, d):
 
 def _outcomes(spark, d):
     keys, aliases, pricing = dims.load_keys(spark), dims.load_aliases(spark), dims.load_pricing(spark)
-    used = X.table(spark, d, "events").select(
-        F.col("event_id").alias("request_id"), (1 + F.floor("value")).cast("int").alias("completion_tokens"),
-        F.floor(F.col("value") * 10).cast("bigint").alias("latency_ms"))
-    requests = X.requests(spark, d).join(used, "request_id")
+    requests = X.requests(spark, d)
     facts = O.request_facts(requests, keys, aliases, pricing, ["completion_tokens", "latency_ms"])
     health = _health(spark, "provider-b")
     stores = O.streamed_stores(facts, aliases, pricing, health)
@@ -641,4 +638,5 @@ def usage_rollup_stream(spark, d):
 @query
 def assemble_chunks_stream(spark, d):
     turns = X.turns_of(S.read_table_stream(spark, d, "conversations"), "assistant")
-    return S.run_to_table(S.assemble_chunks_stream(M.chunk_completion(_completions(turns))), "chunks")
+    chunks = M.chunk_completion(_completions(turns, "ts"), ["ts"])
+    return S.run_to_table(S.assemble_chunks_stream(chunks), "chunks")

@@ -92,7 +92,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick([t for _, _, t in LABELLED_PROMPTS], n % 11).alias("trap"),
         F.when(n % 17 == 0, 2.5).when(n % 17 != 1, 0.5).alias("temperature"),
         F.when(_k() % 3 != 0, 10 * _k()).alias("max_tokens"),
-        (n % 3 == 0).alias("stream"),
+        (n % 3 == 0).alias("stream"), (1 + F.floor("value")).cast("int").alias("completion_tokens"),
+        F.floor(F.col("value") * 10).cast("bigint").alias("latency_ms"),
     ).withColumn("messages", F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trafficlens.functions.clock import epoch_us
+from trafficlens.functions.clock import epoch_us, instant, wall_time
 from trafficlens.operators.admission import MICRO, BreakerFold, RateFold, SpendFold
 from trafficlens.operators.scan import Fold
 from trafficlens.session import scratch_path
@@ -89,8 +89,9 @@ def cache_stream(prompts: DataFrame, threshold: float, ttl_seconds: int, latenes
     State: the live entries of a scope (id, time, unit vector). Only misses are stored, so it holds prompts that are
     mutually dissimilar, never copies. Expired entries go on every batch; an idle scope is swept by an event-time timer."""
     ttl = ttl_seconds * MICRO
-    rows = prompts.select("id", "tenant", "model", "ts", epoch_us(F.col("ts")).alias("us"), "vec").withWatermark(
-        "ts", lateness)
+    rows = prompts.select(
+        "id", "tenant", "model", instant(F.col("ts")).alias("at"), epoch_us(F.col("ts")).alias("us"), "vec",
+    ).withWatermark("at", lateness)
 
     def unit(vectors):
         m = np.stack(vectors).astype(np.float64)
@@ -136,28 +137,32 @@ def cache_stream(prompts: DataFrame, threshold: float, ttl_seconds: int, latenes
 
 def usage_rollup_stream(usage: DataFrame, window: str = "1 day", lateness: str = "1 hour") -> DataFrame:
     """Requests, cost, fallbacks and latency per window and provider, emitted once the watermark closes the window."""
-    return (usage.withWatermark("created_at", lateness)
-            .groupBy(F.window("created_at", window), "provider")
+    return (usage.withColumn("at", instant(F.col("created_at"))).withWatermark("at", lateness)
+            .groupBy(F.window("at", window), "provider")
             .agg(F.count("*").alias("request_count"),
                  F.coalesce(F.sum("cost_usd").cast("decimal(18,6)"), F.lit(0).cast("decimal(18,6)")).alias("total_cost_usd"),
                  F.count_if("fallback_used").alias("fallback_count"), F.avg("latency_ms").alias("avg_latency_ms"))
-            .select(F.col("window.start").alias("window_start"), "provider", "request_count", "total_cost_usd",
+            .select(wall_time(F.col("window.start")).alias("window_start"), "provider", "request_count", "total_cost_usd",
                     "fallback_count", "avg_latency_ms"))
 
 
-def assemble_chunks_stream(chunks: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
-    """A completion's text when its end row and all rows before it have arrived; an unfinished one is dropped after 60 s.
+def assemble_chunks_stream(chunks: DataFrame, timeout_ms: int = 60_000, lateness: str = "10 minutes") -> DataFrame:
+    """A completion's text once its end row and all rows before it have arrived; an unfinished one goes after 60 s of
+    event time.
 
-    Needs completion_id, position, delta, finish_reason, prompt_tokens, completion_tokens."""
-    rows = chunks.select("completion_id", "position", "delta", "finish_reason", "prompt_tokens", "completion_tokens")
+    Needs completion_id, position, delta, finish_reason, prompt_tokens, completion_tokens, ts."""
+    rows = chunks.select(
+        "completion_id", "position", "delta", "finish_reason", "prompt_tokens", "completion_tokens",
+        instant(F.col("ts")).alias("at"), F.floor(epoch_us(F.col("ts")) / 1000).alias("ms")).withWatermark("at", lateness)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        parts, end = pickle.loads(state.get[0]) if state.exists else ({}, None)
+        parts, end, newest = pickle.loads(state.get[0]) if state.exists else ({}, None, 0)
         for frame in frames:
             parts.update(zip(frame["position"].tolist(), frame["delta"].tolist()))
+            newest = max(newest, int(frame["ms"].max()))
             closing = frame[frame["finish_reason"] == "stop"]
             if len(closing):
                 row = closing.iloc[0]
@@ -168,12 +173,12 @@ def assemble_chunks_stream(chunks: DataFrame, timeout_ms: int = 60_000) -> DataF
             yield pd.DataFrame({"completion_id": [key[0]], "content": ["".join(parts[i] for i in sorted(parts))],
                                 "prompt_tokens": [end[1]], "completion_tokens": [end[2]]})
         else:
-            state.update((pickle.dumps((parts, end)),))
-            state.setTimeoutDuration(timeout_ms)
+            state.update((pickle.dumps((parts, end, newest)),))
+            state.setTimeoutTimestamp(max(newest + timeout_ms, state.getCurrentWatermarkMs() + 1))
 
     return rows.groupBy("completion_id").applyInPandasWithState(
         step, "completion_id bigint, content string, prompt_tokens int, completion_tokens int", _STATE, "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def ingest_usage_stream(records: DataFrame, name: str = "usage") -> tuple[DataFrame, DataFrame]:
