@@ -94,6 +94,7 @@ def test_pairs_do_not_depend_on_block_size(spark, monkeypatch):
     whole = sorted(map(tuple, C.similar_prompt_pairs(df, 0.6, 128).collect()))
     monkeypatch.setattr(skew.split_blocks, "__defaults__", (7,))
     monkeypatch.setattr(skew.split_join, "__defaults__", (7,))
+    monkeypatch.setattr(skew.lookup_join, "__defaults__", ("inner", 7))
     assert sorted(map(tuple, C.similar_prompt_pairs(df, 0.6, 128).collect())) == whole
 
 
@@ -143,3 +144,22 @@ def test_import_vectors_strict_raises(spark):
     assert [r.id for r in good.collect()] == [1] and [r.id for r in bad.collect()] == [2]
     with pytest.raises(Exception, match="bad vector in row 2"):
         C.import_vectors(df, 2, strict=True)[0].collect()
+
+
+def test_hot_keys_are_split_without_changing_a_join(spark):
+    left = spark.range(500).select(F.col("id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).alias("k"))
+    right = spark.range(100).select(F.col("id").alias("r"), (F.col("id") % 9).alias("k"))
+    plain = sorted(map(tuple, left.join(right, "k").select("id", "r").collect()))
+    assert sorted(map(tuple, skew.split_join(left, right, ["k"], "id", "r", 5).select("id", "r").collect())) == plain
+    unique = right.filter("r < 5")
+    for how in ("inner", "left"):
+        plain = sorted(map(str, left.join(unique, "k", how).select("id", "r").collect()))
+        got = skew.lookup_join(left, unique, ["k"], "id", how, 5).select("id", "r")
+        assert sorted(map(str, got.collect())) == plain
+        assert got.count() == len(plain)
+
+
+def test_hot_null_keys_survive_a_left_lookup(spark):
+    left = spark.range(50).select("id", F.lit(None).cast("bigint").alias("k"))
+    right = spark.range(3).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    assert skew.lookup_join(left, right, ["k"], "id", "left", 5).count() == 50

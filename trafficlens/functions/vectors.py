@@ -76,9 +76,12 @@ def norm(vec: Column) -> Column:
 
 
 def l2_normalize(vec: Column) -> Column:
-    """Divided by its length; a zero vector stays as it is."""
-    size = norm(vec)
-    return F.when(size == 0, as_double(vec)).otherwise(F.transform(as_double(vec), lambda x: x / size))
+    """Divided by its length; a zero vector stays as it is.
+
+    The length is bound once per row by an outer one-element transform; written inside the inner function it would be
+    worked out again for every element."""
+    return F.transform(F.array(norm(vec)), lambda size: F.when(size == 0, as_double(vec)).otherwise(
+        F.transform(as_double(vec), lambda x: x / size)))[0]
 
 
 def cosine(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:

@@ -20,7 +20,7 @@ from trafficlens.functions.clock import epoch_us, plus_seconds
 from trafficlens.functions.vectors import (
     PLANES, as_double, cosine, dot, embed, import_vector, lsh_signature, norm, probe_signatures)
 from trafficlens.operators.scan import Fold, ordered_scan
-from trafficlens.operators.skew import split_blocks, split_join
+from trafficlens.operators.skew import lookup_join, split_blocks, split_join
 from trafficlens.session import shared_dir
 
 SCOPE = ["tenant", "model"]
@@ -98,20 +98,21 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
     return grouped.withColumn("norm", norm(F.col("vec"))).checkpoint()
 
 
-def with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows with the gid of their (scope, vector) group; a hot vector's rows are spread over several tasks."""
+def with_group(rows: DataFrame, groups: DataFrame, *columns: str) -> DataFrame:
+    """Rows with the gid (and further columns) of their (scope, vector) group, hot vectors spread over several tasks."""
     left = rows.withColumn("_vh", F.xxhash64("vec"))
-    right = groups.select(*SCOPE, F.xxhash64("vec").alias("_vh"), F.col("vec").alias("_vec"), "gid")
+    right = groups.select(
+        *SCOPE, F.xxhash64("vec").alias("_vh"), F.col("vec").alias("_vec"), "gid", *columns)
     # the hash only routes rows; equality of the whole vectors decides
-    joined = split_join(left, right, [*SCOPE, "_vh"], "id", "gid")
-    return joined.filter(F.col("vec") == F.col("_vec")).drop("_vh", "_vec")
+    return lookup_join(left, right, [*SCOPE, "_vh"], "id").filter(F.col("vec") == F.col("_vec")).drop("_vh", "_vec")
 
 
 def bucket_candidates(queries: DataFrame, entries: DataFrame, dim: int) -> DataFrame:
     """Distinct query and entry vectors that share a bucket or differ in one bit: qid, eid, similarity."""
     sig = lsh_signature(F.col("vec"), dim)
-    q = queries.select(*SCOPE, F.col("gid").alias("qid"), F.col("vec").alias("qv"), F.col("norm").alias("qn"),
-                       F.explode(probe_signatures(sig)).alias("signature"))
+    q = queries.withColumn("_sig", sig).select(
+        *SCOPE, F.col("gid").alias("qid"), F.col("vec").alias("qv"), F.col("norm").alias("qn"),
+        F.explode(probe_signatures(F.col("_sig"))).alias("signature"))
     e = entries.select(*SCOPE, F.col("gid").alias("eid"), F.col("vec").alias("ev"), F.col("norm").alias("en"),
                        sig.alias("signature"))
     met = split_join(q, e, [*SCOPE, "signature"], "qid", "eid")
@@ -257,9 +258,10 @@ def best_match(queries: DataFrame, entries: DataFrame, threshold: float, dim: in
             found = found.checkpoint()
             rest = q.join(found.select(F.col("qid").alias("gid")), "gid", "left_anti")
             found = found.unionByName(_best(exact_pairs(rest, e, threshold, dim, best=True)))
-    rows = with_group(queries.select("id", *SCOPE, "vec"), q)
     hits = found.select(F.col("qid").alias("gid"), F.col("eid").alias("match_id"), "similarity")
-    return rows.join(hits, "gid").select("id", "match_id", "similarity")
+    matched = q.join(hits, "gid")
+    return with_group(queries.select("id", *SCOPE, "vec"), matched, "match_id", "similarity").select(
+        "id", "match_id", "similarity")
 
 
 def cache_lookup(queries: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, dim: int = 128,
@@ -267,7 +269,7 @@ def cache_lookup(queries: DataFrame, entries: DataFrame, threshold: float = THRE
     """id, hit, content, prompt_tokens, completion_tokens, similarity; a miss is (false, null, null, null, 0.0)."""
     found = best_match(queries, entries, threshold, dim, mode, now)
     served = entries.select(F.col("id").alias("match_id"), "content", "prompt_tokens", "completion_tokens")
-    hits = found.join(served, "match_id")
+    hits = lookup_join(found, served, ["match_id"], "id")
     return queries.select("id").join(hits, "id", "left").select(
         "id", F.col("match_id").isNotNull().alias("hit"), "content", "prompt_tokens", "completion_tokens",
         F.round(F.coalesce("similarity", F.lit(0.0)), 6).alias("similarity"))
@@ -297,7 +299,7 @@ def live_hits(queries: DataFrame, stores: DataFrame, threshold: float, dim: int,
     rows = with_group(q, q_groups).withColumn("slot", slot)
     match = F.when(F.col("lo.us") < F.col("us"), F.col("lo.id")).when(
         F.col("hi.us") >= F.col("us") - ttl, F.col("hi.id"))
-    return rows.join(reach, ["gid", "slot"], "left").select("id", match.alias("match_id"))
+    return lookup_join(rows, reach, ["gid", "slot"], "id", "left").select("id", match.alias("match_id"))
 
 
 # -- replay ------------------------------------------------------------------------------------------------------------
@@ -400,9 +402,9 @@ def cache_replay(requests: DataFrame, threshold: float, dim: int = 128, ttl_seco
         edges.select(F.col("eid").alias("gid"), F.col("qid").alias("o"), "similarity"))
     near = sides.groupBy("gid").agg(F.collect_list(F.struct("o", "similarity")).alias("near"))
     known = groups.join(components(edges), "gid", "left").join(near, "gid", "left").select(
-        "gid", F.coalesce("component", "gid").alias("component"), F.coalesce(
+        "gid", *SCOPE, "vec", F.coalesce("component", "gid").alias("component"), F.coalesce(
             "near", F.array().cast("array<struct<o:bigint,similarity:double>>")).alias("near"))
-    placed = with_group(rows, groups).select("id", "gid", "us").join(known, "gid").select(
+    placed = with_group(rows, known, "component", "near").select(
         "component", "us", "id", "gid", F.col("near.o").alias("near"),
         F.col("near.similarity").alias("near_similarity"))
     ttl = None if ttl_seconds is None else ttl_seconds * 1_000_000

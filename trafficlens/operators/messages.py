@@ -44,11 +44,11 @@ def chunk_completion(completions: DataFrame, extra: list[str] = ()) -> DataFrame
     trimmed = F.regexp_replace("content", " +$", "")
     words = F.when((trimmed == "") & (F.col("content") != ""), F.array().cast("array<string>")).otherwise(
         F.split(trimmed, " "))
-    # the blank is put back after the explode: inside the array it would need the array's length at every element
-    exploded = completions.select(
-        "completion_id", "prompt_tokens", "completion_tokens", *extra,
-        F.posexplode(F.concat(words, F.array(F.lit(None).cast("string")))).alias("position", "word"),
-        F.size(words).alias("n"))
+    # words and their number are settled below the explode; an expression next to it would run once per exploded row
+    split = completions.withColumn("_words", words).withColumn("n", F.size("_words"))
+    exploded = split.select(
+        "completion_id", "prompt_tokens", "completion_tokens", "n", *extra,
+        F.posexplode(F.concat("_words", F.array(F.lit(None).cast("string")))).alias("position", "word"))
     end = F.col("position") == F.col("n")
     delta = F.when(end, "").when(F.col("position") < F.col("n") - 1, F.concat("word", F.lit(" "))).otherwise(F.col("word"))
     return exploded.select(

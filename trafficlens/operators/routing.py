@@ -102,9 +102,8 @@ def validate_requests(requests: DataFrame) -> DataFrame:
         F.when(temp < 0.0, F.lit("temperature: temperature must be >= 0.0")),
         F.when(temp > 2.0, F.lit("temperature: temperature must be <= 2.0"))))
     faults = F.concat(head, turns, tail)
-    return requests.withColumns({
-        "violations": F.array_join(faults, "; "),
-        "body_error": F.when(F.size(faults) > 0, "VALIDATION_FAILED")})
+    return requests.withColumn("violations", F.array_join(faults, "; ")).withColumn(
+        "body_error", F.when(F.col("violations") != "", "VALIDATION_FAILED"))
 
 
 def dispatch_outcome(attempts: DataFrame, backoff_ms: int = 200, max_retries: int = 2) -> DataFrame:

@@ -167,7 +167,8 @@ def _boundaries(laid: DataFrame, fold: Fold, key: str) -> dict:
     carry: dict = {}
     for level in range(fold.passes):
         # at most one record per partition: bounded by the partition count, not by the data
-        records = laid.mapInArrow(_summaries(fold, key, carry, level), _SUMMARY).orderBy("pid").collect()
+        records = laid.mapInArrow(_summaries(fold, key, carry, level), _SUMMARY).collect()
+        records.sort(key=lambda r: r["pid"])
         edges = [(pickle.loads(a["last_key"]), pickle.loads(b["first_key"])) for a, b in zip(records, records[1:])]
         if not any(a == b for a, b in edges):
             return {}

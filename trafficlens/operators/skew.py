@@ -5,44 +5,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: most rows of one key a task should meet on either side
-BLOCK_ROWS = 20_000
+#: most rows of one key and side in a task that compares all pairs
+PAIR_ROWS = 10_000
+#: most rows of one key in a task that only looks one row up per key
+LOOKUP_ROWS = 1_000_000
+#: longest list of hot keys that is sent to every task; beyond it the list is joined like any table
+BROADCAST_KEYS = 200_000
 
 
-def _hot(left: DataFrame, right: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """Keys with more than ``block`` rows on a side, with the number of blocks per side.
+def _hot(counts: DataFrame, sizes: dict[str, str], keys: list[str], block: int) -> DataFrame | None:
+    """Keys of ``counts`` with more than ``block`` rows, and their number of blocks per side; None when there are none.
+
+    At most rows / block keys can be hot. The list is materialised, so its length is known before it is broadcast."""
+    over = [F.col(c) > block for c in sizes.values()]
+    wanted = over[0] if len(over) == 1 else over[0] | over[1]
+    hot = counts.filter(wanted).select(*keys, *(
+        F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int").alias(name) for name, c in sizes.items())).checkpoint()
+    n = hot.count()
+    if n == 0:
+        return None
+    return F.broadcast(hot) if n <= BROADCAST_KEYS else hot
 
-    Pre-aggregated, and at most (rows / block) long, which keeps it small enough to reach every task."""
-    l = left.groupBy(*keys).agg(F.count("*").alias("_a"), F.lit(0).cast("bigint").alias("_b"))
-    r = right.groupBy(*keys).agg(F.lit(0).cast("bigint").alias("_a"), F.count("*").alias("_b"))
-    both = l.unionByName(r).groupBy(*keys).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
-    return both.filter((F.col("_a") > block) | (F.col("_b") > block)).select(
-        *keys, F.greatest(F.lit(1), F.ceil(F.col("_a") / block)).cast("int").alias("_ls"),
-        F.greatest(F.lit(1), F.ceil(F.col("_b") / block)).cast("int").alias("_rs"))
 
+def _salt(df: DataFrame, hot: DataFrame, keys: list[str], splits: str, row_id: str, name: str) -> DataFrame:
+    """A block number per row, a hash of the row id, so that a retried task reproduces it."""
+    block: Column = F.pmod(F.xxhash64(row_id), F.coalesce(F.col(splits), F.lit(1)).cast("bigint")).cast("int")
+    return df.join(hot.select(*keys, splits), keys, "left").withColumn(name, block).drop(splits)
 
-def _tag(df: DataFrame, hot: DataFrame, keys: list[str], salt: Column, own: str, other: str) -> DataFrame:
-    tagged = df.join(hot, keys, "left")
-    mine, theirs = ("_ls", "_rs") if own == "_l" else ("_rs", "_ls")
-    return (tagged.withColumn(own, F.pmod(salt, F.coalesce(F.col(mine), F.lit(1)).cast("bigint")).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(theirs), F.lit(1)) - 1)))
-            .drop("_ls", "_rs"))
+
+def _copies(df: DataFrame, hot: DataFrame, keys: list[str], splits: str, name: str) -> DataFrame:
+    """One copy of a row per block of the other side."""
+    blocks = F.sequence(F.lit(0), F.coalesce(F.col(splits), F.lit(1)) - 1)
+    return df.join(hot.select(*keys, splits), keys, "left").withColumn(name, F.explode(blocks)).drop(splits)
 
 
 def split_blocks(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str,
-                 block: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides with block numbers _l and _r: every (left row, right row) pair of a key meets in exactly one block.
-
-    A key with L and R blocks becomes L x R tasks' worth of work; keys below the limit stay whole. The block number is
-    a hash of the row id, so a retried task reproduces it."""
-    hot = _hot(left, right, keys, block).checkpoint()
-    a = _tag(left, hot, keys, F.xxhash64(left_id), "_l", "_r")
-    b = _tag(right, hot, keys, F.xxhash64(right_id), "_r", "_l")
+                 block: int = PAIR_ROWS) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with block numbers, and the columns to join on: every pair of a key meets in exactly one block.
+
+    A key with L and R blocks becomes L x R groups; keys below the limit stay whole. Counts are pre-aggregated."""
+    none = F.lit(0).cast("bigint")
+    l = left.groupBy(*keys).agg(F.count("*").alias("_a"), none.alias("_b"))
+    r = right.groupBy(*keys).agg(none.alias("_a"), F.count("*").alias("_b"))
+    both = l.unionByName(r).groupBy(*keys).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    hot = _hot(both, {"_ls": "_a", "_rs": "_b"}, keys, block)
+    if hot is None:
+        return left, right, keys
+    a = _copies(_salt(left, hot, keys, "_ls", left_id, "_l"), hot, keys, "_rs", "_r")
+    b = _copies(_salt(right, hot, keys, "_rs", right_id, "_r"), hot, keys, "_ls", "_l")
     return a, b, [*keys, "_l", "_r"]
 
 
 def split_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str,
-               block: int = BLOCK_ROWS) -> DataFrame:
-    """Inner equi join with hot keys spread over several tasks."""
+               block: int = PAIR_ROWS) -> DataFrame:
+    """Inner equi join with hot keys of either side spread over several tasks."""
     a, b, on = split_blocks(left, right, keys, left_id, right_id, block)
     return a.join(b, on).drop("_l", "_r")
+
+
+def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, how: str = "inner",
+                block: int = LOOKUP_ROWS) -> DataFrame:
+    """Join against a side with one row per key: the left rows of a hot key are spread, its right row is copied."""
+    hot = _hot(left.groupBy(*keys).agg(F.count("*").alias("_a")), {"_ls": "_a"}, keys, block)
+    if hot is None:
+        return left.join(right, keys, how)
+    a, b = _salt(left, hot, keys, "_ls", left_id, "_l"), _copies(right, hot, keys, "_ls", "_l")
+    return a.join(b, [*keys, "_l"], how).drop("_l")

@@ -12,6 +12,7 @@ from trafficlens.operators.cache import THRESHOLD, TTL_SECONDS, live_hits
 from trafficlens.operators.metering import estimate_cost, price_usage
 from trafficlens.operators.routing import (
     authenticate, check_allowlist, resolve_route, route_around_outage, validate_requests)
+from trafficlens.operators.skew import lookup_join
 from trafficlens.session import shared_dir
 
 _FACTS = ["request_id", "ts", "key_id", "tenant", "rpm", "budget", "model", "stream", "primary_model", "chain",
@@ -106,7 +107,8 @@ def meter_requests(outcomes: DataFrame, stored_usage: DataFrame, pricing: DataFr
     ``stored_usage`` gives match_id, stored_prompt_tokens, stored_completion_tokens."""
     hit, failed = F.col("cache_hit"), F.col("error_code").isNotNull()
     logged = outcomes.filter(~failed | (F.col("error_code") == "ALL_PROVIDERS_EXHAUSTED"))
-    joined = logged.join(stored_usage, "match_id", "left")
+    # one entry may serve very many hits
+    joined = lookup_join(logged, stored_usage, ["match_id"], "request_id", "left")
     rows = joined.select(
         F.col("request_id").alias("usage_id"), F.col("ts").alias("created_at"), F.col("key_id").alias("virtual_key_id"),
         F.col("model").alias("requested_model"), F.coalesce("served_model", "primary_model").alias("resolved_model"),

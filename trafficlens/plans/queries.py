@@ -17,7 +17,7 @@ from trafficlens.operators import metering as B
 from trafficlens.operators import reports as R
 from trafficlens.operators import routing as G
 from trafficlens.plans import outcome as O
-from trafficlens.session import scratch_path
+from trafficlens.session import scratch_path, spread
 from trafficlens.sources import dims, usage_io
 from trafficlens.sources import fixtures as X
 from trafficlens.streaming import jobs as S
@@ -241,14 +241,14 @@ def user_text(spark, d):
 
 @query
 def difficulty_features(spark, d):
-    return M.score_prompts(X.table(spark, d, "pages"), "html").select(
+    return M.score_prompts(spread(X.table(spark, d, "pages"), "page_id"), "html").select(
         "page_id", "keyword_signal", "code_signal", "step_signal", F.round("lexical_signal", 9).alias("lexical_signal"),
         "length_signal")
 
 
 @query
 def difficulty_score(spark, d):
-    return M.score_prompts(X.table(spark, d, "documents"), "text").select(
+    return M.score_prompts(spread(X.table(spark, d, "documents"), "doc_id"), "text").select(
         "doc_id", F.round("score", 9).alias("score"), "tier")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.operators.metering import price_usage
+from trafficlens.session import spread
 from trafficlens.sources import dims
 
 # Labelled prompts (text, tier it should get, why it is in the set).
@@ -79,7 +80,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat requests: credential headers, model name, messages, sampling parameters."""
-    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    e, n = spread(table(spark, sf_dir, "events"), "event_id"), F.col("event_id")
     key = _pick(KEY_BY_USER, F.col("user_id") % 7)
     return e.select(
         n.alias("request_id"), "ts", key.alias("key_value"),
@@ -150,7 +151,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"), F.col("lang").alias("tenant"), F.lit("m-fast-1").alias("model"),
         F.col("text").alias("prompt"))
 
