@@ -92,8 +92,11 @@ def _replay(fold: Fold, key: str, carry: dict):
 
 
 def _summaries(fold: Fold, key: str, hints: dict, level: int):
+    """Summary of a partition's first run and the state after its last; the runs between need no work here."""
     def task(batches: Iterator[pa.RecordBatch]):
-        first, runs, head, pid, last, state = None, 0, [], None, None, None
+        first, last, pid, runs = None, None, None, 0
+        head: list[pd.DataFrame] = []
+        current: list[pd.DataFrame] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -101,15 +104,13 @@ def _summaries(fold: Fold, key: str, hints: dict, level: int):
                 if first is None:
                     first, pid = name, int(rows["_pid"].iat[0])
                 if last is None or name != last:
-                    runs, state = runs + 1, fold.start()
+                    runs, current = runs + 1, []
                 last = name
-                if runs == 1:
-                    head.append(rows[fold.columns])
-                else:
-                    _, state = fold.run(state, rows)
+                (head if runs == 1 else current).append(rows[fold.columns])
         if first is not None:
             hint = hints.get(pid, fold.start())
             summary = fold.summarise(pd.concat(head, ignore_index=True), hint, level)
+            state = fold.run(fold.start(), pd.concat(current, ignore_index=True))[1] if current else None
             record = {"pid": pid, "first_key": pickle.dumps(first), "last_key": pickle.dumps(last), "runs": runs,
                       "summary": pickle.dumps(summary), "tail": pickle.dumps(state)}
             yield pa.RecordBatch.from_pylist([record], schema=_SUMMARY_ARROW)

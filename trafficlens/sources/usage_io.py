@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed value: shape of a wire time.
+ISO_INSTANT = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,9})?Z$"
 WIRE = ("virtualKeyId bigint, requestedModel string, resolvedModel string, provider string, status string,"
         " promptTokens int, completionTokens int, costUsd string, cacheHit boolean, fallbackUsed boolean,"
         " latencyMs bigint, createdAt string, _corrupt_record string")
@@ -14,7 +16,7 @@ BODY = ("model string, messages array<struct<role: string, content: string>>, st
 
 def to_wire(usage: DataFrame) -> DataFrame:
     """Adds wire: the JSON event of a request log row (cost as plain text, null cost as "0", time as ISO text)."""
-    iso = F.concat(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    iso = F.concat(F.replace(F.col("created_at").cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
     event = F.struct(
         F.col("virtual_key_id").alias("virtualKeyId"), F.col("requested_model").alias("requestedModel"),
         F.col("resolved_model").alias("resolvedModel"), "provider", "status",
@@ -42,8 +44,9 @@ def ingest_usage(events: DataFrame, received_at: Column, strict: bool = False) -
     e = F.col("e")
     cost = F.when(e["costUsd"].isNull(), F.lit(0).cast("decimal(18,6)")).otherwise(e["costUsd"].try_cast("decimal(18,6)"))
     # wire times are UTC: the zone mark is cut so that no session time zone can shift them
-    when = F.when(e["createdAt"].isNull(), received_at).otherwise(
-        F.regexp_replace(e["createdAt"], "Z$", "").try_cast("timestamp_ntz"))
+    instant = F.rlike(e["createdAt"], F.lit(ISO_INSTANT))
+    when = F.when(e["createdAt"].isNull(), received_at).when(
+        instant, F.regexp_replace(e["createdAt"], "Z$", "").try_cast("timestamp_ntz"))
     typed = read.withColumns({"_cost": cost, "_at": when})
     bad = e.isNull() | e["_corrupt_record"].isNotNull() | F.col("_cost").isNull() | F.col("_at").isNull()
     if strict:
