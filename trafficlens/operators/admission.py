@@ -99,10 +99,15 @@ class RateFold(Fold):
 
 
 class _Gap:
-    """The map gap_in -> gap_out as intervals of gap_in: those only rotated so far, and those already sent to a point."""
+    """The map gap_in -> gap_out as intervals of gap_in: those only rotated so far, and those already sent to a point.
+
+    Rotations are kept as one offset. Points and intervals are in sorted lists, so a cut touches only what it moves, and
+    intervals of merged points are joined small to large."""
 
     def __init__(self, w: int):
-        self.w, self.turned, self.free, self.fixed = w, 0, [(0, w)], {}
+        self.w, self.turned = w, 0
+        self.starts, self.ends = [0], [w]
+        self.points, self.fixed = [], {}
 
     def turn(self, o: int):
         self.turned = (self.turned + o) % self.w
@@ -110,30 +115,42 @@ class _Gap:
     def cut(self, e: int):
         """gap = min(gap, e)"""
         w, r = self.w, self.turned
-        target, lo, hi = (e + r) % w, (e + 1 + r) % w, (w + r) % w
-        arcs = [] if e + 1 >= w else ([(lo, hi)] if lo < hi else [(lo, w), (0, hi)])
-        kept, moved = [], []
-        for a, b in self.free:
-            pieces = [(a, b)]
-            for lo, hi in arcs:
-                rest = []
-                for x, y in pieces:
-                    u, v = max(x, lo), min(y, hi)
-                    if u < v:
-                        moved.append((u, v))
-                        rest += [(p, q) for p, q in ((x, u), (v, y)) if p < q]
-                    else:
-                        rest.append((x, y))
-                pieces = rest
-            kept += pieces
-        for g in [g for g in self.fixed if (g - r) % w > e]:
-            moved += self.fixed.pop(g)
-        self.free = kept
-        if moved:
-            self.fixed.setdefault(target, []).extend(moved)
+        if e + 1 >= w:
+            return
+        lo, hi = (e + 1 + r) % w, (w + r) % w
+        moved: list[list] = []
+        for x, y in ([(lo, hi)] if lo < hi else [(lo, w), (0, hi)]):
+            moved.append(self._take(x, y))
+            i, j = bisect.bisect_left(self.points, x), bisect.bisect_left(self.points, y)
+            moved += [self.fixed.pop(g) for g in self.points[i:j]]
+            del self.points[i:j]
+        spans = max(moved, key=len)
+        for other in moved:
+            if other is not spans:
+                spans.extend(other)
+        if spans:
+            target = (e + r) % w
+            if target in self.fixed:
+                small, large = sorted((spans, self.fixed[target]), key=len)
+                large.extend(small)
+                self.fixed[target] = large
+            else:
+                bisect.insort(self.points, target)
+                self.fixed[target] = spans
+
+    def _take(self, lo: int, hi: int) -> list:
+        """Removes [lo, hi) from the free intervals and returns what was there."""
+        i, j = bisect.bisect_right(self.ends, lo), bisect.bisect_left(self.starts, hi)
+        if i >= j:
+            return []
+        found = list(zip(self.starts[i:j], self.ends[i:j]))
+        left, right = (found[0][0], lo), (hi, found[-1][1])
+        rest = [p for p in (left, right) if p[0] < p[1]]
+        self.starts[i:j], self.ends[i:j] = [p[0] for p in rest], [p[1] for p in rest]
+        return [(max(a, lo), min(b, hi)) for a, b in found]
 
     def packed(self):
-        pieces = [(a, b, None) for a, b in self.free]
+        pieces = [(a, b, None) for a, b in zip(self.starts, self.ends)]
         pieces += [(a, b, g) for g, spans in self.fixed.items() for a, b in spans]
         return self.turned, sorted(pieces, key=lambda p: p[0])
 
