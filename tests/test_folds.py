@@ -178,3 +178,9 @@ def test_one_key_in_many_partitions_is_summarised_not_replayed(spark, monkeypatc
 
 def test_fold_interface_defaults():
     assert Fold().summarise(None, None, 0) is None and Fold().advance(None, None, 0) is None
+
+
+def test_rows_without_a_key_form_one_group(spark):
+    df = frame(spark, [(1, i, i, False, 1) for i in range(20)]).withColumn("k", F.when(F.col("id") % 2 == 0, F.col("k")))
+    got = A.rate_limit(df, "k", "ts", "id", F.lit(4), 60 * SECOND, partitions=3)
+    assert {r.k: r.n for r in got.filter("admitted").groupBy("k").agg(F.count("*").alias("n")).collect()} == {1: 4, None: 4}

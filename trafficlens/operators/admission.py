@@ -5,13 +5,12 @@ from __future__ import annotations
 import bisect
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.functions.clock import epoch_us
-from trafficlens.operators.scan import Fold, ordered_scan
+from trafficlens.operators.scan import Fold, Rows, ordered_scan
 
 MICRO = 1_000_000
 
@@ -37,8 +36,8 @@ class RateFold(Fold):
     def start(self):
         return 0, None
 
-    def run(self, state, rows: pd.DataFrame):
-        w, cap = self.w, int(rows["capacity"].iloc[0])
+    def run(self, state, rows: Rows):
+        w, cap = self.w, int(rows["capacity"][0])
         deficit, last = state
         top = (cap - 1) * w
         ok, level, retry = [], [], []
@@ -58,7 +57,7 @@ class RateFold(Fold):
         return {"admitted": ok, "tokens_before": level, "retry_after_ms": retry}, (deficit, last)
 
     def summarise(self, rows, hint, level):
-        times, cap, w = rows["us"].tolist(), int(rows["capacity"].iloc[0]), self.w
+        times, cap, w = rows["us"].tolist(), int(rows["capacity"][0]), self.w
         most = cap * w
         if level == 0:
             shift, low, high, last = 0, 0, most, times[0]
@@ -173,9 +172,9 @@ class SpendFold(Fold):
     columns = ["amount", "guarded", "budget_micro", "opening"]
     output = {"admitted": ("boolean", pa.bool_()), "spend_micro": ("bigint", pa.int64())}
 
-    def run(self, state, rows: pd.DataFrame):
-        budget = int(rows["budget_micro"].iloc[0])
-        spend = state if state is not None else int(rows["opening"].iloc[0])
+    def run(self, state, rows: Rows):
+        budget = int(rows["budget_micro"][0])
+        spend = state if state is not None else int(rows["opening"][0])
         ok, after = [], []
         for amount, guarded in zip(rows["amount"].tolist(), rows["guarded"].tolist()):
             fits = not guarded or spend + amount <= budget
@@ -186,8 +185,8 @@ class SpendFold(Fold):
         return {"admitted": ok, "spend_micro": after}, spend
 
     def summarise(self, rows, hint, level):
-        amount = rows["amount"].to_numpy(np.int64)
-        guarded = rows["guarded"].to_numpy(bool)
+        amount = rows["amount"].astype(np.int64)
+        guarded = rows["guarded"].astype(bool)
         prefix = np.cumsum(amount)
         loose = np.where(guarded, 0, amount)
         ends = np.cumsum(loose)
@@ -200,7 +199,7 @@ class SpendFold(Fold):
                 mine = charges[bits == b]
                 sums[int(b)], mins[int(b)] = int(mine.sum()), int(mine.min())
         return {
-            "budget": int(rows["budget_micro"].iloc[0]), "opening": int(rows["opening"].iloc[0]), "simple": simple,
+            "budget": int(rows["budget_micro"][0]), "opening": int(rows["opening"][0]), "simple": simple,
             "total": int(prefix[-1]), "peak": int(prefix[guarded].max()) if guarded.any() else None,
             "loose": int(ends[-1]), "floor": int((ends + amount)[guarded].min()) if guarded.any() else None,
             "sums": sums, "mins": mins}
@@ -237,7 +236,7 @@ class BreakerFold(Fold):
     def start(self):
         return 0, None
 
-    def run(self, state, rows: pd.DataFrame):
+    def run(self, state, rows: Rows):
         fails, opened = state
         ok, names = [], []
         for t, failed in zip(rows["us"].tolist(), rows["failed"].tolist()):
@@ -257,8 +256,8 @@ class BreakerFold(Fold):
         return {"allowed": ok, "state_after": names}, (min(fails, self.threshold), opened)
 
     def summarise(self, rows, hint, level):
-        us = rows["us"].to_numpy(np.int64)
-        failed = rows["failed"].to_numpy(bool).tolist()
+        us = rows["us"].astype(np.int64)
+        failed = rows["failed"].astype(bool).tolist()
         n, top = len(us), self.threshold
         again = np.searchsorted(us, us + self.cooldown, side="left").tolist()
         stamps = us.tolist()

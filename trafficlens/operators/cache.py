@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from trafficlens.functions.clock import epoch_us, plus_seconds
 from trafficlens.functions.vectors import (
     PLANES, as_double, cosine, dot, embed, import_vector, lsh_signature, norm, probe_signatures)
-from trafficlens.operators.scan import Fold, ordered_scan
+from trafficlens.operators.scan import Fold, Rows, ordered_scan
 from trafficlens.operators.skew import lookup_join, split_blocks, split_join
 from trafficlens.session import shared_dir
 
@@ -323,7 +323,7 @@ class CacheFold(Fold):
     def _dead(self, stored: int, now: int) -> bool:
         return self.ttl is not None and stored + self.ttl < now
 
-    def run(self, state, rows: pd.DataFrame):
+    def run(self, state, rows: Rows):
         kept = dict(state)
         hit, match, score = [], [], []
         near = zip(rows["near"], rows["near_similarity"])
@@ -346,10 +346,10 @@ class CacheFold(Fold):
         return {"hit": hit, "match_id": match, "similarity": score}, kept
 
     def summarise(self, rows, hint, level):
-        gids = rows["gid"].to_numpy()
-        if (gids != gids[0]).any() or len(rows["near"].iat[0]):
+        gids = rows["gid"]
+        if (gids != gids[0]).any() or len(rows["near"][0]):
             return None
-        us, ids, n = rows["us"].to_numpy(np.int64), rows["id"].tolist(), len(rows)
+        us, ids, n = rows["us"].astype(np.int64), rows["id"].tolist(), len(gids)
         if self.ttl is None:
             return int(gids[0]), int(us[-1]), [], [(int(us[0]), ids[0])]
         after = np.searchsorted(us, us + self.ttl, side="right").tolist()

@@ -21,7 +21,6 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +34,12 @@ _SUMMARY_ARROW = pa.schema([("pid", pa.int32()), ("first_key", pa.binary()), ("l
 _TAIL_ARROW = pa.schema([("pid", pa.int32()), ("tail", pa.binary())])
 
 
+#: "no key yet", as null is a key like any other
+_NO_KEY = object()
+#: the fold's columns over consecutive rows of one key
+Rows = dict[str, np.ndarray]
+
+
 class Fold:
     """State machine over one key's rows in order. Subclasses keep states small and picklable."""
 
@@ -48,11 +53,11 @@ class Fold:
     def start(self):
         return None
 
-    def run(self, state, rows: pd.DataFrame):
-        """Replay rows from a known state: (dict of output arrays, state after)."""
+    def run(self, state, rows: Rows):
+        """Replay rows from a known state: (dict of output lists, state after)."""
         raise NotImplementedError
 
-    def summarise(self, rows: pd.DataFrame, hint, level: int):
+    def summarise(self, rows: Rows, hint, level: int):
         """What the rows do to an unknown incoming state. ``hint`` is the boundary state of the previous level."""
         return None
 
@@ -61,25 +66,33 @@ class Fold:
         return None
 
 
-def _runs(batch: pa.RecordBatch, fold: Fold, key: str) -> Iterator[tuple[object, pd.DataFrame]]:
-    """(key, the fold's columns) for each run of equal keys in a batch."""
-    rows = batch.select([key, "_pid", *fold.columns]).to_pandas()
-    keys = rows[key].to_numpy()
+def _runs(batch: pa.RecordBatch, fold: Fold, key: str) -> Iterator[tuple[object, Rows]]:
+    """(key, the fold's columns) for each run of equal keys in a batch; slices are views, so short runs stay cheap."""
+    columns = {c: batch.column(c).to_pandas().to_numpy() for c in fold.columns}
+    keys = batch.column(key).to_pandas(integer_object_nulls=True).to_numpy()
     cuts = (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()
     for a, b in zip([0, *cuts], [*cuts, len(keys)]):
-        yield rows[key].iat[a], rows.iloc[a:b]
+        yield keys[a], {c: v[a:b] for c, v in columns.items()}
+
+
+def _pid(batch: pa.RecordBatch) -> int:
+    return batch.column("_pid")[0].as_py()
+
+
+def _joined(parts: list[Rows]) -> Rows:
+    return parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
 
 
 def _replay(fold: Fold, key: str, carry: dict):
     def task(batches: Iterator[pa.RecordBatch]):
-        last, state = None, None
+        last, state = _NO_KEY, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             found: dict[str, list] = {name: [] for name in fold.output}
             for name, rows in _runs(batch, fold, key):
-                if last is None:
-                    state = carry.get(int(rows["_pid"].iat[0]), fold.start())
+                if last is _NO_KEY:
+                    state = carry.get(_pid(batch), fold.start())
                 elif name != last:
                     state = fold.start()
                 columns, state = fold.run(state, rows)
@@ -94,23 +107,23 @@ def _replay(fold: Fold, key: str, carry: dict):
 def _summaries(fold: Fold, key: str, hints: dict, level: int):
     """Summary of a partition's first run and the state after its last; the runs between need no work here."""
     def task(batches: Iterator[pa.RecordBatch]):
-        first, last, pid, runs = None, None, None, 0
-        head: list[pd.DataFrame] = []
-        current: list[pd.DataFrame] = []
+        first, last, pid, runs = _NO_KEY, _NO_KEY, None, 0
+        head: list[Rows] = []
+        current: list[Rows] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             for name, rows in _runs(batch, fold, key):
-                if first is None:
-                    first, pid = name, int(rows["_pid"].iat[0])
-                if last is None or name != last:
+                if first is _NO_KEY:
+                    first, pid = name, _pid(batch)
+                if last is _NO_KEY or name != last:
                     runs, current = runs + 1, []
                 last = name
-                (head if runs == 1 else current).append(rows[fold.columns])
-        if first is not None:
+                (head if runs == 1 else current).append(rows)
+        if first is not _NO_KEY:
             hint = hints.get(pid, fold.start())
-            summary = fold.summarise(pd.concat(head, ignore_index=True), hint, level)
-            state = fold.run(fold.start(), pd.concat(current, ignore_index=True))[1] if current else None
+            summary = fold.summarise(_joined(head), hint, level)
+            state = fold.run(fold.start(), _joined(current))[1] if current else None
             record = {"pid": pid, "first_key": pickle.dumps(first), "last_key": pickle.dumps(last), "runs": runs,
                       "summary": pickle.dumps(summary), "tail": pickle.dumps(state)}
             yield pa.RecordBatch.from_pylist([record], schema=_SUMMARY_ARROW)
@@ -120,18 +133,18 @@ def _summaries(fold: Fold, key: str, hints: dict, level: int):
 def _tail_state(fold: Fold, key: str, carry: dict):
     """State after a partition's first run, from a known boundary state (used where a summary could not tell)."""
     def task(batches: Iterator[pa.RecordBatch]):
-        first, state, pid = None, None, None
+        first, state, pid = _NO_KEY, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             for name, rows in _runs(batch, fold, key):
-                if first is None:
-                    first, pid = name, int(rows["_pid"].iat[0])
+                if first is _NO_KEY:
+                    first, pid = name, _pid(batch)
                     state = carry.get(pid, fold.start())
                 if name != first:
                     break
                 _, state = fold.run(state, rows)
-        if first is not None:
+        if first is not _NO_KEY:
             yield pa.RecordBatch.from_pylist([{"pid": pid, "tail": pickle.dumps(state)}], schema=_TAIL_ARROW)
     return task
 
@@ -139,10 +152,10 @@ def _tail_state(fold: Fold, key: str, carry: dict):
 def _chain(fold: Fold, records: list, level: int, settled: dict) -> tuple[dict, dict]:
     """Boundary state per partition, and the boundaries whose partition must be replayed to go on."""
     carry, blocked = {}, {}
-    key, state, known = None, None, True
+    key, state, known = _NO_KEY, None, True
     for r in records:
         first, last = pickle.loads(r["first_key"]), pickle.loads(r["last_key"])
-        continued = key is not None and first == key
+        continued = key is not _NO_KEY and first == key
         if not continued:
             incoming, known = fold.start(), True
         else:

@@ -51,7 +51,7 @@ def _fold_stream(rows: DataFrame, key: str, order: list[str], fold: Fold) -> Dat
     def step(_, frames: Iterator[pd.DataFrame], state: GroupState):
         batch = pd.concat(list(frames), ignore_index=True).sort_values(order, ignore_index=True)
         before = pickle.loads(state.get[0]) if state.exists else fold.start()
-        found, after = fold.run(before, batch)
+        found, after = fold.run(before, {c: batch[c].to_numpy() for c in fold.columns})
         state.update((pickle.dumps(after),))
         done = batch[[f.name for f in keep]].copy()
         for column, values in found.items():
