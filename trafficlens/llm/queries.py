@@ -47,4 +47,6 @@ QUERIES = {
 }
 SQL: dict[str, str] = {
     "op1_decontamination": sql.DECONTAMINATION,
+    "op3_chat": sql.CHAT,
+    "op8_mixing": sql.mixing_sql(),
 }

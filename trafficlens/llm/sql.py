@@ -27,3 +27,81 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join marked using (r) left join items using (r)
 """
+
+CHAT = rf"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  select -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+numbered as (
+  select *, lag(role) over w as before from turns
+  window w as (partition by conv_id order by turn nulls first, role, text)),
+escaped as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as n,
+         length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) as text_chars,
+         length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), chr(10), '&#10;')) as role_chars
+  from numbered)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by n) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(text_chars + case when before is null or before <> role
+                             then {len("<|im_start|>")} + role_chars + 1 + {len("<|im_end|>") + 1}
+                             else {len("<|turn|>")} end)::bigint as formatted_chars
+from escaped group by conv_id
+"""
+
+
+def _permuted(source: str, x: str, n: str, key: str, inverse: bool = False) -> str:
+    """A query over `source` with `place`, the permutation of x; the arithmetic of mixing.permuted."""
+    from . import mixing
+
+    out = f"(select *, ({x})::bigint as place from {source})"
+    for a, b, c, d in mixing.KEYS[::-1] if inverse else mixing.KEYS:
+        p = mixing.PRIME
+        out = f"(select *, ((({key} + 1) * {a}) % {p} * {p} + (({key} + 1) * {b}) % {p}) % {n} as shift from {out})"
+        out = f"(select *, (shift - place + {n}) % {n} as other from {out})"
+        out = f"(select *, (greatest(place, other) % {p} * {c} + ({key} + 1) * {d}) % {p} as z from {out})"
+        out = f"(select * exclude (place, shift, other, z), case when z * z % {p} >= {p} * 0.5 then other else place end as place from {out})"
+    return out
+
+
+def mixing_sql() -> str:
+    from . import mixing as m
+
+    return rf"""
+with sizes as (
+  select row_number() over () as r, doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size
+  from documents),
+ranked as (
+  select source, sum(size)::bigint as source_size, row_number() over (order by source is null, source) as rank,
+         ([{", ".join(map(str, m.WEIGHTS))}])[(row_number() over (order by source is null, source) - 1) % {len(m.WEIGHTS)} + 1] as weight
+  from sizes group by source),
+levels as (
+  select *, (sum(source_size) over () - coalesce(sum(source_size * {m.REPEATS}) over (order by source_size / weight, rank rows between unbounded preceding and 1 preceding), 0))::double
+            / sum(weight) over (order by source_size / weight, rank rows between current row and unbounded following) as level
+  from ranked),
+targets as (
+  select source, rank, source_size, least((source_size * {m.REPEATS})::double, (select max(level) from levels) * weight) as target,
+         ceil(source_size / {m.BLOCK_WORDS})::bigint as blocks
+  from levels),
+counts as (
+  select *, case when source_size > 0 then least(floor(target * blocks / source_size + 0.5)::bigint, blocks * {m.REPEATS}) else 0 end as draws
+  from targets),
+slots as (select rank, blocks, unnest(range(0, draws)) as j from counts),
+drawn as (
+  select rank, place as block, count(*) as draws
+  from {_permuted("slots", "j % blocks", "blocks", "rank")} group by all),
+placed as (
+  select *, sum(size) over (partition by source order by coalesce(doc_id, 0) % chunks, doc_id nulls first, text
+                            rows between unbounded preceding and current row)::bigint - size as start
+  from sizes, (select greatest({m.CHUNKS}, count(*) // {m.CHUNK_ROWS}) as chunks from sizes)),
+pieces as (
+  select r, rank, size, start, unnest(range(start // {m.BLOCK_WORDS}, (start + size - 1) // {m.BLOCK_WORDS} + 1)) as block
+  from placed join counts on placed.source is not distinct from counts.source where size > 0),
+taken as (
+  select r, sum((least(size, (block + 1) * {m.BLOCK_WORDS} - start) - greatest(0, block * {m.BLOCK_WORDS} - start)) * draws)::bigint as taken
+  from pieces join drawn using (rank, block) group by r)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken
+from placed join counts on placed.source is not distinct from counts.source left join taken using (r)
+"""
