@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
+from .lineage import cut
 
 #: words of a window
 WINDOW = 10
@@ -223,7 +224,7 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     for k, (ids, texts) in enumerate(_passes(items, item_id, item_text, query_bytes)):
         shared = spark.sparkContext.broadcast(build_queries(ids, texts, window))
         if k:
-            state = state.checkpoint()
+            state = cut(state)
         state = state.mapInArrow(_searching(shared, text_col), schema)
     return state.drop("_runs")
 

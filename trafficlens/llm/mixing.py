@@ -18,6 +18,8 @@ import random
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .lineage import cut
+
 WEIGHTS = (5, 2, 1)
 #: most copies of a source's words
 REPEATS = 3
@@ -52,10 +54,10 @@ def permuted(x: Column, n: Column, key: Column, inverse: bool = False) -> Column
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, text_hash) of all documents, written once, since everything below starts from it."""
-    return docs.select(
+    return cut(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
         F.xxhash64(text_col).alias("text_hash"),
-    ).checkpoint()
+    ))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, block: int = BLOCK_WORDS) -> DataFrame:
@@ -134,8 +136,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         weights=WEIGHTS, repeats: int = REPEATS, block: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target (its source's) and taken (words, repeats counted)."""
     sizes = sized(docs, id_col, text_col, source_col)
-    sources = source_targets(sizes, weights, repeats, block).checkpoint()
-    rows = placed(sizes, sources).checkpoint()
+    sources = cut(source_targets(sizes, weights, repeats, block))
+    rows = cut(placed(sizes, sources))
     taken = drawn_pieces(rows, sources, block).groupBy("rank", "start").agg(F.sum(F.col("n_words") * F.col("draws")).alias("taken"))
     # a document of size 0 may share its start with the next one
     full = rows.where("size > 0").join(taken, ["rank", "start"], "left")
@@ -150,8 +152,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents of which nothing is taken go. A column n_chars, if there is one, follows the text.
     """
     sizes = sized(docs, id_col, text_col, source_col)
-    sources = source_targets(sizes, weights, repeats, block).checkpoint()
-    rows = placed(sizes, sources).checkpoint()
+    sources = cut(source_targets(sizes, weights, repeats, block))
+    rows = cut(placed(sizes, sources))
     same = Window.partitionBy("doc_id", "source", "text_hash").orderBy("start")
     numbered = rows.where("size > 0").withColumn("_copy", F.row_number().over(same))
     taken = drawn_pieces(rows, sources, block).groupBy("rank", "start").agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, contamination, mixing, sql
+from . import chat, contamination, mixing, near_dup, sql
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
         F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def op5_near_dup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -43,10 +47,12 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_chat": op3_chat,
+    "op5_near_dup": op5_near_dup,
     "op8_mixing": op8_mixing,
 }
 SQL: dict[str, str] = {
     "op1_decontamination": sql.DECONTAMINATION,
     "op3_chat": sql.CHAT,
+    "op5_near_dup": sql.NEAR_DUP,
     "op8_mixing": sql.mixing_sql(),
 }

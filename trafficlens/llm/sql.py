@@ -51,6 +51,27 @@ select conv_id, count(*) as n_turns,
 from escaped group by conv_id
 """
 
+NEAR_DUP = rf"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (
+  select x.doc_id as a, y.doc_id as b, count(*) as c
+  from shingles x join shingles y on x.s = y.s and x.doc_id < y.doc_id group by all),
+links as (
+  select a, b from common join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * c >= 75 * (p.n + q.n - c)),
+ways as (select a, b from links union all select b, a from links),
+reach as (
+  select doc_id as node, doc_id as seen from d
+  union
+  select node, b from reach join ways on seen = a)
+select d.doc_id, coalesce(n, 0) as n_shingles, m.component_id, d.doc_id = m.component_id as kept
+from d left join sizes using (doc_id) join (select node, min(seen) as component_id from reach group by node) m on m.node = d.doc_id
+"""
+
 
 def _permuted(source: str, x: str, n: str, key: str, inverse: bool = False) -> str:
     """A query over `source` with `place`, the permutation of x; the arithmetic of mixing.permuted."""
