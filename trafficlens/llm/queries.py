@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, contamination, mixing, near_dup, sql
+from . import chat, contamination, lm_score, mixing, near_dup, sql
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,11 +44,21 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _remainder(modulus: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
+
+
+def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return lm_score.lm_scores(docs, _remainder(7) == 2)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_chat": op3_chat,
     "op5_near_dup": op5_near_dup,
     "op8_mixing": op8_mixing,
+    "op10_lm_score": op10_lm_score,
 }
 SQL: dict[str, str] = {
     "op1_decontamination": sql.DECONTAMINATION,
