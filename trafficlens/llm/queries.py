@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, contamination, lm_score, mixing, near_dup, sql
+from . import chat, contamination, lm_score, mixing, near_dup, sql, token_files
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,6 +44,18 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    path = token_files.write_token_files(docs, tokenizer_path(), token_files.fresh_path(spark))
+    return token_files.read_token_files(spark, path)
+
+
 def _remainder(modulus: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
 
@@ -58,6 +70,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op5_near_dup": op5_near_dup,
     "op8_mixing": op8_mixing,
+    "op9_token_files": op9_token_files,
     "op10_lm_score": op10_lm_score,
 }
 SQL: dict[str, str] = {
