@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, contamination, lm_score, mixing, near_dup, sql, token_files
+from . import chat, contamination, language, lm_score, mixing, near_dup, sql, token_files
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _remainder(modulus: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
+
+
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     found = contamination.contamination(docs, _table(spark, folder, "benchmark"))
@@ -44,6 +48,13 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~_remainder(4).eqNullSafe(2)))
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out")
+    return language.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -56,10 +67,6 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
-def _remainder(modulus: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
-
-
 def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return lm_score.lm_scores(docs, _remainder(7) == 2)
@@ -69,6 +76,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_chat": op3_chat,
     "op5_near_dup": op5_near_dup,
+    "op7_language": op7_language,
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
     "op10_lm_score": op10_lm_score,
