@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, contamination, language, lm_score, mixing, near_dup, sql, token_files
+from . import chat, contamination, html_text, language, lm_score, mixing, near_dup, sql, token_files
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_text.main_text(_table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("*", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -74,6 +79,7 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_html_text": op2_html_text,
     "op3_chat": op3_chat,
     "op5_near_dup": op5_near_dup,
     "op7_language": op7_language,
