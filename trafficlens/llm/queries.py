@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, contamination, html_text, language, lm_score, mixing, near_dup, sql, token_files
+from . import chat, contamination, html_text, language, lm_score, mixing, near_dup, secrets, sql, token_files
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _is_kind(kind: str):
+    return lambda x: x["kind"] == kind
+
+
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.secret_spans(_table(spark, folder, "documents").select("doc_id", "text"))
+    base = [kind for kind, *_ in secrets.BASE]
+    known = F.filter("spans", lambda x: x["kind"].isin(base))
+    counts = [F.size(F.filter("spans", _is_kind(kind))).cast("bigint").alias(f"n_{kind}") for kind in base]
+    return found.select("doc_id", *counts, F.sha2(secrets.digest(known), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.where(~_remainder(4).eqNullSafe(2)))
@@ -82,6 +94,7 @@ QUERIES = {
     "op2_html_text": op2_html_text,
     "op3_chat": op3_chat,
     "op5_near_dup": op5_near_dup,
+    "op6_secrets": op6_secrets,
     "op7_language": op7_language,
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
