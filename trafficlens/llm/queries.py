@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, contamination, html_text, language, lm_score, mixing, near_dup, secrets, sql, token_files
+from . import chat, contamination, html_text, language, lm_score, mixing, near_dup, quality, secrets, sql, token_files
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,6 +44,12 @@ def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
         F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return quality.quality(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op5_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -93,6 +99,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_html_text": op2_html_text,
     "op3_chat": op3_chat,
+    "op4_quality": op4_quality,
     "op5_near_dup": op5_near_dup,
     "op6_secrets": op6_secrets,
     "op7_language": op7_language,
