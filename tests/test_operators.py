@@ -36,9 +36,13 @@ def test_word_count_edges(spark):
 
 @pytest.mark.parametrize("pt,ct,cost", [(1000, 500, "0.000500"), (0, 0, "0.000000")])
 def test_cost(spark, pt, ct, cost):
-    df = spark.createDataFrame([("m-fast-1", pt, ct), ("other", pt, ct)], "resolved_model string, prompt_tokens int, completion_tokens int")
-    rows = {r.resolved_model: r for r in B.price_usage(df, dims.load_pricing(spark)).collect()}
-    assert rows["m-fast-1"].cost_usd == Decimal(cost) and rows["m-fast-1"].total_tokens == pt + ct
+    df = spark.createDataFrame([("one", pt, ct), ("other", pt, ct)], "resolved_model string, prompt_tokens int, completion_tokens int")
+    # requests of a model that is listed twice stay single
+    sheet = spark.sql("select * from values ('one', 'p', 9.0BD, 9.0BD), ('two', 'p', 1.0BD, 1.0BD), ('one', 'q', 0.0002BD, 0.0006BD) as t(model, provider, price_in, price_out)")
+    found = B.price_usage(df, sheet).collect()
+    rows = {r.resolved_model: r for r in found}
+    assert len(found) == 2 and rows["one"].model_provider == "q"
+    assert rows["one"].cost_usd == Decimal(cost) and rows["one"].total_tokens == pt + ct
     assert rows["other"].price_error == "UNKNOWN_MODEL_ALIAS" and rows["other"].cost_usd is None
 
 
@@ -60,12 +64,12 @@ def test_allowlist_is_case_sensitive_and_empty_means_all(spark):
 
 def test_exhausted_and_fallback_routes(spark):
     aliases, pricing = dims.load_aliases(spark), dims.load_pricing(spark)
-    routed = spark.createDataFrame([("m-fast-1", ["m-fast-2"]), ("m-fast-1", []), ("m-fast-2", [])],
+    routed = spark.createDataFrame([("swift-s", ["delta-s", "field-m"]), ("swift-s", []), ("delta-s", [])],
                                    "primary_model string, chain array<string>")
-    health = spark.createDataFrame([("provider-a", False), ("provider-b", True)], "provider string, healthy boolean")
+    health = spark.createDataFrame([("north", False), ("harbor", True)], "provider string, healthy boolean")
     rows = G.route_around_outage(routed, aliases, pricing, health).collect()
     assert [(r.served_model, r.fallback_used, r.dispatch_error) for r in rows] == [
-        ("m-fast-2", True, None), (None, None, "ALL_PROVIDERS_EXHAUSTED"), ("m-fast-2", False, None)]
+        ("delta-s", True, None), (None, None, "ALL_PROVIDERS_EXHAUSTED"), ("delta-s", False, None)]
 
 
 def test_validation_messages(spark):
@@ -74,9 +78,9 @@ def test_validation_messages(spark):
         "request_id int, model string, messages array<struct<role: string, content: string>>, temperature double")
     got = {r.request_id: r.violations for r in G.validate_requests(df).collect()}
     assert got == {
-        1: "", 2: "model: model is required; messages: messages must contain at least one entry; temperature: temperature must be >= 0.0",
-        3: "messages[1].role: role is required (system|user|assistant); messages[1].content: content must not be blank",
-        4: "messages: messages must contain at least one entry"}
+        1: "", 2: "model: needs a name; messages: needs a message; temperature: below 0",
+        3: "messages[1].role: needs a role; messages[1].content: needs some text",
+        4: "messages: needs a message"}
 
 
 def test_percentile_index_on_whole_multiples(spark):
@@ -124,3 +128,34 @@ def test_dimensions_from_json(spark, tmp_path):
     assert tuple(dims.load_aliases(spark, str(tmp_path / "a.json")).first()) == ("fast", "m", ["n"])
     key = dims.load_keys(spark, str(tmp_path / "k.json")).first()
     assert (key.tenant, key.allowed, key.rpm, key.budget) == ("t", ["m"], 5, Decimal("0.010000"))
+
+
+def test_shared_folder_is_needed_off_local_masters(monkeypatch, spark):
+    from trafficlens import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+        def setCheckpointDir(self, path):
+            self.path = path
+
+    class Session:
+        conf = {}
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+    Session.sparkContext.master = "local[2]"
+    session.shared_dir(Session())
+    assert "trafficlens-" in Session.sparkContext.path
+
+
+def test_a_page_too_large_is_an_error(spark):
+    with pytest.raises(ValueError, match="100"):
+        R.recent_requests(spark.range(1), 0, 101)

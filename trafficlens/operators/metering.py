@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.functions.text import estimate_tokens
+from trafficlens.sources.dims import one_per
 
 DEFAULT_COMPLETION_TOKENS = 256
 
@@ -17,7 +18,7 @@ def cost_of(prompt_tokens, completion_tokens, price_in, price_out):
 
 
 def _with_prices(rows: DataFrame, pricing: DataFrame, model: str) -> DataFrame:
-    sheet = pricing.select(
+    sheet = one_per(pricing, "model").select(
         F.col("model").alias("_model"), F.col("provider").alias("model_provider"), "price_in", "price_out")
     return rows.join(sheet, rows[model] == sheet["_model"], "left")
 

@@ -105,15 +105,11 @@ def recent_requests(usage: DataFrame, page: int = 0, size: int = 25) -> DataFram
 
     The rank filter lets Spark keep only the page's rows of each key in every map task before the shuffle; the total
     comes from its own pre-aggregated count, so a very busy key is never gathered in one task."""
-    size = min(size, MAX_PAGE)
+    if size > MAX_PAGE:
+        raise ValueError(f"a page has at most {MAX_PAGE} rows, not {size}")
     newest = Window.partitionBy("virtual_key_id").orderBy(F.desc("created_at"), F.desc("usage_id"))
     slim = usage.select("virtual_key_id", "usage_id", "created_at", "resolved_model", "status", "cost_usd")
     last = (page + 1) * size
-    spark = usage.sparkSession
-    # the partial limit applies up to this many rows; a deeper page raises it rather than losing it
-    limit = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if limit < last:
-        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(last))
     ranked = slim.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= last)
     totals = usage.groupBy("virtual_key_id").agg(F.count("*").alias("total_requests"))
     return ranked.filter(F.col("rank") > page * size).join(totals, "virtual_key_id")

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.functions.text import classify_tier, extract_credential, is_blank, user_text_of, with_difficulty
+from trafficlens.sources.dims import one_per
 
 
 def authenticate(requests: DataFrame, keys: DataFrame) -> DataFrame:
     """Adds key_id, tenant, allowed, rpm, budget; auth_error and auth_message where no active key matches."""
     given = requests.withColumn("credential", extract_credential(F.col("authorization"), F.col("api_key")))
-    active = keys.filter("active").select(
+    active = one_per(keys.filter("active"), "key_value").select(
         F.col("key_value").alias("_key"), "key_id", "tenant", "allowed", "rpm", "budget")
     matched = given.join(active, given["credential"] == active["_key"], "left").drop("_key")
     blank, unknown = F.col("credential") == "", F.col("key_id").isNull()
@@ -37,7 +38,7 @@ def resolve_route(requests: DataFrame, aliases: DataFrame, pricing: DataFrame) -
         "_text", F.when(F.col("auto_routed"), user_text_of(F.col("messages"))))
     named = with_difficulty(read, "_text").withColumn(
         "_alias", F.when(F.col("auto_routed"), classify_tier(F.col("score"))).otherwise(F.lower("model")))
-    by_alias = aliases.select(F.col("alias").alias("_a"), F.col("primary_model").alias("_p"), F.col("chain").alias("_c"))
+    by_alias = one_per(aliases, "alias").select(F.col("alias").alias("_a"), F.col("primary_model").alias("_p"), F.col("chain").alias("_c"))
     by_model = pricing.select(F.col("model").alias("_m")).distinct()
     joined = (named.join(by_alias, named["_alias"] == by_alias["_a"], "left")
               .join(by_model, (named["model"] == by_model["_m"]) & ~named["auto_routed"], "left"))
@@ -61,7 +62,7 @@ def healthy_routes(aliases: DataFrame, pricing: DataFrame, health: DataFrame) ->
     routes = aliases.select("primary_model", "chain").unionByName(
         pricing.select(F.col("model").alias("primary_model"), F.array().cast("array<string>").alias("chain"))).distinct()
     down = health.filter(~F.col("healthy")).select("provider")
-    steps = expand_chain(routes, ["primary_model", "chain"]).join(pricing.select("model", "provider"), "model")
+    steps = expand_chain(routes, ["primary_model", "chain"]).join(one_per(pricing, "model").select("model", "provider"), "model")
     up = steps.join(down, "provider", "left_anti")
     return up.groupBy("primary_model", "chain").agg(
         F.min(F.struct("position", "model", "provider")).alias("served"))
@@ -70,6 +71,9 @@ def healthy_routes(aliases: DataFrame, pricing: DataFrame, health: DataFrame) ->
 def route_around_outage(routed: DataFrame, aliases: DataFrame, pricing: DataFrame, health: DataFrame) -> DataFrame:
     """Adds served_model, served_provider, fallback_used, dispatch_error.
 
+    Requests must carry a primary model and chain as resolve_route gives them for these aliases and prices; another
+    chain has no route and counts as exhausted.
+
     A route depends on (primary, chain) alone, so chains are walked once per route of the dimensions and the answer
     joined to the requests: requests are neither exploded nor shuffled."""
     served = healthy_routes(aliases, pricing, health).select(
@@ -89,18 +93,18 @@ def validate_requests(requests: DataFrame) -> DataFrame:
     def turn_faults(m, i):
         at = F.concat(F.lit("messages["), i.cast("string"), F.lit("]"))
         return F.array_compact(F.array(
-            F.when(is_blank(m["role"]), F.concat(at, F.lit(".role: role is required (system|user|assistant)"))),
-            F.when(is_blank(m["content"]), F.concat(at, F.lit(".content: content must not be blank")))))
+            F.when(is_blank(m["role"]), F.concat(at, F.lit(".role: needs a role"))),
+            F.when(is_blank(m["content"]), F.concat(at, F.lit(".content: needs some text")))))
 
     msgs, temp = F.col("messages"), F.col("temperature")
     empty = F.coalesce(F.size(msgs) <= 0, F.lit(True))
     head = F.array_compact(F.array(
-        F.when(is_blank(F.col("model")), F.lit("model: model is required")),
-        F.when(empty, F.lit("messages: messages must contain at least one entry"))))
+        F.when(is_blank(F.col("model")), F.lit("model: needs a name")),
+        F.when(empty, F.lit("messages: needs a message"))))
     turns = F.when(empty, F.array().cast("array<string>")).otherwise(F.flatten(F.transform(msgs, turn_faults)))
     tail = F.array_compact(F.array(
-        F.when(temp < 0.0, F.lit("temperature: temperature must be >= 0.0")),
-        F.when(temp > 2.0, F.lit("temperature: temperature must be <= 2.0"))))
+        F.when(temp < 0.0, F.lit("temperature: below 0")),
+        F.when(temp > 2.0, F.lit("temperature: above 2"))))
     faults = F.concat(head, turns, tail)
     return requests.withColumn("violations", F.array_join(faults, "; ")).withColumn(
         "body_error", F.when(F.col("violations") != "", "VALIDATION_FAILED"))

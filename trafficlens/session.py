@@ -18,6 +18,7 @@ def local_session(cpus: str = "8", app: str = "trafficlens") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -25,11 +26,14 @@ def local_session(cpus: str = "8", app: str = "trafficlens") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``; a temporary one only where nothing is set."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``. A temporary one only on a local master; elsewhere
+    executors would not see it, so an unset folder is an error."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context.getCheckpointDir()
     if current is None:
+        if not configured and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="trafficlens-"))
         current = context.getCheckpointDir()
     return configured or current

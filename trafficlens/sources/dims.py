@@ -9,28 +9,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Default price sheet (model, provider, USD per 1000 prompt tokens, USD per 1000 completion tokens).
+# Sample price sheet: model, provider, USD per 1000 prompt tokens, USD per 1000 completion tokens.
 PRICING = [
-    ("m-fast-1", "provider-a", "0.0002", "0.0006"),
-    ("m-smart-1", "provider-a", "0.0030", "0.0150"),
-    ("m-fast-2", "provider-b", "0.0003", "0.0007"),
-    ("m-smart-2", "provider-b", "0.0035", "0.0140"),
+    ("swift-s", "north", "0.0004", "0.0011"),
+    ("swift-l", "north", "0.0022", "0.0091"),
+    ("delta-s", "harbor", "0.0005", "0.0009"),
+    ("delta-l", "harbor", "0.0041", "0.0123"),
+    ("field-m", "meadow", "0.0012", "0.0031"),
 ]
 
-# Alias, primary model, fallback chain.
+# Sample aliases: alias, primary model, fallback chain. The tiers of the classifier are named fast and smart.
 ALIASES = [
-    ("fast", "m-fast-1", ["m-fast-2"]),
-    ("smart", "m-smart-1", ["m-smart-2"]),
+    ("fast", "swift-s", ["delta-s", "field-m"]),
+    ("smart", "delta-l", ["swift-l", "field-m"]),
+    ("bulk", "field-m", []),
 ]
 
-# Id, key value, tenant alias, allowed names, requests per minute, budget, active.
+# Sample keys: id, key value, tenant alias, allowed names, requests per minute, budget, active.
 KEYS = [
-    (1, "vk-alpha", "team-alpha",
-     ["fast", "smart", "auto", "m-fast-1", "m-smart-1", "m-fast-2", "m-smart-2"], 60, "50.00", True),
-    (2, "vk-beta", "team-beta", ["fast", "auto", "m-fast-1", "m-fast-2"], 20, "5.00", True),
-    (3, "vk-low", "team-low", ["fast", "smart", "auto"], 60, "0.01", True),
-    (4, "vk-revoked", "team-revoked", [], 60, "50.00", False),
-    (5, "vk-open", "team-open", [], 60, "50.00", True),
+    (11, "key-atlas", "atlas", ["fast", "smart", "auto", "bulk", "swift-s", "delta-l"], 45, "12.50", True),
+    (12, "key-birch", "birch", ["fast", "auto", "swift-s", "delta-s"], 15, "2.75", True),
+    (13, "key-cedar", "cedar", ["auto", "fast", "smart"], 90, "0.02", True),
+    (14, "key-dune", "dune", [], 30, "20.00", False),
+    (15, "key-ember", "ember", [], 30, "20.00", True),
+    (16, "key-fjord", "fjord", ["smart", "bulk"], 10, "8.00", True),
 ]
 
 # Error code, HTTP status, exception class recorded in the status column.
@@ -49,6 +51,17 @@ ERROR_CODES = [
 ]
 
 
+def one_per(df: DataFrame, key: str, in_order: bool = False) -> DataFrame:
+    """One row of each key. From a file, rows have an order, and the last entry of a key counts; a frame has none, and of
+    several rows the one with the greatest values counts, column by column."""
+    rest = F.struct(*(c for c in df.columns if c != key))
+    if in_order:
+        last = df.withColumn("_n", F.monotonically_increasing_id()).groupBy(key).agg(F.max_by(rest, "_n").alias("_last"))
+    else:
+        last = df.groupBy(key).agg(F.max(rest).alias("_last"))
+    return last.select(*(F.col(key) if c == key else F.col(f"_last.{c}").alias(c) for c in df.columns))
+
+
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -60,10 +73,10 @@ def _texts(values: list[str]) -> str:
 def load_pricing(spark: SparkSession, path: str | None = None) -> DataFrame:
     """model, provider, price_in, price_out — the built-in sheet, or a JSON array of the same facts."""
     if path:
-        return spark.read.schema(
+        return one_per(spark.read.schema(
             "model string, provider string, inputPricePer1k decimal(12,6), outputPricePer1k decimal(12,6)"
         ).json(path, multiLine=True).withColumnsRenamed(
-            {"inputPricePer1k": "price_in", "outputPricePer1k": "price_out"})
+            {"inputPricePer1k": "price_in", "outputPricePer1k": "price_out"}), "model", in_order=True)
     rows = ", ".join(
         f"({_text(m)}, {_text(p)}, cast({i} as decimal(12,6)), cast({o} as decimal(12,6)))" for m, p, i, o in PRICING)
     return spark.sql(f"select * from values {rows} as t(model, provider, price_in, price_out)")
@@ -87,7 +100,7 @@ def load_keys(spark: SparkSession, path: str | None = None) -> DataFrame:
         raw = spark.read.schema(
             "keyValue string, alias string, allowedModels array<string>, requestsPerMinute int,"
             " monthlyBudgetUsd decimal(18,6)").json(path, multiLine=True)
-        return raw.select(
+        return one_per(raw, "keyValue", in_order=True).select(
             F.xxhash64("keyValue").alias("key_id"), F.col("keyValue").alias("key_value"), F.col("alias").alias("tenant"),
             F.array_distinct("allowedModels").alias("allowed"), F.col("requestsPerMinute").alias("rpm"),
             F.col("monthlyBudgetUsd").alias("budget"), F.lit(0).cast("decimal(18,6)").alias("spend"),

@@ -30,9 +30,9 @@ LABELLED_PROMPTS = [
      "a productive day ahead, and keep it warm and simple throughout the whole message from start to finish.",
      "fast", "long-but-trivial"),
 ]
-KEY_BY_USER = ["vk-alpha", "vk-beta", "vk-low", "vk-revoked", "vk-open", "nope", ""]
-NAME_BY_EVENT = ["fast", "smart", "auto", "m-fast-1", "m-smart-2", "FAST", "Auto", "no-such-model"]
-MODEL_BY_EVENT = ["m-fast-1", "m-smart-1", "m-fast-2", "m-smart-2"]
+KEY_BY_USER = ["key-atlas", "key-birch", "key-cedar", "key-dune", "key-ember", "nope", ""]
+NAME_BY_EVENT = ["fast", "smart", "auto", "swift-s", "delta-l", "FAST", "Auto", "no-such-model"]
+MODEL_BY_EVENT = ["swift-s", "swift-l", "delta-s", "delta-l"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,7 +132,7 @@ def turns_of(conversations: DataFrame, role: str) -> DataFrame:
     stamp = F.col("conv_id") * 100 + F.col("turn")
     return conversations.filter(F.col("role") == role).select(
         stamp.alias("id"), F.concat(F.lit("team-"), (F.col("conv_id") % 4).cast("string")).alias("tenant"),
-        F.lit("m-fast-1").alias("model"), F.col("text").alias("prompt"),
+        F.lit("swift-s").alias("model"), F.col("text").alias("prompt"),
         (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
          + F.make_dt_interval(mins=stamp.cast("int"))).alias("ts"))
 
@@ -152,7 +152,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id").select(
-        F.col("doc_id").alias("id"), F.col("lang").alias("tenant"), F.lit("m-fast-1").alias("model"),
+        F.col("doc_id").alias("id"), F.col("lang").alias("tenant"), F.lit("swift-s").alias("model"),
         F.col("text").alias("prompt"))
 
 
@@ -160,7 +160,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplied embeddings, scoped by label."""
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.concat(F.lit("label-"), F.col("label").cast("string")).alias("tenant"),
-        F.lit("m-fast-1").alias("model"), F.col("embedding").alias("vec"))
+        F.lit("swift-s").alias("model"), F.col("embedding").alias("vec"))
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
