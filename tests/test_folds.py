@@ -184,3 +184,45 @@ def test_rows_without_a_key_form_one_group(spark):
     df = frame(spark, [(1, i, i, False, 1) for i in range(20)]).withColumn("k", F.when(F.col("id") % 2 == 0, F.col("k")))
     got = A.rate_limit(df, "k", "ts", "id", F.lit(4), 60 * SECOND, partitions=3)
     assert {r.k: r.n for r in got.filter("admitted").groupBy("k").agg(F.count("*").alias("n")).collect()} == {1: 4, None: 4}
+
+
+def test_limits_that_change_within_a_key(spark):
+    """Each row's own limit counts, whatever the partitioning; decreasing limits cut what is held."""
+    rows = log(77, 900, 3, 5 * SECOND, hot=0.8)
+    caps = {i: (0, 2, 9, 4, 30)[i // 60 % 5] for _, i, *_ in rows}
+    expected = {}
+    for mine in by_key(rows).values():
+        units, last = None, None
+        for _, i, t, _, _ in mine:
+            full = caps[i] * 60 * SECOND
+            units = full if units is None else min(full, units + caps[i] * (t - last))
+            last = t
+            expected[i] = units >= 60 * SECOND
+            units -= 60 * SECOND * expected[i]
+    capacity = F.element_at(F.array(*map(F.lit, (0, 2, 9, 4, 30))), (F.floor(F.col("id") / 60) % 5 + 1).cast("int"))
+    for parts in (1, 3, 8, 29):
+        got = A.rate_limit(frame(spark, rows), "k", "ts", "id", capacity, 60 * SECOND, partitions=parts)
+        assert {r.id: r.admitted for r in got.collect()} == expected
+
+
+def test_budgets_that_change_within_a_key(spark):
+    rows = log(78, 600, 3, SECOND, hot=0.8)
+    budgets = {i: (50, 400, 90, 700)[i // 70 % 4] for _, i, *_ in rows}
+    expected = {}
+    for mine in by_key(rows).values():
+        spend = 0
+        for _, i, _, free, cents in mine:
+            fits = free or spend + cents <= budgets[i] * 100
+            spend += cents if fits else 0
+            expected[i] = (fits, spend)
+    budget = F.element_at(F.array(*map(F.lit, (50, 400, 90, 700))), (F.floor(F.col("id") / 70) % 4 + 1).cast("int"))
+    for parts in (1, 3, 8):
+        got = A.spend_ledger(frame(spark, rows), "k", ["ts", "id"], F.col("cents") * F.lit("0.01").cast("decimal(3,2)"), ~F.col("failed"), budget, partitions=parts)
+        assert {r.id: (r.admitted, int(r.spend * 100)) for r in got.collect()} == expected
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "date", "double", "timestamp_ntz", "timestamp"])
+def test_null_keys_are_one_key(spark, kind):
+    df = spark.range(20).select(F.lit(None).cast(kind).alias("k"), "id", F.timestamp_micros(F.col("id")).cast("timestamp_ntz").alias("ts"))
+    for parts in (1, 3):
+        assert A.rate_limit(df, "k", "ts", "id", F.lit(4), 60 * SECOND, partitions=parts).filter("admitted").count() == 4

@@ -18,11 +18,12 @@ MICRO = 1_000_000
 class RateFold(Fold):
     """Token bucket in integers: one token is ``window`` units and a microsecond refills ``capacity`` units.
 
-    The state is the deficit D (0 = full bucket) and the time of the last request. To carry it across partitions, let
-    B be the same bucket with admission never refused but the deficit cut off at its maximum. B's step is
-    x -> min(max(x - a, 0) + w, top), and such clamps compose, so B is a plain scan. Moreover 0 <= B - D < w always
-    holds: the gap turns only when B is cut off by some overflow o, and then becomes (gap - o) mod w; while B < w after
-    a refill it is cut down to B. A second summary tracks that gap.
+    The state is the units left and the time of the last request (None: a full bucket). Each row has its own capacity: it
+    refills at the row's rate and holds at most the row's capacity. To carry the state across partitions, let B be the
+    same bucket with admission never refused but the level cut off at zero. B's step is
+    x -> max(min(x + refill, top) - w, 0), and such clamps compose, so B is a plain scan. Moreover 0 <= D - B < w always
+    holds for the real bucket D: the gap turns only when B is cut off by some overflow o, and then becomes
+    (gap - o) mod w; while B is less than w below a full bucket the gap is cut down to that. A second summary tracks it.
     """
 
     columns = ["us", "capacity"]
@@ -33,68 +34,57 @@ class RateFold(Fold):
     def __init__(self, window_us: int):
         self.w = int(window_us)
 
-    def start(self):
-        return 0, None
+    def _refilled(self, state, cap: int, t: int) -> int:
+        if state is None:
+            return cap * self.w
+        units, last = state
+        return min(cap * self.w, units + cap * (t - last))
 
     def run(self, state, rows: Rows):
-        w, cap = self.w, int(rows["capacity"][0])
-        deficit, last = state
-        top = (cap - 1) * w
+        w = self.w
         ok, level, retry = [], [], []
-        for t in rows["us"].tolist():
-            if last is not None and deficit:
-                deficit = max(0, deficit - cap * (t - last))
-            last = t
-            level.append((cap * w - deficit) / w)
-            if deficit <= top:
-                deficit += w
-                ok.append(True)
-                retry.append(None)
-            else:
-                ok.append(False)
-                # a key without any allowance never gets a token
-                retry.append((w - (cap * w - deficit)) // (cap * 1000) if cap else None)
-        return {"admitted": ok, "tokens_before": level, "retry_after_ms": retry}, (deficit, last)
+        for t, cap in zip(rows["us"].tolist(), map(int, rows["capacity"].tolist())):
+            units = self._refilled(state, cap, t)
+            level.append(units / w)
+            fits = units >= w
+            ok.append(fits)
+            # a key without any allowance never gets a token
+            retry.append(None if fits or not cap else (w - units) // (cap * 1000))
+            state = units - w if fits else units, t
+        return {"admitted": ok, "tokens_before": level, "retry_after_ms": retry}, state
 
     def summarise(self, rows, hint, level):
-        times, cap, w = rows["us"].tolist(), int(rows["capacity"][0]), self.w
-        most = cap * w
+        times, caps, w = rows["us"].tolist(), list(map(int, rows["capacity"].tolist())), self.w
+        first, last = (caps[0], times[0]), times[-1]
         if level == 0:
-            shift, low, high, last = 0, 0, most, times[0]
-            for t in times:
-                drain = cap * (t - last)
-                last = t
-                shift += w - drain
-                low, high = min(most, max(0, low - drain) + w), min(most, max(0, high - drain) + w)
-            return cap, times[0], last, shift, low, high
-        bound = self._drained(hint, cap, times[0])
-        gap, last = _Gap(w), times[0]
-        for t in times:
-            bound = max(0, bound - cap * (t - last))
-            last = t
+            shift, low, high = -w, 0, max(0, caps[0] * w - w)
+            for before, t, cap in zip(times, times[1:], caps[1:]):
+                refill, most = cap * (t - before), cap * w
+                shift += refill - w
+                low, high = max(0, min(most, low + refill) - w), max(0, min(most, high + refill) - w)
+            return *first, last, shift, low, high
+        incoming = bound = self._refilled(hint, *first)
+        gap, before = _Gap(w), times[0]
+        for t, cap in zip(times, caps):
+            bound = min(cap * w, bound + cap * (t - before))
+            before = t
+            if cap * w - bound < w:
+                gap.cut(cap * w - bound)
             if bound < w:
-                gap.cut(bound)
-            over = bound + w - most
-            if over > 0:
-                gap.turn(over)
-                bound = most
+                gap.turn(w - bound)
+                bound = 0
             else:
-                bound += w
-        return cap, times[0], last, self._drained(hint, cap, times[0]), bound, gap.packed()
-
-    @staticmethod
-    def _drained(state, cap, t):
-        deficit, last = state
-        return max(0, deficit - cap * (t - last)) if last is not None else deficit
+                bound -= w
+        return *first, last, incoming, bound, gap.packed()
 
     def advance(self, state, summary, level):
+        cap, first, last, *rest = summary
+        x = self._refilled(state, cap, first)
         if level == 0:
-            cap, first, last, shift, low, high = summary
-            x = self._drained(state, cap, first)
+            shift, low, high = rest
             return min(high, max(low, x + shift)), last
-        cap, first, last, bound_in, bound_out, packed = summary
-        x = self._drained(state, cap, first)
-        return bound_out - _Gap.value(packed, bound_in - x, self.w), last
+        incoming, outgoing, packed = rest
+        return outgoing + _Gap.value(packed, x - incoming, self.w), last
 
 
 class _Gap:
@@ -173,10 +163,9 @@ class SpendFold(Fold):
     output = {"admitted": ("boolean", pa.bool_()), "spend_micro": ("bigint", pa.int64())}
 
     def run(self, state, rows: Rows):
-        budget = int(rows["budget_micro"][0])
         spend = state if state is not None else int(rows["opening"][0])
         ok, after = [], []
-        for amount, guarded in zip(rows["amount"].tolist(), rows["guarded"].tolist()):
+        for amount, guarded, budget in zip(rows["amount"].tolist(), rows["guarded"].tolist(), rows["budget_micro"].tolist()):
             fits = not guarded or spend + amount <= budget
             if fits:
                 spend += amount
@@ -191,7 +180,9 @@ class SpendFold(Fold):
         loose = np.where(guarded, 0, amount)
         ends = np.cumsum(loose)
         charges = amount[guarded]
-        simple = bool(guarded.all()) and (not len(charges) or int(charges.min()) >= 0)
+        budget = rows["budget_micro"].astype(np.int64)
+        # a budget that changes within the run leaves only "everything fits" and "nothing fits"
+        simple = bool(guarded.all()) and (not len(charges) or int(charges.min()) >= 0) and bool((budget == budget[0]).all())
         sums, mins = {}, {}
         if simple:
             bits = np.array([int(c).bit_length() for c in charges])
@@ -199,18 +190,19 @@ class SpendFold(Fold):
                 mine = charges[bits == b]
                 sums[int(b)], mins[int(b)] = int(mine.sum()), int(mine.min())
         return {
-            "budget": int(rows["budget_micro"][0]), "opening": int(rows["opening"][0]), "simple": simple,
-            "total": int(prefix[-1]), "peak": int(prefix[guarded].max()) if guarded.any() else None,
-            "loose": int(ends[-1]), "floor": int((ends + amount)[guarded].min()) if guarded.any() else None,
+            "budget": int(budget[0]), "opening": int(rows["opening"][0]), "simple": simple,
+            # the most spend at which every charge still fits, and the most at which any of them does
+            "total": int(prefix[-1]), "all": int((budget - prefix)[guarded].min()) if guarded.any() else None,
+            "loose": int(ends[-1]), "any": int((budget - ends - amount)[guarded].max()) if guarded.any() else None,
             "sums": sums, "mins": mins}
 
     def advance(self, state, s, level):
         spend = state if state is not None else s["opening"]
-        left = s["budget"] - spend
-        if s["peak"] is None or s["peak"] <= left:
+        if s["all"] is None or spend <= s["all"]:
             return spend + s["total"]
-        if s["floor"] > left:
+        if spend > s["any"]:
             return spend + s["loose"]
+        left = s["budget"] - spend
         if not s["simple"] or left <= 0:
             # left == 0: charges of zero still fit and change nothing; below zero nothing fits
             return spend if s["simple"] else None

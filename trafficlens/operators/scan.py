@@ -21,6 +21,7 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,10 +70,14 @@ class Fold:
 def _runs(batch: pa.RecordBatch, fold: Fold, key: str) -> Iterator[tuple[object, Rows]]:
     """(key, the fold's columns) for each run of equal keys in a batch; slices are views, so short runs stay cheap."""
     columns = {c: batch.column(c).to_pandas().to_numpy() for c in fold.columns}
-    keys = batch.column(key).to_pandas(integer_object_nulls=True).to_numpy()
-    cuts = (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()
+    arrow = batch.column(key)
+    keys = arrow.to_pandas(integer_object_nulls=True).to_numpy()
+    # null is one key and NaN is one key, for every type: neither equals itself as a plain value
+    kind = np.where(arrow.is_null().to_numpy(zero_copy_only=False), 1, np.where(pd.isna(keys), 2, 0))
+    differ = (kind[1:] != kind[:-1]) | ((kind[1:] == 0) & (keys[1:] != keys[:-1]))
+    cuts = (np.flatnonzero(differ) + 1).tolist()
     for a, b in zip([0, *cuts], [*cuts, len(keys)]):
-        yield keys[a], {c: v[a:b] for c, v in columns.items()}
+        yield (keys[a] if kind[a] == 0 else (None, "NaN")[kind[a] - 1]), {c: v[a:b] for c, v in columns.items()}
 
 
 def _pid(batch: pa.RecordBatch) -> int:
@@ -178,6 +183,7 @@ def _chain(fold: Fold, records: list, level: int, settled: dict) -> tuple[dict,
 
 def _boundaries(laid: DataFrame, fold: Fold, key: str) -> dict:
     spark = laid.sparkSession
+    laid = laid.select("_pid", key, *(c for c in fold.columns if c != key))
     carry: dict = {}
     for level in range(fold.passes):
         # at most one record per partition: bounded by the partition count, not by the data

@@ -198,7 +198,7 @@ union all
 select 'vk-' || user_id, 'tenant-' || (user_id % 10), true, 0::decimal(18,6) from known k
 where not exists (select 1 from existing e where e.user_id = k.user_id and e.active)""")
 _q("store_entries", [TURNS, "src as (select * from turns where role = 'user')", embedded("v", "src")],
-   """select id, tenant, 'm-fast-1' as model, timestamp '2024-01-31 00:00:00' as created_at,
+   """select id, tenant, 'swift-s' as model, timestamp '2024-01-31 00:00:00' as created_at,
   timestamp '2024-01-31 01:00:00' as expires_at, len(list_filter(vec, lambda x: x <> 0)) as slots,
   list_sum(vec)::double as weight, cast(list_inner_product(vec, vec) as bigint) as norm2 from v""")
 _q("import_vectors", "", """select vec_id as id, vec_id % 50 <> 0 as accepted,
@@ -226,11 +226,11 @@ _q("write_usage", USAGE, """select cast(created_at as date) as created_on, virtu
   from usage group by all""")
 
 _q("validate_requests", [REQUESTS, _BODIES], """select request_id, concat_ws('; ',
-  case when model = '  ' then 'model: model is required' end,
-  case when empty then 'messages: messages must contain at least one entry' end,
-  case when not empty and no_role then 'messages[1].role: role is required (system|user|assistant)' end,
-  case when not empty and no_content then 'messages[1].content: content must not be blank' end,
-  case when temperature > 2 then 'temperature: temperature must be <= 2.0' end) as violations from bodies""")
+  case when model = '  ' then 'model: needs a name' end,
+  case when empty then 'messages: needs a message' end,
+  case when not empty and no_role then 'messages[1].role: needs a role' end,
+  case when not empty and no_content then 'messages[1].content: needs some text' end,
+  case when temperature > 2 then 'temperature: above 2' end) as violations from bodies""")
 _q("estimate_tokens", "", """select conv_id as request_id, sum(greatest(1, length(text) // 4))::bigint as prompt_tokens
   from conversations group by all""")
 _UNPRICED = f"""mixed as (select usage_id, case when usage_id % 5 = 4 then 'm-unknown' else resolved_model end as model,
@@ -277,7 +277,7 @@ _SERVED = """steps as (select request_id, generate_subscripts(full_chain, 1)::in
 served as (select request_id, min(position) as position, min_by(s.model, position) as served_model,
   min_by(p.provider, position) as served_provider from steps s join pricing p on p.model = s.model
   where p.provider <> 'DOWN' group by request_id)"""
-_q("route_around_outage", [PRICING, ROUTED, _SERVED.replace("DOWN", "provider-a")],
+_q("route_around_outage", [PRICING, ROUTED, _SERVED.replace("DOWN", "north")],
    """select r.request_id, r.primary_model, served_model, served_provider, position > 0 as fallback_used,
   case when r.primary_model is not null and served_model is null then 'ALL_PROVIDERS_EXHAUSTED' end as dispatch_error
   from routed r left join served s using (request_id)""")
@@ -331,12 +331,12 @@ def rate_ctes(rows: str, window_us: int) -> str:
     w = window_us
     return f"""rate_rows as (select *, row_number() over (partition by k order by us, id) as rn from {rows}),
 rate as (
-  select k, rn, id, us, cap, cap >= 1 as admitted, (case when cap >= 1 then {w} else 0 end)::bigint as deficit,
+  select k, rn, id, us, cap, cap >= 1 as admitted, (cap::bigint * {w} - case when cap >= 1 then {w} else 0 end)::bigint as units,
     null::bigint as retry_after_ms from rate_rows where rn = 1
   union all
-  select k, rn, id, us, cap, d <= (cap - 1) * {w}, (case when d <= (cap - 1) * {w} then d + {w} else d end)::bigint,
-    case when d > (cap - 1) * {w} then (({w} - (cap * {w} - d)) // (cap * 1000))::bigint end
-  from (select r.k, r.rn, r.id, r.us, r.cap, greatest(0, f.deficit - r.cap::bigint * (r.us - f.us)) as d
+  select k, rn, id, us, cap, x >= {w}, (case when x >= {w} then x - {w} else x end)::bigint,
+    case when x < {w} then (({w} - x) // (cap * 1000))::bigint end
+  from (select r.k, r.rn, r.id, r.us, r.cap, least(r.cap::bigint * {w}, f.units + r.cap::bigint * (r.us - f.us)) as x
         from rate f join rate_rows r on r.k = f.k and r.rn = f.rn + 1))"""
 
 
@@ -357,9 +357,13 @@ _q("rate_limit", [_RATE_IN, rate_ctes("rate_in", DAY_US)],
    "select k as event_type, id as event_id, admitted from rate", True)
 _q("retry_after", [_RATE_IN, rate_ctes("rate_in", DAY_US)],
    "select k as event_type, id as event_id, retry_after_ms from rate where not admitted", True)
+_q("rate_limit_changing", [_RATE_IN.replace("20 as cap", "12 + (event_id // 500) % 3 * 6 as cap"), rate_ctes("rate_in", DAY_US)],
+   "select k as event_type, id as event_id, admitted, retry_after_ms from rate", True)
 _SPEND_IN = """spend_in as (select user_id as k, ts as o, event_id as id, value::decimal(12,2)::decimal(18,6) as amount,
   true as guarded, 500::decimal(18,6) as budget from events)"""
 _q("budget_admit", [_SPEND_IN, spend_ctes("spend_in")], "select k as user_id, id as event_id, admitted, spend from spend", True)
+_q("budget_changing", [_SPEND_IN.replace("500::decimal(18,6)", "(300 + (event_id // 500) % 3 * 150)::decimal(18,6)"), spend_ctes("spend_in")],
+   "select k as user_id, id as event_id, admitted, spend from spend", True)
 _LEDGER_IN = f"""spend_in as (
   select user_id as k, ts as o, event_id * 2 as id, value::decimal(12,2)::decimal(18,6) as amount, true as guarded,
     500::decimal(18,6) as budget from events
@@ -416,20 +420,20 @@ _DOCS = "src as (select doc_id as id, lang as tenant, text as prompt from docume
 _q("embed_corpus", [_DOCS, embedded("v", "src")], """select id, len(list_filter(vec, lambda x: x <> 0))::int as slots,
   list_sum(vec)::double as weight, list_inner_product(vec, list_transform(range(128), lambda i: i::double)) as moment,
   round(case when norm = 0 then 0 else list_max(vec) / norm end, 9) as largest from v""")
-_q("build_index", VECTORS, f"select tenant, 'm-fast-1' as model, {signature('vec', 64)}::int as signature, id from vectors")
-_q("index_stats", VECTORS, f"""select tenant, 'm-fast-1' as model, {signature('vec', 64)}::int as signature,
+_q("build_index", VECTORS, f"select tenant, 'swift-s' as model, {signature('vec', 64)}::int as signature, id from vectors")
+_q("index_stats", VECTORS, f"""select tenant, 'swift-s' as model, {signature('vec', 64)}::int as signature,
   count(*) as entries from vectors group by all""")
-_NAMED = "q.tenant, 'm-fast-1' as model, q.gid as query_id, e.gid as entry_id, q.copies as query_copies, e.copies as entry_copies"
+_NAMED = "q.tenant, 'swift-s' as model, q.gid as query_id, e.gid as entry_id, q.copies as query_copies, e.copies as entry_copies"
 _SIGNED = f"sg as (select *, {signature('vec', 64)}::int as sig from g)"
 _q("bucket_join", [VECTORS, grouped("g", "vectors"), _SIGNED], f"""select {_NAMED}, round({COSINE}, 6) as similarity
   from sg q join sg e on q.tenant = e.tenant and bit_count(xor(q.sig, e.sig)) <= 1""")
 _q("scoped_cosine_join", [VECTORS, grouped("g", "vectors")], f"""select {_NAMED}, round({COSINE}, 6) as similarity
   from g q join g e on q.tenant = e.tenant where {COSINE} >= 0.3""")
 _q("similar_prompt_pairs", [_DOCS, embedded("v", "src"), grouped("g", "v")],
-   f"""select q.tenant, 'm-fast-1' as model, q.gid as left_id, e.gid as right_id, round({COSINE}, 6) as similarity,
+   f"""select q.tenant, 'swift-s' as model, q.gid as left_id, e.gid as right_id, round({COSINE}, 6) as similarity,
   q.copies * e.copies as row_pairs from g q join g e on q.tenant = e.tenant and q.gid < e.gid where {COSINE} >= 0.99
-  union all select tenant, 'm-fast-1', gid, gid, 1.0::double, copies * (copies - 1) // 2 from g where copies > 1 and norm > 0""")
-_q("lsh_recall", [VECTORS, grouped("g", "vectors"), _SIGNED], f"""select q.tenant, 'm-fast-1' as model, count(*) as true_pairs,
+  union all select tenant, 'swift-s', gid, gid, 1.0::double, copies * (copies - 1) // 2 from g where copies > 1 and norm > 0""")
+_q("lsh_recall", [VECTORS, grouped("g", "vectors"), _SIGNED], f"""select q.tenant, 'swift-s' as model, count(*) as true_pairs,
   count(*) filter (bit_count(xor(q.sig, e.sig)) <= 1) as found,
   avg((bit_count(xor(q.sig, e.sig)) <= 1)::int::double) as recall
   from sg q join sg e on q.tenant = e.tenant and q.gid < e.gid where {COSINE} >= 0.3 group by q.tenant""")
@@ -479,7 +483,6 @@ SQL["breaker_stream"] = SQL["breaker_replay"]
 _q("usage_rollup_stream", USAGE, """select date_trunc('day', created_at)::timestamp as window_start, provider,
   count(*) as request_count, coalesce(sum(cost_usd), 0)::decimal(18,6) as total_cost_usd,
   count(*) filter (fallback_used) as fallback_count, avg(latency_ms) as avg_latency_ms from usage
-  where date_trunc('day', created_at) + interval 1 day <= (select max(created_at) from usage) - interval 1 hour
   group by 1, 2""")
 
 # -- composites ---
@@ -491,7 +494,7 @@ _FACTS = """facts as (
     EST as estimate_usd
   from routed r left join pricing p on p.model = r.primary_model)""".replace("EST", _ESTIMATE)
 _TTL_US = 6 * 3_600_000_000
-_OUTCOME = [PRICING, ROUTED, _SERVED.replace("DOWN", "provider-b"), _FACTS,
+_OUTCOME = [PRICING, ROUTED, _SERVED.replace("DOWN", "harbor"), _FACTS,
             "rate_in as (select key_id as k, request_id as id, epoch_us(ts) as us, rpm as cap from facts where auth_error is null)",
             rate_ctes("rate_in", DAY_US),
             "rendered as (select n::bigint as id, 'user: ' || prompt || chr(10) as prompt from labelled)",

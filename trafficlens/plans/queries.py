@@ -306,7 +306,7 @@ def expand_chain(spark, d):
 @query
 def route_around_outage(spark, d):
     return G.route_around_outage(
-        _routed(spark, d), dims.load_aliases(spark), dims.load_pricing(spark), _health(spark, "provider-a")).select(
+        _routed(spark, d), dims.load_aliases(spark), dims.load_pricing(spark), _health(spark, "north")).select(
         "request_id", "primary_model", "served_model", "served_provider", "fallback_used", "dispatch_error")
 
 
@@ -430,6 +430,24 @@ def budget_admit(spark, d):
                           F.lit(500)).select("user_id", "event_id", "admitted", "spend")
 
 
+def _step(size: int):
+    """0, 1, 2, 0, ... over blocks of 500 events, times size."""
+    return F.pmod(F.floor(F.col("event_id") / 500), F.lit(3)).cast("int") * size
+
+
+@query
+def rate_limit_changing(spark, d):
+    log = X.table(spark, d, "events").select("event_type", "event_id", "ts")
+    return A.rate_limit(log, "event_type", "ts", "event_id", F.lit(12) + _step(6), DAY_US).select(
+        "event_type", "event_id", "admitted", "retry_after_ms")
+
+
+@query
+def budget_changing(spark, d):
+    return A.budget_admit(_charges(X.table(spark, d, "events")), "user_id", ["ts", "event_id"], F.col("cost"),
+                          F.lit(300) + _step(150)).select("user_id", "event_id", "admitted", "spend")
+
+
 @query
 def spend_ledger(spark, d):
     e, cost = X.table(spark, d, "events"), F.col("value").cast("decimal(12,2)")
@@ -563,7 +581,7 @@ def _outcomes(spark, d):
     keys, aliases, pricing = dims.load_keys(spark), dims.load_aliases(spark), dims.load_pricing(spark)
     requests = X.requests(spark, d)
     facts = O.request_facts(requests, keys, aliases, pricing, ["completion_tokens", "latency_ms"])
-    health = _health(spark, "provider-b")
+    health = _health(spark, "harbor")
     stores = O.streamed_stores(facts, aliases, pricing, health)
     done = O.request_outcome(facts, stores, aliases, pricing, health, window_us=DAY_US, ttl_seconds=6 * 3600)
     return facts, done
@@ -632,7 +650,7 @@ def cache_stream(spark, d):
 @query
 def usage_rollup_stream(spark, d):
     rows = X.usage_of(S.read_table_stream(spark, d, "events"))
-    return S.run_to_table(S.usage_rollup_stream(rows), "rollup")
+    return S.run_to_latest(S.usage_rollup_stream(rows), "rollup", ["window_start", "provider"])
 
 
 @query

@@ -27,10 +27,13 @@ SWEEP_MS = 60_000
 
 
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 64) -> DataFrame:
-    """A parquet table as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-            .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
+    """A parquet table as a stream of files; the table is one file or a folder of part files. A missing one fails."""
+    path = f"{sf_dir}/{name}.parquet"
+    table = spark.read.parquet(path)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger)
+    if [f.rstrip("/").rsplit("/", 1)[-1] for f in table.inputFiles()] == [f"{name}.parquet"]:
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return stream.parquet(path)
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
@@ -44,6 +47,27 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def run_to_latest(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Drain the available input in update mode and read back the last value of each key.
+
+    Every micro-batch writes its own folder, by overwriting, so that a batch that is run again does no harm."""
+    spark = stream.sparkSession
+    path = scratch_path(spark, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/number={number}")
+
+    query = (stream.writeStream.outputMode("update").foreachBatch(write)
+             .option("checkpointLocation", scratch_path(spark, name + "-log")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    if not any(p["numInputRows"] for p in query.recentProgress):
+        return spark.createDataFrame([], stream.schema)
+    rest = [c for c in stream.columns if c not in keys]
+    batches = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("number", T.LongType())])).parquet(path)
+    last = batches.groupBy(*keys).agg(F.max_by(F.struct(*rest), "number").alias("_last"))
+    return last.select(*(F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in stream.columns))
+
+
 def _fold_stream(rows: DataFrame, key: str, order: list[str], fold: Fold) -> DataFrame:
     keep = [f for f in rows.schema if f.name == key or f.name in order]
     added = [T.StructField(n, T.DataType.fromDDL(kind)) for n, (kind, _) in fold.output.items()]
@@ -136,7 +160,9 @@ def cache_stream(prompts: DataFrame, threshold: float, ttl_seconds: int, latenes
 
 
 def usage_rollup_stream(usage: DataFrame, window: str = "1 day", lateness: str = "1 hour") -> DataFrame:
-    """Requests, cost, fallbacks and latency per window and provider, emitted once the watermark closes the window."""
+    """Requests, cost, fallbacks and latency per window and provider; in update mode each window comes as it grows.
+
+    The watermark only bounds the state: rows that come later than `lateness` behind the newest are left out."""
     return (usage.withColumn("at", instant(F.col("created_at"))).withWatermark("at", lateness)
             .groupBy(F.window("at", window), "provider")
             .agg(F.count("*").alias("request_count"),
