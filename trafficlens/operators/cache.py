@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trafficlens.functions.clock import epoch_us, plus_seconds
 from trafficlens.functions.vectors import (
@@ -44,12 +45,20 @@ def new_entries(prompts: DataFrame, now: Column, ttl_seconds: int = TTL_SECONDS,
 
 def store_entries(prompts: DataFrame, path: str, now: Column, ttl_seconds: int = TTL_SECONDS, embedder=embed) -> None:
     """Embed, stamp and append to the vector store, one folder per expiry day so that eviction drops whole folders."""
-    entries = new_entries(prompts, now, ttl_seconds, embedder)
+    write_store(new_entries(prompts, now, ttl_seconds, embedder), path)
+
+
+def write_store(entries: DataFrame, path: str) -> None:
     entries.withColumn("expires_on", F.to_date("expires_at")).write.mode("append").partitionBy("expires_on").parquet(path)
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("expires_on")
+def read_store(spark: SparkSession, path: str, now: Column | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """All entries, or, with ``now``, those of the folders that can hold live ones; other folders are not read.
+
+    A store without any entry has no files to take a schema from, so it needs one."""
+    store = spark.read.schema(T.StructType([*schema.fields, T.StructField("expires_on", T.DateType())])).parquet(path) \
+        if schema else spark.read.parquet(path)
+    return (store if now is None else store.filter(F.col("expires_on") >= F.to_date(now))).drop("expires_on")
 
 
 def live_entries(entries: DataFrame, now: Column) -> DataFrame:

@@ -501,7 +501,7 @@ _OUTCOME = [PRICING, ROUTED, _SERVED.replace("DOWN", "harbor"), _FACTS,
             embedded("pv", "rendered"),
             f"prompt_near as (select q.id as a, e.id as b from pv q cross join pv e where {COSINE} >= 0.7)",
             f"""stores as (select f.request_id as id, f.tenant, s.served_model as model, f.request_id % 11 as n, epoch_us(f.ts) as us,
-  epoch_us(f.ts) // {_TTL_US} as slot from facts f join served s using (request_id)
+  epoch_us(f.ts) // {_TTL_US} as slot from facts f join served s using (request_id) join rate ra on ra.id = f.request_id and ra.admitted
   where f.stream and f.auth_error is null and coalesce(f.body_error, f.allow_error, f.route_error) is null),
 lookups as (select request_id as id, tenant, primary_model as model, request_id % 11 as n, epoch_us(ts) as us,
   epoch_us(ts) // {_TTL_US} as slot from facts where not stream and auth_error is null

@@ -14,6 +14,7 @@ from trafficlens.operators.routing import (
     authenticate, check_allowlist, resolve_route, route_around_outage, validate_requests)
 from trafficlens.operators.skew import lookup_join
 from trafficlens.session import shared_dir
+from trafficlens.sources.dims import ERROR_CODES
 
 _FACTS = ["request_id", "ts", "key_id", "tenant", "rpm", "budget", "model", "stream", "primary_model", "chain",
           "prompt_tokens", "estimate_usd", "auth_error", "body_error", "allow_error", "route_error"]
@@ -45,27 +46,35 @@ def prompts_of(facts: DataFrame, model: str = "primary_model") -> DataFrame:
     return facts.select(F.col("request_id").alias("id"), "tenant", F.col(model).alias("model"), "ts", "vec")
 
 
+def with_rates(facts: DataFrame, window_us: int = 60 * MICRO) -> DataFrame:
+    """facts with rate_error and retry_after_ms. Only requests of a known key draw on its rate; the others go round the
+    ordered scan by a union. Rates depend on nothing else, so they come first and are written out once."""
+    known = rate_limit(facts.filter(F.col("auth_error").isNull()), "key_id", "ts", "request_id", F.col("rpm"), window_us)
+    known = known.withColumn("rate_error", F.when(~F.col("admitted"), "RATE_LIMITED")).drop("admitted", "tokens_before")
+    unknown = facts.filter(F.col("auth_error").isNotNull()).withColumns({
+        "rate_error": F.lit(None).cast("string"), "retry_after_ms": F.lit(None).cast("bigint")})
+    return known.unionByName(unknown).checkpoint()
+
+
 def streamed_stores(facts: DataFrame, aliases: DataFrame, pricing: DataFrame, health: DataFrame) -> DataFrame:
-    """Entries that streaming requests leave: they never look up, but store under the model that served them."""
-    ok = facts.filter(F.col("stream") & F.col("auth_error").isNull() & _static_error().isNull())
+    """Entries that streaming requests leave: they never look up, but store under the model that served them. A request
+    that was refused, for its rate too, reaches no model and stores nothing. Needs facts with rates."""
+    ok = facts.filter(F.col("stream") & F.coalesce("auth_error", "rate_error", _static_error()).isNull())
     served = route_around_outage(ok, aliases, pricing, health).filter(F.col("served_model").isNotNull())
     return prompts_of(served, "served_model")
 
 
 def request_outcome(facts: DataFrame, stores: DataFrame, aliases: DataFrame, pricing: DataFrame, health: DataFrame,
-                    window_us: int = 60 * MICRO, threshold: float = THRESHOLD,
-                    ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+                    threshold: float = THRESHOLD, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
     """The first rule each request fails: key, rate, body, allowlist, alias, (cache hit ends here), budget, dispatch.
 
-    Rates and budgets see only the requests that get that far; the others go round the ordered scans by a union, so no
-    request is joined back to itself."""
-    extra = [c for c in facts.columns if c not in _FACTS and c != "vec"]
-    narrow = facts.select(*_FACTS, *extra)
+    Needs facts with rates. Budgets see only the requests that get that far; the others go round the ordered scan by a
+    union, so no request is joined back to itself."""
+    extra = [c for c in facts.columns if c not in _FACTS and c not in ("vec", "rate_error", "retry_after_ms")]
+    narrow = facts.select(*_FACTS, "rate_error", "retry_after_ms", *extra)
     none = F.lit(None)
-    known = rate_limit(narrow.filter(F.col("auth_error").isNull()), "key_id", "ts", "request_id", F.col("rpm"), window_us)
-    known = known.withColumn("rate_error", F.when(~F.col("admitted"), "RATE_LIMITED")).drop("admitted", "tokens_before")
-    unknown = narrow.filter(F.col("auth_error").isNotNull()).withColumns({
-        "rate_error": none.cast("string"), "retry_after_ms": none.cast("bigint")})
+    known = narrow.filter(F.col("auth_error").isNull())
+    unknown = narrow.filter(F.col("auth_error").isNotNull())
     passed = F.coalesce("rate_error", _static_error()).isNull()
 
     lookups = prompts_of(facts.filter(
@@ -86,10 +95,7 @@ def request_outcome(facts: DataFrame, stores: DataFrame, aliases: DataFrame, pri
     refused = F.coalesce("auth_error", "rate_error", "body_error", "allow_error", "route_error")
     code = F.coalesce(refused, F.when(~F.col("cache_hit"), F.coalesce("budget_error", "dispatch_error")))
     served = code.isNull() & ~F.col("cache_hit")
-    # HTTP status of each refusal.
-    status = {"INVALID_VIRTUAL_KEY": 401, "RATE_LIMITED": 429, "VALIDATION_FAILED": 400, "MODEL_NOT_ALLOWED": 403,
-              "UNKNOWN_MODEL_ALIAS": 400, "BUDGET_EXHAUSTED": 402, "ALL_PROVIDERS_EXHAUSTED": 503}
-    by_code = F.create_map(*(F.lit(v) for pair in status.items() for v in pair))
+    by_code = F.create_map(*(F.lit(v) for code_, status, _ in ERROR_CODES for v in (code_, status)))
     return routed.select(
         "request_id", "ts", "key_id", "tenant", "model", "primary_model", "prompt_tokens", "estimate_usd", "match_id",
         "cache_hit", code.alias("error_code"),

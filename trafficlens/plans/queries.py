@@ -154,17 +154,23 @@ def _stamped(spark, d):
 
 @query
 def live_entries(spark, d):
-    return C.live_entries(_stamped(spark, d), at("2024-01-04 00:00:00")).select(
-        "id", "tenant", "created_at", "expires_at")
+    path, now = scratch_path(spark, "entries"), at("2024-01-04 00:00:00")
+    C.write_store(_stamped(spark, d), path)
+    return C.live_entries(C.read_store(spark, path, now), now).select("id", "tenant", "created_at", "expires_at")
 
 
 @query
 def evict_expired(spark, d):
-    kept, count = C.evict_expired(_stamped(spark, d), at("2024-01-04 00:00:00"))
-    path = scratch_path(spark, "entries-kept")
-    kept.write.parquet(path)
-    left = spark.read.parquet(path).agg(F.min("id").alias("first_kept"))
-    return count.join(left)
+    path, now = scratch_path(spark, "entries"), at("2024-01-04 00:00:00")
+    C.write_store(_stamped(spark, d), path)
+    store = C.read_store(spark, path)
+    kept, _ = C.evict_expired(store, now)
+    left = scratch_path(spark, "entries-kept")
+    C.write_store(kept, left)
+    both = store.select("id", F.lit(1).alias("before"), F.lit(0).alias("after")).unionByName(
+        C.read_store(spark, left, schema=kept.schema).select("id", F.lit(0).alias("before"), F.lit(1).alias("after")))
+    return both.agg((F.sum("before") - F.sum("after")).alias("removed"), F.sum("after").alias("kept"),
+                    F.min(F.when(F.col("after") == 1, F.col("id"))).alias("first_kept"))
 
 
 @query
@@ -580,10 +586,10 @@ def cache_replay_ttl(spark, d):
 def _outcomes(spark, d):
     keys, aliases, pricing = dims.load_keys(spark), dims.load_aliases(spark), dims.load_pricing(spark)
     requests = X.requests(spark, d)
-    facts = O.request_facts(requests, keys, aliases, pricing, ["completion_tokens", "latency_ms"])
+    facts = O.with_rates(O.request_facts(requests, keys, aliases, pricing, ["completion_tokens", "latency_ms"]), DAY_US)
     health = _health(spark, "harbor")
     stores = O.streamed_stores(facts, aliases, pricing, health)
-    done = O.request_outcome(facts, stores, aliases, pricing, health, window_us=DAY_US, ttl_seconds=6 * 3600)
+    done = O.request_outcome(facts, stores, aliases, pricing, health, ttl_seconds=6 * 3600)
     return facts, done
 
 
