@@ -258,6 +258,9 @@ def best_match(queries: DataFrame, entries: DataFrame, threshold: float, dim: in
     ``lsh`` looks in the buckets only, ``exact`` compares the whole scope, ``lsh_then_exact`` goes on to the whole scope
     for queries the buckets left below the threshold. Whether a query hits is the same in the last two."""
     live = entries if now is None else entries.filter(F.col("expires_at") >= now)
+    # embeddings are costly and every step below looks at the vectors again, so they are written once
+    shared_dir(queries.sparkSession)
+    queries = queries.select("id", *SCOPE, "vec").checkpoint()
     q, e = distinct_vectors(queries.select("id", *SCOPE, "vec")), distinct_vectors(live.select("id", *SCOPE, "vec"))
     if mode == "exact":
         found = _best(exact_pairs(q, e, threshold, dim, best=True))

@@ -443,6 +443,13 @@ _TWO = [TURNS, "src as (select * from turns where role in ('user', 'assistant'))
 best as (select id, match_id, similarity, content, row_number() over (partition by id order by similarity desc, match_id) as rn
   from ranked)"""]
 _q("best_match", _TWO, "select id, match_id, round(similarity, 6) as similarity from best where rn = 1")
+_NEAR = [TURNS, "src as (select * from turns where role in ('user', 'assistant'))", embedded("v", "src"),
+         f"sv as (select *, {signature('vec', DIM)}::int as sig from v)",
+         f"""ranked as (select q.id, e.id as match_id, {COSINE} as similarity, bit_count(xor(q.sig, e.sig)) <= 1 as near
+  from sv q join sv e on q.tenant = e.tenant where q.role = 'assistant' and e.role = 'user' and {COSINE} >= 0.5)""",
+         """best as (select *, row_number() over (partition by id order by near desc, similarity desc, match_id) as rn from ranked)"""]
+_q("best_match_lsh", _NEAR, "select id, match_id, round(similarity, 6) as similarity from best where rn = 1 and near")
+_q("best_match_lsh_then_exact", _NEAR, "select id, match_id, round(similarity, 6) as similarity from best where rn = 1")
 _q("cache_lookup", _TWO, """select t.id, b.match_id is not null as hit, b.content, length(b.content)::int as prompt_tokens,
   len(string_split(b.content, ' '))::int as completion_tokens, round(coalesce(b.similarity, 0.0::double), 6) as similarity
   from turns t left join best b on b.id = t.id and b.rn = 1 where t.role = 'assistant'""")

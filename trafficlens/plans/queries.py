@@ -560,6 +560,18 @@ def best_match(spark, d):
     return C.best_match(queries, entries, 0.5, V.DIM, mode="exact").withColumn("similarity", F.round("similarity", 6))
 
 
+@query
+def best_match_lsh(spark, d):
+    queries, entries = _lookup_sides(spark, d)
+    return C.best_match(queries, entries, 0.5, V.DIM, mode="lsh").withColumn("similarity", F.round("similarity", 6))
+
+
+@query
+def best_match_lsh_then_exact(spark, d):
+    queries, entries = _lookup_sides(spark, d)
+    return C.best_match(queries, entries, 0.5, V.DIM).withColumn("similarity", F.round("similarity", 6))
+
+
 @query
 def cache_lookup(spark, d):
     queries, entries = _lookup_sides(spark, d)
