@@ -8,7 +8,7 @@ left to right carries the state (the word just read) and adds up logarithms.
 
 Nothing of the vocabulary meets in one place. Documents keep the input partition they came in (their part). A part sends
 its distinct n-grams with its training counts to buckets by hash; buckets add up and answer each part with the totals of
-the n-grams it asked for; documents and answers meet by part. Bigrams go to buckets by their first word, so that sums of
+the n-grams it asked for, in the order in which it asked; documents and answers meet by part. Bigrams go to buckets by their first word, so that sums of
 an arc's siblings are at hand; words with more than a bucket's share of all tokens (fewer than there are buckets, so the
 list is bounded) are spread over all buckets. The input must be read from files or a checkpoint, so that two scans give
 equal partitions; a part that misses a word fails loudly.
@@ -17,9 +17,11 @@ equal partitions; a part that misses a word fails loudly.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
@@ -27,33 +29,49 @@ from .lineage import cut
 
 DISCOUNT_QUARTERS = 3  # D = 0.75
 LEAST_COUNT = 2
-#: text of a part, text of a bucket, and tokens that a task holds before it sends them on, about
-PART_BYTES, BUCKET_BYTES, HELD_TOKENS = 32 << 20, 6 << 20, 4_000_000
+#: bytes of a word's hash that tell the words after one first word apart
+SUCCESSOR = 5
+#: text of a part and of a bucket, about
+PART_BYTES, BUCKET_BYTES = 16 << 20, 6 << 20
 
 #: not hashes of words but by chance of 2^-64
 START, END = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 
 ASKED = "bucket int, part bigint, a binary, b binary, c binary, d binary"
-ANSWERS = "kind string, part bigint, a binary, b binary, c binary, d binary, n_tokens bigint, n_types bigint"
+ANSWERS = "kind string, part bigint, bucket int, a binary, b binary, n_tokens bigint, n_types bigint"
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Integers byte plane by byte plane: the zeros of small numbers lie together, which compresses."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+def _small(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def _unplaned(data: bytes, kind=np.uint32) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+def _large(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
-def _six(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _planes(x: np.ndarray, width: int | None = None) -> bytes:
+    """Integers byte plane by byte plane, as many low bytes as asked for: like bytes lie together, which compresses."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize)[:, :width]
+    return _small(bytes([planes.shape[1]]) + np.ascontiguousarray(planes.T).tobytes())
 
 
-def _from_six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def _unplaned(data: bytes) -> np.ndarray:
+    raw = _large(data)
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+def _rows(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of integers one after another: frequent ones repeat, which compresses."""
+    return _small(bytes([width]) + np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize)[:, :width]).tobytes())
+
+
+def _from_rows(data: bytes) -> np.ndarray:
+    raw = _large(data)
+    out = np.zeros(((len(raw) - 1) // raw[0], 8), np.uint8)
+    out[:, : raw[0]] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0])
     return out.view(np.uint64).ravel()
 
 
@@ -61,28 +79,58 @@ def _pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return W.mix(h + w * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the first of each distinct key, in key order, and sums of counts."""
-    order = np.argsort(keys, kind="stable")
-    sorted_ = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-    return order[first], np.add.reduceat(counts[order].astype(np.int64), first)
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first of each distinct key, in key order, and which of them each key is."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
 
 
-def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes with one END after each text, and the n + 1 offsets."""
+def _framed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes with a START before and an END after each text, and the n + 1 offsets."""
     found = W.words(texts)
-    rows = found.rows + np.arange(len(found.rows))
+    rows = found.rows + 2 * np.arange(len(found.rows))
     out = np.full(rows[-1], END, np.uint64)
-    out[np.arange(len(found.hashes)) + found.row_of()] = found.hashes
+    out[rows[:-1]] = START
+    out[np.arange(len(found.hashes)) + 2 * found.row_of() + 1] = found.hashes
     return out, rows
 
 
-def _before(tokens: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = np.empty_like(tokens)
-    out[1:] = tokens[:-1]
-    out[rows[:-1]] = START
-    return out
+@dataclass
+class Grams:
+    """The distinct words and bigrams of a part, in an order that only depends on them; a part asks for and is answered
+    the n-grams of a bucket in this order."""
+
+    tokens: np.ndarray
+    at: np.ndarray  # places of the tokens among all with STARTs
+    names: np.ndarray  # distinct words
+    word: np.ndarray  # which word each token is
+
+    @classmethod
+    def of(cls, framed: np.ndarray) -> Grams:
+        at = np.flatnonzero(framed != START)
+        tokens = framed[at]
+        first, word = _distinct(tokens)
+        return cls(tokens, at, tokens[first], word)
+
+    def pairs(self, framed: np.ndarray, bits: int, hot: np.ndarray) -> None:
+        """Adds h, w and bucket of the distinct bigrams, by bucket, h and w, and which of them ends at each token."""
+        before, after = framed[self.at - 1], self.tokens >> np.uint64(64 - 8 * SUCCESSOR)
+        first, which = _distinct(_pair(before, after))
+        h, w = before[first], after[first]
+        bucket = np.where(np.isin(h, hot), _pair(h, w), h) >> np.uint64(64 - bits)
+        order = np.lexsort((w, h, bucket))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.h, self.w, self.bucket, self.pair = h[order], w[order], bucket[order].astype(np.int64), rank[which]
+        # heads: the distinct first words of each bucket
+        new = np.ones(len(order), bool)
+        new[1:] = (self.h[1:] != self.h[:-1]) | (self.bucket[1:] != self.bucket[:-1])
+        self.head = np.cumsum(new) - 1
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -90,185 +138,161 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 _ASKED = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), *((c, pa.binary()) for c in "abcd")])
-_ANSWERS = pa.schema([("kind", pa.string()), ("part", pa.int64()), *((c, pa.binary()) for c in "abcd"), ("n_tokens", pa.int64()), ("n_types", pa.int64())])
+_ANSWERS = pa.schema([("kind", pa.string()), ("part", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()),
+                      ("n_tokens", pa.int64()), ("n_types", pa.int64())])
 
 
 def _asking(bits: int, hot: np.ndarray | None):
     """A part's distinct words (hot is None) or bigrams with their training counts, by bucket."""
 
     def send(held: list[tuple[np.ndarray, ...]], part: int) -> pa.RecordBatch:
-        tokens, before, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-        rows = []
+        framed, trains = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        grams = Grams.of(framed)
         if hot is None:
-            first, totals = _summed(tokens, counts)
-            w = tokens[first]
-            bucket = (w >> np.uint64(64 - bits)).astype(np.int64)
-            cuts = np.searchsorted(bucket, np.arange(2**bits + 1))
-            for k in np.unique(bucket):
-                own = slice(cuts[k], cuts[k + 1])
-                rows.append((k, part, w[own].tobytes(), _planes(totals[own].astype(np.uint32)), None, None))
-            return _batch(rows, _ASKED)
-        w = tokens >> np.uint64(16)
-        first, totals = _summed(_pair(before, w), counts)
-        h, w = before[first], w[first]
-        spread = np.isin(h, hot)
-        bucket = np.where(spread, _pair(h, w), h) >> np.uint64(64 - bits)
-        order = np.lexsort((w, h, bucket))
-        h, w, totals, bucket = h[order], w[order], totals[order], bucket[order].astype(np.int64)
+            bucket = (grams.names >> np.uint64(64 - bits)).astype(np.int64)
+            counts = np.bincount(grams.word, trains[grams.at], len(bucket)).astype(np.int64)
+        else:
+            grams.pairs(framed, bits, hot)
+            bucket = grams.bucket
+            counts = np.bincount(grams.pair, trains[grams.at], len(bucket)).astype(np.int64)
         cuts = np.searchsorted(bucket, np.arange(2**bits + 1))
-        for k in np.unique(bucket):
+        rows = []
+        for k in np.flatnonzero(np.diff(cuts)):
             own = slice(cuts[k], cuts[k + 1])
-            heads = np.flatnonzero(np.concatenate([[True], h[own][1:] != h[own][:-1]]))
-            n = np.diff(np.append(heads, cuts[k + 1] - cuts[k]))
-            rows.append((k, part, h[own][heads].tobytes(), _planes(n.astype(np.uint32)), _six(w[own]), _planes(totals[own].astype(np.uint32))))
+            if hot is None:
+                rows.append((k, part, _planes(grams.names[own]), _planes(counts[own]), None, None))
+            else:
+                n = np.bincount(grams.head[own] - grams.head[cuts[k]])
+                heads = grams.h[own][np.cumsum(n) - n]
+                rows.append((k, part, _planes(heads), _planes(n), _rows(grams.w[own], SUCCESSOR), _planes(counts[own])))
         return _batch(rows, _ASKED)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
-        size: dict[int, int] = {}
         for batch in batches:
             for piece in W.slices(batch, "text"):
-                tokens, rows = tokens_of(piece.column("text"))
-                before = _before(tokens, rows) if hot is not None else tokens
-                trains = np.repeat(piece.column("trains").to_numpy(zero_copy_only=False).astype(np.int32), np.diff(rows))
+                framed, rows = _framed(piece.column("text"))
+                trains = np.repeat(piece.column("trains").to_numpy(zero_copy_only=False).astype(np.int8), np.diff(rows))
                 parts = piece.column("part").to_numpy()
                 of = np.repeat(parts, np.diff(rows))
                 for part in np.unique(parts):
                     own = of == part
-                    held.setdefault(part, []).append((tokens[own], before[own], trains[own]))
-                    size[part] = size.get(part, 0) + int(own.sum())
-                    if size[part] >= HELD_TOKENS:
-                        yield send(held.pop(part), part)
-                        size[part] = 0
-        for part, rest in held.items():
-            yield send(rest, part)
+                    held.setdefault(part, []).append((framed[own], trains[own]))
+        for part in list(held):
+            yield send(held.pop(part), part)
 
     return ask
 
 
 def _add_words(table: pa.Table) -> pa.Table:
     """A bucket of words: totals to every part that asked, the bucket's totals, and its numbers of tokens and types."""
-    parts = table.column("part").to_numpy()
-    each = [np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()]
-    w = np.concatenate(each)
-    counts = np.concatenate([_unplaned(x) for x in table.column("b").to_pylist()])
-    first, totals = _summed(w, counts)
-    names = w[first]
-    rows = []
-    for part in np.unique(parts):
-        own = np.unique(np.concatenate([each[k] for k in np.flatnonzero(parts == part)]))
-        rows.append(("words", part, own.tobytes(), _planes(totals[np.searchsorted(names, own)]), None, None, None, None))
+    bucket = table.column("bucket")[0].as_py()
+    each = [_unplaned(x) for x in table.column("a").to_pylist()]
+    names = np.concatenate(each)
+    first, which = _distinct(names)
+    totals = np.bincount(which, np.concatenate([_unplaned(x) for x in table.column("b").to_pylist()]).astype(np.int64), len(first)).astype(np.int64)
+    ends = np.cumsum(list(map(len, each)))
+    rows = [("words", part, bucket, _planes(totals[which[end - len(x) : end]]), None, None, None)
+            for part, x, end in zip(table.column("part").to_pylist(), each, ends, strict=True)]
     seen = totals > 0
-    rows.append(("totals", None, names[seen].tobytes(), _planes(totals[seen]), None, None, int(totals.sum()), int(seen.sum())))
+    rows.append(("totals", None, bucket, _planes(names[first[seen]]), _planes(totals[seen]), int(totals.sum()), int(seen.sum())))
     return pa.Table.from_batches([_batch(rows, _ANSWERS)])
 
 
 def _adding_bigrams(hot: np.ndarray):
     def add(table: pa.Table) -> pa.Table:
-        """A bucket of bigrams: to each part its bigrams that are arcs, and what the arcs of its first words hold."""
-        part_of, h, w, counts = [], [], [], []
-        for part, a, b, c, d in zip(*(table.column(x).to_pylist() for x in ("part", "a", "b", "c", "d")), strict=True):
-            n = _unplaned(b)
-            h.append(np.repeat(np.frombuffer(a, np.uint64), n))
-            w.append(_from_six(c))
-            counts.append(_unplaned(d))
-            part_of.append(np.full(len(w[-1]), part))
-        part_of, h, w, counts = map(np.concatenate, (part_of, h, w, counts))
-        keys = _pair(h, w)
-        order = np.argsort(keys, kind="stable")
-        new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
-        group = np.empty(len(keys), np.int64)
-        group[order] = np.cumsum(new) - 1
-        first = order[new]
-        totals = np.bincount(group, counts, len(first)).astype(np.int64)
+        """A bucket of bigrams: to each part the totals of those that are arcs, and what the arcs of its first words hold.
+
+        First words that are spread over buckets come as rows of their own."""
+        bucket = table.column("bucket")[0].as_py()
+        asked, h, w, counts = [], [], [], []
+        for a, b, c, d in zip(*(table.column(x).to_pylist() for x in "abcd"), strict=True):
+            asked.append(_unplaned(a))
+            h.append(np.repeat(asked[-1], _unplaned(b).astype(np.int64)))
+            w.append(_from_rows(c))
+            counts.append(_unplaned(d).astype(np.int64))
+        ends = np.cumsum(list(map(len, w)))
+        h, w, counts = map(np.concatenate, (h, w, counts))
+        first, which = _distinct(_pair(h, w))
+        totals = np.bincount(which, counts, len(first)).astype(np.int64)
         arc = totals >= LEAST_COUNT
-        heads, head_of = np.unique(h, return_inverse=True)
-        of_first = head_of[first]
-        quarters = np.bincount(of_first[arc], 4 * totals[arc] - DISCOUNT_QUARTERS, len(heads)).astype(np.int64)
+        heads, head = np.unique(h[first], return_inverse=True)
+        quarters = np.bincount(head[arc], 4 * totals[arc] - DISCOUNT_QUARTERS, len(heads)).astype(np.int64)
         is_hot = np.isin(heads, hot)
-        rows = []
-        for k in np.flatnonzero(is_hot & (quarters > 0)):
-            rows.append(("hot", int(heads[k : k + 1].view(np.int64)[0]), None, None, None, None, int(quarters[k]), None))
-        by_part = np.argsort(part_of, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(part_of[by_part]) != 0, [True]]))
-        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
-            own = by_part[start:stop]
-            mine = np.unique(head_of[own])
-            mine = mine[(quarters[mine] > 0) & ~is_hot[mine]]
-            kept = np.unique(group[own])
-            kept = kept[arc[kept]]
-            rows.append(("bigrams", int(part_of[own[0]]), heads[mine].tobytes(), _planes(quarters[mine]),
-                         np.sort(keys[first[kept]]).tobytes(), _planes(totals[kept][np.argsort(keys[first[kept]])]), None, None))
+        rows = [("hot", int(heads[k : k + 1].view(np.int64)[0]), bucket, None, None, int(quarters[k]), None) for k in np.flatnonzero(is_hot & (quarters > 0))]
+        quarters[is_hot] = 0
+        totals[~arc] = 0
+        for part, own, start, end in zip(table.column("part").to_pylist(), asked, [0, *ends[:-1]], ends, strict=True):
+            rows.append(("bigrams", part, bucket, _planes(quarters[np.searchsorted(heads, own)]), _planes(totals[which[start:end]]), None, None))
         return pa.Table.from_batches([_batch(rows, _ANSWERS)])
 
     return add
 
 
-def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """values by key, 0 for keys that are not there."""
-    if not len(keys):
-        return np.zeros(len(wanted), values.dtype)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], 0)
-
-
-def _scoring(n: int, v: int, hot: dict[int, int]):
-    def model(answers: pa.Table):
-        words, word_counts, heads, quarters, pairs, pair_counts = [], [], [], [], [], []
-        for kind, a, b, c, d in zip(*(answers.column(x).to_pylist() for x in ("kind", "a", "b", "c", "d")), strict=True):
-            if kind == "words":
-                words.append(np.frombuffer(a, np.uint64))
-                word_counts.append(_unplaned(b, np.int64))
-            else:
-                heads.append(np.frombuffer(a, np.uint64))
-                quarters.append(_unplaned(b, np.int64))
-                pairs.append(np.frombuffer(c, np.uint64))
-                pair_counts.append(_unplaned(d, np.int64))
-        heads.append(np.array(list(hot), np.int64).view(np.uint64))
-        quarters.append(np.array(list(hot.values()), np.int64))
-
-        def joined(keys, values):
-            keys, values = np.concatenate(keys), np.concatenate(values)
-            order = np.argsort(keys)
-            return keys[order], values[order]
+def _scoring(n: int, v: int, bits: int, hot: np.ndarray, held: dict[int, int]):
+    hot_quarters = np.array([held.get(int(x), 0) for x in np.sort(hot).view(np.int64)], np.int64)
 
-        return joined(words, word_counts), joined(heads, quarters), joined(pairs, pair_counts)
+    def answered(answers: pa.Table, kind: str, column: str, size: int) -> np.ndarray:
+        own = answers.filter(pc.equal(answers.column("kind"), kind)).sort_by("bucket")
+        parts = [_unplaned(x).view(np.int64) for x in own.column(column).to_pylist()]
+        out = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        if len(out) != size:
+            raise ValueError("a part was not the same in two scans; write the documents to a table first")
+        return out
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _SCORED.empty_table()
-        (words, counts), (heads, quarters), (pairs, pair_counts) = model(answers)
-        # the two arcs of every state: its failure weight, and its count as a context
-        contexts = np.concatenate([words, [START]])
-        seen = np.concatenate([counts, counts[words == END][:1]])
-        back = 1 - np.divide(_lookup(heads, quarters, contexts) / 4, seen, out=np.zeros(len(seen)), where=seen > 0)
-        unigram = np.log10((counts + 1) / (n + v + 1))
-        out = []
-        for batch in docs.to_batches():
-            for piece in W.slices(batch, "text"):
-                tokens, rows = tokens_of(piece.column("text"))
-                at = np.minimum(np.searchsorted(words, tokens), len(words) - 1)
-                if (words[at] != tokens).any():
-                    raise ValueError("a part was not the same in two scans; write the documents to a table first")
-                state = np.empty(len(at), np.int64)
-                state[1:] = at[:-1]
-                state[rows[:-1]] = len(words)
-                arc = _lookup(pairs, pair_counts, _pair(_before(tokens, rows), tokens >> np.uint64(16)))
-                low = unigram[at]
-                follow = arc > 0
-                logs = np.log10(back[state]) + low
-                via = state[follow]
-                logs[follow] = np.log10((arc[follow] - DISCOUNT_QUARTERS / 4) / seen[via] + back[via] * 10.0 ** low[follow])
-                known = (counts[at] > 0).astype(np.int64)
-                sums = [np.add.reduceat(x, rows[:-1]) for x in (known, low, logs)]
-                out.append(pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("held_out"), pa.array(np.diff(rows)), pa.array(sums[0]),
-                     pa.array(np.full(piece.num_rows, n)), pa.array(sums[1]), pa.array(sums[2])], schema=_SCORED))
-        return pa.Table.from_batches(out, _SCORED)
+        pieces = [pa.ipc.open_stream(x).read_all() for x in docs.column("docs").to_pylist()]
+        framed, lengths = [], []
+        for piece in pieces:
+            own, rows = _framed(piece.column("text").combine_chunks())
+            framed.append(own)
+            lengths.append(np.diff(rows) - 1)
+        framed, lengths = np.concatenate(framed), np.concatenate(lengths)
+        grams = Grams.of(framed)
+        grams.pairs(framed, bits, hot)
+        counts = answered(answers, "words", "a", len(grams.names))
+        quarters = answered(answers, "bigrams", "a", int(grams.head[-1]) + 1)[grams.head[grams.pair]]
+        arc = answered(answers, "bigrams", "b", len(grams.h))[grams.pair]
+        # the state before each token: how often it was seen, and the weight of its failure arc
+        before = framed[grams.at - 1]
+        opens = before == START
+        state = np.concatenate([[0], grams.word[:-1]])
+        state[opens] = np.searchsorted(grams.names, END)  # as many starts as ends
+        seen = counts[state]
+        ordered = np.sort(hot)
+        place = np.minimum(np.searchsorted(ordered, before), len(ordered) - 1)
+        quarters = np.where(ordered[place] == before, hot_quarters[place], quarters)
+        back = 1 - np.divide(quarters / 4, seen, out=np.zeros(len(seen)), where=seen > 0)
+        low = np.log10((counts + 1) / (n + v + 1))[grams.word]
+        logs = np.log10(back) + low
+        follow = arc > 0
+        logs[follow] = np.log10((arc[follow] - DISCOUNT_QUARTERS / 4) / seen[follow] + back[follow] * 10.0 ** low[follow])
+        starts = np.cumsum(lengths) - lengths
+        sums = [np.add.reduceat(x, starts) for x in ((counts > 0).astype(np.int64)[grams.word], low, logs)]
+        ids, held_out = (pa.concat_arrays([p.column(c).combine_chunks() for p in pieces]) for c in ("doc_id", "held_out"))
+        return pa.Table.from_arrays(
+            [ids, held_out, pa.array(lengths), pa.array(sums[0]), pa.array(np.full(len(lengths), n)), pa.array(sums[1]), pa.array(sums[2])], schema=_SCORED)
 
     return score
 
 
+def _packing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of a part, about 2 MB at a time, as compressed Arrow streams: whole texts cross the network once."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        for piece in W.slices(batch, "text"):
+            parts = piece.column("part").to_numpy()
+            for part in np.unique(parts):
+                own = piece.select(["doc_id", "text", "held_out"]).filter(pa.array(parts == part))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema, options=options) as out:
+                    out.write_batch(own)
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([sink.getvalue().to_pybytes()])], names=["part", "docs"])
+
+
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                      ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -297,7 +321,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     def frequent(batches):
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(a, np.uint64)[_unplaned(b, np.int64) * 2**bits > n]
+                own = _unplaned(a)[_unplaned(b).view(np.int64) * 2**bits > n]
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["w"])
 
     found = words.where("kind = 'totals'").select("a", "b").mapInArrow(frequent, "w bigint").toArrow().column("w").to_numpy()
@@ -305,6 +329,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
 
     bigrams = cut(texts.mapInArrow(_asking(bits, hot), ASKED).groupBy("bucket").applyInArrow(_adding_bigrams(hot), ANSWERS))
     held = {r["part"]: r["q"] for r in bigrams.where("kind = 'hot'").groupBy("part").agg(F.sum("n_tokens").alias("q")).collect()}
-    answers = words.where("kind = 'words'").unionByName(bigrams.where("kind = 'bigrams'")).select("kind", "part", "a", "b", "c", "d")
+    answers = words.where("kind = 'words'").unionByName(bigrams.where("kind = 'bigrams'")).select("kind", "part", "bucket", "a", "b")
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return docs.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_scoring(n, v, held), schema)
+    packed = docs.mapInArrow(_packing, "part bigint, docs binary")
+    return packed.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_scoring(n, v, bits, hot, held), schema)
