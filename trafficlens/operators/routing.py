@@ -122,3 +122,14 @@ def dispatch_outcome(attempts: DataFrame, backoff_ms: int = 200, max_retries: in
         "request_id", F.col("w.position").alias("position"), F.col("w.attempt").alias("attempt"),
         F.coalesce(F.col("w.position") > 0, F.lit(True)).alias("fallback_used"),
         F.when(F.col("w").isNull(), "ALL_PROVIDERS_EXHAUSTED").otherwise("SUCCESS").alias("outcome"), "backoff_ms")
+
+
+def breaker_events(attempts: DataFrame) -> DataFrame:
+    """What a circuit breaker is told of a dispatch: one row per request and chain position, with failed and the time.
+
+    Retries count once, by how the position ended. A timeout is neither retried nor told, unless the request streams,
+    where any error counts. Needs request_id, position, attempt, ok, error_kind, stream, ts."""
+    last = F.max_by(F.struct("ok", "error_kind", "stream", "ts"), "attempt").alias("last")
+    ended = attempts.groupBy("request_id", "position").agg(last).select("request_id", "position", "last.*")
+    told = F.col("ok") | F.col("stream") | (F.col("error_kind") == "unavailable")
+    return ended.filter(told).select("request_id", "position", "ts", (~F.col("ok")).alias("failed"))

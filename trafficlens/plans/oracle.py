@@ -386,14 +386,24 @@ step as (
 _q("breaker_replay", _BREAKER, """select k as provider, id as event_id, allowed,
   case when opened is null then 'CLOSED' else 'OPEN' end as state_after from step""", True)
 _ATTEMPTS = """att as (select event_id // 6 as request_id, ((event_id % 6) // 3)::int as position, (event_id % 3)::int as attempt,
-  event_type <> 'error' and value < 20 as ok from events),
-first_ok as (select request_id, min(position * 3 + attempt) as f from att where ok group by all),
-kept as (select a.* from att a left join first_ok using (request_id) where f is null or position * 3 + attempt <= f)"""
+  event_type <> 'error' and value < 20 as ok, event_id % 7 = 2 as slow, ts, (event_id // 6) % 3 = 0 as stream from events),
+tried as (select * from (select *, coalesce(min(attempt) filter (ok or slow) over (partition by request_id, position), 2) as last from att)
+  where attempt <= last),
+kept as (select * from (select *, min(position) filter (ok) over (partition by request_id) as first_ok from tried)
+  where first_ok is null or position <= first_ok)"""
 _q("dispatch_outcome", _ATTEMPTS, """select request_id, (min(position * 3 + attempt) filter (ok) // 3)::int as position,
   (min(position * 3 + attempt) filter (ok) % 3)::int as attempt,
   coalesce(min(position * 3 + attempt) filter (ok) // 3 > 0, true) as fallback_used,
   case when count(*) filter (ok) > 0 then 'SUCCESS' else 'ALL_PROVIDERS_EXHAUSTED' end as outcome,
-  sum(case when not ok and attempt < 2 then 200 << attempt else 0 end)::bigint as backoff_ms from kept group by request_id""")
+  sum(case when not ok and not slow and attempt < 2 then 200 << attempt else 0 end)::bigint as backoff_ms from kept group by request_id""")
+_TOLD = """told as (select request_id, position, attempt, ok, ts from kept
+  qualify attempt = max(attempt) over (partition by request_id, position)),
+told_of as (select t.*, k.slow, k.stream from told t join kept k using (request_id, position, attempt)
+  where k.ok or k.stream or not k.slow)"""
+_q("breaker_events", [_ATTEMPTS, _TOLD, _BREAKER.replace("user_id % 2", "position").replace("event_id", "request_id * 2 + position")
+                      .replace("event_type = 'error'", "not ok").replace("from events", "from told_of")],
+   """select t.request_id, t.position, not t.ok as failed, s.allowed, case when s.opened is null then 'CLOSED' else 'OPEN' end as state_after
+  from told_of t join step s on s.id = t.request_id * 2 + t.position""", True)
 _q("over_admission_check", [_RATE_IN, rate_ctes("rate_in", DAY_US)], f"""select k as event_type,
   count(*) filter (admitted) as admitted, sum(case when admitted then value::decimal(12,2) else 0 end)::decimal(18,6) as spent,
   count(*) filter (admitted) <= 20 * 31 as within_allowance,

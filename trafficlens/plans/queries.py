@@ -327,6 +327,14 @@ def dispatch_outcome(spark, d):
     return G.dispatch_outcome(X.attempts(spark, d))
 
 
+@query
+def breaker_events(spark, d):
+    told = G.breaker_events(X.attempts(spark, d)).withColumn("row_id", F.col("request_id") * 2 + F.col("position"))
+    told = told.withColumnRenamed("failed", "broke")
+    return A.breaker_replay(told, "position", "ts", "row_id", F.col("broke"), 3, 3600 * A.MICRO).select(
+        "request_id", "position", F.col("broke").alias("failed"), "allowed", "state_after")
+
+
 # -- reports -----------------------------------------------------------------------------------------------------------
 
 @query

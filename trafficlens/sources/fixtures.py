@@ -164,14 +164,17 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dispatch attempts: six per request, two chain positions of three attempts, up to the first success."""
+    """Dispatch attempts: six per request, two chain positions of three attempts. A position ends with its first success
+    or its first timeout, a request with its first success. Every third request streams."""
     n = F.col("event_id")
     rows = table(spark, sf_dir, "events").select(
         F.floor(n / 6).alias("request_id"), F.floor((n % 6) / 3).cast("int").alias("position"),
-        (n % 3).cast("int").alias("attempt"), "event_type",
-        ((F.col("event_type") != "error") & (F.col("value") < 20)).alias("ok"))
-    order = F.col("position") * 3 + F.col("attempt")
-    first = rows.filter("ok").groupBy("request_id").agg(F.min(order).alias("first_ok"))
-    return (rows.join(first, "request_id", "left").filter(F.col("first_ok").isNull() | (order <= F.col("first_ok")))
-            .select("request_id", "position", "attempt", "ok",
-                    F.when(~F.col("ok"), F.lit("unavailable")).alias("error_kind")))
+        (n % 3).cast("int").alias("attempt"), ((F.col("event_type") != "error") & (F.col("value") < 20)).alias("ok"),
+        F.when(n % 7 == 2, "timeout").otherwise("unavailable").alias("kind"), "ts")
+    last = rows.groupBy("request_id", "position").agg(
+        F.coalesce(F.min(F.when(F.col("ok") | (F.col("kind") == "timeout"), F.col("attempt"))), F.lit(2)).alias("last"))
+    kept = rows.join(last, ["request_id", "position"]).filter(F.col("attempt") <= F.col("last"))
+    first = kept.filter("ok").groupBy("request_id").agg(F.min("position").alias("first_ok"))
+    return (kept.join(first, "request_id", "left").filter(F.col("first_ok").isNull() | (F.col("position") <= F.col("first_ok")))
+            .select("request_id", "position", "attempt", "ok", F.when(~F.col("ok"), F.col("kind")).alias("error_kind"),
+                    (F.col("request_id") % 3 == 0).alias("stream"), "ts"))
