@@ -4,13 +4,14 @@
    of 128 minima packed into eight integers, and 32 band keys of four minima each. A pair at the threshold 0.75 shares no
    band with probability (1 - 0.75^4)^32 = 5e-6.
 2. Documents with equal sets become one node.
-3. In every bucket each node meets the bucket's smallest node. The collision-corrected similarity of the packed bits,
+3. Each node meets the smallest node of its buckets. The collision-corrected similarity of the packed bits,
    (matches / 128 - 1/16) / (1 - 1/16), sorts out candidates far below the threshold (by more than four standard
    deviations); full sets decide.
-4. Buckets that still hold several components are compared in full inside tasks, in blocks, by bit counts; only pairs of
-   different components that pass the estimate leave the task, and full sets decide again.
+4. Buckets that still hold several components are compared in full inside tasks, in blocks: first by bit counts, to find
+   the nodes that have a candidate in another component at all, then, for those, by bit counts and full sets. A task
+   gives one link for any two components, not their pairs.
 
-Copies and large groups never become all pairs: a group is a star around its smallest member.
+Copies and large groups never become all pairs.
 """
 
 from __future__ import annotations
@@ -129,6 +130,13 @@ def estimate(a: Column, b: Column) -> Column:
     return ((HASHES - differing) / HASHES - chance) / (1 - chance)
 
 
+def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those pairs (a, b) that may be similar enough by their packed bits."""
+    bits = nodes.select("node", "bits")
+    both = pairs.select("a", "b").join(bits.toDF("b", "bits_b"), "b").join(bits.toDF("a", "bits_a"), "a")
+    return cut(both.where(estimate(F.col("bits_a"), F.col("bits_b")) >= LEAST_ESTIMATE).select("a", "b").distinct())
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """Those pairs whose full sets are similar enough."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
@@ -140,26 +148,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     return sized.where(100 * F.col("common") >= threshold * (F.col("sizes") - F.col("common"))).select("a", "b").distinct()
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of different components within each (bucket, lo, hi); rows come sorted by it."""
-    def group(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows)
-        node, comp, block, lo, hi = (table.column(c).to_numpy() for c in ("node", "component", "block", "lo", "hi"))
-        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
-        left, right = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
-        need = HASHES * (1 - (LEAST_ESTIMATE * (1 - 1 / 2**BITS) + 1 / 2**BITS))
-        found_a, found_b = [], []
-        for i in left:
-            other = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (lo[0] != hi[0]))]
-            x = bits[other] ^ bits[i]
-            x |= x >> np.uint64(1)
-            x |= x >> np.uint64(2)
-            near = other[np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(1) <= need]
-            found_a.append(np.full(len(near), node[i]))
-            found_b.append(node[near])
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of one (bucket, lo, hi) at a time; they come sorted by it."""
     held, key = [], None
     for batch in batches:
         if not batch.num_rows:
@@ -169,25 +159,106 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
             own = tuple(names[start])
             if held and own != key:
-                yield group(held)
+                yield pa.Table.from_batches(held)
                 held = []
             key = own
             held.append(batch.slice(start, stop - start))
     if held:
-        yield group(held)
-
-
-def _rest(nodes: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidates from buckets of three or more nodes in which several components are left."""
-    placed = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")) \
-        .where("n > 2 and x <> y").select("bucket", F.ceil(F.col("n") / BLOCK).cast("bigint").alias("blocks"))
-    rows = placed.join(mixed, "bucket").join(nodes.select("node", "bits"), "node") \
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", "bits")
-    return rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi") \
-        .mapInArrow(_compared, "a bigint, b bigint").distinct()
+        yield pa.Table.from_batches(held)
+
+
+def _lists(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    lists = table.column(column).combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.chunk(0)
+    offsets = lists.offsets.to_numpy()
+    return lists.flatten().to_numpy().view(np.uint64), offsets - offsets[0]
+
+
+def _candidates(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row and the rows of other components that are near it by bit counts; a pair comes in its first common bucket only."""
+    node, comp, block, lo, hi, bucket = (table.column(c).to_numpy() for c in ("node", "component", "block", "lo", "hi", "bucket"))
+    bits, bands = (_lists(table, c)[0].reshape(len(node), -1) for c in ("bits", "bands"))
+    band = int(np.argmax(bands[0].view(np.int64) == bucket[0]))
+    left, right = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
+    most = HASHES * (1 - (LEAST_ESTIMATE * (1 - 1 / 2**BITS) + 1 / 2**BITS))
+    for i in left:
+        other = right[(comp[right] != comp[i]) & ((right > i) | (lo[0] != hi[0]))]
+        x = bits[other] ^ bits[i]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        near = other[np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(1) <= most]
+        yield i, near[~(bands[near, :band] == bands[i, :band]).any(1)]
+
+
+def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, node) of the rows that have a candidate."""
+    for table in _runs(batches):
+        flags = np.zeros(table.num_rows, bool)
+        for i, near in _candidates(table):
+            flags[near] = True
+            flags[i] |= len(near) > 0
+        if flags.any():
+            yield from table.select(["bucket", "node"]).filter(pa.array(flags)).combine_chunks().to_batches()
+
+
+def _joining(threshold: int):
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links between components by full sets, one for any two components of a run."""
+        for table in _runs(batches):
+            node, comp = (table.column(c).to_numpy() for c in ("node", "component"))
+            items, at = _lists(table, "items")
+            sets = [np.sort(items[at[k] : at[k + 1]]) for k in range(len(node))]
+            up: dict[int, int] = {}
+
+            def root(x: int, up: dict[int, int] = up) -> int:
+                while x in up:
+                    x = up[x]
+                return x
+
+            links = []
+            for i, near in _candidates(table):
+                for j in near.tolist():
+                    a, b = root(int(comp[i])), root(int(comp[j]))
+                    if a == b:
+                        continue
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * common >= threshold * (len(sets[i]) + len(sets[j]) - common):
+                        up[max(a, b)] = min(a, b)
+                        links.append((node[i], node[j]))
+            if links:
+                a, b = np.array(links, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return join
+
+
+def _placed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, node, component, n) of the buckets that hold several components; n is the bucket's size."""
+    placed = rows.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    return placed.join(mixed.select("bucket", "n"), "bucket")
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of a bucket once for each block of it that they meet, bucket by bucket; `n` is the bucket's size."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("bigint")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks)) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))) \
+        .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "n")
+    return rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+
+def _rest(nodes: DataFrame, rows: DataFrame, labels: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """Links that are left between components, from full comparison of the buckets that hold several."""
+    placed = cut(_placed(rows, labels))
+    sketches = nodes.select("node", "bits", "bands")
+    near = cut(_in_blocks(placed.join(sketches, "node")).mapInArrow(_flagged, "bucket bigint, node bigint").distinct())
+    sets = docs.join(near.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi") \
+        .mapInArrow(_sets, "doc_id bigint, items array<bigint>").withColumnRenamed("doc_id", "node")
+    whole = placed.join(near, ["bucket", "node"]).join(sketches, "node").join(sets, "node")
+    return _in_blocks(whole).mapInArrow(_joining(threshold), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -203,16 +274,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("doc_id").alias("node"), F.first("bits").alias("bits"), F.first("bands").alias("bands")))
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     firsts = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    stars = buckets.join(firsts.select("bucket", "first"), "bucket").where("node > first") \
-        .select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    bits = nodes.select("node", "bits")
-    near = cut(stars.join(bits.toDF("b", "bits_b"), "b").join(bits.toDF("a", "bits_a"), "a") \
-        .where(estimate(F.col("bits_a"), F.col("bits_b")) >= LEAST_ESTIMATE).select("a", "b").distinct())
-    links = cut(_linked(near, docs, threshold))
-    labels = components(links)
-    rest = cut(_rest(nodes, buckets, labels))
-    if rest.limit(1).count():
-        labels = components(links.unionByName(_linked(rest, docs, threshold)))
+    rows = cut(buckets.join(firsts.select("bucket", "first"), "bucket"))
+    pairs = rows.where("node > first").groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a"))
+    links = cut(_linked(_near(pairs, nodes), docs, threshold))
+    # a node's first, or its first's first, is enough to tell most of what is linked already
+    firsts = links.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    again = firsts.toDF("component", "further")
+    labels = firsts.join(again, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
+    rest = _rest(nodes, rows.select("bucket", "node"), labels, docs, threshold)
+    labels = components(links.unionByName(rest))
     classes = nodes.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class"))
     out = sketched.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class")).otherwise(F.col("doc_id"))
