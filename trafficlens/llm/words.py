@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,6 @@ _FOLDED = _CODES.copy()
 _FOLDED[0x41:0x5B] = _CODES[0x61:0x7B]
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 2**64)
-_powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,17 +39,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
+# a cache, and no module variable: what a module variable holds would travel with every function that is sent to a task
+@lru_cache(maxsize=4)
+def _usual_powers(base: int) -> np.ndarray:
+    return _powers(base, SLICE_BYTES + 1)
+
+
 def _power(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
-        have = np.full(size, np.uint64(base))
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if size <= 4 * SLICE_BYTES:  # kept between batches unless a single huge text asked for it
-            _powers[base] = have
-    return have[:n]
+    return _usual_powers(base)[:n] if n <= SLICE_BYTES + 1 else _powers(base, n)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
