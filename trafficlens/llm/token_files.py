@@ -38,7 +38,9 @@ EVERY = 256
 #: ids of a block, about: a block holds whole documents
 BLOCK_IDS = 1 << 16
 #: text of a part, and distinct pieces that a worker remembers
-PART_BYTES, REMEMBERED = 16 << 20, 700_000
+PART_BYTES, REMEMBERED = 16 << 20, 600_000
+#: text that is tokenised at once
+SLICE_BYTES = 1 << 20
 
 TOKENS = pa.schema([("doc_id", pa.int64()), ("seq", pa.int64()), ("ids", pa.binary())])
 BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())),
@@ -52,6 +54,10 @@ BLOCK_TYPES = "part int, block bigint, doc_ids array<bigint>, n_tokens array<int
 _SPACES = "[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]"
 
 
+#: how byte-level vocabularies write a space and a line feed
+_OPENERS = "\u0120\u010a"
+
+
 class Encoder:
     """One tokenizer and the ids of the pieces seen so far; a worker keeps it between tasks."""
 
@@ -63,7 +69,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.clear()
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.opens = np.zeros(max(names.values(), default=0) + 1, bool)
+        self.opens[[i for name, i in names.items() if name[0] in _OPENERS]] = True
+        # pieces by hash, in order: which piece it is; all ids end to end, and where each piece starts
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -71,24 +82,46 @@ class Encoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1, np.int64)
-
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        made = self.whole(pieces)
-        lengths = np.fromiter(map(len, made), np.int64, len(made))
-        begin = self.starts[-1]
-        ends = begin + np.cumsum(lengths)
-        if ends[-1] > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), int(ends[-1] - len(self.ids))), np.uint32)])
-        self.ids[begin : ends[-1]] = np.concatenate(made)
-        self.place.update(zip(keys.tolist(), range(len(self.starts) - 1, len(self.starts) - 1 + len(keys)), strict=True))
-        self.starts = np.concatenate([self.starts, ends])
+    def pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after another, and their lengths.
+
+        Pieces of one space or line feed and letters are encoded as one text, since calls cost more than letters: in it
+        just the first token of each begins with that character. Others are encoded one by one.
+        """
+        first, then = data[starts], data[np.minimum(starts + 1, len(data) - 1)]
+        joint = ((first == 0x20) | (first == 0x0A)) & (ends - starts > 1) & W.NOT_SPACE[then] & W.NOT_SPACE[data[ends - 1]]
+        ids, lengths = np.zeros(0, np.uint32), np.zeros(len(starts), np.int64)
+        if joint.any():
+            text = data[W.ragged(starts[joint], (ends - starts)[joint])].tobytes().decode()
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) == joint.sum():
+                lengths[joint] = np.diff(np.append(at, len(ids)))
+            else:
+                ids, joint = ids[:0], np.zeros(len(starts), bool)
+        if joint.all():
+            return ids, lengths
+        rest = np.flatnonzero(~joint)
+        made = self.whole([data[a:b].tobytes().decode() for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)])
+        lengths[rest] = np.fromiter(map(len, made), np.int64, len(made))
+        own = np.repeat(joint, lengths)
+        out = np.empty(len(own), np.uint32)
+        out[own], out[~own] = ids, np.concatenate(made)
+        return out, lengths
+
+    def _learn(self, at: np.ndarray, keys: np.ndarray, made: np.ndarray, lengths: np.ndarray) -> None:
+        """Remembers new pieces; `at` says where their keys belong among those there are."""
+        begin, known = self.starts[-1], len(self.starts) - 1
+        stops = begin + np.cumsum(lengths)
+        if stops[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids) // 2, len(made)), np.uint32)])
+        self.ids[begin : stops[-1]] = made
+        self.slots = np.insert(self.slots, at, np.arange(known, known + len(keys)))
+        self.keys = np.insert(self.keys, at, keys)
+        self.starts = np.concatenate([self.starts, stops])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with END_ID after each, and the n + 1 offsets."""
@@ -96,21 +129,34 @@ class Encoder:
         strange = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, _SPACES), False).to_numpy(zero_copy_only=False))
         _, ends = W.edges(W.NOT_SPACE[data], offsets)
         # a piece runs from the end of the one before to its own; white space at the end of a text is one more
-        lasts = offsets[1:][np.diff(offsets) > 0]
-        ends = np.unique(np.concatenate([ends, lasts]))
+        stops = np.zeros(len(data) + 1, bool)
+        stops[ends] = True
+        stops[offsets[1:][np.diff(offsets) > 0]] = True
+        ends = np.flatnonzero(stops)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
         keys = W.span_hashes(data, starts, ends, W._CODES)
-        distinct, first, piece = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.place) > REMEMBERED:
-            self.clear()
-        at = np.fromiter((self.place.get(k, -1) for k in distinct.tolist()), np.int64, len(distinct))
-        new = np.flatnonzero(at < 0)
+        order = np.argsort(keys)
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[order][1:] != keys[order][:-1]
+        first = order[new]
+        distinct, piece = keys[first], np.empty(len(keys), np.int64)
+        piece[order] = np.cumsum(new) - 1
+        spot = np.searchsorted(self.keys, distinct)
+        here = np.minimum(spot, max(len(self.keys) - 1, 0))
+        missing = self.keys[here] != distinct if len(self.keys) else np.ones(len(distinct), bool)
+        at = self.slots[here] if len(self.keys) else np.zeros(len(distinct), np.int64)
+        new, ids = np.flatnonzero(missing), self.ids[: self.starts[-1]]
+        at[new] = 0
+        starts_of = self.starts[at]
+        lengths_of = self.starts[np.minimum(at + 1, len(self.starts) - 1)] - starts_of
         if len(new):
-            raw = data.tobytes()
-            self._learn(distinct[new], [raw[starts[k] : ends[k]].decode() for k in first[new]])
-            at[new] = np.arange(len(self.starts) - 1 - len(new), len(self.starts) - 1)
-        lengths = (self.starts[at + 1] - self.starts[at])[piece]
-        ids = self.ids[W.ragged(self.starts[at][piece], lengths)]
+            made, n = self.pieces(data, starts[first[new]], ends[first[new]])
+            starts_of[new], lengths_of[new] = len(ids) + np.cumsum(n) - n, n
+            ids = np.concatenate([ids, made])
+            if len(self.keys) < REMEMBERED:  # a full memory keeps what it has; frequent pieces came first
+                self._learn(spot[new], distinct[new], made, n)
+        lengths = lengths_of[piece]
+        ids = ids[W.ragged(starts_of[piece], lengths)]
         before = np.concatenate([[0], np.cumsum(lengths)])
         rows = before[np.searchsorted(ends, offsets, "right") if len(ends) else np.zeros(len(offsets), np.int64)]
         if len(strange):
@@ -127,7 +173,7 @@ def _tokenising(path: str):
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seq = Encoder.at(path), 0
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", SLICE_BYTES):
                 ids, rows = encoder.encode(part.column("text"))
                 packed = pa.py_buffer(_packed(ids))
                 column = pa.Array.from_buffers(pa.binary(), len(rows) - 1, [None, pa.py_buffer((rows * WIDTH).astype(np.int32)), packed])
