@@ -78,3 +78,20 @@ def test_query(spark, small):
 def test_repeated_words_column(spark):
     got = spark.createDataFrame([(["a"] * 9,), ([],), (["a"] * 7,)], "w array<string>").select(Q.repeated_words(F.col("w")).alias("n")).collect()
     assert [r["n"] for r in got] == [9, 0, 0]
+
+
+def test_each_statistic_rejects_by_itself(spark, frame):
+    """Repeated short lines between others, words in repeated windows, and symbols, each in a clean group."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    clean = [(k, "\n".join(some(12) for _ in range(rng.randrange(5, 20))), "en", "s") for k in range(300)]
+    lines = "\n".join("\n".join(["ok"] * 6 + [some(6)]) for _ in range(40))
+    passage = some(29)
+    repeats = f"{some(71)} {passage} {some(71)} {passage} "
+    symbols = " ".join(word() + "%" * (k % 2) for k in range(100))
+    odd = [(1000, lines, "en", "s"), (1001, repeats, "en", "s"), (1002, symbols, "en", "s")]
+    got = {r["doc_id"]: r for r in Q.quality(frame(clean + odd)).collect()}
+    assert not any(got[k]["base_failed"] for k in (1000, 1001, 1002))
+    assert got[1000]["n_dup_lines"] > 0.8 * got[1000]["n_lines"] and got[1000]["n_repeat_words"] == 0
+    assert {k for k, r in got.items() if not r["kept"]} == {1000, 1001, 1002}

@@ -27,7 +27,9 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 WINDOW = 8
 #: log of mean word length, and square roots of the shares of symbols, repeated lines and words in repeated windows
 VECTOR = ["x_length", "x_symbols", "x_lines", "x_repeats"]
-FLOORS = [0.10, 0.08, 0.25, 0.18]
+#: a clean group has no scatter in three of the four; under these floors each statistic can exceed the limit by itself: 7%
+#: of symbols, 64% of repeated lines or 28.5% of words in repeated windows, where all else is as in the group's centre
+FLOORS = [0.10, 0.05, 0.15, 0.10]
 SHARE, STEPS, GROUP_ROWS = 0.75, 3, 100
 #: chance that a normal vector is rejected
 TAIL = 1e-5
