@@ -95,3 +95,34 @@ def test_each_statistic_rejects_by_itself(spark, frame):
     assert not any(got[k]["base_failed"] for k in (1000, 1001, 1002))
     assert got[1000]["n_dup_lines"] > 0.8 * got[1000]["n_lines"] and got[1000]["n_repeat_words"] == 0
     assert {k for k, r in got.items() if not r["kept"]} == {1000, 1001, 1002}
+
+
+def test_groups_blend_into_the_overall_estimate(spark):
+    """By numpy: the moments of a mixture, by a weight that grows evenly with the rows of a group."""
+    rng = np.random.default_rng(11)
+    sizes = {"few": 5, "small": 40, "large": 300}
+    x = {g: rng.normal(size=(n, 4)) * 0.3 + k for k, (g, n) in enumerate(sizes.items())}
+    x[""] = np.concatenate(list(x.values()))
+    rows = spark.createDataFrame([(g, *map(float, r)) for g, v in x.items() for r in v], "scope string, " + ", ".join(f"{c} double" for c in Q.VECTOR))
+    got = Q.blended(Q._fitted(rows, ["scope"]), spark.createDataFrame(list(sizes.items()), "grp string, rows bigint")).collect()
+    factor = Q.SHARE / Q._chi2(Q._chi2_quantile(Q.SHARE, 4), 6)
+    scatter = {g: np.cov(v.T, bias=True) * factor + np.diag(np.square(Q.FLOORS)) for g, v in x.items()}
+    assert {r["grp"] for r in got} == set(sizes)
+    for r in got:
+        g = r["grp"]
+        w = max(0, sizes[g] - 6) / (max(0, sizes[g] - 6) + 50)
+        factors = np.array([[r[f"l{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+        apart = x[g].mean(0) - x[""].mean(0)
+        assert [r[f"m{i}"] for i in range(4)] == pytest.approx(w * x[g].mean(0) + (1 - w) * x[""].mean(0))
+        assert factors @ factors.T == pytest.approx(w * scatter[g] + (1 - w) * scatter[""] + w * (1 - w) * np.outer(apart, apart))
+
+
+def test_one_row_more_hardly_changes_a_verdict(spark, frame):
+    """A group of its own character at 99 and at 100 rows: distances stay nearly the same."""
+    rng = random.Random(12)
+    word = lambda size: "".join(rng.choice("abcdefghij") for _ in range(size))
+    clean = [(k, " ".join(word(rng.randrange(2, 9)) for _ in range(60)), "en", "s") for k in range(300)]
+    own = [(1000 + k, " ".join(word(rng.randrange(7, 14)) for _ in range(60)), "xx", "t") for k in range(100)]
+    at = lambda rows: {r["doc_id"]: r["distance"] for r in Q.quality(frame(rows)).collect()}
+    fewer, more = at(clean + own[:-1]), at(clean + own)
+    assert max(abs(fewer[k] - more[k]) for k in fewer if k >= 1000) < 1

@@ -7,8 +7,9 @@ scatter is fitted, and vectors at a large Mahalanobis distance are rejected.
 The estimate starts from medians and absolute deviations and, apart from that, from all rows; concentration steps keep
 the three quarters of the rows that are nearest and fit again; of the two results the one of smaller determinant counts,
 scaled to be consistent for normal data. A step is a histogram of distances and sums of products per group, both
-aggregated before they are shuffled, so a group may hold any share of the rows. Groups of fewer than `GROUP_ROWS` rows
-take the estimate over all rows. Every scatter has a floor: differences below `FLOORS` are never far.
+aggregated before they are shuffled, so a group may hold any share of the rows. A group is judged by its own estimate and
+the one over all rows mixed: centre and scatter are those of a mixture in which the own estimate weighs
+(n - r) / (n - r + `BLEND_ROWS`), n rows in the group and r the most that do not determine four statistics. Every scatter has a floor: differences below `FLOORS` are never far.
 
 Null and empty texts have no words and fail the base rules. Null languages and sources are groups like others; null ids
 and repeated rows are rows of their own. Extra columns play no part. An empty table gives an empty result.
@@ -30,7 +31,10 @@ VECTOR = ["x_length", "x_symbols", "x_lines", "x_repeats"]
 #: a clean group has no scatter in three of the four; under these floors each statistic can exceed the limit by itself: 7%
 #: of symbols, 64% of repeated lines or 28.5% of words in repeated windows, where all else is as in the group's centre
 FLOORS = [0.10, 0.05, 0.15, 0.10]
-SHARE, STEPS, GROUP_ROWS = 0.75, 3, 100
+SHARE, STEPS = 0.75, 3
+#: three quarters of the rows determine a scatter of four statistics if they are five or more; and the rows beyond `FEW_ROWS`
+#: at which a group's own estimate weighs as much as the overall one
+FEW_ROWS, BLEND_ROWS = 6, 50
 #: chance that a normal vector is rejected
 TAIL = 1e-5
 
@@ -119,6 +123,17 @@ def _value(bin_: Column) -> Column:
     return F.pow(F.lit(2.0), (bin_ + 0.5) / 64) - 1
 
 
+def _factored(rows: DataFrame, scatter) -> DataFrame:
+    """rows with the Cholesky factor l00, l10, l11, .. of the matrix whose entries scatter(i, j) gives for i >= j."""
+    for i in range(len(VECTOR)):
+        for j in range(i + 1):
+            value = scatter(i, j)
+            for k in range(j):
+                value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+            rows = rows.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(1e-12))) if i == j else value / F.col(f"l{j}{j}"))
+    return rows
+
+
 def _fitted(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Centre and Cholesky factor of the scatter for each key, from sums and sums of products."""
     p = len(VECTOR)
@@ -126,12 +141,7 @@ def _fitted(rows: DataFrame, keys: list[str]) -> DataFrame:
     sums += [F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
     out = rows.groupBy(*keys).agg(*sums)
     factor = SHARE / _chi2(_chi2_quantile(SHARE, p), p + 2)
-    for i in range(p):
-        for j in range(i + 1):
-            value = F.col(f"c{i}{j}") * factor + (FLOORS[i] ** 2 if i == j else 0.0)
-            for k in range(j):
-                value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(1e-12))) if i == j else value / F.col(f"l{j}{j}"))
+    out = _factored(out, lambda i, j: F.col(f"c{i}{j}") * factor + (FLOORS[i] ** 2 if i == j else 0.0))
     size = F.lit(0.0)
     for i in range(p):
         size = size + F.log(f"l{i}{i}")
@@ -173,6 +183,31 @@ def estimates(rows: DataFrame) -> DataFrame:
     return best.select("best.*")
 
 
+def own_weight(n: Column) -> Column:
+    """How much a group of n rows is judged by its own estimate, from 0 to 1."""
+    more = F.greatest(n - FEW_ROWS, F.lit(0))
+    return more / (more + BLEND_ROWS)
+
+
+def blended(model: DataFrame, sizes: DataFrame) -> DataFrame:
+    """grp, centre and Cholesky factor of each group's estimate mixed with the overall one; sizes has grp and rows."""
+    p = len(VECTOR)
+    names = [*(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1))]
+    overall = model.where("scope = ''").select(*(F.col(x).alias(f"all_{x}") for x in names))
+    own = model.where("scope <> ''").select(F.col("scope").alias("grp"), *(F.col(x).alias(f"own_{x}") for x in names))
+    both = sizes.join(own, "grp").crossJoin(overall).withColumn("w", own_weight(F.col("rows")))
+
+    def product(of: str, i: int, j: int) -> Column:
+        return sum((F.col(f"{of}_l{i}{k}") * F.col(f"{of}_l{j}{k}") for k in range(j + 1)), F.lit(0.0))
+
+    def scatter(i: int, j: int) -> Column:
+        apart = (F.col(f"own_m{i}") - F.col(f"all_m{i}")) * (F.col(f"own_m{j}") - F.col(f"all_m{j}"))
+        return F.col("w") * product("own", i, j) + (1 - F.col("w")) * product("all", i, j) + F.col("w") * (1 - F.col("w")) * apart
+
+    centres = {f"m{i}": F.col("w") * F.col(f"own_m{i}") + (1 - F.col("w")) * F.col(f"all_m{i}") for i in range(p)}
+    return _factored(both.withColumns(centres), scatter).select("grp", *names)
+
+
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """doc_id, the statistics, base_failed, distance (null if base_failed) and kept, one row per document."""
     stats = cut(statistics(docs, id_col, text_col, lang_col, source_col).withColumn(
@@ -180,10 +215,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rows = stats.where(~F.col("base_failed")).withColumns(dict(zip(VECTOR, _vector(), strict=True)))
     model = cut(estimates(rows))
     sizes = rows.groupBy("grp").agg(F.count("*").alias("rows"))
-    own = sizes.select("grp", F.when(F.col("rows") >= GROUP_ROWS, F.col("grp")).otherwise("").alias("scope"))
     limit = _chi2_quantile(1 - TAIL, len(VECTOR))
     placed = stats.withColumns(dict(zip(VECTOR, (F.when(~F.col("base_failed"), x) for x in _vector()), strict=True)))
-    measured = _distance(placed.join(own.join(model.drop("n"), "scope"), "grp", "left"), "distance")
+    measured = _distance(placed.join(cut(blended(model, sizes)), "grp", "left"), "distance")
     return measured.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed",
         F.when(~F.col("base_failed"), F.col("distance")).alias("distance"),
