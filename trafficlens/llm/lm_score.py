@@ -1,7 +1,7 @@
 """Language-model scores from a weighted backoff automaton over word bigrams, learnt from the corpus itself.
 
-States are the empty context and every word (and the start of a text). An arc (h, w) exists for each bigram seen at least
-twice in training; it weighs (c(hw) - D) / c(h) + back(h) p(w). From any state a failure arc of weight
+States are the empty context and every word (and the start of a text). An arc (h, w) exists for each bigram seen in
+training; it weighs (c(hw) - D) / c(h) + back(h) p(w). From any state a failure arc of weight
 back(h) = 1 - sum of (c(hw) - D) over its arcs / c(h) leads to the empty state, whose arcs weigh
 p(w) = (c(w) + 1) / (N + V + 1); each state's weights sum to one over the vocabulary and the unknown word. One pass from
 left to right carries the state (the word just read) and adds up logarithms.
@@ -28,7 +28,6 @@ from . import words as W
 from .lineage import cut
 
 DISCOUNT_QUARTERS = 3  # D = 0.75
-LEAST_COUNT = 2
 #: bytes of a word's hash that tell the words after one first word apart
 SUCCESSOR = 5
 #: text of a part and of a bucket, about
@@ -216,7 +215,7 @@ def _adding_bigrams(hot: np.ndarray):
         h, w, counts = map(np.concatenate, (h, w, counts))
         first, which = _distinct(_pair(h, w))
         totals = np.bincount(which, counts, len(first)).astype(np.int64)
-        arc = totals >= LEAST_COUNT
+        arc = totals > 0
         heads, head = np.unique(h[first], return_inverse=True)
         quarters = np.bincount(head[arc], 4 * totals[arc] - DISCOUNT_QUARTERS, len(heads)).astype(np.int64)
         is_hot = np.isin(heads, hot)
