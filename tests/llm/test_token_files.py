@@ -85,3 +85,19 @@ def test_files(spark, frame, tokenizer, monkeypatch):
 def test_empty_table(spark, frame):
     path = T.write_token_files(frame([]), queries.tokenizer_path(), T.fresh_path(spark))
     assert T.read_token_files(spark, path).collect() == []
+
+
+def test_special_tokens_encode_as_the_plain_call_does(spark, frame):
+    """An unmodified tokenizer takes the string of a special token as that token."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    texts = [*ODD, "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y<|endoftext|>", "<|endoftext|> b", "<|endoftext", " a b c"]
+    expected = [[*plain.encode(t or "", add_special_tokens=False).ids, T.END_ID] for t in texts]
+    assert expected[len(ODD)] == [64, 220, 50256, 275, T.END_ID]
+    for own in (texts, texts[::-1]):
+        ids, rows = T.Encoder(queries.tokenizer_path()).encode(pa.array(own))
+        assert [ids[a:b].tolist() for a, b in zip(rows[:-1], rows[1:], strict=True)] == (expected if own is texts else expected[::-1])
+    path = T.write_token_files(frame(list(enumerate(texts))), queries.tokenizer_path(), T.fresh_path(spark))
+    got = T.read_token_files(spark, path).orderBy("doc_id").collect()
+    assert [(r["n_tokens"], r["ids_crc32"]) for r in got] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in expected]

@@ -12,7 +12,8 @@ checkpoints are the bit offsets of every 256th id of the block, so that a block
 table over the longest code. Each block decodes on its own. Every document ends with the end id.
 
 Tokenising works on the distinct pieces of a text: white space with the letters after it always encodes alike, because the
-tokenizer never joins a non-space and a following white space. Texts with white space beyond ASCII are encoded whole.
+tokenizer never joins a non-space and a following white space. Texts with white space beyond ASCII
+or with a special token of the tokenizer, which the library takes as that token, are encoded whole.
 """
 
 from __future__ import annotations
@@ -68,8 +69,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         names = self.tokenizer.get_vocab(with_added_tokens=False)
+        #: tokens that are taken from a text before it is cut into words
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.opens = np.zeros(max(names.values(), default=0) + 1, bool)
         self.opens[[i for name, i in names.items() if name[0] in _OPENERS]] = True
         # pieces by hash, in order: which piece it is; all ids end to end, and where each piece starts
@@ -125,8 +127,12 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with END_ID after each, and the n + 1 offsets."""
-        data, offsets = W.flat(texts)
-        strange = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, _SPACES), False).to_numpy(zero_copy_only=False))
+        whole = pc.match_substring_regex(texts, _SPACES)
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        whole = pc.fill_null(whole, False)
+        strange = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        data, offsets = W.flat(pc.if_else(whole, pa.scalar("", texts.type), texts) if len(strange) else texts)
         _, ends = W.edges(W.NOT_SPACE[data], offsets)
         # a piece runs from the end of the one before to its own; white space at the end of a text is one more
         stops = np.zeros(len(data) + 1, bool)
