@@ -669,18 +669,18 @@ def breaker_stream(spark, d):
 @query
 def cache_stream(spark, d):
     log = C.embed_prompts(X.turns_of(S.read_table_stream(spark, d, "conversations"), "user"))
-    done = S.run_to_table(S.cache_stream(log, 0.60, 86_400), "cache")
+    done = S.run_to_table(S.cache_stream(log, 0.60, 86_400, lateness=None), "cache")
     return done.select("id", "hit", "match_id", "similarity")
 
 
 @query
 def usage_rollup_stream(spark, d):
     rows = X.usage_of(S.read_table_stream(spark, d, "events"))
-    return S.run_to_latest(S.usage_rollup_stream(rows), "rollup", ["window_start", "provider"])
+    return S.run_to_latest(S.usage_rollup_stream(rows, lateness=None), "rollup", ["window_start", "provider"])
 
 
 @query
 def assemble_chunks_stream(spark, d):
     turns = X.turns_of(S.read_table_stream(spark, d, "conversations"), "assistant")
     chunks = M.chunk_completion(_completions(turns, "ts"), ["ts"])
-    return S.run_to_table(S.assemble_chunks_stream(chunks), "chunks")
+    return S.run_to_table(S.assemble_chunks_stream(chunks, lateness=None), "chunks")

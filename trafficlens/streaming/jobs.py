@@ -26,6 +26,15 @@ _STATE = T.StructType([T.StructField("state", T.BinaryType())])
 SWEEP_MS = 60_000
 
 
+def _marked(rows: DataFrame, lateness: str | None) -> DataFrame:
+    """rows with a watermark on `at`, or as they are where nothing is ever late."""
+    return rows if lateness is None else rows.withWatermark("at", lateness)
+
+
+def _timeout(lateness: str | None) -> str:
+    return GroupStateTimeout.NoTimeout if lateness is None else GroupStateTimeout.EventTimeTimeout
+
+
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 64) -> DataFrame:
     """A parquet table as a stream of files; the table is one file or a folder of part files. A missing one fails."""
     path = f"{sf_dir}/{name}.parquet"
@@ -107,15 +116,16 @@ def breaker_stream(attempts: DataFrame, key: str, ts: str, row_id: str, failed:
     return _fold_stream(rows, key, ["us", row_id], BreakerFold(threshold, cooldown_us))
 
 
-def cache_stream(prompts: DataFrame, threshold: float, ttl_seconds: int, lateness: str = "10 minutes") -> DataFrame:
+def cache_stream(prompts: DataFrame, threshold: float, ttl_seconds: int, lateness: str | None = "10 minutes") -> DataFrame:
     """Hits and misses per scope over a stream of (id, tenant, model, ts, vec); entries live ttl seconds.
 
     State: the live entries of a scope (id, time, unit vector). Only misses are stored, so it holds prompts that are
-    mutually dissimilar, never copies. Expired entries go on every batch; an idle scope is swept by an event-time timer."""
+    mutually dissimilar, never copies. Expired entries go on every batch; an idle scope is swept by an event-time timer.
+    Rows later than `lateness` are left out; with None, for a stored table, none are, and there are no timers."""
     ttl = ttl_seconds * MICRO
-    rows = prompts.select(
+    rows = _marked(prompts.select(
         "id", "tenant", "model", instant(F.col("ts")).alias("at"), epoch_us(F.col("ts")).alias("us"), "vec",
-    ).withWatermark("at", lateness)
+    ), lateness)
 
     def unit(vectors):
         m = np.stack(vectors).astype(np.float64)
@@ -148,22 +158,24 @@ def cache_stream(prompts: DataFrame, threshold: float, ttl_seconds: int, latenes
             match.append(best[0] if best else None)
             score.append(round(best[1], 6) if best else 0.0)
         state.update((pickle.dumps((ids, times, vecs)),))
-        last = (max(times) + ttl) // 1000 + SWEEP_MS if times else 0
-        state.setTimeoutTimestamp(int(max(last, state.getCurrentWatermarkMs() + 1)))
+        if lateness is not None:
+            last = (max(times) + ttl) // 1000 + SWEEP_MS if times else 0
+            state.setTimeoutTimestamp(int(max(last, state.getCurrentWatermarkMs() + 1)))
         yield pd.DataFrame({
             "id": batch["id"], "us": batch["us"], "hit": hit,
             "match_id": pd.Series(match, dtype=object), "similarity": score})
 
     return rows.groupBy("tenant", "model").applyInPandasWithState(
         step, "id bigint, us bigint, hit boolean, match_id bigint, similarity double", _STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
+        _timeout(lateness))
 
 
-def usage_rollup_stream(usage: DataFrame, window: str = "1 day", lateness: str = "1 hour") -> DataFrame:
+def usage_rollup_stream(usage: DataFrame, window: str = "1 day", lateness: str | None = "1 hour") -> DataFrame:
     """Requests, cost, fallbacks and latency per window and provider; in update mode each window comes as it grows.
 
-    The watermark only bounds the state: rows that come later than `lateness` behind the newest are left out."""
-    return (usage.withColumn("at", instant(F.col("created_at"))).withWatermark("at", lateness)
+    The watermark only bounds the state: rows that come later than `lateness` behind the newest are left out.
+    With None, for a stored table whose files come in any order, none are, and all windows are kept to the end."""
+    return (_marked(usage.withColumn("at", instant(F.col("created_at"))), lateness)
             .groupBy(F.window("at", window), "provider")
             .agg(F.count("*").alias("request_count"),
                  F.coalesce(F.sum("cost_usd").cast("decimal(18,6)"), F.lit(0).cast("decimal(18,6)")).alias("total_cost_usd"),
@@ -172,14 +184,15 @@ def usage_rollup_stream(usage: DataFrame, window: str = "1 day", lateness: str =
                     "fallback_count", "avg_latency_ms"))
 
 
-def assemble_chunks_stream(chunks: DataFrame, timeout_ms: int = 60_000, lateness: str = "10 minutes") -> DataFrame:
+def assemble_chunks_stream(chunks: DataFrame, timeout_ms: int = 60_000, lateness: str | None = "10 minutes") -> DataFrame:
     """A completion's text once its end row and all rows before it have arrived; an unfinished one goes after 60 s of
-    event time.
+    event time. With a `lateness` of None, for a stored table whose files come in any order, no row is late and unfinished
+    ones wait to the end.
 
     Needs completion_id, position, delta, finish_reason, prompt_tokens, completion_tokens, ts."""
-    rows = chunks.select(
+    rows = _marked(chunks.select(
         "completion_id", "position", "delta", "finish_reason", "prompt_tokens", "completion_tokens",
-        instant(F.col("ts")).alias("at"), F.floor(epoch_us(F.col("ts")) / 1000).alias("ms")).withWatermark("at", lateness)
+        instant(F.col("ts")).alias("at"), F.floor(epoch_us(F.col("ts")) / 1000).alias("ms")), lateness)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
@@ -200,11 +213,12 @@ def assemble_chunks_stream(chunks: DataFrame, timeout_ms: int = 60_000, lateness
                                 "prompt_tokens": [end[1]], "completion_tokens": [end[2]]})
         else:
             state.update((pickle.dumps((parts, end, newest)),))
-            state.setTimeoutTimestamp(max(newest + timeout_ms, state.getCurrentWatermarkMs() + 1))
+            if lateness is not None:
+                state.setTimeoutTimestamp(max(newest + timeout_ms, state.getCurrentWatermarkMs() + 1))
 
     return rows.groupBy("completion_id").applyInPandasWithState(
         step, "completion_id bigint, content string, prompt_tokens int, completion_tokens int", _STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
+        _timeout(lateness))
 
 
 def ingest_usage_stream(records: DataFrame, name: str = "usage") -> tuple[DataFrame, DataFrame]:
