@@ -55,3 +55,22 @@ def test_query_against_templates(spark, small):
         parts = re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h1|br)>", "\0", body)).split("\0")
         expected = "\n".join(x for x in (" ".join(html.unescape(p).split()) for p in parts) if x)
         assert (r["text"], r["n_chars"]) == (expected, len(expected))
+
+
+LONG = WORDS.strip()
+BODY = "".join(f"<p>{WORDS}{WORDS}</p>" for _ in range(6))
+SIDE = "<div class=sidebar><ul><li><a href=/a>One link</a><li><a href=/b>Another link</a></ul></div>"
+
+
+@pytest.mark.parametrize("name", ["content-with-sidebar", "layout has-sidebar", "toc-enabled", "no-sidebar", "page-sidebar-left", "pageSidebar widget"])
+def test_wrappers_that_sound_like_boilerplate(name):
+    """Without article or main the text stays, and the sidebar in the wrapper goes."""
+    expected = "\n".join(["Title of it", *[f"{LONG} {LONG}"] * 6])
+    assert H.extract(f"<body><div class='{name}'><div class='post-header'><h1>Title of it</h1></div>{BODY}{SIDE}</div><footer>(c) x</footer></body>") == expected
+    assert H.extract(f"<body><div id='{name}'><h1>Title of it</h1>{BODY}{SIDE}</div></body>") == expected
+
+
+def test_hints_hold_for_smaller_parts_and_beside_an_article():
+    assert H.extract(f"<div>{BODY}</div><div class=sidebar><p>{WORDS}{WORDS}</p></div>") == "\n".join([f"{LONG} {LONG}"] * 6)
+    assert H.extract(f"<article><p>{WORDS}</p></article><div class='related'>{BODY}</div>") == LONG
+    assert H.extract(f"<nav><div class=menu>{BODY}</div></nav><div><p>{WORDS}</p></div>") == LONG

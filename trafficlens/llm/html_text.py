@@ -4,6 +4,9 @@ A page is cut into blocks of text at block-level tags. A small classifier gives
 and the cost of calling it boilerplate; these become capacities to the two terminals. Blocks that follow one another, and
 blocks that follow one another within the same container, are joined by smoothness edges. The maximum flow separates
 content from boilerplate at the least total cost. Blocks of the content side are kept whole.
+
+Elements such as nav and roles speak for themselves. A class or id that sounds like boilerplate is a hint: on a page that has
+no article or main element it counts the less, the more of the page's text without links lies in the element.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ ASIDE_NAMES = set(
     " promo promoted promotion recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags"
     " toc toolbar widget".split())
 COMMENT_NAMES = set("comment comments commentlist disqus discussion replies reply respond".split())
+#: words that make a class tell of the page, as in has-sidebar
+ABOUT_NAMES = set("has with without no enabled disabled".split())
 CONTENT_NAMES = set("article articlebody content entry main post postbody story".split())
 
 #: costs: a cue of the container, a main element, a paragraph, links, per hundred characters, and the two kinds of edges
@@ -44,17 +49,20 @@ _NAME = re.compile(r"[a-z0-9]+")
 
 
 class Block:
-    __slots__ = ("cue", "container", "length", "linked", "tag", "text")
+    __slots__ = ("container", "cue", "hint", "length", "linked", "share", "tag", "text")
 
-    def __init__(self, text: str, linked: int, tag: str, cue: str, container: int):
+    def __init__(self, text: str, linked: int, tag: str, cue: str, container: int, hint: int):
+        self.hint, self.share = hint, 0.0  # the nearest element with a hint, and its share of the page's text
         self.text, self.linked, self.tag, self.cue, self.container, self.length = text, linked, tag, cue, container, len(text)
 
 
 def _cue(tag: str, attributes: str, above: str) -> str:
-    """What the element says of what is in it: 'aside', 'comment', 'main', 'named' or ''; comments stay comments."""
+    """What the element says of what is in it: 'aside', 'comment', 'main', 'named', 'new hint', 'hint' or ''; comments
+    stay comments."""
     if above == "comment":
         return above
     names: set[str] = set()
+    hinted = False
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
@@ -65,18 +73,23 @@ def _cue(tag: str, attributes: str, above: str) -> str:
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                 return "aside"
             if key in ("class", "id"):
-                names.update(_NAME.findall(_CAMEL.sub(" ", value).lower()))
+                for name in value.split():
+                    words = set(_NAME.findall(_CAMEL.sub(" ", name).lower()))
+                    names |= words
+                    # the header of a post or the like holds its title
+                    own = words - {"header"} if words & CONTENT_NAMES else words
+                    hinted = hinted or bool(own & ASIDE_NAMES) and not words & ABOUT_NAMES
     if tag in ("html", "body"):
         return above
     if names & COMMENT_NAMES:
         return "comment"
     if tag in ASIDE and not (tag == "header" and above == "main"):
         return "aside"
-    if names & ASIDE_NAMES and tag not in MAIN and tag not in ("h1", "h2", "h3", "p", "span", "b", "strong", "em", "i", "a"):
-        return "aside"
+    if hinted and above != "aside" and tag not in MAIN and tag not in ("h1", "h2", "h3", "p", "span", "b", "strong", "em", "i", "a"):
+        return "new hint"
     if tag in MAIN:
         return "main"
-    if names & CONTENT_NAMES and above not in ("main", "aside"):
+    if names & CONTENT_NAMES and above not in ("main", "aside", "hint"):
         return "named"
     return above
 
@@ -87,6 +100,7 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, str, int]] = [("", "", 0)]  # tag, cue, number
     pieces: list[str] = []
     linked = links = number = at = 0
+    hint_of, outer = {0: 0}, {}  # nearest element with a hint by element, and the next one around it
 
     def flush() -> None:
         nonlocal linked
@@ -95,6 +109,7 @@ def blocks_of(page: str) -> list[Block]:
             pieces.clear()
             if text:
                 tag, cue, container = stack[-1]
+                hint = hint_of[container]
                 for tag, _, container in reversed(stack):  # noqa: B007
                     if tag in BLOCKS or not tag:
                         break
@@ -102,7 +117,7 @@ def blocks_of(page: str) -> list[Block]:
                 if tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "dd", "dt"):
                     k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][2] == container)
                     parent = stack[k - 1][2] if k else 0
-                out.append(Block(text, min(linked, len(text)), tag, cue, parent))
+                out.append(Block(text, min(linked, len(text)), tag, cue, parent, hint))
         linked = 0
 
     def close(k: int) -> None:
@@ -159,13 +174,29 @@ def blocks_of(page: str) -> list[Block]:
                         break
         if tag not in VOID and not m[3].rstrip().endswith("/") or tag in BLOCKS - VOID:
             number += 1
-            stack.append((tag, _cue(tag, m[3], stack[-1][1]), number))
+            _, above, around = stack[-1]
+            cue = _cue(tag, m[3], above)
+            hint_of[number] = hint_of[around]
+            if cue == "new hint":
+                cue, hint_of[number], outer[number] = "hint", number, hint_of[around]
+            stack.append((tag, cue, number))
             links += tag == "a"
     # a tag that is cut off at the end of the page is no text
     rest = page[at:]
     cut = re.search(r"<[a-zA-Z/!?][^>]*\Z", rest)
     add(rest[: cut.start()] if cut else rest)
     flush()
+    if not any(b.cue == "main" for b in out):
+        free = dict.fromkeys([0, *outer], 0)
+        for b in out:
+            if b.cue not in ("aside", "comment"):
+                hint = b.hint
+                while hint:
+                    free[hint] += b.length - b.linked
+                    hint = outer[hint]
+                free[0] += b.length - b.linked
+        for b in out:
+            b.share = free[b.hint] / free[0] if b.cue == "hint" and free[0] else 0.0
     return out
 
 
@@ -178,8 +209,8 @@ def costs(b: Block) -> tuple[float, float]:
     elif b.cue == "named":
         content += NAME_CUE
     elif b.cue:
-        content = min(content, 1.0)
-        other += CUE
+        content = b.share * content + (1 - b.share) * min(content, 1.0)
+        other += CUE * (1 - b.share)
     return content, other
 
 
