@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, contamination, html_text, language, lm_score, mixing, near_dup, quality, secrets, sql, token_files
+from . import chat, contamination, html_text, language, lm_score, mixing, near_dup, piece_codec, quality, secrets, sql, token_files
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -95,6 +95,14 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.lm_scores(docs, _remainder(7) == 2)
 
 
+def op12_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    docs = piece_codec.encode(_table(spark, folder, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    return piece_codec.decode(docs, path).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_html_text": op2_html_text,
@@ -106,6 +114,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
     "op10_lm_score": op10_lm_score,
+    "op12_sentencepiece": op12_sentencepiece,
 }
 SQL: dict[str, str] = {
     "op1_decontamination": sql.DECONTAMINATION,

@@ -140,7 +140,7 @@ class Encoder:
         stops[offsets[1:][np.diff(offsets) > 0]] = True
         ends = np.flatnonzero(stops)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-        keys = W.span_hashes(data, starts, ends, W._CODES)
+        keys = W.span_hashes(data, starts, ends, W.EXACT)
         order = np.argsort(keys)
         new = np.ones(len(keys), bool)
         new[1:] = keys[order][1:] != keys[order][:-1]

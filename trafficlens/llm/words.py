@@ -26,6 +26,8 @@ ALPHANUMERIC = (
 )
 
 _CODES = np.random.default_rng(20260101).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+#: codes of bytes for hashes that tell A-Z from a-z
+EXACT = _CODES
 _FOLDED = _CODES.copy()
 _FOLDED[0x41:0x5B] = _CODES[0x61:0x7B]
 _STEP = 0x9E3779B97F4A7C15
