@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame, types as T
 from . import words as W
 
 SPACE = "▁"
-SLICE_BYTES = 4 << 20
+#: bytes of text, and ids, that are handled at once
+SLICE_BYTES, SLICE_IDS = 2 << 20, 1 << 19
 NEVER, EMPTY = np.int32(2**31 - 1), np.int64(-1)
 #: shape of the texts that models handled here leave as they are, but for the prefix and the signs for spaces
 _PROBE = " Ａﬁ\t x  "
@@ -245,6 +246,16 @@ def decode_column(lists: pa.Array, vocabulary: Vocabulary) -> pa.Array:
     return pa.array([data[a:b].decode("utf-8", "each_byte") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.string())
 
 
+def _slices_of_ids(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with at most SLICE_IDS ids each, or one row where a list is longer."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    row = 0
+    while row < batch.num_rows:
+        stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + SLICE_IDS, "right")))
+        yield batch.slice(row, stop - row)
+        row = stop
+
+
 def _with_column(docs: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in docs.schema.fields if f.name != name]).add(name, kind)
 
@@ -271,6 +282,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load(path)
         for batch in batches:
-            yield _put(batch, text_col, decode_column(batch.column(ids_col), vocabulary))
+            for part in _slices_of_ids(batch, ids_col):
+                yield _put(part, text_col, decode_column(part.column(ids_col), vocabulary))
 
     return docs.mapInArrow(task, _with_column(docs, text_col, T.StringType()))
