@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, contamination, html_text, language, lm_score, mixing, near_dup, piece_codec, quality, secrets, sql, token_files
+from . import chat, contamination, html_text, language, lexical_search, lm_score, mixing, near_dup, piece_codec, quality, secrets, sql, token_files
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -95,6 +95,10 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.lm_scores(docs, _remainder(7) == 2)
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "benchmark"))
+
+
 def op12_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
     docs = piece_codec.encode(_table(spark, folder, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
@@ -114,6 +118,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
     "op10_lm_score": op10_lm_score,
+    "op11_lexical_search": op11_lexical_search,
     "op12_sentencepiece": op12_sentencepiece,
 }
 SQL: dict[str, str] = {
@@ -121,4 +126,5 @@ SQL: dict[str, str] = {
     "op3_chat": sql.CHAT,
     "op5_near_dup": sql.NEAR_DUP,
     "op8_mixing": sql.mixing_sql(),
+    "op11_lexical_search": sql.LEXICAL_SEARCH,
 }

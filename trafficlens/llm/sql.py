@@ -72,6 +72,26 @@ select d.doc_id, coalesce(n, 0) as n_shingles, m.component_id, d.doc_id = m.comp
 from d left join sizes using (doc_id) join (select node, min(seen) as component_id from reach group by node) m on m.node = d.doc_id
 """
 
+LEXICAL_SEARCH = rf"""
+with d as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+q as (
+  select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as t
+  from benchmark),
+size as (select count(*) filter (len(w) > 0) as n, sum(len(w))::bigint as l from d),
+tf as (select r, t, count(*) as tf from (select r, unnest(w) as t from d) group by r, t),
+weight as (
+  select t, floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1)))::bigint as w
+  from tf, size where t in (select t from q) group by t),
+scored as (
+  select item_id, doc_id, r, sum(weight.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(d.w) * n) // l))))::bigint as score
+  from q join tf using (t) join weight using (t) join d using (r), size group by item_id, doc_id, r),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from scored where score > 0)
+select item_id, rank::integer as rank, doc_id, score from ranked where rank <= 10
+"""
+
 
 def _permuted(source: str, x: str, n: str, key: str, inverse: bool = False) -> str:
     """A query over `source` with `place`, the permutation of x; the arithmetic of mixing.permuted."""
