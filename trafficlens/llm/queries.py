@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, contamination, html_text, language, lexical_search, lm_score, mixing, near_dup, piece_codec, quality, secrets, sql, token_files
+from . import chat, contamination, html_text, language, lexical_search, lm_score, mixing, near_dup, piece_codec, quality, secrets, spelling, sql, token_files
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -107,6 +107,10 @@ def op12_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_html_text": op2_html_text,
@@ -120,6 +124,7 @@ QUERIES = {
     "op10_lm_score": op10_lm_score,
     "op11_lexical_search": op11_lexical_search,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 SQL: dict[str, str] = {
     "op1_decontamination": sql.DECONTAMINATION,
@@ -127,4 +132,5 @@ SQL: dict[str, str] = {
     "op5_near_dup": sql.NEAR_DUP,
     "op8_mixing": sql.mixing_sql(),
     "op11_lexical_search": sql.LEXICAL_SEARCH,
+    "op13_spelling_variants": sql.SPELLING,
 }

@@ -92,6 +92,46 @@ ranked as (select *, row_number() over (partition by item_id order by score desc
 select item_id, rank::integer as rank, doc_id, score from ranked where rank <= 10
 """
 
+SPELLING = rf"""
+with recursive crc_table as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k:
+           case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as t),
+runs as (
+  select doc_id, run, count(*) as k from (
+    select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as run from documents)
+  where length(run) >= 7 group by all),
+bytes as (select run, k, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as x from runs),
+sums as (
+  select run, k, xor(4294967295, list_reduce(
+           list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint)),
+           lambda c, v: xor(c // 256, t[xor(c, v) % 256 + 1]))) as h
+  from bytes, crc_table),
+words as (
+  select word, sum(k)::bigint as n from (
+    select k, case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word from sums)
+  where length(word) >= 7 group by word having sum(k) >= 2),
+cuts as (
+  select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+  from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+near as (
+  select x.word, x.n, y.word as other, y.n as other_n from cuts x join cuts y using (rest, i) where x.word <> y.word
+  union
+  select w.word, w.n, c.word, c.n from words w join cuts c on c.rest = w.word
+  union
+  select c.word, c.n, w.word, w.n from words w join cuts c on c.rest = w.word),
+best as (
+  select word, count(*) as n_near, first(other order by other_n desc, other) as other, max(other_n) as other_n from near group by word),
+forms as (
+  select word, n, coalesce(n_near, 0) as n_near, case when other_n >= 10 * n then other end as form, case when other_n >= 10 * n then other_n end as form_n
+  from words left join best using (word)),
+walk as (
+  select word, word as place, 0 as steps from forms
+  union all
+  select walk.word, form, steps + 1 from walk join forms on forms.word = walk.place where form is not null),
+ends as (select word, arg_max(place, steps) as root from walk group by word)
+select word, form, root, n, n_near, form_n from forms join ends using (word)
+"""
+
 
 def _permuted(source: str, x: str, n: str, key: str, inverse: bool = False) -> str:
     """A query over `source` with `place`, the permutation of x; the arithmetic of mixing.permuted."""
