@@ -15,30 +15,23 @@ def tokens(text):
 
 
 def brute(rows):
-    one, two = collections.Counter(), collections.Counter()
+    one, two = collections.Counter(), collections.defaultdict(collections.Counter)
     for _, text, held in rows:
-        before = "<s>"
-        for w in tokens(text) if not held else []:
-            one[w] += 1
-            two[before, w] += 1
-            before = w
-    n, v, context = sum(one.values()), len(one), collections.Counter(one)
-    context["<s>"] = one[None]
-    arcs = collections.Counter()
-    for (h, _), c in two.items():
-        arcs[h] += c - 0.75 if c >= 2 else 0
+        if not held:
+            words = tokens(text)
+            one.update(words)
+            for h, w in zip(["<s>", *words], words, strict=False):
+                two[h][w] += 1
+    n, v = sum(one.values()), len(one)
     out = []
     for i, text, held in rows:
-        before, base, score, known = "<s>", 0.0, 0.0, 0
-        for w in tokens(text):
-            p = (one[w] + 1) / (n + v + 1)
-            back = 1 - arcs[before] / context[before] if context[before] else 1
-            c = two[before, w]
-            known += one[w] > 0
-            base += math.log10(p)
-            score += math.log10((c - 0.75) / context[before] + back * p if c >= 2 else back * p)
-            before = w
-        out.append((i, held, len(tokens(text)), known, n, base, score))
+        words = tokens(text)
+        low = [(one[w] + 1) / (n + v + 1) for w in words]
+        score = 0.0
+        for h, w, p in zip(["<s>", *words], words, low, strict=False):
+            seen = two[h].total() if h in two else 0
+            score += math.log10((max(two[h][w] - 0.75, 0) + 0.75 * len(two[h]) * p) / seen if seen else p)
+        out.append((i, held, len(words), sum(one[w] > 0 for w in words), n, sum(map(math.log10, low)), score))
     return out
 
 
@@ -79,39 +72,16 @@ def test_empty_and_all_held_out(spark, tmp_path):
     assert S.lm_scores(docs.limit(0), F.col("held")).collect() == []
 
 
-def test_query(spark, small):
-    rows = [(r["doc_id"], r["text"], zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
-    same(queries.op10_lm_score(spark, small).collect(), brute(rows))
-
-
-def brute_with_every_arc(rows):
-    one, two = collections.Counter(), collections.defaultdict(collections.Counter)
-    for _, text, held in rows:
-        if not held:
-            words = tokens(text)
-            one.update(words)
-            for h, w in zip(["<s>", *words], words, strict=False):
-                two[h][w] += 1
-    n, v = sum(one.values()), len(one)
-    out = []
-    for i, text, held in rows:
-        words = tokens(text)
-        low = [(one[w] + 1) / (n + v + 1) for w in words]
-        score = 0.0
-        for h, w, p in zip(["<s>", *words], words, low, strict=False):
-            seen = two[h].total() if h in two else 0
-            score += math.log10((max(two[h][w] - 0.75, 0) + 0.75 * len(two[h]) * p) / seen if seen else p)
-        out.append((i, held, len(words), sum(one[w] > 0 for w in words), n, sum(map(math.log10, low)), score))
-    return out
-
-
-def test_bigrams_seen_once_are_arcs(spark, tmp_path, small):
+def test_bigrams_seen_once_are_arcs(spark, tmp_path):
     """A held-out text that repeats a phrase seen once scores above one of the same words in an order never seen."""
     rows = [*CASES[:5], (10, "a rare phrase", False), (11, "a rare phrase", True), (12, "phrase rare a", True)]
     spark.createDataFrame(rows, "doc_id bigint, text string, held boolean").repartition(3).write.parquet(str(tmp_path / "d"))
     got = S.lm_scores(spark.read.parquet(str(tmp_path / "d")), F.col("held")).collect()
-    same(got, brute_with_every_arc(rows))
+    same(got, brute(rows))
     score = {r["doc_id"]: r["score"] for r in got}
     assert score[11] > score[12] + 1
-    docs = [(r["doc_id"], r["text"], zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
-    same(queries.op10_lm_score(spark, small).collect(), brute_with_every_arc(docs))
+
+
+def test_query(spark, small):
+    rows = [(r["doc_id"], r["text"], zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    same(queries.op10_lm_score(spark, small).collect(), brute(rows))

@@ -15,9 +15,7 @@ ODD = ["", None, "  ", "a", "a  b", "\n\na", "x \ny", " a 　b \n c", "it's we
 def tokenizer():
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(queries.tokenizer_path())
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(queries.tokenizer_path())
 
 
 def test_pieces_encode_as_whole_texts(tokenizer):
