@@ -7,7 +7,9 @@ scatter is fitted, and vectors at a large Mahalanobis distance are rejected.
 The estimate starts from medians and absolute deviations and, apart from that, from all rows; concentration steps keep
 the three quarters of the rows that are nearest and fit again; of the two results the one of smaller determinant counts,
 scaled to be consistent for normal data. A step is a histogram of distances and sums of products per group, both
-aggregated before they are shuffled, so a group may hold any share of the rows. A group is judged by its own estimate and
+aggregated before they are shuffled, and what holds for all rows is the sum over the groups. A row is there once, with its
+distances to both results of its group and of all rows as columns; estimates come to the rows by a broadcast of counted size,
+or by salted keys. So no row is shuffled for its group, which may hold any share of them. A group is judged by its own estimate and
 the one over all rows mixed: centre and scatter are those of a mixture in which the own estimate weighs
 (n - r) / (n - r + `BLEND_ROWS`), n rows in the group and r the most that do not determine four statistics. Every scatter has a floor: differences below `FLOORS` are never far.
 
@@ -35,6 +37,8 @@ SHARE, STEPS = 0.75, 3
 #: three quarters of the rows determine a scatter of four statistics if they are five or more; and the rows beyond `FEW_ROWS`
 #: at which a group's own estimate weighs as much as the overall one
 FEW_ROWS, BLEND_ROWS = 6, 50
+#: most groups whose estimates are broadcast (some 250 bytes each); beyond, keys of the join are split in so many
+BROADCAST_GROUPS, SALTS = 50_000, 32
 #: chance that a normal vector is rejected
 TAIL = 1e-5
 
@@ -109,14 +113,34 @@ def _bin(value: Column) -> Column:
     return F.floor(F.log2(value + 1) * 64).cast("int")
 
 
-def _quantile_bins(rows: DataFrame, keys: list[str], values: dict[str, Column], share: float) -> DataFrame:
-    """For each key the first bin by which `share` of its rows are reached, for each named value; counts only."""
-    each = rows.select(*keys, F.explode(F.create_map(*(x for name, v in values.items() for x in (F.lit(name), _bin(v))))).alias("name", "bin"))
-    counts = each.groupBy(*keys, "name", "bin").agg(F.count("*").alias("n"))
-    so_far = Window.partitionBy(*keys, "name").orderBy("bin")
-    everything = Window.partitionBy(*keys, "name")
-    reached = counts.withColumn("c", F.sum("n").over(so_far)).withColumn("t", F.sum("n").over(everything)).where(F.col("c") >= F.col("t") * share)
-    return reached.groupBy(*keys).pivot("name", list(values)).agg(F.min("bin"))
+def _histogram(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(scope, name, bin, n): counts of each named value by group. A name that begins with all is counted over all rows, as scope ''."""
+    each = rows.select("grp", F.explode(F.create_map(*(x for name, v in values.items() for x in (F.lit(name), _bin(v))))).alias("name", "bin"))
+    scope = F.when(F.col("name").startswith("all"), "").otherwise(F.col("grp"))
+    return each.groupBy(scope.alias("scope"), "name", "bin").agg(F.count("*").alias("n"))
+
+
+def _reached(counts: DataFrame, share: float) -> DataFrame:
+    """(scope, name, bin): the first bin by which `share` of a scope's rows are reached."""
+    everything = Window.partitionBy("scope", "name")
+    reached = counts.withColumn("c", F.sum("n").over(everything.orderBy("bin"))).withColumn("t", F.sum("n").over(everything))
+    return cut(reached.where(F.col("c") >= F.col("t") * share).groupBy("scope", "name").agg(F.min("bin").alias("bin")))
+
+
+def _by_group(found: DataFrame, names: list[str]) -> DataFrame:
+    return cut(found.where("scope <> ''").groupBy(F.col("scope").alias("grp")).pivot("name", names).agg(F.first("bin")))
+
+
+def _overall(found: DataFrame) -> dict[str, int]:
+    return {r["name"]: r["bin"] for r in found.where("scope = ''").collect()}
+
+
+def _attached(rows: DataFrame, model: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the columns of `model`, a small written table with one row to a group."""
+    if model.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(model), "grp", how)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*VECTOR), F.lit(SALTS)).cast("int"))
+    return salted.join(model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["grp", "salt"], how).drop("salt")
 
 
 def _value(bin_: Column) -> Column:
@@ -134,6 +158,12 @@ def _factored(rows: DataFrame, scatter) -> DataFrame:
     return rows
 
 
+#: columns of an estimate: centre, and factor of the scatter
+PARAMETERS = [*(f"m{i}" for i in range(len(VECTOR))), *(f"l{i}{j}" for i in range(len(VECTOR)) for j in range(i + 1))]
+#: distances of a row: to its group's estimate by start, and to the one over all rows
+KINDS = ["own0", "own1", "all0", "all1"]
+
+
 def _fitted(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Centre and Cholesky factor of the scatter for each key, from sums and sums of products."""
     p = len(VECTOR)
@@ -145,40 +175,85 @@ def _fitted(rows: DataFrame, keys: list[str]) -> DataFrame:
     size = F.lit(0.0)
     for i in range(p):
         size = size + F.log(f"l{i}{i}")
-    return out.select(*keys, "n", size.alias("log_det"), *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
+    return out.select(*keys, "n", size.alias("log_det"), *PARAMETERS)
 
 
-def _distance(rows: DataFrame, name: str) -> DataFrame:
-    """rows joined to an estimate, with the squared Mahalanobis distance, by forward substitution."""
-    total = F.lit(0.0)
+def _refitted(rows: DataFrame, chosen: dict[str, Column]) -> DataFrame:
+    """(scope, start, n, log_det, ..) from the rows that each condition, named by KINDS, chooses; sums are combined before the shuffle."""
+    each = rows.select("grp", *VECTOR, F.explode(F.array_compact(F.array(*(F.when(which, F.lit(name)) for name, which in chosen.items())))).alias("name"))
+    scope = F.when(F.col("name").startswith("all"), "").otherwise(F.col("grp"))
+    return cut(_fitted(each.select(scope.alias("scope"), F.col("name").substr(4, 1).cast("int").alias("start"), *VECTOR), ["scope", "start"]))
+
+
+def _distances(rows: DataFrame, named: dict[str, object]) -> DataFrame:
+    """rows with squared Mahalanobis distances, by forward substitution; for each name a function gives the parameters' columns."""
+    made = []
     for i, x in enumerate(VECTOR):
-        value = F.col(x) - F.col(f"m{i}")
-        for j in range(i):
-            value = value - F.col(f"l{i}{j}") * F.col(f"_y{j}")
-        rows = rows.withColumn(f"_y{i}", value / F.col(f"l{i}{i}"))
-        total = total + F.col(f"_y{i}") * F.col(f"_y{i}")
-    return rows.withColumn(name, total).drop(*(f"_y{i}" for i in range(len(VECTOR))))
+        step = {}
+        for name, at in named.items():
+            value = F.col(x) - at(f"m{i}")
+            for j in range(i):
+                value = value - at(f"l{i}{j}") * F.col(f"_{name}{j}")
+            step[f"_{name}{i}"] = value / at(f"l{i}{i}")
+        rows = rows.withColumns(step)
+        made += step
+    total = {name: sum((F.col(f"_{name}{i}") * F.col(f"_{name}{i}") for i in range(len(VECTOR))), F.lit(0.0)) for name in named}
+    return rows.withColumns(total).drop(*made)
+
+
+def _distance(rows: DataFrame, name: str) -> DataFrame:
+    return _distances(rows, {name: F.col})
+
+
+def _named(prefix: str):
+    return lambda k: F.col(f"{prefix}_{k}")
+
+
+def _constant(values: dict):
+    return lambda k: F.lit(values[k])
+
+
+def _all_distances(rows: DataFrame, model: DataFrame, given: dict[str, str] = {}) -> DataFrame:
+    """rows with own0, own1, all0 and all1, their distances to the estimates of either start; `given` names columns that are there."""
+    own = [model.where(f"scope <> '' and start = {s}").select(F.col("scope").alias("grp"), *(F.col(k).alias(f"own{s}_{k}") for k in PARAMETERS)) for s in (0, 1)]
+    out = _attached(rows, cut(own[0].join(own[1], "grp")))
+    overall = {f"all{r['start']}": _constant(r.asDict()) for r in model.where("scope = ''").collect()}
+    out = _distances(out, overall | {f"own{s}": _named(f"own{s}") for s in (0, 1)})
+    return out.select("grp", *VECTOR, *(F.col(given.get(k, k)).alias(k) for k in KINDS))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """One estimate per grp, and one over all rows with a null grp; `rows` has grp and VECTOR."""
-    scoped = rows.select(F.explode(F.array(F.col("grp"), F.lit(None).cast("string"))).alias("scope"), *VECTOR)
-    scoped = scoped.select(F.coalesce("scope", F.lit("")).alias("scope"), *VECTOR)
-    low = {x: F.lit(2.0) + F.col(x) for x in VECTOR}  # x_length is above -2 + 1, shares are above 0
-    middle = cut(_quantile_bins(scoped, ["scope"], low, 0.5).select("scope", *(( _value(F.col(x)) - 2).alias(f"mid_{x}") for x in VECTOR)))
-    off = scoped.join(middle, "scope")
-    spread = cut(_quantile_bins(off, ["scope"], {x: F.abs(F.col(x) - F.col(f"mid_{x}")) for x in VECTOR}, 0.5)
-                 .select("scope", *((_value(F.col(x)) * 1.4826).alias(f"mad_{x}") for x in VECTOR)))
-    far = F.lit(0.0)
-    for x, floor in zip(VECTOR, FLOORS, strict=True):
-        far = far + F.pow(F.col(x) - F.col(f"mid_{x}"), 2) / (F.pow(f"mad_{x}", 2) + floor**2)
-    robust = scoped.join(middle, "scope").join(spread, "scope").select("scope", *VECTOR, F.lit(0).alias("start"), far.alias("d"))
-    plain = _distance(scoped.join(_fitted(scoped, ["scope"]), "scope"), "d").select("scope", *VECTOR, F.lit(1).alias("start"), "d")
-    now, keys = robust.unionByName(plain), ["scope", "start"]
-    for _ in range(STEPS):
-        cuts = cut(_quantile_bins(now, keys, {"d": F.col("d")}, SHARE).withColumnRenamed("d", "cut"))
-        model = cut(_fitted(now.join(cuts, keys).where(_bin(F.col("d")) <= F.col("cut")), keys))
-        now = _distance(scoped.join(model, "scope"), "d").select("scope", *VECTOR, "start", "d")
+    """One estimate per grp, and one over all rows with scope ''; `rows` has grp and VECTOR."""
+    names = {f"{of}_{x}": F.lit(2.0) + F.col(x) for of in ("own", "all") for x in VECTOR}  # x_length is above -2 + 1, shares are above 0
+    middle = _reached(_histogram(rows, names), 0.5)
+    own_names = [f"own_{x}" for x in VECTOR]
+    mids = cut(_by_group(middle, own_names).select("grp", *((_value(F.col(x)) - 2).alias(f"mid_{x}") for x in own_names)))
+    found = _overall(middle)
+    if not found:
+        return _fitted(rows.withColumnRenamed("grp", "scope"), ["scope"])
+    shift = [2.0 ** ((found[f"all_{x}"] + 0.5) / 64) - 3 for x in VECTOR]
+    off = _attached(rows, mids)
+    away = {f"own_{x}": F.abs(F.col(x) - F.col(f"mid_own_{x}")) for x in VECTOR} | {f"all_{x}": F.abs(F.col(x) - F.lit(c)) for x, c in zip(VECTOR, shift, strict=True)}
+    spread = _reached(_histogram(off, away), 0.5)
+    mads = _by_group(spread, own_names).select("grp", *((_value(F.col(x)) * 1.4826).alias(f"mad_{x}") for x in own_names))
+    found = _overall(spread)
+    both = _attached(rows, cut(mids.join(mads, "grp")))
+    own, overall = F.lit(0.0), F.lit(0.0)
+    for x, floor, c in zip(VECTOR, FLOORS, shift, strict=True):
+        own = own + F.pow(F.col(x) - F.col(f"mid_own_{x}"), 2) / (F.pow(f"mad_own_{x}", 2) + floor**2)
+        mad = (2.0 ** ((found[f"all_{x}"] + 0.5) / 64) - 1) * 1.4826
+        overall = overall + F.pow(F.col(x) - F.lit(c), 2) / (mad**2 + floor**2)
+    # the second start is the plain estimate of all rows
+    plain = _refitted(rows, {k: F.lit(True) for k in KINDS})
+    now = _all_distances(both.select("grp", *VECTOR, own.alias("near_own"), overall.alias("near_all")), plain, {"own0": "near_own", "all0": "near_all"})
+    for step in range(STEPS):
+        cuts = _reached(_histogram(now, {k: F.col(k) for k in KINDS}), SHARE)
+        own_cuts = _by_group(cuts, KINDS[:2]).select("grp", *(F.col(k).alias(f"cut_{k}") for k in KINDS[:2]))
+        limits = _overall(cuts)
+        chosen = {k: _bin(F.col(k)) <= (F.col(f"cut_{k}") if k.startswith("own") else F.lit(limits[k])) for k in KINDS}
+        model = _refitted(_attached(now, cut(own_cuts)), chosen)
+        if step < STEPS - 1:
+            now = _all_distances(rows, model)
     best = model.groupBy("scope").agg(F.min_by(F.struct("*"), F.struct("log_det", "start")).alias("best"))
     return best.select("best.*")
 
@@ -191,8 +266,7 @@ def own_weight(n: Column) -> Column:
 
 def blended(model: DataFrame, sizes: DataFrame) -> DataFrame:
     """grp, centre and Cholesky factor of each group's estimate mixed with the overall one; sizes has grp and rows."""
-    p = len(VECTOR)
-    names = [*(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1))]
+    p, names = len(VECTOR), PARAMETERS
     overall = model.where("scope = ''").select(*(F.col(x).alias(f"all_{x}") for x in names))
     own = model.where("scope <> ''").select(F.col("scope").alias("grp"), *(F.col(x).alias(f"own_{x}") for x in names))
     both = sizes.join(own, "grp").crossJoin(overall).withColumn("w", own_weight(F.col("rows")))
@@ -217,7 +291,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     sizes = rows.groupBy("grp").agg(F.count("*").alias("rows"))
     limit = _chi2_quantile(1 - TAIL, len(VECTOR))
     placed = stats.withColumns(dict(zip(VECTOR, (F.when(~F.col("base_failed"), x) for x in _vector()), strict=True)))
-    measured = _distance(placed.join(cut(blended(model, sizes)), "grp", "left"), "distance")
+    measured = _distance(_attached(placed, cut(blended(model, sizes)), "left"), "distance")
     return measured.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed",
         F.when(~F.col("base_failed"), F.col("distance")).alias("distance"),
