@@ -99,3 +99,11 @@ def test_special_tokens_encode_as_the_plain_call_does(spark, frame):
     path = T.write_token_files(frame(list(enumerate(texts))), queries.tokenizer_path(), T.fresh_path(spark))
     got = T.read_token_files(spark, path).orderBy("doc_id").collect()
     assert [(r["n_tokens"], r["ids_crc32"]) for r in got] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in expected]
+
+
+def test_marks_end_pieces_as_the_library_cuts(tokenizer):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["don't", "a", "B9", ".", ",", "'", "\"", ")", "...", "é", " ", "\n", "_", "'s.", "x.y", "3.14,"]) for _ in range(rng.randrange(25))) for _ in range(2000)]
+    ids, rows = T.Encoder(queries.tokenizer_path()).encode(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert ids[rows[k] : rows[k + 1]].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, T.END_ID], text

@@ -12,12 +12,14 @@ checkpoints are the bit offsets of every 256th id of the block, so that a block
 table over the longest code. Each block decodes on its own. Every document ends with the end id.
 
 Tokenising works on the distinct pieces of a text: white space with the letters after it always encodes alike, because the
-tokenizer never joins a non-space and a following white space. Texts with white space beyond ASCII
+tokenizer never joins a non-space and a following white space. Where it cuts by the usual byte-level pattern, a piece also ends
+between an ASCII letter or digit and a mark such as a full stop. Texts with white space beyond ASCII
 or with a special token of the tokenizer, which the library takes as that token, are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -55,6 +57,9 @@ BLOCK_TYPES = "part int, block bigint, doc_ids array<bigint>, n_tokens array<int
 _SPACES = "[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]"
 
 
+#: ASCII letters and digits, and marks that begin a token of their own behind them under the usual byte-level pattern
+_ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+_MARK = np.isin(np.arange(256), list(b'.,;:!?)"'))
 #: how byte-level vocabularies write a space and a line feed
 _OPENERS = "\u0120\u010a"
 
@@ -70,6 +75,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         names = self.tokenizer.get_vocab(with_added_tokens=False)
+        cutter = json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}
+        self.cuts_marks = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True)
         #: tokens that are taken from a text before it is cut into words
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.opens = np.zeros(max(names.values(), default=0) + 1, bool)
@@ -139,6 +146,8 @@ class Encoder:
         stops = np.zeros(len(data) + 1, bool)
         stops[ends] = True
         stops[offsets[1:][np.diff(offsets) > 0]] = True
+        if self.cuts_marks:
+            stops[1:-1] |= _ALNUM[data[:-1]] & _MARK[data[1:]]
         ends = np.flatnonzero(stops)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
         keys = W.span_hashes(data, starts, ends, W.EXACT)
