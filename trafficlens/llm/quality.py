@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .lineage import cut
 
@@ -113,31 +113,24 @@ def _bin(value: Column) -> Column:
     return F.floor(F.log2(value + 1) * 64).cast("int")
 
 
-def _histogram(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """(scope, name, bin, n): counts of each named value by group. A name that begins with all is counted over all rows, as scope ''."""
-    each = rows.select("grp", F.explode(F.create_map(*(x for name, v in values.items() for x in (F.lit(name), _bin(v))))).alias("name", "bin"))
-    scope = F.when(F.col("name").startswith("all"), "").otherwise(F.col("grp"))
-    return each.groupBy(scope.alias("scope"), "name", "bin").agg(F.count("*").alias("n"))
-
-
-def _reached(counts: DataFrame, share: float) -> DataFrame:
-    """(scope, name, bin): the first bin by which `share` of a scope's rows are reached."""
-    everything = Window.partitionBy("scope", "name")
-    reached = counts.withColumn("c", F.sum("n").over(everything.orderBy("bin"))).withColumn("t", F.sum("n").over(everything))
-    return cut(reached.where(F.col("c") >= F.col("t") * share).groupBy("scope", "name").agg(F.min("bin").alias("bin")))
-
+def _reached(rows: DataFrame, values: dict[str, Column], share: float, groups: int | None = None) -> DataFrame:
+    """For each grp, and for all rows with a null grp, the first bin by which `share` of the rows are reached, by named value.
 
-def _by_group(found: DataFrame, names: list[str]) -> DataFrame:
-    return cut(found.where("scope <> ''").groupBy(F.col("scope").alias("grp")).pivot("name", names).agg(F.first("bin")))
+    Counts of bins are combined before the shuffle; there are some thousands of bins at most. `rows` counts a group's rows.
+    """
+    first = (F.expr(f"percentile_disc({share}) within group (order by `{name}`)").alias(name) for name in values)
+    binned = rows.select("grp", *(_bin(v).alias(name) for name, v in values.items()))
+    return _kept(binned.rollup("grp").agg(F.count("*").alias("rows"), *first), groups)
 
 
-def _overall(found: DataFrame) -> dict[str, int]:
-    return {r["name"]: r["bin"] for r in found.where("scope = ''").collect()}
+def _kept(table: DataFrame, groups: int | None) -> DataFrame:
+    """A table with a few rows to a group, written once, in as many files as the number of groups asks for."""
+    return cut(table if groups is None else table.coalesce(1 + groups // 20_000))
 
 
-def _attached(rows: DataFrame, model: DataFrame, how: str = "inner") -> DataFrame:
-    """rows with the columns of `model`, a small written table with one row to a group."""
-    if model.count() <= BROADCAST_GROUPS:
+def _attached(rows: DataFrame, model: DataFrame, groups: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of `model`, a table with one row to a group."""
+    if groups <= BROADCAST_GROUPS:
         return rows.join(F.broadcast(model), "grp", how)
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(*VECTOR), F.lit(SALTS)).cast("int"))
     return salted.join(model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["grp", "salt"], how).drop("salt")
@@ -178,11 +171,11 @@ def _fitted(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "n", size.alias("log_det"), *PARAMETERS)
 
 
-def _refitted(rows: DataFrame, chosen: dict[str, Column]) -> DataFrame:
+def _refitted(rows: DataFrame, chosen: dict[str, Column], groups: int) -> DataFrame:
     """(scope, start, n, log_det, ..) from the rows that each condition, named by KINDS, chooses; sums are combined before the shuffle."""
     each = rows.select("grp", *VECTOR, F.explode(F.array_compact(F.array(*(F.when(which, F.lit(name)) for name, which in chosen.items())))).alias("name"))
     scope = F.when(F.col("name").startswith("all"), "").otherwise(F.col("grp"))
-    return cut(_fitted(each.select(scope.alias("scope"), F.col("name").substr(4, 1).cast("int").alias("start"), *VECTOR), ["scope", "start"]))
+    return _kept(_fitted(each.select(scope.alias("scope"), F.col("name").substr(4, 1).cast("int").alias("start"), *VECTOR), ["scope", "start"]), groups)
 
 
 def _distances(rows: DataFrame, named: dict[str, object]) -> DataFrame:
@@ -213,49 +206,54 @@ def _constant(values: dict):
     return lambda k: F.lit(values[k])
 
 
-def _all_distances(rows: DataFrame, model: DataFrame, given: dict[str, str] = {}) -> DataFrame:
+def _all_distances(rows: DataFrame, model: DataFrame, groups: int, given: dict[str, str] = {}) -> DataFrame:
     """rows with own0, own1, all0 and all1, their distances to the estimates of either start; `given` names columns that are there."""
-    own = [model.where(f"scope <> '' and start = {s}").select(F.col("scope").alias("grp"), *(F.col(k).alias(f"own{s}_{k}") for k in PARAMETERS)) for s in (0, 1)]
-    out = _attached(rows, cut(own[0].join(own[1], "grp")))
+    out = rows
+    for s in (0, 1):
+        own = model.where(f"scope <> '' and start = {s}").select(F.col("scope").alias("grp"), *(F.col(k).alias(f"own{s}_{k}") for k in PARAMETERS))
+        out = _attached(out, own, groups)
     overall = {f"all{r['start']}": _constant(r.asDict()) for r in model.where("scope = ''").collect()}
     out = _distances(out, overall | {f"own{s}": _named(f"own{s}") for s in (0, 1)})
     return out.select("grp", *VECTOR, *(F.col(given.get(k, k)).alias(k) for k in KINDS))
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """One estimate per grp, and one over all rows with scope ''; `rows` has grp and VECTOR."""
-    names = {f"{of}_{x}": F.lit(2.0) + F.col(x) for of in ("own", "all") for x in VECTOR}  # x_length is above -2 + 1, shares are above 0
-    middle = _reached(_histogram(rows, names), 0.5)
-    own_names = [f"own_{x}" for x in VECTOR]
-    mids = cut(_by_group(middle, own_names).select("grp", *((_value(F.col(x)) - 2).alias(f"mid_{x}") for x in own_names)))
-    found = _overall(middle)
-    if not found:
-        return _fitted(rows.withColumnRenamed("grp", "scope"), ["scope"])
-    shift = [2.0 ** ((found[f"all_{x}"] + 0.5) / 64) - 3 for x in VECTOR]
-    off = _attached(rows, mids)
-    away = {f"own_{x}": F.abs(F.col(x) - F.col(f"mid_own_{x}")) for x in VECTOR} | {f"all_{x}": F.abs(F.col(x) - F.lit(c)) for x, c in zip(VECTOR, shift, strict=True)}
-    spread = _reached(_histogram(off, away), 0.5)
-    mads = _by_group(spread, own_names).select("grp", *((_value(F.col(x)) * 1.4826).alias(f"mad_{x}") for x in own_names))
-    found = _overall(spread)
-    both = _attached(rows, cut(mids.join(mads, "grp")))
+def estimates(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """One estimate per grp and one over all rows with scope ''; grp and its number of rows; the number of groups.
+
+    `rows` has grp and VECTOR."""
+    shifted = {x: F.lit(2.0) + F.col(x) for x in VECTOR}  # x_length is above -2 + 1, shares are above 0
+    middle = _reached(rows, shifted, 0.5)
+    groups = middle.count() - 1
+    sizes = middle.where("grp is not null").select("grp", "rows")
+    if groups <= 0:
+        return _fitted(rows.withColumnRenamed("grp", "scope"), ["scope"]), sizes, 0
+    every = middle.where("grp is null").first()
+    centre = {x: 2.0 ** ((every[x] + 0.5) / 64) - 3 for x in VECTOR}
+    mids = middle.where("grp is not null").select("grp", *((_value(F.col(x)) - 2).alias(f"mid_{x}") for x in VECTOR))
+    off = _attached(rows, mids, groups)
+    away = {f"own_{x}": F.abs(F.col(x) - F.col(f"mid_{x}")) for x in VECTOR} | {f"all_{x}": F.abs(F.col(x) - F.lit(centre[x])) for x in VECTOR}
+    spread = _reached(off, away, 0.5, groups)
+    mads = spread.where("grp is not null").select("grp", *((_value(F.col(f"own_{x}")) * 1.4826).alias(f"mad_{x}") for x in VECTOR))
+    every = spread.where("grp is null").first()
     own, overall = F.lit(0.0), F.lit(0.0)
-    for x, floor, c in zip(VECTOR, FLOORS, shift, strict=True):
-        own = own + F.pow(F.col(x) - F.col(f"mid_own_{x}"), 2) / (F.pow(f"mad_own_{x}", 2) + floor**2)
-        mad = (2.0 ** ((found[f"all_{x}"] + 0.5) / 64) - 1) * 1.4826
-        overall = overall + F.pow(F.col(x) - F.lit(c), 2) / (mad**2 + floor**2)
-    # the second start is the plain estimate of all rows
-    plain = _refitted(rows, {k: F.lit(True) for k in KINDS})
-    now = _all_distances(both.select("grp", *VECTOR, own.alias("near_own"), overall.alias("near_all")), plain, {"own0": "near_own", "all0": "near_all"})
+    for x, floor in zip(VECTOR, FLOORS, strict=True):
+        own = own + F.pow(F.col(x) - F.col(f"mid_{x}"), 2) / (F.pow(f"mad_{x}", 2) + floor**2)
+        mad = (2.0 ** ((every[f"all_{x}"] + 0.5) / 64) - 1) * 1.4826
+        overall = overall + F.pow(F.col(x) - F.lit(centre[x]), 2) / (mad**2 + floor**2)
+    # one start from medians, the other from the plain estimate of all rows
+    plain = _refitted(rows, {k: F.lit(True) for k in KINDS}, groups)
+    near = _attached(off, mads, groups).select("grp", *VECTOR, own.alias("near_own"), overall.alias("near_all"))
+    now = _all_distances(near, plain, groups, {"own0": "near_own", "all0": "near_all"})
     for step in range(STEPS):
-        cuts = _reached(_histogram(now, {k: F.col(k) for k in KINDS}), SHARE)
-        own_cuts = _by_group(cuts, KINDS[:2]).select("grp", *(F.col(k).alias(f"cut_{k}") for k in KINDS[:2]))
-        limits = _overall(cuts)
-        chosen = {k: _bin(F.col(k)) <= (F.col(f"cut_{k}") if k.startswith("own") else F.lit(limits[k])) for k in KINDS}
-        model = _refitted(_attached(now, cut(own_cuts)), chosen)
+        limits = _reached(now, {k: F.col(k) for k in KINDS}, SHARE, groups)
+        every = limits.where("grp is null").first()
+        cuts = limits.where("grp is not null").select("grp", F.col("own0").alias("cut_own0"), F.col("own1").alias("cut_own1"))
+        chosen = {k: _bin(F.col(k)) <= (F.col(f"cut_{k}") if k.startswith("own") else F.lit(every[k])) for k in KINDS}
+        model = _refitted(_attached(now, cuts, groups), chosen, groups)
         if step < STEPS - 1:
-            now = _all_distances(rows, model)
+            now = _all_distances(rows, model, groups)
     best = model.groupBy("scope").agg(F.min_by(F.struct("*"), F.struct("log_det", "start")).alias("best"))
-    return best.select("best.*")
+    return _kept(best.select("best.*"), groups), sizes, groups
 
 
 def own_weight(n: Column) -> Column:
@@ -267,9 +265,10 @@ def own_weight(n: Column) -> Column:
 def blended(model: DataFrame, sizes: DataFrame) -> DataFrame:
     """grp, centre and Cholesky factor of each group's estimate mixed with the overall one; sizes has grp and rows."""
     p, names = len(VECTOR), PARAMETERS
-    overall = model.where("scope = ''").select(*(F.col(x).alias(f"all_{x}") for x in names))
+    found = model.where("scope = ''").first()
+    overall = {f"all_{x}": F.lit(found[x] if found else None).cast("double") for x in names}
     own = model.where("scope <> ''").select(F.col("scope").alias("grp"), *(F.col(x).alias(f"own_{x}") for x in names))
-    both = sizes.join(own, "grp").crossJoin(overall).withColumn("w", own_weight(F.col("rows")))
+    both = sizes.join(own, "grp").withColumns(overall | {"w": own_weight(F.col("rows"))})
 
     def product(of: str, i: int, j: int) -> Column:
         return sum((F.col(f"{of}_l{i}{k}") * F.col(f"{of}_l{j}{k}") for k in range(j + 1)), F.lit(0.0))
@@ -287,11 +286,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     stats = cut(statistics(docs, id_col, text_col, lang_col, source_col).withColumn(
         "base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))))
     rows = stats.where(~F.col("base_failed")).withColumns(dict(zip(VECTOR, _vector(), strict=True)))
-    model = cut(estimates(rows))
-    sizes = rows.groupBy("grp").agg(F.count("*").alias("rows"))
+    model, sizes, groups = estimates(rows)
     limit = _chi2_quantile(1 - TAIL, len(VECTOR))
     placed = stats.withColumns(dict(zip(VECTOR, (F.when(~F.col("base_failed"), x) for x in _vector()), strict=True)))
-    measured = _distance(_attached(placed, cut(blended(model, sizes)), "left"), "distance")
+    measured = _distance(_attached(placed, _kept(blended(model, sizes), groups), groups, "left"), "distance")
     return measured.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed",
         F.when(~F.col("base_failed"), F.col("distance")).alias("distance"),
