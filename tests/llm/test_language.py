@@ -46,3 +46,13 @@ def test_filter_keeps_columns(spark, frame):
 def test_grams_do_not_cross_texts():
     together, apart = L.features(pa.array(["ab", "cd", ""])), [L.features(pa.array([x]))[0] for x in ("ab", "cd", "")]
     assert np.allclose(together, np.stack(apart))
+
+
+def test_letters_of_all_planes(spark):
+    """Tags and private characters are no letters, rare ideographs are."""
+    from trafficlens.llm import language as L
+
+    texts = [chr(0xE0041) * 5, chr(0xF0000) * 5, chr(0x1F600), chr(0x20000), "a" + chr(0xF0000)]
+    _, _, has = L.grams(pa.array(texts))
+    assert has.tolist() == [False, False, False, True, True]
+    assert L._folded(np.array([ord("A"), 0x10400, 0x20001, 0xE0041], np.uint32)).tolist() == [ord("a"), ord(chr(0x10400).lower()), 0x20001, 32]

@@ -58,5 +58,25 @@ def test_mixed_documents(spark, frame):
     assert words == +taken
 
 
+def test_clashing_names_and_long_texts(spark, frame):
+    """A user's own _hash comes back as it was; a text of 500,000 words takes seconds."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    docs = frame([(1, "a b c", None, "x"), (2, "d e", None, "x"), (3, "w " * 500_000, None, "x")]).withColumn("_hash", F.lit("mine"))
+    began = time.time()
+    got = mixing.mixed_documents(docs).collect()
+    assert time.time() - began < 60
+    assert {r["_hash"] for r in got} == {"mine"} and sum(len(r["text"].split(" ")) for r in got) > 400_000
+
+
+def test_draws_are_made_by_many_tasks(spark):
+    sources = spark.createDataFrame([(1, 1_000_000, 3_000_000, 0, 3_000_000)], "rank bigint, blocks bigint, draws bigint, first_slot bigint, slots bigint")
+    draws = mixing.draw_slots(sources)
+    assert draws.rdd.getNumPartitions() >= 3_000_000 // mixing.TASK_SLOTS
+    assert draws.count() == 3_000_000
+
+
 def test_query(spark, small):
     assert differences(queries.op8_mixing(spark, small), connect(small), queries.SQL["op8_mixing"]) == []

@@ -1,3 +1,4 @@
+import string
 import hashlib
 import math
 import random
@@ -77,3 +78,24 @@ def test_query(spark, small):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x.startswith(k) for x in expected) for k in ("assign", "access", "hex")]
         assert r["base_sha256"] == hashlib.sha256(",".join(expected).encode()).hexdigest()
         assert [x for x in r["spans"].split(",") if x and not x.startswith("entropy")] == expected
+
+
+def test_each_class_of_characters(spark):
+    """Random strings of every class are found whole; words, slugs, identifiers and names with numbers are not."""
+    pick = random.Random(21)
+    lower, upper = string.ascii_lowercase + string.digits, string.ascii_uppercase + "234567"
+    kinds = {"entropy_lower": lower, "entropy_upper": upper, "entropy_letters": string.ascii_letters}
+    rows, wanted = [], {}
+    for kind, letters in kinds.items():
+        for _ in range(40):
+            rows.append((len(rows), "see " + "".join(pick.choices(letters, k=32)) + " here"))
+            wanted[rows[-1][0]] = kind
+    clean = ["internationalization of counterrevolutionaries", "a-slug-of-several-plain-words-2024", "getUserAccountInformationFromTable",
+             "chapter0123456789abcdefgh", "SOMECONSTANTNAMEOFALONGKIND", "releasecandidateversion20240131", "the quick brown fox " * 3]
+    rows += [(1000 + k, x) for k, x in enumerate(clean)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert not any(got[1000 + k] for k in range(len(clean)))
+    found = {k: [(s["kind"], s["start"], s["end"]) for s in got[k]] for k in wanted}
+    for kind in kinds:
+        mine = [k for k in wanted if wanted[k] == kind]
+        assert sum(found[k] == [(kind, 4, 36)] for k in mine) >= 0.9 * len(mine)

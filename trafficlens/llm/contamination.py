@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
 from .lineage import cut
+from .names import fresh
 
 #: words of a window
 WINDOW = 10
@@ -218,29 +219,30 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     """
     new = {"n_words": "bigint", "n_hit": "bigint", "item_ids": "array<string>", "matches": MATCH}
     docs = docs.drop(*new)
-    state = docs.select("*", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("_runs"), *(F.lit(None).cast(t).alias(c) for c, t in new.items()))
+    own = fresh(docs, "_runs")
+    state = docs.select("*", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias(own), *(F.lit(None).cast(t).alias(c) for c, t in new.items()))
     schema = state.schema
     spark = docs.sparkSession
     for k, (ids, texts) in enumerate(_passes(items, item_id, item_text, query_bytes)):
         shared = spark.sparkContext.broadcast(build_queries(ids, texts, window))
         if k:
             state = cut(state)
-        state = state.mapInArrow(_searching(shared, text_col), schema)
-    return state.drop("_runs")
+        state = state.mapInArrow(_searching(shared, text_col, own), schema)
+    return state.drop(own)
 
 
-def _searching(shared, text_col: str):
+def _searching(shared, text_col: str, own: str):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = shared.value
         for batch in batches:
             for part in W.slices(batch, text_col):
                 found = search_shard(part.column(text_col), queries)
-                yield _merged(part, found, queries)
+                yield _merged(part, found, queries, own)
 
     return search
 
 
-def _merged(part: pa.RecordBatch, found: Found, queries: Queries) -> pa.RecordBatch:
+def _merged(part: pa.RecordBatch, found: Found, queries: Queries, own_col: str) -> pa.RecordBatch:
     """The rows of a shard with what this pass found joined to what earlier passes found."""
     n = part.num_rows
     starts, ends = W.edges(found.hits, found.rows)
@@ -249,7 +251,7 @@ def _merged(part: pa.RecordBatch, found: Found, queries: Queries) -> pa.RecordBa
     matches: dict[int, list] = {}
     for doc, word, many, item, item_word in found.matches:
         matches.setdefault(doc, []).append({"doc_word": word, "n_words": many, "item_id": queries.ids[item], "item_word": item_word})
-    before_runs, before_ids, before = (part.column(c).to_pylist() for c in ("_runs", "item_ids", "matches"))
+    before_runs, before_ids, before = (part.column(c).to_pylist() for c in (own_col, "item_ids", "matches"))
     runs, n_hit, ids, all_matches = [], [], [], []
     for k in range(n):
         own = [(int(starts[j] - found.rows[k]), int(ends[j] - found.rows[k])) for j in range(of_row[k], of_row[k + 1])]
@@ -259,7 +261,7 @@ def _merged(part: pa.RecordBatch, found: Found, queries: Queries) -> pa.RecordBa
         n_hit.append(sum(b - a for a, b in own))
         ids.append(sorted({*queries.ids[found.doc_items[by_row[k] : by_row[k + 1], 1]], *(before_ids[k] or ())}))
         all_matches.append((before[k] or []) + matches.get(k, []))
-    made = {"_runs": runs, "n_words": found.n_words, "n_hit": n_hit, "item_ids": ids, "matches": all_matches}
+    made = {own_col: runs, "n_words": found.n_words, "n_hit": n_hit, "item_ids": ids, "matches": all_matches}
     columns = [pa.array(made[f.name], f.type) if f.name in made else part.column(f.name) for f in part.schema]
     return pa.RecordBatch.from_arrays(columns, schema=part.schema)
 

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .names import fresh
+
 #: Elements and names with a meaning in HTML or common usage.
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
              " header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -303,12 +305,13 @@ def main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """
     kept = pages.drop(html_col, "text")
     rows = kept.columns
-    source = pages.select(*rows, F.col(html_col).alias("_html"))
+    html = fresh(kept, "_html")
+    source = pages.select(*rows, F.col(html_col).alias(html))
     schema = kept.select("*", F.lit("").alias("text")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([extract(x) for x in batch.column("_html").to_pylist()], pa.string())
+            texts = pa.array([extract(x) for x in batch.column(html).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rows), texts], names=[*rows, "text"])
 
     return source.mapInArrow(run, schema)

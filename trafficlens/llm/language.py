@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
+from .names import fresh
 from .lineage import cut
 
 #: Language families.
@@ -53,14 +54,24 @@ def _fold() -> np.ndarray:
     return _FOLD
 
 
+def _folded(points: np.ndarray) -> np.ndarray:
+    """Lower-case letters, and spaces for all else; code points above the table are decided one by one, each distinct one once."""
+    fold = _fold()
+    low = fold[np.minimum(points, len(fold) - 1)]
+    high = np.flatnonzero(points >= len(fold))
+    if len(high):
+        distinct, which = np.unique(points[high], return_inverse=True)
+        low[high] = np.array([ord(chr(c).lower()[0]) if chr(c).isalpha() else 32 for c in distinct.tolist()], np.uint32)[which]
+    return low
+
+
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature of each gram, the text of each gram, and whether each text has a letter."""
     strings = ["" if x is None else x for x in texts.to_pylist()]
     points = np.frombuffer((" " + " ".join(strings) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, strings), np.int64, len(strings))
     row = np.repeat(np.arange(len(strings)), lengths + 1)
-    fold = _fold()
-    low = np.where(points < len(fold), fold[np.minimum(points, len(fold) - 1)], points)[1:]
+    low = _folded(points)[1:]
     letter = low != 32
     has = np.bincount(row[letter], minlength=len(strings)) > 0
     # runs of spaces as one
@@ -226,5 +237,6 @@ def known_languages(docs: DataFrame, learnt_from: Column, text_col: str = "text"
     """docs whose text has a language: rows that come out as 'und' go. Columns stay as they are."""
     model = fit(docs.where(learnt_from), text_col=text_col, **names)
     columns = docs.columns
-    marked = docs.select("*", F.col(text_col).alias("_text"))
-    return predict(marked, model, "_text").where(F.col("lang_pred") != UNKNOWN).select(*columns)
+    text = fresh(docs, "_text")
+    marked = docs.select("*", F.col(text_col).alias(text))
+    return predict(marked, model, text).where(F.col("lang_pred") != UNKNOWN).select(*columns)

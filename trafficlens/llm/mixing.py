@@ -9,7 +9,7 @@ number of blocks. Draws and document pieces meet in an equi-join on (source, blo
 Order of a source's stream: chunks of document ids (id modulo the number of chunks), then id, then a hash of the text;
 sums of chunks come first, so no window holds a whole source. Reruns give equal results. A null source is a source of its
 own and ranks last; null, empty and blank texts have size 0 and nothing is taken from them; null ids count as 0 in the
-order; repeated rows are rows of their own. Extra columns play no part.
+order; repeated rows are rows of their own. A text's words are split once, however long it is. Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .lineage import cut
+from .names import fresh
 
 WEIGHTS = (5, 2, 1)
 #: most copies of a source's words
@@ -28,6 +29,8 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 1024
 ROUNDS = 12
 PRIME = 2**31 - 1
+#: draws of a task, about
+TASK_SLOTS = 1 << 16
 #: rows of documents in a chunk, about, and the least number of chunks of a source
 CHUNK_ROWS, CHUNKS = 50_000, 64
 
@@ -96,7 +99,10 @@ def draw_slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS, piece: int =
     pieces = sources.where("draws > 0").select(
         "rank", "blocks", "draws", "first_slot", "slots",
         F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("draws") - 1), F.lit(piece).cast("bigint"))).alias("from"))
-    each = pieces.repartition("rank", "from").select(
+    # a number of partitions keeps these few small rows from being merged into one, whose draws one task would make
+    slots = sources.agg(F.max("slots")).first()[0] or 0
+    parts = max(1 + slots // TASK_SLOTS, sources.sparkSession.sparkContext.defaultParallelism)
+    each = pieces.repartition(parts, "rank", "from").select(
         "*", F.explode(F.sequence("from", F.least(F.col("from") + piece, F.col("draws")) - 1)).alias("j"))
     slot = permuted(F.col("first_slot") + F.col("j"), F.col("slots"), F.lit(0).cast("bigint"), inverse=True)
     return each.select("rank", permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.col("rank")).alias("block"), slot.alias("slot")) \
@@ -160,17 +166,23 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.sort_array(F.collect_list(F.struct("first_word", "n_words", "draws"))).alias("_pieces"))
     wanted = numbered.join(taken, ["rank", "start"]).select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "_copy", "_pieces")
-    texts = docs.withColumn("_hash", F.xxhash64(text_col))
+    hash_, copy, text_ = (fresh(docs, x) for x in ("_hash", "_copy", "_text"))
+    pieces, id_, source_ = (fresh(docs, x) for x in ("_pieces", "_id", "_source"))
+    wanted = wanted.toDF(id_, source_, f"{hash_}wanted", f"{copy}wanted", pieces)
+    texts = docs.withColumn(hash_, F.xxhash64(text_col))
     if numbered.where("_copy > 1").limit(1).count():
-        texts = texts.withColumn("_copy", F.row_number().over(Window.partitionBy(id_col, source_col, "_hash").orderBy(F.lit(0))))
-        on = [texts["_copy"] == wanted["_copy"]]
+        texts = texts.withColumn(copy, F.row_number().over(Window.partitionBy(id_col, source_col, hash_).orderBy(F.lit(0))))
+        on = [texts[copy] == wanted[f"{copy}wanted"]]
     else:
         on = []
-    on += [texts[id_col].eqNullSafe(wanted["_id"]), texts[source_col].eqNullSafe(wanted["_source"]), texts["_hash"] == wanted["_hash"]]
-    joined = texts.join(wanted, on).withColumn(
-        "_words", F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    text = F.array_join(F.flatten(F.transform("_pieces", lambda p: F.flatten(F.array_repeat(
-        F.slice("_words", (p["first_word"] + 1).cast("int"), p["n_words"].cast("int")), p["draws"].cast("int"))))), " ")
-    out = joined.withColumn("_text", text)
-    made = {text_col: F.col("_text"), "n_chars": F.length("_text").cast(dict(docs.dtypes).get("n_chars", "bigint"))}
-    return out.select(*(made.get(c, texts[c]).alias(c) for c in docs.columns))
+    on += [texts[id_col].eqNullSafe(wanted[id_]), texts[source_col].eqNullSafe(wanted[source_]), texts[hash_] == wanted[f"{hash_}wanted"]]
+    split = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def picked(words: Column) -> Column:
+        return F.array_join(F.flatten(F.transform(pieces, lambda p: F.flatten(F.array_repeat(
+            F.slice(words, (p["first_word"] + 1).cast("int"), p["n_words"].cast("int")), p["draws"].cast("int"))))), " ")
+
+    # as the argument of a lambda the words are split once, not once for each piece
+    out = texts.join(wanted, on).withColumn(text_, F.get(F.transform(F.array(split), picked), 0))
+    made = {text_col: F.col(text_), "n_chars": F.length(text_).cast(dict(docs.dtypes).get("n_chars", "bigint"))}
+    return out.select(*(made.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
 from .lineage import cut
+from .names import fresh
 from .components import components
 
 SHINGLE = 5
@@ -293,5 +294,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """docs without the rows whose document is a near-duplicate of one with a smaller id."""
     found = near_duplicates(docs, id_col, text_col, threshold)
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col].cast("bigint") == F.col("_dropped"), "left_anti")
+    name = fresh(docs, "_dropped")
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dropped, docs[id_col].cast("bigint") == dropped[name], "left_anti")

@@ -28,10 +28,18 @@ BASE = [
     ("hex", r"[0-9a-f]{24,}", r"[0-9a-f]+", 0, 24),
 ]
 WINDOW = 20
+#: a run is whole if no character of a candidate stands before or behind it
+_BEFORE, _BEHIND = "(?<![A-Za-z0-9+/_=-])", "(?![A-Za-z0-9+/_=-])"
+#: pairs of letters that words do without
+_ODD = "q(?!u)|j[b-df-hj-np-tv-z]|x[bdfghjkmnqrsvwxz]|[vz][bdfgjkmnpqtx]"
 #: kind, candidate runs, what a candidate must also contain, and the least entropy of its highest window
 CLASSES = [
     ("entropy_hex", r"[0-9A-Fa-f]{20,}", [r"[0-9]", r"[A-Fa-f]"], 2.8),
     ("entropy_mixed", r"[A-Za-z0-9+/_=-]{20,}", [r"[0-9]", r"[A-Z]", r"[a-z]"], 3.5),
+    # whole runs of fewer kinds of characters; digits between letters, or letters as no word has them, tell them from names
+    ("entropy_lower", rf"{_BEFORE}[a-z0-9]{{20,}}{_BEHIND}", [r"[g-z]", r"[a-z][0-9]+[a-z]"], 3.4),
+    ("entropy_upper", rf"{_BEFORE}[A-Z0-9]{{20,}}{_BEHIND}", [r"[G-Z]", r"[A-Z][0-9]+[A-Z]"], 3.4),
+    ("entropy_letters", rf"{_BEFORE}[A-Za-z]{{20,}}{_BEHIND}", [rf"(?i)(?:{_ODD}).*(?:{_ODD})"], 3.4),
 ]
 #: candidates that are no secrets: UUIDs, runs of one word and digits, dates and versions, paths, placeholders
 ALLOW = [
