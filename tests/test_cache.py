@@ -176,18 +176,3 @@ def test_reading_live_entries_skips_expired_folders(spark, tmp_path):
     assert sorted(r.id for r in live.collect()) == [3, 4, 5]
     plan = live._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(expires_on" in plan
-
-
-def test_refused_streams_store_nothing(spark):
-    from trafficlens.plans import outcome as O
-    from trafficlens.plans.queries import DAY_US
-    from trafficlens.sources import dims
-    from trafficlens.sources import fixtures as X
-
-    keys, aliases, pricing = dims.load_keys(spark), dims.load_aliases(spark), dims.load_pricing(spark)
-    facts = O.request_facts(X.requests(spark, "/root/testdata/sf0.001"), keys, aliases, pricing).withColumn("rpm", F.lit(2))
-    facts = O.with_rates(facts, DAY_US)
-    health = pricing.selectExpr("provider", "true as healthy").distinct()
-    limited = {r.request_id for r in facts.filter("rate_error is not null and stream").collect()}
-    stored = {r.id for r in O.streamed_stores(facts, aliases, pricing, health).collect()}
-    assert limited and stored and not limited & stored

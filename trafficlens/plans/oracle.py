@@ -516,28 +516,45 @@ _OUTCOME = [PRICING, ROUTED, _SERVED.replace("DOWN", "harbor"), _FACTS,
             rate_ctes("rate_in", DAY_US),
             "rendered as (select n::bigint as id, 'user: ' || prompt || chr(10) as prompt from labelled)",
             embedded("pv", "rendered"),
-            f"prompt_near as (select q.id as a, e.id as b from pv q cross join pv e where {COSINE} >= 0.7)",
-            f"""stores as (select f.request_id as id, f.tenant, s.served_model as model, f.request_id % 11 as n, epoch_us(f.ts) as us,
-  epoch_us(f.ts) // {_TTL_US} as slot from facts f join served s using (request_id) join rate ra on ra.id = f.request_id and ra.admitted
-  where f.stream and f.auth_error is null and coalesce(f.body_error, f.allow_error, f.route_error) is null),
-lookups as (select request_id as id, tenant, primary_model as model, request_id % 11 as n, epoch_us(ts) as us,
-  epoch_us(ts) // {_TTL_US} as slot from facts where not stream and auth_error is null
-  and coalesce(body_error, allow_error, route_error) is null),
-reach as (select tenant, model, p.a as n, slot, min(struct_pack(us := us, id := id)) as lo, max(struct_pack(us := us, id := id)) as hi
-  from stores s join prompt_near p on p.b = s.n group by tenant, model, p.a, slot),
-matched as (select l.id, case when o.lo.us < l.us then o.lo.id when b.hi.us >= l.us - {_TTL_US} then b.hi.id end as match_id
-  from lookups l left join reach o on o.tenant = l.tenant and o.model = l.model and o.n = l.n and o.slot = l.slot
-  left join reach b on b.tenant = l.tenant and b.model = l.model and b.n = l.n and b.slot = l.slot - 1)""",
-            """passed as (select f.*, case when not ra.admitted then 'RATE_LIMITED' end as rate_error, ra.retry_after_ms,
-  case when ra.admitted and coalesce(body_error, allow_error, route_error) is null then m.match_id end as match_id
-  from facts f left join rate ra on ra.id = f.request_id left join matched m on m.id = f.request_id),
-spend_in as (select key_id as k, ts as o, request_id as id, estimate_usd as amount, true as guarded, budget from passed
-  where coalesce(auth_error, rate_error, body_error, allow_error, route_error) is null and match_id is null)""",
-            spend_ctes("spend_in"),
-            """judged as (select p.*, s.served_model, s.served_provider, s.position, coalesce(auth_error, rate_error, body_error,
-    allow_error, route_error, case when match_id is null then case when not sp.admitted then 'BUDGET_EXHAUSTED' end end,
-    case when match_id is null and s.served_model is null then 'ALL_PROVIDERS_EXHAUSTED' end) as error_code
-  from passed p left join spend sp on sp.id = p.request_id left join served s on s.request_id = p.request_id),
+            f"prompt_near as (select q.id as a, e.id as b, {COSINE} as similarity from pv q cross join pv e where {COSINE} >= 0.7)",
+            # requests that get as far as the cache; a place in the store is a (model, prompt)
+            f"""reaching as (select f.*, s.served_model, s.served_provider, s.position, ra.admitted as in_rate,
+    case when s.served_model is null then 0 else {cost('f.prompt_tokens', 'f.completion_tokens')} end::decimal(18,6) as settled,
+    list_position({_list(m for m, *_ in dims.PRICING)}, s.served_model) as place_model,
+    list_position({_list(m for m, *_ in dims.PRICING)}, f.primary_model) as ask_model
+  from facts f join rate ra on ra.id = f.request_id left join served s using (request_id) left join pricing p on p.model = s.served_model
+  where ra.admitted and coalesce(f.auth_error, f.body_error, f.allow_error, f.route_error) is null),
+near_places as (select a, m, list(struct_pack(place := (m - 1) * 11 + b + 1, similarity := similarity)) as near
+  from prompt_near, (select unnest(range(1, {len(dims.PRICING) + 1})) as m) group by a, m),
+happenings as (
+  select tenant, request_id as id, 0 as step, epoch_us(ts) as us, estimate_usd, budget, settled, null::bigint as place,
+    case when not stream then near end as near from reaching left join near_places on a = request_id % 11 and m = ask_model
+  union all
+  select tenant, request_id, 1, epoch_us(ts) + latency_ms * 1000, estimate_usd, budget, settled,
+    (place_model - 1) * 11 + request_id % 11 + 1, null from reaching),
+line as (select *, row_number() over (partition by tenant order by us, step, id) as rn from happenings)""",
+            # one event at a time: what is spent, which reservations are open, and the latest store of every place
+            f"""play as (
+  select tenant, 0::bigint as rn, null::bigint as id, 1 as step, null::bigint as match_id, null::boolean as admitted, 0::decimal(18,6) as spend,
+    cast([] as bigint[]) as open, list_transform(range({11 * len(dims.PRICING)}), lambda x: struct_pack(us := null::bigint, id := null::bigint)) as live
+  from (select distinct tenant from line)
+  union all
+  select tenant, rn, id, step, best.id, case when step = 0 and best is null then spend + estimate_usd <= budget end,
+    (case when step = 0 and best is null and spend + estimate_usd <= budget then spend + estimate_usd
+          when step = 1 and list_contains(open, id) then spend + settled - estimate_usd else spend end)::decimal(18,6),
+    case when step = 0 and best is null and spend + estimate_usd <= budget then list_append(open, id)
+         when step = 1 then list_filter(open, lambda x: x <> id) else open end,
+    case when step = 1 and place is not null and list_contains(open, id)
+         then list_transform(live, lambda v, i: case when i = place then struct_pack(us := us, id := id) else v end) else live end
+  from (select l.*, p.spend, p.open, p.live, list_min(list_transform(
+          list_filter(l.near, lambda c: p.live[c.place].us + {_TTL_US} >= l.us),
+          lambda c: struct_pack(s := -c.similarity, id := p.live[c.place].id))) as best
+        from play p join line l on l.tenant = p.tenant and l.rn = p.rn + 1))""",
+            """judged as (select f.*, s.served_model, s.served_provider, s.position, ra.retry_after_ms, y.match_id, coalesce(auth_error,
+    case when not ra.admitted then 'RATE_LIMITED' end, body_error, allow_error, route_error, case when not y.admitted then 'BUDGET_EXHAUSTED' end,
+    case when y.match_id is null and s.served_model is null then 'ALL_PROVIDERS_EXHAUSTED' end) as error_code
+  from facts f left join rate ra on ra.id = f.request_id left join served s using (request_id)
+  left join play y on y.id = f.request_id and y.step = 0),
 outcomes as (select j.request_id, ts, key_id, tenant, j.model, primary_model, prompt_tokens, completion_tokens, latency_ms, match_id,
     match_id is not null as cache_hit, j.error_code, coalesce(e.http_status, 200) as http_status,
     case when j.error_code = 'RATE_LIMITED' then retry_after_ms end as retry_after_ms,

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from trafficlens.functions.text import estimate_message_tokens, render_messages
 from trafficlens.functions.vectors import DIM, embed
-from trafficlens.operators.admission import MICRO, budget_admit, rate_limit
-from trafficlens.operators.cache import THRESHOLD, TTL_SECONDS, live_hits
+from trafficlens.operators.admission import MICRO, rate_limit
+from trafficlens.operators.cache import THRESHOLD, TTL_SECONDS
 from trafficlens.operators.metering import estimate_cost, price_usage
+from trafficlens.operators.path import gateway_pass
 from trafficlens.operators.routing import (
     authenticate, check_allowlist, resolve_route, route_around_outage, validate_requests)
 from trafficlens.operators.skew import lookup_join
@@ -41,11 +42,6 @@ def _static_error() -> Column:
     return F.coalesce("body_error", "allow_error", "route_error")
 
 
-def prompts_of(facts: DataFrame, model: str = "primary_model") -> DataFrame:
-    """id, tenant, model, ts, vec of the prompt, as the cache sees it."""
-    return facts.select(F.col("request_id").alias("id"), "tenant", F.col(model).alias("model"), "ts", "vec")
-
-
 def with_rates(facts: DataFrame, window_us: int = 60 * MICRO) -> DataFrame:
     """facts with rate_error and retry_after_ms. Only requests of a known key draw on its rate; the others go round the
     ordered scan by a union. Rates depend on nothing else, so they come first and are written out once."""
@@ -56,47 +52,37 @@ def with_rates(facts: DataFrame, window_us: int = 60 * MICRO) -> DataFrame:
     return known.unionByName(unknown).checkpoint()
 
 
-def streamed_stores(facts: DataFrame, aliases: DataFrame, pricing: DataFrame, health: DataFrame) -> DataFrame:
-    """Entries that streaming requests leave: they never look up, but store under the model that served them. A request
-    that was refused, for its rate too, reaches no model and stores nothing. Needs facts with rates."""
-    ok = facts.filter(F.col("stream") & F.coalesce("auth_error", "rate_error", _static_error()).isNull())
-    served = route_around_outage(ok, aliases, pricing, health).filter(F.col("served_model").isNotNull())
-    return prompts_of(served, "served_model")
-
-
-def request_outcome(facts: DataFrame, stores: DataFrame, aliases: DataFrame, pricing: DataFrame, health: DataFrame,
-                    threshold: float = THRESHOLD, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+def request_outcome(facts: DataFrame, aliases: DataFrame, pricing: DataFrame, health: DataFrame,
+                    threshold: float = THRESHOLD, ttl_seconds: int = TTL_SECONDS, partitions: int | None = None) -> DataFrame:
     """The first rule each request fails: key, rate, body, allowlist, alias, (cache hit ends here), budget, dispatch.
 
-    Needs facts with rates. Budgets see only the requests that get that far; the others go round the ordered scan by a
-    union, so no request is joined back to itself."""
-    extra = [c for c in facts.columns if c not in _FACTS and c not in ("vec", "rate_error", "retry_after_ms")]
-    narrow = facts.select(*_FACTS, "rate_error", "retry_after_ms", *extra)
-    none = F.lit(None)
-    known = narrow.filter(F.col("auth_error").isNull())
-    unknown = narrow.filter(F.col("auth_error").isNotNull())
-    passed = F.coalesce("rate_error", _static_error()).isNull()
-
-    lookups = prompts_of(facts.filter(
-        F.col("auth_error").isNull() & _static_error().isNull() & ~F.col("stream")))
-    hits = live_hits(lookups, stores, threshold, DIM, ttl_seconds).filter(F.col("match_id").isNotNull())
-    seen = known.join(hits.withColumnRenamed("id", "request_id"), "request_id", "left").withColumns({
-        "match_id": F.when(passed, F.col("match_id"))}).withColumn("cache_hit", F.col("match_id").isNotNull())
-
-    charged = passed & ~F.col("cache_hit")
-    budgeted = budget_admit(seen.filter(charged), "key_id", ["ts", "request_id"], F.col("estimate_usd"), F.col("budget"))
-    budgeted = budgeted.withColumn("budget_error", F.when(~F.col("admitted"), "BUDGET_EXHAUSTED")).drop(
-        "admitted", "spend")
-    blank = none.cast("string").alias("budget_error")
-    rest = seen.filter(~charged).select("*", blank).unionByName(
-        unknown.select("*", none.cast("bigint").alias("match_id"), F.lit(False).alias("cache_hit"), blank))
-
-    routed = route_around_outage(budgeted.unionByName(rest), aliases, pricing, health)
+    Needs facts with rates, completion_tokens and latency_ms. Requests that get as far as the cache go through one ordered
+    pass (operators/path.py), in which misses store, spend is settled or taken back on completion, and refused requests leave
+    nothing; the others go round it by a union, so no request is joined back to itself."""
+    own = [*_FACTS, "rate_error", "retry_after_ms", "completion_tokens", "latency_ms"]
+    extra = [c for c in facts.columns if c not in (*own[:-2], "vec")]
     refused = F.coalesce("auth_error", "rate_error", "body_error", "allow_error", "route_error")
+    routed = route_around_outage(facts.filter(refused.isNull()), aliases, pricing, health)
+    priced = price_usage(routed.withColumn("resolved_model", F.col("served_model")), pricing)
+    micro = lambda c: (c.cast("decimal(18,6)") * F.lit(MICRO)).cast("bigint")
+    sized = priced.select(
+        *routed.columns, micro(F.col("estimate_usd")).alias("estimate"), (~F.col("stream")).alias("looks_up"),
+        F.coalesce(micro(F.col("cost_usd")), F.lit(0).cast("bigint")).alias("settled")).withColumn(
+        "budget_usd", F.col("budget")).withColumn("budget", micro(F.col("budget")))
+    passed = gateway_pass(sized, threshold, DIM, ttl_seconds, partitions).withColumns({
+        "cache_hit": F.col("match_id").isNotNull(), "budget_error": F.when(~F.col("admitted"), "BUDGET_EXHAUSTED")})
+    kept = [*_FACTS, "rate_error", "retry_after_ms", *extra, "match_id", "cache_hit", "budget_error", "served_model",
+            "served_provider", "fallback_used", "dispatch_error"]
+    none = lambda kind: F.lit(None).cast(kind)
+    rest = facts.filter(refused.isNotNull()).withColumns({
+        "match_id": none("bigint"), "cache_hit": F.lit(False), "fallback_used": F.lit(False),
+        **{c: none("string") for c in ("budget_error", "served_model", "served_provider", "dispatch_error")}})
+    judged = passed.drop("budget").withColumnRenamed("budget_usd", "budget").select(*kept).unionByName(rest.select(*kept))
+
     code = F.coalesce(refused, F.when(~F.col("cache_hit"), F.coalesce("budget_error", "dispatch_error")))
     served = code.isNull() & ~F.col("cache_hit")
     by_code = F.create_map(*(F.lit(v) for code_, status, _ in ERROR_CODES for v in (code_, status)))
-    return routed.select(
+    return judged.select(
         "request_id", "ts", "key_id", "tenant", "model", "primary_model", "prompt_tokens", "estimate_usd", "match_id",
         "cache_hit", code.alias("error_code"),
         F.when(code.isNull(), 200).otherwise(by_code[code]).alias("http_status"),

@@ -608,8 +608,7 @@ def _outcomes(spark, d):
     requests = X.requests(spark, d)
     facts = O.with_rates(O.request_facts(requests, keys, aliases, pricing, ["completion_tokens", "latency_ms"]), DAY_US)
     health = _health(spark, "harbor")
-    stores = O.streamed_stores(facts, aliases, pricing, health)
-    done = O.request_outcome(facts, stores, aliases, pricing, health, ttl_seconds=6 * 3600)
+    done = O.request_outcome(facts, aliases, pricing, health, ttl_seconds=6 * 3600)
     return facts, done
 
 
@@ -634,7 +633,7 @@ def rejection_report(spark, d):
 @query
 def meter_requests(spark, d):
     facts, done = _outcomes(spark, d)
-    stored = facts.filter("stream").select(
+    stored = facts.select(
         F.col("request_id").alias("match_id"), F.col("prompt_tokens").alias("stored_prompt_tokens"),
         F.col("completion_tokens").alias("stored_completion_tokens"))
     return O.meter_requests(done, stored, dims.load_pricing(spark))
