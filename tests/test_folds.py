@@ -226,3 +226,75 @@ def test_null_keys_are_one_key(spark, kind):
     df = spark.range(20).select(F.lit(None).cast(kind).alias("k"), "id", F.timestamp_micros(F.col("id")).cast("timestamp_ntz").alias("ts"))
     for parts in (1, 3):
         assert A.rate_limit(df, "k", "ts", "id", F.lit(4), 60 * SECOND, partitions=parts).filter("admitted").count() == 4
+
+
+def test_ledger_with_corrections_needs_no_job_for_a_boundary(spark, monkeypatch):
+    """One key with charges, refunds and true-ups over 32 partitions: boundaries follow from the summaries alone."""
+    from pyspark import SparkContext
+
+    rnd = random.Random(77)
+    rows = [(1, i, i * SECOND, rnd.random() < 0.6, rnd.randrange(1, 40) * (1 if rnd.random() < 0.6 else -1)) for i in range(1600)]
+    rows = [(k, i, t, guarded, abs(c) if guarded else c) for k, i, t, guarded, c in rows]
+    jobs = []
+    run = SparkContext.runJob
+    monkeypatch.setattr(SparkContext, "runJob", lambda self, *a, **b: jobs.append(1) or run(self, *a, **b))
+    df = spark.createDataFrame(rows, "k bigint, id bigint, us bigint, guarded boolean, cents bigint").repartition(5)
+    got = A.spend_ledger(df, "k", ["us", "id"], F.col("cents") / 100, F.col("guarded"), F.lit(2), partitions=32).collect()
+    spend, expected = 0, {}
+    for _, i, _, guarded, c in rows:
+        fits = not guarded or spend + c <= 200
+        spend += c if fits else 0
+        expected[i] = (fits, spend)
+    assert {r.id: (r.admitted, int(r.spend * 100)) for r in got} == expected
+    assert not jobs and any(not ok for ok, _ in expected.values())
+
+
+def test_pieces_equal_stepwise_ledgers():
+    import numpy as np
+
+    rnd = random.Random(5)
+    for _ in range(300):
+        n = rnd.randrange(1, 40)
+        guarded = [rnd.random() < 0.7 for _ in range(n)]
+        amounts = [rnd.randrange(0, 30) if g else rnd.randrange(-30, 30) for g in guarded]
+        budgets = [rnd.choice([60, 60, 80]) for _ in range(n)]
+        starts, shifts = A._pieces(amounts, guarded, budgets, -20, 120)
+        for x in range(-20, 121):
+            spend = x
+            for a, g, b in zip(amounts, guarded, budgets):
+                spend += a if not g or spend + a <= b else 0
+            assert x + shifts[np.searchsorted(starts, x, side="right") - 1] == spend
+
+
+def test_summaries_keep_their_size():
+    """100,000 rows inside one cooldown or one TTL, and as many that are each a step of their own."""
+    import pickle
+
+    import numpy as np
+
+    from trafficlens.operators.cache import CacheFold
+
+    n = 100_000
+    for span in (1, 50):
+        us = np.arange(n, dtype=np.int64) * span
+        breaker = A.BreakerFold(3, 10 * SECOND)
+        failed = np.array([random.Random(k).random() < 0.9 for k in range(n)])
+        made = breaker.summarise({"us": us, "failed": failed}, None, 0)
+        assert len(pickle.dumps(made)) < 1500
+        cache = CacheFold(10 * SECOND)
+        none = np.empty(n, object)
+        none[:] = [np.array([])] * n
+        rows = {"us": us, "id": np.arange(n), "gid": np.zeros(n, np.int64), "near": none, "near_similarity": none}
+        assert len(pickle.dumps(cache.summarise(rows, None, 0))) < 1500
+        # what the summary does know is what a replay gives
+        for opened in (-9 * SECOND, -5 * SECOND, -SECOND, 0):
+            state = 3, opened
+            told = breaker.advance(state, made, 0)
+            assert told is None or told == breaker.run(state, {"us": us, "failed": failed})[1]
+
+
+def test_steps_beyond_the_limit_are_unknown():
+    from trafficlens.operators.scan import step_at, widest_steps
+
+    steps = widest_steps([10, 11, 12, 50, 51, 90], list("abcdef"), 3)
+    assert [step_at(steps, t) for t in (3, 10, 11, 12, 13, 50, 51, 52, 90)] == ["a", "a", None, None, "d", "d", None, "f", "f"]

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.functions.clock import epoch_us
-from trafficlens.operators.scan import Fold, Rows, ordered_scan
+from trafficlens.operators.scan import Fold, Rows, ordered_scan, step_at, widest_steps
 
 MICRO = 1_000_000
+#: most steps and most pieces of a summary
+STEPS, PIECES = 16, 512
 
 
 class RateFold(Fold):
@@ -153,7 +155,9 @@ class _Gap:
 class SpendFold(Fold):
     """Running spend: a guarded charge is taken only if it fits the budget, an unguarded entry always counts.
 
-    The summary answers when the whole run fits, when nothing in it fits, or, for charges alone, when the money left
+    Between the spend at which all of a run fits and the one at which nothing does, a run with corrections is a piecewise
+    shift of the incoming spend; its pieces are kept while they are at most `PIECES`, so boundaries of a key with corrections
+    need no job each. Otherwise the summary answers when the whole run fits, when nothing in it fits, or, for charges alone, when the money left
     separates the charges that surely fit from those too large: with 2^k <= left < 2^(k+1), all charges below 2^k fit as
     long as their total leaves 2^k, and those above ``left`` never will. Each replay forced by an undecided run uses up
     a power of two of the remaining budget or passes a charge of its own size, so they stay few.
@@ -189,11 +193,14 @@ class SpendFold(Fold):
             for b in np.unique(bits[charges > 0]):
                 mine = charges[bits == b]
                 sums[int(b)], mins[int(b)] = int(mine.sum()), int(mine.min())
+        most = int((budget - prefix)[guarded].min()) if guarded.any() else None
+        none = int((budget - ends - amount)[guarded].max()) if guarded.any() else None
+        pieces = None if simple or most is None or none <= most else _pieces(amount.tolist(), guarded.tolist(), budget.tolist(), most + 1, none)
         return {
-            "budget": int(budget[0]), "opening": int(rows["opening"][0]), "simple": simple,
+            "pieces": pieces, "budget": int(budget[0]), "opening": int(rows["opening"][0]), "simple": simple,
             # the most spend at which every charge still fits, and the most at which any of them does
-            "total": int(prefix[-1]), "all": int((budget - prefix)[guarded].min()) if guarded.any() else None,
-            "loose": int(ends[-1]), "any": int((budget - ends - amount)[guarded].max()) if guarded.any() else None,
+            "total": int(prefix[-1]), "all": most,
+            "loose": int(ends[-1]), "any": none,
             "sums": sums, "mins": mins}
 
     def advance(self, state, s, level):
@@ -202,6 +209,9 @@ class SpendFold(Fold):
             return spend + s["total"]
         if spend > s["any"]:
             return spend + s["loose"]
+        if s["pieces"] is not None:
+            starts, shifts = s["pieces"]
+            return spend + int(shifts[np.searchsorted(starts, spend, side="right") - 1])
         left = s["budget"] - spend
         if not s["simple"] or left <= 0:
             # left == 0: charges of zero still fit and change nothing; below zero nothing fits
@@ -213,11 +223,37 @@ class SpendFold(Fold):
         return None
 
 
+def _pieces(amounts: list, guarded: list, budgets: list, low: int, high: int):
+    """What entries add to an incoming spend from low to high: starts of pieces and their shifts, None beyond PIECES pieces."""
+    starts, shifts, common = np.array([low], np.int64), np.array([0], np.int64), 0
+    top = high  # the greatest spend any incoming one has led to, less `common`
+    for amount, is_guarded, budget in zip(amounts, guarded, budgets):
+        if not is_guarded or common + top + amount <= budget:
+            common += amount
+            continue
+        room = budget - amount - common - shifts  # the greatest incoming spend of each piece that still fits
+        ends = np.append(starts[1:] - 1, high)
+        cut = (starts <= room) & (room < ends)
+        if cut.any():
+            starts, shifts = np.append(starts, room[cut] + 1), np.append(shifts, shifts[cut])
+            room = np.append(room, room[cut])
+            order = np.argsort(starts, kind="stable")
+            starts, shifts, room = starts[order], shifts[order], room[order]
+        shifts = np.where(starts <= room, shifts + amount, shifts)
+        new = np.append(True, shifts[1:] != shifts[:-1])
+        starts, shifts = starts[new], shifts[new]
+        if len(starts) > PIECES:
+            return None
+        top = int((np.append(starts[1:] - 1, high) + shifts).max())
+    return starts, shifts + common
+
+
 class BreakerFold(Fold):
     """CLOSED / OPEN / HALF_OPEN: opens after ``threshold`` failures in a row or a failed trial, refuses for a while.
 
     State: (failures in a row, time it opened or None). The summary is the end state for each count of failures, and,
-    for an open breaker, a step function of the first row that may try again."""
+    for an open breaker, a step function of the time from which it may try again. Where nearly every row is a step of its own
+    (failed trials within one cooldown) only the widest `STEPS` are kept."""
 
     columns = ["us", "failed"]
     output = {"allowed": ("boolean", pa.bool_()), "state_after": ("string", pa.string())}
@@ -264,16 +300,19 @@ class BreakerFold(Fold):
             else:
                 trial[i] = ends[0]
                 ends = [ends[0]] * top
-        steps = [i for i in range(n) if i == n - 1 or trial[i] != trial[i + 1]]
-        return ends, [stamps[i] for i in steps], [trial[i] for i in steps]
+        # the breaker opened before the first row, so it tries again at most one cooldown after it
+        reach = min(n - 1, int(np.searchsorted(us, us[0] + self.cooldown, side="left")))
+        steps = [i for i in range(reach + 1) if i == reach or trial[i] != trial[i + 1]]
+        return ends, widest_steps([stamps[i] for i in steps], [trial[i] for i in steps], STEPS)
 
     def advance(self, state, summary, level):
         fails, opened = state
-        ends, until, outcome = summary
+        ends, steps = summary
         if opened is None:
             return ends[fails]
-        at = bisect.bisect_left(until, opened + self.cooldown)
-        return outcome[at] if at < len(until) else (fails, opened)
+        if opened + self.cooldown > steps[0]:
+            return fails, opened
+        return step_at(steps, opened + self.cooldown)
 
 
 def _micro(amount) -> F.Column:

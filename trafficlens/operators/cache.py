@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 from trafficlens.functions.clock import epoch_us, plus_seconds
 from trafficlens.functions.vectors import (
     PLANES, as_double, cosine, dot, embed, import_vector, lsh_signature, norm, probe_signatures)
-from trafficlens.operators.scan import Fold, Rows, ordered_scan
+from trafficlens.operators.admission import STEPS
+from trafficlens.operators.scan import Fold, Rows, ordered_scan, step_at, widest_steps
 from trafficlens.operators.skew import lookup_join, split_blocks, split_join
 from trafficlens.session import shared_dir
 
@@ -320,7 +321,7 @@ class CacheFold(Fold):
     """Hit if a stored, live entry of the same or a similar vector exists; otherwise a miss, which is stored.
 
     State: the latest store of each vector that is still live. For a vector with no similar ones the summary is a step
-    function of the first row that misses; groups of several vectors are settled by replaying the boundary partition."""
+    function of the first row that misses, of which the widest steps are kept; groups of several vectors are settled by replaying the boundary partition."""
 
     columns = ["us", "id", "gid", "near", "near_similarity"]
     output = {"hit": ("boolean", pa.bool_()), "match_id": ("bigint", pa.int64()),
@@ -363,26 +364,29 @@ class CacheFold(Fold):
             return None
         us, ids, n = rows["us"].astype(np.int64), rows["id"].tolist(), len(gids)
         if self.ttl is None:
-            return int(gids[0]), int(us[-1]), [], [(int(us[0]), ids[0])]
+            return int(gids[0]), int(us[-1]), (int(us[0]), ids[0]), None
         after = np.searchsorted(us, us + self.ttl, side="right").tolist()
         end: list = [None] * n
         for i in range(n - 1, -1, -1):
             end[i] = end[after[i]] if after[i] < n else (int(us[i]), ids[i])
-        steps = [i for i in range(n) if i == n - 1 or end[i] != end[i + 1]]
-        return int(gids[0]), int(us[-1]), us[steps].tolist(), [end[i] for i in steps]
+        # the entry was stored before the first row, so it lives at most one TTL after it
+        reach = min(n - 1, int(np.searchsorted(us, us[0] + self.ttl, side="right")))
+        steps = [i for i in range(reach + 1) if i == reach or end[i] != end[i + 1]]
+        return int(gids[0]), int(us[-1]), end[0], widest_steps(us[steps].tolist(), [end[i] for i in steps], STEPS)
 
     def advance(self, state, summary, level):
         if summary is None:
             return None
-        gid, last, until, ends = summary
+        gid, last, fresh, steps = summary
         stored = state.get(gid)
         if stored is None:
-            after = ends[0]
-        elif self.ttl is None:
+            after = fresh
+        elif self.ttl is None or stored[0] + self.ttl >= steps[0]:
             after = stored
         else:
-            at = int(np.searchsorted(until, stored[0] + self.ttl, side="right"))
-            after = ends[at] if at < len(ends) else stored
+            after = step_at(steps, stored[0] + self.ttl + 1)
+            if after is None:
+                return None
         return {} if self._dead(after[0], last) else {gid: after}
 
 

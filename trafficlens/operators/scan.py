@@ -10,6 +10,7 @@ That is a prefix scan over partitions:
 2. the summaries are chained in partition order, one small step per partition (never per row);
 3. every partition replays its rows from the known boundary state and emits results.
 
+Summaries have a size of their own, whatever the number of rows (a few kB at most): what would not fit is left out.
 A fold whose summary cannot answer for some incoming state returns None; that one boundary is settled by replaying just
 that partition. The laid-out rows are checkpointed first, so all passes see the same boundaries and a lost executor costs
 a re-read.
@@ -17,6 +18,7 @@ a re-read.
 
 from __future__ import annotations
 
+import bisect
 import pickle
 from collections.abc import Iterator
 
@@ -67,6 +69,25 @@ class Fold:
         return None
 
 
+def widest_steps(until: list, values: list, limit: int) -> tuple:
+    """A step function of time as (end, steps): a step (before, until, value) holds for before < t <= until.
+
+    Of more than `limit` steps the widest are kept; the first one has no lower end. A plain tuple, as summaries are pickled."""
+    befores = [None, *until[:-1]]
+    chosen = range(len(until))
+    if len(until) > limit:
+        width = lambda k: float("inf") if befores[k] is None else until[k] - befores[k]
+        chosen = sorted(sorted(chosen, key=width, reverse=True)[:limit])
+    return until[-1], [(befores[k], until[k], values[k]) for k in chosen]
+
+
+def step_at(steps: tuple, t):
+    """The value at t, not beyond the end; None where the step was left out."""
+    known = steps[1]
+    k = bisect.bisect_left(known, t, key=lambda step: step[1])
+    return known[k][2] if k < len(known) and (known[k][0] is None or known[k][0] < t) else None
+
+
 def _runs(batch: pa.RecordBatch, fold: Fold, key: str) -> Iterator[tuple[object, Rows]]:
     """(key, the fold's columns) for each run of equal keys in a batch; slices are views, so short runs stay cheap."""
     columns = {c: batch.column(c).to_pandas().to_numpy() for c in fold.columns}
@@ -186,7 +207,7 @@ def _boundaries(laid: DataFrame, fold: Fold, key: str) -> dict:
     laid = laid.select("_pid", key, *(c for c in fold.columns if c != key))
     carry: dict = {}
     for level in range(fold.passes):
-        # at most one record per partition: bounded by the partition count, not by the data
+        # at most one record of bounded size per partition: bounded by the partition count, not by the data
         records = laid.mapInArrow(_summaries(fold, key, carry, level), _SUMMARY).collect()
         records.sort(key=lambda r: r["pid"])
         edges = [(pickle.loads(a["last_key"]), pickle.loads(b["first_key"])) for a, b in zip(records, records[1:])]
