@@ -41,7 +41,7 @@ EVERY = 256
 #: ids of a block, about: a block holds whole documents
 BLOCK_IDS = 1 << 16
 #: text of a part, and distinct pieces that a worker remembers
-PART_BYTES, REMEMBERED = 16 << 20, 1_000_000
+PART_BYTES, REMEMBERED = 16 << 20, 2_500_000
 #: text that is tokenised at once
 SLICE_BYTES = 1 << 20
 
@@ -81,9 +81,10 @@ class Encoder:
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.opens = np.zeros(max(names.values(), default=0) + 1, bool)
         self.opens[[i for name, i in names.items() if name[0] in _OPENERS]] = True
-        # pieces by hash, in order: which piece it is; all ids end to end, and where each piece starts
-        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
+        # open addressing: hash of a piece (0 where free), and which piece it is
+        self.keys, self.slots = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
+        # all ids end to end, where each piece starts, and how many pieces are remembered; what lies behind is spare
+        self.ids, self.starts, self.known = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -122,16 +123,46 @@ class Encoder:
         out[own], out[~own] = ids, np.concatenate(made)
         return out, lengths
 
-    def _learn(self, at: np.ndarray, keys: np.ndarray, made: np.ndarray, lengths: np.ndarray) -> None:
-        """Remembers new pieces; `at` says where their keys belong among those there are."""
-        begin, known = self.starts[-1], len(self.starts) - 1
-        stops = begin + np.cumsum(lengths)
-        if stops[-1] > len(self.ids):
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key in the table, or the free place where it would go."""
+        at = (keys >> np.uint64(65 - len(self.keys).bit_length())).astype(np.int64)
+        found = self.keys[at]
+        open_ = np.flatnonzero((found != keys) & (found != 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+            found = self.keys[at[open_]]
+            open_ = open_[(found != keys[open_]) & (found != 0)]
+        return at
+
+    def _put(self, keys: np.ndarray, pieces: np.ndarray) -> None:
+        """New distinct keys into free places; where several want one, the first has it and the others look on."""
+        while len(keys):
+            at = self._find(keys)
+            _, one = np.unique(at, return_index=True)
+            self.keys[at[one]], self.slots[at[one]] = keys[one], pieces[one]
+            rest = np.ones(len(keys), bool)
+            rest[one] = False
+            keys, pieces = keys[rest], pieces[rest]
+
+    def _learn(self, keys: np.ndarray, made: np.ndarray, lengths: np.ndarray) -> None:
+        """Writes new pieces behind those there are, and remembers them while there is room; frequent ones came first."""
+        begin, stop = int(self.starts[self.known]), self.known + len(keys)
+        if begin + len(made) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids) // 2, len(made)), np.uint32)])
-        self.ids[begin : stops[-1]] = made
-        self.slots = np.insert(self.slots, at, np.arange(known, known + len(keys)))
-        self.keys = np.insert(self.keys, at, keys)
-        self.starts = np.concatenate([self.starts, stops])
+        if stop >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(max(len(self.starts) // 2, len(keys) + 1), np.int64)])
+        self.ids[begin : begin + len(made)] = made
+        self.starts[self.known + 1 : stop + 1] = begin + np.cumsum(lengths)
+        if self.known >= REMEMBERED:
+            return
+        if 2 * stop > len(self.keys):
+            kept = self.keys != 0
+            old, pieces = self.keys[kept], self.slots[kept]
+            size = 1 << (4 * stop).bit_length()
+            self.keys, self.slots = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._put(old, pieces)
+        self._put(keys, np.arange(self.known, stop, dtype=np.int32))
+        self.known = stop
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with END_ID after each, and the n + 1 offsets."""
@@ -150,29 +181,18 @@ class Encoder:
             stops[1:-1] |= _ALNUM[data[:-1]] & _MARK[data[1:]]
         ends = np.flatnonzero(stops)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-        keys = W.span_hashes(data, starts, ends, W.EXACT)
-        order = np.argsort(keys)
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[order][1:] != keys[order][:-1]
-        first = order[new]
-        distinct, piece = keys[first], np.empty(len(keys), np.int64)
-        piece[order] = np.cumsum(new) - 1
-        spot = np.searchsorted(self.keys, distinct)
-        here = np.minimum(spot, max(len(self.keys) - 1, 0))
-        missing = self.keys[here] != distinct if len(self.keys) else np.ones(len(distinct), bool)
-        at = self.slots[here] if len(self.keys) else np.zeros(len(distinct), np.int64)
-        new, ids = np.flatnonzero(missing), self.ids[: self.starts[-1]]
-        at[new] = 0
-        starts_of = self.starts[at]
-        lengths_of = self.starts[np.minimum(at + 1, len(self.starts) - 1)] - starts_of
-        if len(new):
-            made, n = self.pieces(data, starts[first[new]], ends[first[new]])
-            starts_of[new], lengths_of[new] = len(ids) + np.cumsum(n) - n, n
-            ids = np.concatenate([ids, made])
-            if len(self.keys) < REMEMBERED:  # a full memory keeps what it has; frequent pieces came first
-                self._learn(spot[new], distinct[new], made, n)
-        lengths = lengths_of[piece]
-        ids = ids[W.ragged(starts_of[piece], lengths)]
+        keys = np.maximum(W.span_hashes(data, starts, ends, W.EXACT), np.uint64(1))
+        at = self._find(keys)
+        piece = self.slots[at].astype(np.int64)
+        missing = np.flatnonzero(self.keys[at] != keys)
+        if len(missing):
+            new, first, which = np.unique(keys[missing], return_index=True, return_inverse=True)
+            piece[missing] = self.known + which
+            first = missing[first]
+            self._learn(new, *self.pieces(data, starts[first], ends[first]))
+        starts_of = self.starts[piece]
+        lengths = self.starts[piece + 1] - starts_of
+        ids = self.ids[W.ragged(starts_of, lengths)]
         before = np.concatenate([[0], np.cumsum(lengths)])
         rows = before[np.searchsorted(ends, offsets, "right") if len(ends) else np.zeros(len(offsets), np.int64)]
         if len(strange):
