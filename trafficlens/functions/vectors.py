@@ -116,6 +116,33 @@ def probe_signatures(signature: Column, planes: int = PLANES) -> Column:
     return F.array(signature, *flips)
 
 
+def lsh_buckets(vec: Column, dim: int, planes: int = PLANES, tables: int = 1, probes: int = 0, seed: int = SEED) -> Column:
+    """Buckets of a vector as array<bigint>: table * 2**planes + signature, the tables in order.
+
+    Table t has planes of its own, drawn with seed + t, so table 0 gives ``lsh_signature``. With ``probes`` each table also
+    names the buckets across that many planes, those the vector lies nearest to first; ``planes`` of them are all one-bit
+    neighbours."""
+    if not 1 <= planes <= 30:
+        raise ValueError("a table has 1 to 30 planes")
+    normals = np.concatenate([np.array(hyperplanes(dim, planes, seed + t)) for t in range(tables)])
+    length = np.sqrt((normals ** 2).sum(axis=1)).reshape(tables, planes)
+    bits = (1 << np.arange(planes)).astype(np.int64)
+    base = (np.arange(tables, dtype=np.int64) << planes)[:, None]
+    probes = min(probes, planes)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def buckets(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype="object")
+        side = (np.stack(vectors.to_numpy()).astype(np.float64) @ normals.T).reshape(-1, tables, planes)
+        own = ((side >= 0) * bits).sum(axis=2)[:, :, None]
+        near = np.argsort(np.abs(side) / length, axis=2, kind="stable")[:, :, :probes]
+        every = np.concatenate([own, own ^ bits[near]], axis=2) + base
+        return pd.Series(list(every.reshape(len(every), -1)))
+
+    return buckets(vec)
+
+
 def export_vector(vec: Column) -> Column:
     """Comma-separated text of a vector."""
     return F.array_join(F.transform(as_double(vec), lambda x: x.cast("string")), ",")

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from trafficlens.functions.clock import epoch_us, plus_seconds
 from trafficlens.functions.vectors import (
-    PLANES, as_double, cosine, dot, embed, import_vector, lsh_signature, norm, probe_signatures)
+    PLANES, as_double, cosine, dot, embed, import_vector, lsh_buckets, lsh_signature, norm)
 from trafficlens.operators.admission import STEPS
 from trafficlens.operators.scan import Fold, Rows, ordered_scan, step_at, widest_steps
 from trafficlens.operators.skew import lookup_join, split_blocks, split_join
@@ -74,6 +74,31 @@ def evict_expired(entries: DataFrame, now: Column) -> tuple[DataFrame, DataFrame
         F.count_if(gone).alias("removed"), F.count_if(~gone).alias("kept"))
 
 
+def evict_store(spark: SparkSession, path: str, now: Column, schema: T.StructType | None = None) -> dict[str, int]:
+    """Evicts in the store itself: folders of days that are wholly expired are dropped, of the day of ``now`` only the
+    survivors are written anew, all other folders keep their files. Entries without an expiry stay.
+
+    Counts removed entries, dropped and rewritten folders. Every step may be repeated, so a run that was cut short is
+    mended by the next. The days with expired entries are all that reaches the driver."""
+    named = T.StructType([*schema.fields, T.StructField("expires_on", T.DateType())]) if schema else None
+    store = (spark.read.schema(named) if named else spark.read).parquet(path)
+    gone = F.col("expires_at") <= now
+    days = store.filter(F.col("expires_on") <= F.to_date(now)).groupBy("expires_on").agg(
+        F.count_if(gone).alias("removed"), F.count("*").alias("entries")).filter("removed > 0").collect()
+    for day in days:
+        folder = f"{path}/expires_on={day.expires_on}"
+        if day.removed == day.entries:
+            target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        else:
+            shared_dir(spark)
+            # read to the end before its files are replaced
+            kept = store.filter((F.col("expires_on") == F.lit(day.expires_on)) & (F.col("expires_at") > now)).checkpoint()
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("expires_on").parquet(path)
+    whole = sum(day.removed == day.entries for day in days)
+    return {"removed": sum(day.removed for day in days), "dropped": whole, "rewritten": len(days) - whole}
+
+
 def import_vectors(rows: DataFrame, dim: int, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(good, quarantined): comma-separated ``embedding`` text to array<double> of the right length.
 
@@ -91,14 +116,19 @@ def import_vectors(rows: DataFrame, dim: int, strict: bool = False) -> tuple[Dat
 
 # -- index and joins ---------------------------------------------------------------------------------------------------
 
-def build_index(entries: DataFrame, dim: int) -> DataFrame:
-    """tenant, model, signature, id."""
-    return entries.select(*SCOPE, lsh_signature(F.col("vec"), dim).alias("signature"), "id")
+def build_index(entries: DataFrame, dim: int, planes: int = PLANES, tables: int = 1) -> DataFrame:
+    """tenant, model, signature, id; with several tables also the table, and one row per table."""
+    if tables == 1:
+        return entries.select(*SCOPE, lsh_signature(F.col("vec"), dim, planes).alias("signature"), "id")
+    placed = entries.select(*SCOPE, "id", F.explode(lsh_buckets(F.col("vec"), dim, planes, tables)).alias("_b"))
+    return placed.select(*SCOPE, F.shiftright("_b", planes).cast("int").alias("table"),
+                         F.col("_b").bitwiseAND(F.lit((1 << planes) - 1)).cast("int").alias("signature"), "id")
 
 
-def index_stats(entries: DataFrame, dim: int) -> DataFrame:
+def index_stats(entries: DataFrame, dim: int, planes: int = PLANES, tables: int = 1) -> DataFrame:
     """Occupancy of every bucket."""
-    return build_index(entries, dim).groupBy(*SCOPE, "signature").agg(F.count("*").alias("entries"))
+    index = build_index(entries, dim, planes, tables)
+    return index.groupBy(*(c for c in index.columns if c != "id")).agg(F.count("*").alias("entries"))
 
 
 def distinct_vectors(rows: DataFrame) -> DataFrame:
@@ -117,17 +147,24 @@ def with_group(rows: DataFrame, groups: DataFrame, *columns: str) -> DataFrame:
     return lookup_join(left, right, [*SCOPE, "_vh"], "id").filter(F.col("vec") == F.col("_vec")).drop("_vh", "_vec")
 
 
-def bucket_candidates(queries: DataFrame, entries: DataFrame, dim: int) -> DataFrame:
-    """Distinct query and entry vectors that share a bucket or differ in one bit: qid, eid, similarity."""
-    sig = lsh_signature(F.col("vec"), dim)
-    q = queries.withColumn("_sig", sig).select(
-        *SCOPE, F.col("gid").alias("qid"), F.col("vec").alias("qv"), F.col("norm").alias("qn"),
-        F.explode(probe_signatures(F.col("_sig"))).alias("signature"))
-    e = entries.select(*SCOPE, F.col("gid").alias("eid"), F.col("vec").alias("ev"), F.col("norm").alias("en"),
-                       sig.alias("signature"))
-    met = split_join(q, e, [*SCOPE, "signature"], "qid", "eid")
-    return met.select(*SCOPE, "qid", "eid",
-                      cosine(F.col("qv"), F.col("ev"), F.col("qn"), F.col("en")).alias("similarity"))
+def bucket_candidates(queries: DataFrame, entries: DataFrame, dim: int, planes: int = PLANES, tables: int = 1,
+                      probes: int | None = None) -> DataFrame:
+    """Distinct query and entry vectors that meet in a bucket of some table: qid, eid, similarity.
+
+    A query looks into its own bucket of each table and across the ``probes`` planes nearest to it (None: all planes, which
+    are the one-bit neighbours). Only ids meet in the buckets; the two vectors are fetched once for each pair found."""
+    looks = planes if probes is None else probes
+    q = queries.select(*SCOPE, F.col("gid").alias("qid"),
+                       F.explode(lsh_buckets(F.col("vec"), dim, planes, tables, looks)).alias("_bucket"))
+    e = entries.select(*SCOPE, F.col("gid").alias("eid"),
+                       F.explode(lsh_buckets(F.col("vec"), dim, planes, tables)).alias("_bucket"))
+    met = split_join(q, e, [*SCOPE, "_bucket"], "qid", "eid").select(*SCOPE, "qid", "eid")
+    if tables > 1:
+        met = met.distinct()
+    qv = queries.select(F.col("gid").alias("qid"), F.col("vec").alias("qv"), F.col("norm").alias("qn"))
+    ev = entries.select(F.col("gid").alias("eid"), F.col("vec").alias("ev"), F.col("norm").alias("en"))
+    return met.join(qv, "qid").join(ev, "eid").select(
+        *SCOPE, "qid", "eid", cosine(F.col("qv"), F.col("ev"), F.col("qn"), F.col("en")).alias("similarity"))
 
 
 def _cells(groups: DataFrame, threshold: float, dim: int, probe: bool) -> DataFrame:
@@ -234,11 +271,12 @@ def similar_prompt_pairs(rows: DataFrame, threshold: float, dim: int) -> DataFra
     return across.unionByName(alike)
 
 
-def lsh_recall(rows: DataFrame, threshold: float, dim: int) -> DataFrame:
-    """Per scope: true pairs of distinct vectors, and the share the buckets and their one-bit neighbours find."""
+def lsh_recall(rows: DataFrame, threshold: float, dim: int, planes: int = PLANES, tables: int = 1,
+               probes: int | None = None) -> DataFrame:
+    """Per scope: true pairs of distinct vectors, and the share that the buckets looked into find."""
     groups = distinct_vectors(rows)
     truth = exact_pairs(groups, groups, threshold, dim, ordered=True).select("qid", "eid")
-    seen = bucket_candidates(groups, groups, dim).select("qid", "eid", F.lit(True).alias("seen"))
+    seen = bucket_candidates(groups, groups, dim, planes, tables, probes).select("qid", "eid", F.lit(True).alias("seen"))
     scope = groups.select(F.col("gid").alias("qid"), *SCOPE)
     return (truth.join(seen, ["qid", "eid"], "left").join(scope, "qid").groupBy(*SCOPE).agg(
         F.count("*").alias("true_pairs"), F.count("seen").alias("found"),
@@ -253,7 +291,8 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 
 def best_match(queries: DataFrame, entries: DataFrame, threshold: float, dim: int,
-               mode: str = "lsh_then_exact", now: Column | None = None) -> DataFrame:
+               mode: str = "lsh_then_exact", now: Column | None = None, planes: int = PLANES, tables: int = 1,
+               probes: int | None = None) -> DataFrame:
     """id, match_id, similarity for each query with a live match; best similarity, then smallest entry id.
 
     ``lsh`` looks in the buckets only, ``exact`` compares the whole scope, ``lsh_then_exact`` goes on to the whole scope
@@ -266,7 +305,7 @@ def best_match(queries: DataFrame, entries: DataFrame, threshold: float, dim: in
     if mode == "exact":
         found = _best(exact_pairs(q, e, threshold, dim, best=True))
     else:
-        found = _best(bucket_candidates(q, e, dim)).filter(F.col("similarity") >= threshold)
+        found = _best(bucket_candidates(q, e, dim, planes, tables, probes)).filter(F.col("similarity") >= threshold)
         if mode == "lsh_then_exact":
             found = found.checkpoint()
             rest = q.join(found.select(F.col("qid").alias("gid")), "gid", "left_anti")
@@ -278,9 +317,10 @@ def best_match(queries: DataFrame, entries: DataFrame, threshold: float, dim: in
 
 
 def cache_lookup(queries: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, dim: int = 128,
-                 mode: str = "lsh_then_exact", now: Column | None = None) -> DataFrame:
+                 mode: str = "lsh_then_exact", now: Column | None = None, planes: int = PLANES, tables: int = 1,
+                 probes: int | None = None) -> DataFrame:
     """id, hit, content, prompt_tokens, completion_tokens, similarity; a miss is (false, null, null, null, 0.0)."""
-    found = best_match(queries, entries, threshold, dim, mode, now)
+    found = best_match(queries, entries, threshold, dim, mode, now, planes, tables, probes)
     served = entries.select(F.col("id").alias("match_id"), "content", "prompt_tokens", "completion_tokens")
     hits = lookup_join(found, served, ["match_id"], "id")
     return queries.select("id").join(hits, "id", "left").select(

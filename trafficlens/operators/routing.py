@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trafficlens.functions.clock import epoch_us
 from trafficlens.functions.text import classify_tier, extract_credential, is_blank, user_text_of, with_difficulty
+from trafficlens.operators.skew import lookup_join
 from trafficlens.sources.dims import one_per
 
 
@@ -133,3 +135,41 @@ def breaker_events(attempts: DataFrame) -> DataFrame:
     ended = attempts.groupBy("request_id", "position").agg(last).select("request_id", "position", "last.*")
     told = F.col("ok") | F.col("stream") | (F.col("error_kind") == "unavailable")
     return ended.filter(told).select("request_id", "position", "ts", (~F.col("ok")).alias("failed"))
+
+
+def breaker_openings(replayed: DataFrame, key: str, ts: str) -> DataFrame:
+    """provider, opened_at: when a breaker opened or opened again, from the rows of a breaker replay."""
+    opened = F.col("allowed") & (F.col("state_after") == "OPEN")
+    return replayed.filter(opened).select(F.col(key).alias("provider"), F.col(ts).alias("opened_at"))
+
+
+def route_around_breakers(routed: DataFrame, aliases: DataFrame, pricing: DataFrame, openings: DataFrame, ts: str,
+                          row_id: str, cooldown_us: int = 10_000_000) -> DataFrame:
+    """Adds served_model, served_provider, fallback_used, dispatch_error: the first model of the chain whose provider's
+    breaker is not open at the request's time. Requests must carry a route as for route_around_outage.
+
+    A breaker is open from its opening, that moment included, for one cooldown. Time is cut into slots one cooldown wide:
+    an opening reaches into its own slot and the next, and a provider's openings are at least a cooldown apart, so a slot
+    has at most two of each provider. They are gathered per slot and looked up by it: no window over a busy provider, no
+    request is exploded, and a slot with very many requests is spread over several tasks. Without a time none is open."""
+    at, slot = epoch_us(F.col("opened_at")), F.floor(F.col("_at") / cooldown_us)
+    down = (openings.select("provider", at.alias("_at")).select("provider", "_at", F.explode(F.array(slot, slot + 1)).alias("_slot"))
+            .groupBy("_slot").agg(F.collect_set(F.struct("provider", "_at")).alias("_down")))
+    routes = aliases.select("primary_model", "chain").unionByName(
+        pricing.select(F.col("model").alias("primary_model"), F.array().cast("array<string>").alias("chain"))).distinct()
+    steps = (expand_chain(routes, ["primary_model", "chain"])
+             .join(one_per(pricing, "model").select("model", "provider"), "model").groupBy("primary_model", "chain")
+             .agg(F.sort_array(F.collect_list(F.struct("position", "model", "provider"))).alias("_steps"))
+             .select(F.col("primary_model").alias("_p"), F.col("chain").alias("_c"), "_steps"))
+    timed = routed.withColumn("_at", epoch_us(F.col(ts))).withColumn("_slot", slot)
+    known = lookup_join(timed, down, ["_slot"], row_id, "left").join(
+        steps, (F.col("primary_model") == F.col("_p")) & (F.col("chain") == F.col("_c")), "left")
+    refused = F.coalesce("_down", F.array().cast("array<struct<provider: string, _at: bigint>>"))
+    up = F.filter("_steps", lambda s: ~F.exists(refused, lambda o: (
+        (o["provider"] == s["provider"]) & (o["_at"] <= F.col("_at")) & (F.col("_at") < o["_at"] + cooldown_us))))
+    return known.withColumn("_served", F.get(up, F.lit(0))).withColumns({
+        "served_model": F.col("_served.model"), "served_provider": F.col("_served.provider"),
+        "fallback_used": F.col("_served.position") > 0,
+        "dispatch_error": F.when(
+            F.col("primary_model").isNotNull() & F.col("_served").isNull(), "ALL_PROVIDERS_EXHAUSTED"),
+    }).drop("_at", "_slot", "_down", "_p", "_c", "_steps", "_served")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from trafficlens.functions import text as T
-from trafficlens.functions.vectors import DIM, PLANES, hyperplanes
+from trafficlens.functions.vectors import DIM, PLANES, SEED, hyperplanes
 from trafficlens.sources import dims
 from trafficlens.sources import fixtures as X
 
@@ -154,12 +154,20 @@ def grouped(name: str, source: str) -> str:
             f" from {source} group by tenant, vec)")
 
 
-def signature(vec: str, dim: int) -> str:
+def signature(vec: str, dim: int, planes: int = PLANES, table: int = 0) -> str:
     bits = [f"(case when list_inner_product({vec}, {p}::double[]) >= 0 then {1 << i} else 0 end)"
-            for i, p in enumerate(hyperplanes(dim, PLANES))]
+            for i, p in enumerate(hyperplanes(dim, planes, SEED + table))]
     return "(" + " + ".join(bits) + ")"
 
 
+def signatures(vec: str, dim: int, planes: int, tables: int) -> str:
+    return "[" + ", ".join(signature(vec, dim, planes, t) for t in range(tables)) + "]"
+
+
+#: two vectors share a bucket of some table, or differ in one bit of it
+MEET = "len(list_filter(list_zip(q.sigs, e.sigs), lambda s: bit_count(xor(s[1], s[2])) <= 1)) > 0"
+
+
 # -- one statement per query -------------------------------------------------------------------------------------------
 
 SQL: dict[str, str] = {}
@@ -213,6 +221,9 @@ _q("live_entries", [TURNS, _STAMPED],
 _q("evict_expired", [TURNS, _STAMPED], """select count(*) filter (expires_at <= timestamp '2024-01-04 00:00:00') as removed,
   count(*) filter (expires_at > timestamp '2024-01-04 00:00:00') as kept, min(id) filter
   (expires_at > timestamp '2024-01-04 00:00:00') as first_kept from stamped""")
+_q("evict_folders", [TURNS, _STAMPED], """select cast(expires_at as date) as expires_on, count(*) as entries,
+  min(id) as first_id, min(expires_at) as first_expiry from stamped
+  where expires_at > timestamp '2024-01-04 12:00:00' group by 1""")
 _BODIES = """bodies as (select request_id, case when request_id % 29 = 0 then '  ' else model end as model,
   stream, temperature, max_tokens, request_id % 23 = 0 as empty, request_id % 13 = 0 as no_role,
   request_id % 19 = 0 as no_content, prompt from requests)"""
@@ -385,6 +396,19 @@ step as (
         from step s join br r on r.k = s.k and r.rn = s.rn + 1))"""
 _q("breaker_replay", _BREAKER, """select k as provider, id as event_id, allowed,
   case when opened is null then 'CLOSED' else 'OPEN' end as state_after from step""", True)
+_q("breaker_dispatch", [PRICING, ROUTED, _BREAKER, """openings as (select case when k = 0 then 'north' else 'harbor' end
+  as provider, us as opened_at from step where opened = us),
+moves as (select request_id, epoch_us(ts) as us, generate_subscripts(full_chain, 1)::int - 1 as position,
+    unnest(full_chain) as model
+  from (select request_id, ts, list_prepend(primary_model, chain) as full_chain from routed where primary_model is not null)),
+last_opening as (select m.*, p.provider, o.opened_at from moves m join pricing p on p.model = m.model
+  asof left join openings o on o.provider = p.provider and o.opened_at <= m.us),
+served as (select request_id, min(position) as position, min_by(model, position) as served_model,
+  min_by(provider, position) as served_provider from last_opening
+  where opened_at is null or us >= opened_at + 3600000000 group by request_id)"""],
+   """select r.request_id, r.primary_model, served_model, served_provider, position > 0 as fallback_used,
+  case when r.primary_model is not null and served_model is null then 'ALL_PROVIDERS_EXHAUSTED' end as dispatch_error
+  from routed r left join served s using (request_id)""", True)
 _ATTEMPTS = """att as (select event_id // 6 as request_id, ((event_id % 6) // 3)::int as position, (event_id % 3)::int as attempt,
   event_type <> 'error' and value < 20 as ok, event_id % 7 = 2 as slow, ts, (event_id // 6) % 3 = 0 as stream from events),
 tried as (select * from (select *, coalesce(min(attempt) filter (ok or slow) over (partition by request_id, position), 2) as last from att)
@@ -447,6 +471,14 @@ _q("lsh_recall", [VECTORS, grouped("g", "vectors"), _SIGNED], f"""select q.tenan
   count(*) filter (bit_count(xor(q.sig, e.sig)) <= 1) as found,
   avg((bit_count(xor(q.sig, e.sig)) <= 1)::int::double) as recall
   from sg q join sg e on q.tenant = e.tenant and q.gid < e.gid where {COSINE} >= 0.3 group by q.tenant""")
+_q("index_stats_tables", VECTORS, f"""select tenant, 'swift-s' as model, (t - 1)::int as table, sigs[t]::int as signature,
+  count(*) as entries from (select tenant, {signatures('vec', 64, X.LSH_PLANES, X.LSH_TABLES)} as sigs from vectors), generate_series(1, {X.LSH_TABLES}) s(t)
+  group by all""")
+_q("lsh_recall_tables", [TURNS, "src as (select * from turns where role = 'user')", embedded("v", "src"), grouped("g", "v"),
+                         f"sg as (select *, {signatures('vec', DIM, X.LSH_PLANES, X.LSH_TABLES)} as sigs from g)"],
+   f"""select q.tenant, 'swift-s' as model, count(*) as true_pairs, count(*) filter ({MEET}) as found,
+  avg(({MEET})::int::double) as recall
+  from sg q join sg e on q.tenant = e.tenant and q.gid < e.gid where {COSINE} >= 0.7 group by q.tenant""")
 _TWO = [TURNS, "src as (select * from turns where role in ('user', 'assistant'))", embedded("v", "src"),
         f"""ranked as (select q.id, q.tenant, e.id as match_id, {COSINE} as similarity, e.prompt as content
   from v q join v e on q.tenant = e.tenant where q.role = 'assistant' and e.role = 'user' and {COSINE} >= 0.5),
@@ -459,6 +491,9 @@ _NEAR = [TURNS, "src as (select * from turns where role in ('user', 'assistant')
   from sv q join sv e on q.tenant = e.tenant where q.role = 'assistant' and e.role = 'user' and {COSINE} >= 0.5)""",
          """best as (select *, row_number() over (partition by id order by near desc, similarity desc, match_id) as rn from ranked)"""]
 _q("best_match_lsh", _NEAR, "select id, match_id, round(similarity, 6) as similarity from best where rn = 1 and near")
+_q("best_match_tables", [*_NEAR[:3], f"sv as (select *, {signatures('vec', DIM, X.LSH_PLANES, X.LSH_TABLES)} as sigs from v)",
+                         _NEAR[4].replace("bit_count(xor(q.sig, e.sig)) <= 1", MEET), _NEAR[5]],
+   "select id, match_id, round(similarity, 6) as similarity from best where rn = 1 and near")
 _q("best_match_lsh_then_exact", _NEAR, "select id, match_id, round(similarity, 6) as similarity from best where rn = 1")
 _q("cache_lookup", _TWO, """select t.id, b.match_id is not null as hit, b.content, length(b.content)::int as prompt_tokens,
   len(string_split(b.content, ' '))::int as completion_tokens, round(coalesce(b.similarity, 0.0::double), 6) as similarity

@@ -173,6 +173,17 @@ def evict_expired(spark, d):
                     F.min(F.when(F.col("after") == 1, F.col("id"))).alias("first_kept"))
 
 
+@query
+def evict_folders(spark, d):
+    """What is left in a store, by day, after eviction within it."""
+    path, now = scratch_path(spark, "entries"), at("2024-01-04 12:00:00")
+    entries = _stamped(spark, d)
+    C.write_store(entries, path)
+    C.evict_store(spark, path, now, entries.schema)
+    return C.read_store(spark, path, schema=entries.schema).groupBy(F.to_date("expires_at").alias("expires_on")).agg(
+        F.count("*").alias("entries"), F.min("id").alias("first_id"), F.min("expires_at").alias("first_expiry"))
+
+
 @query
 def parse_requests(spark, d):
     parsed = usage_io.parse_requests(X.request_bodies_json(spark, d))
@@ -487,6 +498,18 @@ def breaker_replay(spark, d):
         3600 * A.MICRO).select("provider", "event_id", "allowed", "state_after")
 
 
+@query
+def breaker_dispatch(spark, d):
+    """Requests dispatched by the state the breakers had at their time, as replayed from the attempt log."""
+    log = _attempt_log(X.table(spark, d, "events")).withColumn(
+        "provider", F.when(F.col("provider") == 0, "north").otherwise("harbor"))
+    replayed = A.breaker_replay(log, "provider", "ts", "event_id", F.col("event_type") == "error", 3, 3600 * A.MICRO)
+    return G.route_around_breakers(
+        _routed(spark, d), dims.load_aliases(spark), dims.load_pricing(spark),
+        G.breaker_openings(replayed, "provider", "ts"), "ts", "request_id", 3600 * A.MICRO).select(
+        "request_id", "primary_model", "served_model", "served_provider", "fallback_used", "dispatch_error")
+
+
 @query
 def cache_savings(spark, d):
     hits = X.usage(spark, d).filter("cache_hit").drop("cost_usd")
@@ -555,6 +578,16 @@ def lsh_recall(spark, d):
     return C.lsh_recall(X.vectors(spark, d), 0.3, VEC_DIM)
 
 
+@query
+def index_stats_tables(spark, d):
+    return C.index_stats(X.vectors(spark, d), VEC_DIM, X.LSH_PLANES, X.LSH_TABLES)
+
+
+@query
+def lsh_recall_tables(spark, d):
+    return C.lsh_recall(C.embed_prompts(X.prompts(spark, d)), C.THRESHOLD, V.DIM, X.LSH_PLANES, X.LSH_TABLES)
+
+
 def _lookup_sides(spark, d):
     entries = C.embed_prompts(X.prompts(spark, d)).withColumns({
         "content": F.col("prompt"), "prompt_tokens": F.length("prompt"),
@@ -574,6 +607,13 @@ def best_match_lsh(spark, d):
     return C.best_match(queries, entries, 0.5, V.DIM, mode="lsh").withColumn("similarity", F.round("similarity", 6))
 
 
+@query
+def best_match_tables(spark, d):
+    queries, entries = _lookup_sides(spark, d)
+    return C.best_match(queries, entries, 0.5, V.DIM, mode="lsh", planes=X.LSH_PLANES, tables=X.LSH_TABLES).withColumn(
+        "similarity", F.round("similarity", 6))
+
+
 @query
 def best_match_lsh_then_exact(spark, d):
     queries, entries = _lookup_sides(spark, d)

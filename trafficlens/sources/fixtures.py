@@ -33,6 +33,8 @@ LABELLED_PROMPTS = [
 KEY_BY_USER = ["key-atlas", "key-birch", "key-cedar", "key-dune", "key-ember", "nope", ""]
 NAME_BY_EVENT = ["fast", "smart", "auto", "swift-s", "delta-l", "FAST", "Auto", "no-such-model"]
 MODEL_BY_EVENT = ["swift-s", "swift-l", "delta-s", "delta-l"]
+#: planes and tables of the index of several tables, for recall above that of the one table of the default
+LSH_PLANES, LSH_TABLES = 10, 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
