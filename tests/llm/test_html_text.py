@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 
@@ -74,3 +75,25 @@ def test_hints_hold_for_smaller_parts_and_beside_an_article():
     assert H.extract(f"<div>{BODY}</div><div class=sidebar><p>{WORDS}{WORDS}</p></div>") == "\n".join([f"{LONG} {LONG}"] * 6)
     assert H.extract(f"<article><p>{WORDS}</p></article><div class='related'>{BODY}</div>") == LONG
     assert H.extract(f"<nav><div class=menu>{BODY}</div></nav><div><p>{WORDS}</p></div>") == LONG
+
+
+@pytest.mark.parametrize("part", [
+    '<a "x', "<a 'x\"y", "<a", "<a x ", "<!x", "<!-", "<", "</b x", "<b>", "<head>", "<p>", "<div class=sidebar>x", '<a class="x\' y="z> '])
+@pytest.mark.parametrize("end", ["", ">", '">', "</head></i></p>"])
+def test_broken_markup_takes_linear_time(part, end):
+    """A page of half a megabyte of parts that are never closed."""
+    start = time.process_time()
+    H.extract(f"<p>{WORDS}</p><i>" + part * (500_000 // len(part)) + end)
+    assert time.process_time() - start < 8
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ('<article><p title="a > b < c">x</p><p title=\'<b> "\'>y</p></article>', "x\ny"),
+    ('<article><p>x <a href="y>z</p></article>', 'x <a href="y>z'),  # a tag without an end is text
+    ("<article><p>1 < 2 and 3 > 2</p><!x><p>y<!-- <p>no --></article>", "1 < 2 and 3 > 2\ny"),
+    ("<article><ul><li>a<ul><li>b</ul><li>c</ul><i><p>d</i>e</article>", "a\nb\nc\nde"),
+    ("<article><p>x</p><!-- open <p>no</p></article>", "x"),
+    ("<head><title>t</title><article><p>x</p><svg><p>y</p>", "x\ny"),
+])
+def test_scanner(page, text):
+    assert H.extract(page) == text

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -44,7 +45,11 @@ CONTENT_NAMES = set("article articlebody content entry main post postbody story"
 CUE, MAIN_CUE, NAME_CUE, PARAGRAPH, LINKS, LENGTH = 9.0, 5.0, 2.0, 0.6, 2.5, 0.8
 NEXT, SIBLING = 0.4, 0.8
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_COMMENT_END = re.compile(r"-->|\Z")
+#: a tag whose attributes hold no "<", which is nearly every one; it reads no further than the next "<"
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>"']*)((?:[^<>"']++|"[^"<]*"|'[^'<]*')*+)>""")
+_OPEN = re.compile(r"""<(/?)([a-zA-Z][^\s/<>"']*)""")
+_SPECIAL = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/]|$)""", re.I)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _NAME = re.compile(r"[a-z0-9]+")
@@ -96,13 +101,101 @@ def _cue(tag: str, attributes: str, above: str) -> str:
     return above
 
 
+class _Tags:
+    """The tags of a page in order, each character read a bounded number of times whatever quotes or tags are left open.
+
+    A tag ends at the first > outside quotes; without one it is text. Where a scan from a quote ends is the same for every
+    tag that comes upon that quote, so it is remembered."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.ends: dict[int, int] = {}  # by opening quote: where a tag that goes on from it ends, or -1
+        self.special: list[int] | None = None
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """start, end, slash, name (empty for a comment or declaration) and attributes of the first tag from ``at`` on."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if m := _TAG.match(page, start):
+                return start, m.end(), m[1], m[2], m[3]
+            if page.startswith("<!--", start):
+                return start, _COMMENT_END.search(page, start + 4).end(), "", "", ""
+            if start > self.last:  # no tag can end any more, but a comment may begin
+                at = page.find("<!--", start)
+                if at < 0:
+                    return None
+                continue
+            if page[start + 1:start + 2] in ("!", "?"):
+                return start, page.index(">", start) + 1, "", "", ""
+            if m := _OPEN.match(page, start):
+                end = self._end(m.end())
+                if end >= 0:
+                    return start, end, m[1], m[2], page[m.end():end - 1]
+            at = start + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """After the first > outside quotes from ``at`` on, or -1."""
+        if self.special is None:
+            self.special = [m.start() for m in _SPECIAL.finditer(self.page)]
+        passed, end = [], -1
+        while (k := bisect_left(self.special, at)) < len(self.special):
+            place = self.special[k]
+            mark = self.page[place]
+            if mark == ">":
+                end = place + 1
+                break
+            if place in self.ends:
+                end = self.ends[place]
+                break
+            passed.append(place)
+            at = self.page.find(mark, place + 1) + 1
+            if not at:
+                break
+        self.ends |= dict.fromkeys(passed, end)
+        return end
+
+
+class _Stack:
+    """Open elements as (tag, cue, number), with the places of each tag, so that a look for one reads no other."""
+
+    def __init__(self):
+        self.items: list[tuple[str, str, int]] = [("", "", 0)]
+        self.places: dict[str, list[int]] = {}
+        self.walls: list[int] = []  # places of block elements but p
+
+    def push(self, tag: str, cue: str, number: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.items))
+        if tag in BLOCKS and tag != "p":
+            self.walls.append(len(self.items))
+        self.items.append((tag, cue, number))
+
+    def nearest(self, *tags: str) -> int:
+        """Place of the innermost of the tags, 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def wall(self) -> int:
+        return self.walls[-1] if self.walls else 0
+
+    def cut(self, place: int) -> int:
+        """Closes the element at the place and all in it; returns how many links were among them."""
+        links = sum(tag == "a" for tag, _, _ in self.items[place:])
+        for tag, _, _ in self.items[place:]:
+            self.places[tag].pop()
+        while self.walls and self.walls[-1] >= place:
+            self.walls.pop()
+        del self.items[place:]
+        return links
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order. Unclosed and stray tags are borne; unknown tags are inline."""
     out: list[Block] = []
-    stack: list[tuple[str, str, int]] = [("", "", 0)]  # tag, cue, number
+    stack, tags = _Stack(), _Tags(page)
     pieces: list[str] = []
     linked = links = number = at = 0
     hint_of, outer = {0: 0}, {}  # nearest element with a hint by element, and the next one around it
+    endless: set[str] = set()  # hidden elements that have no end tag from here on
 
     def flush() -> None:
         nonlocal linked
@@ -110,23 +203,14 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
-                tag, cue, container = stack[-1]
-                hint = hint_of[container]
-                for tag, _, container in reversed(stack):  # noqa: B007
-                    if tag in BLOCKS or not tag:
-                        break
-                parent = container
-                if tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "dd", "dt"):
-                    k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][2] == container)
-                    parent = stack[k - 1][2] if k else 0
-                out.append(Block(text, min(linked, len(text)), tag, cue, parent, hint))
+                _, cue, inner = stack.items[-1]
+                place = max(stack.wall(), stack.nearest("p"))
+                tag, _, container = stack.items[place]
+                if place and tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "dd", "dt"):
+                    container = stack.items[place - 1][2]
+                out.append(Block(text, min(linked, len(text)), tag, cue, container, hint_of[inner]))
         linked = 0
 
-    def close(k: int) -> None:
-        nonlocal links
-        links -= sum(tag == "a" for tag, _, _ in stack[k:])
-        del stack[k:]
-
     def add(text: str) -> None:
         nonlocal linked
         if text:
@@ -134,69 +218,57 @@ def blocks_of(page: str) -> list[Block]:
             if links:
                 linked += len(text.strip())
 
-    while (m := _TAG.search(page, at)) is not None:
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+    while (found := tags.next(at)) is not None:
+        start, end, slash, tag, attributes = found
+        add(page[at:start])
+        at = end
+        if not tag:
             continue
         tag = tag.lower()
-        if m[1]:
+        if slash:
             if tag in BLOCKS:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag not in BLOCKS and stack[k][0] in BLOCKS - {"p"}:
-                    break
+            place = stack.nearest(tag)
+            if place and (tag in BLOCKS or place > stack.wall()):
+                links -= stack.cut(place)
             continue
         if tag in HIDDEN:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if end is None:  # an unclosed head or the like ends with its tag, raw text with the page
+            close = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if close is not None:
+                at = close.end()
+            else:  # an unclosed head or the like ends with its tag, raw text with the page
+                endless.add(tag)
                 at = at if tag in ("head", "button", "svg", "math", "object", "audio", "video") else len(page)
-            else:
-                at = end.end()
             continue
         if tag in BLOCKS:
             flush()
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in BLOCKS:
-                        break
+            if tag in CLOSES_P and stack.nearest("p") > stack.wall():
+                links -= stack.cut(stack.nearest("p"))
             if tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        close(k)
-                        break
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "menu"):
-                        break
-        if tag not in VOID and not m[3].rstrip().endswith("/") or tag in BLOCKS - VOID:
+                place = stack.nearest(tag)
+                if place > stack.nearest("ul", "ol", "dl", "table", "menu"):
+                    links -= stack.cut(place)
+        if tag not in VOID and not attributes.rstrip().endswith("/") or tag in BLOCKS - VOID:
             number += 1
-            _, above, around = stack[-1]
-            cue = _cue(tag, m[3], above)
+            _, above, around = stack.items[-1]
+            cue = _cue(tag, attributes, above)
             hint_of[number] = hint_of[around]
             if cue == "new hint":
                 cue, hint_of[number], outer[number] = "hint", number, hint_of[around]
-            stack.append((tag, cue, number))
+            stack.push(tag, cue, number)
             links += tag == "a"
     # a tag that is cut off at the end of the page is no text
     rest = page[at:]
-    cut = re.search(r"<[a-zA-Z/!?][^>]*\Z", rest)
+    cut = re.compile(r"<[a-zA-Z/!?]").search(rest, rest.rfind(">") + 1)
     add(rest[: cut.start()] if cut else rest)
     flush()
     if not any(b.cue == "main" for b in out):
         free = dict.fromkeys([0, *outer], 0)
         for b in out:
             if b.cue not in ("aside", "comment"):
-                hint = b.hint
-                while hint:
-                    free[hint] += b.length - b.linked
-                    hint = outer[hint]
-                free[0] += b.length - b.linked
+                free[b.hint] += b.length - b.linked
+        for hint in sorted(outer, reverse=True):  # inner elements have the higher numbers
+            free[outer[hint]] += free[hint]
         for b in out:
             b.share = free[b.hint] / free[0] if b.cue == "hint" and free[0] else 0.0
     return out
