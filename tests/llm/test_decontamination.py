@@ -75,3 +75,41 @@ def test_query(spark, small):
 def test_digest(spark, ids):
     got = spark.range(1).select(C.item_digest(C.F.array(*map(C.F.lit, ids)).cast("array<string>")).alias("x")).first()["x"]
     assert got == C.sha256_of(ids)
+
+
+def matches_of(row):
+    return [tuple(m) for m in row["matches"] or []]
+
+
+def test_matches_of_items_that_share_words(spark, frame):
+    """Two items with one preamble, an item that repeats itself, an item given twice, single-word items."""
+    preamble = " ".join(f"p{k}" for k in range(12))
+    items = [("a", preamble + " one two three"), ("b", preamble + " four five six seven eight nine ten eleven"), ("b", preamble + " four five six seven eight nine ten eleven"),
+             ("c", "x " * 15), ("d", "q"), ("e", "only four words here"), (None, preamble), ("f", None)]
+    texts = [items[1][1], items[0][1] + " " + items[1][1], "x " * 40, "q", "q q", "only four words here", preamble + " three", None, "", "p0 " + preamble]
+    found = C.contamination(frame(list(enumerate(texts))), spark.createDataFrame(items, "item_id string, text string")).orderBy("doc_id").collect()
+    known = [(i or "", t) for i, t in items]
+    assert [matches_of(r) for r in found] == [C.brute_matches(t, known) for t in texts]
+    assert (0, 20, "b", 0) in matches_of(found[0]) and (0, 12, "a", 0) in matches_of(found[0])
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 10])
+def test_matches_against_brute_force(window):
+    rng = random.Random(window)
+    word = lambda: rng.choice("a b c".split())
+    texts = [" ".join(word() for _ in range(rng.randrange(0, 50))) for _ in range(40)]
+    items = [(f"i{k:02d}", " ".join(word() for _ in range(rng.randrange(0, 25)))) for k in range(15)]
+    items += [(f"j{k:02d}", " ".join(t.split()[3:30])) for k, t in enumerate(texts[:8])]
+    built = C.build_queries([i for i, _ in items], pa.array([t for _, t in items]), window)
+    found = C.search_shard(pa.array(texts), built)
+    for k, text in enumerate(texts):
+        got = sorted({(w, n, built.ids[item], at) for d, w, n, item, at in found.matches if d == k})
+        assert got == C.brute_matches(text, items, window)
+
+
+def test_periodic_texts_cost_what_their_matches_cost():
+    """200,000 equal words against an item of 2,000: 398 million pairs of windows, 201,981 matches."""
+    built = C.build_queries(["a"], pa.array(["x " * 2_000]))
+    found = C.search_shard(pa.array(["x " * 200_000]), built)
+    assert len(found.matches) == (200_000 - 9) + (2_000 - 9) - 1
+    assert max(n for _, _, n, _, _ in found.matches) == 2_000

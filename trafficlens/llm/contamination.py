@@ -2,7 +2,8 @@
 
 Each slice of the corpus (about 2 MB of text) is a shard with a suffix array over its words; every benchmark suffix is
 binary-searched in every shard. The array is ordered to the depth of the shortest match that counts (a window of ten
-words); longer verbatim matches are runs of such matches on one diagonal. The corpus is never shuffled: it streams past
+words); longer verbatim matches are runs of such matches on one diagonal of a document and an item. Of each run only its two
+ends are formed, so the work grows with the matches found and not with the windows in them. The corpus is never shuffled: it streams past
 the benchmark, which is the query set. A benchmark beyond `QUERY_BYTES` is searched in several passes.
 """
 
@@ -30,6 +31,31 @@ _LOW = np.uint64((1 << BITS) - 1)
 MATCH = "array<struct<doc_word:bigint,n_words:bigint,item_id:string,item_word:bigint>>"
 
 
+@dataclass
+class Places:
+    """Positions of each window, sorted by (window, window beside the position within its item, or -1)."""
+
+    position: np.ndarray
+    key: np.ndarray
+    n: int  # windows
+
+    def other(self, window: np.ndarray, beside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into the arguments, position): all positions of `window` but those that have `beside` (-1: none) next to them."""
+        wide = self.n + 1
+        lo, hi = (np.searchsorted(self.key, (window + k) * wide) for k in (0, 1))
+        skip = [np.searchsorted(self.key, window * wide + beside + 1, side) for side in ("left", "right")]
+        a, b = (np.where(beside < 0, hi, x) for x in skip)
+        took = np.concatenate([W.ragged(lo, a - lo), W.ragged(b, hi - b)])
+        of = np.concatenate([np.repeat(np.arange(len(window)), a - lo), np.repeat(np.arange(len(window)), hi - b)])
+        return of, self.position[took]
+
+
+def _places(position: np.ndarray, window: np.ndarray, beside: np.ndarray, n: int) -> Places:
+    key = window * (n + 1) + beside + 1
+    by = np.lexsort((position, key))
+    return Places(position[by], key[by], n)
+
+
 @dataclass
 class Queries:
     """Distinct windows of the benchmark by length: positions into `hashes`, and the items that have each window."""
@@ -39,6 +65,7 @@ class Queries:
     item_of: np.ndarray  # by word
     first_word: np.ndarray  # by item
     windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # length -> (position, n + 1 offsets, items)
+    places: dict[int, tuple[Places, Places]]  # length -> all positions, by the window before and by the window after
 
 
 def build_queries(ids: list[str], texts: pa.Array, window: int = WINDOW) -> Queries:
@@ -49,7 +76,7 @@ def build_queries(ids: list[str], texts: pa.Array, window: int = WINDOW) -> Quer
         first = found.rows[:-1][counts == n]
         spread = first[:, None] + np.arange(max(1, n - window + 1))[None, :]
         of_length.setdefault(int(min(n, window)), []).append(spread.ravel())
-    built = {}
+    built, places = {}, {}
     for n, parts in of_length.items():
         at = np.sort(np.concatenate(parts))
         keys = np.zeros(len(at), np.uint64)
@@ -58,7 +85,12 @@ def build_queries(ids: list[str], texts: pa.Array, window: int = WINDOW) -> Quer
         _, first, group = np.unique(keys, return_index=True, return_inverse=True)
         pairs = np.unique(np.stack([group, item_of[at]], 1), axis=0)
         built[n] = (at[first], np.searchsorted(pairs[:, 0], np.arange(len(first) + 1)), pairs[:, 1])
-    return Queries(np.array(ids, dtype=object), found.hashes, item_of, found.rows[:-1], built)
+        follows = (np.diff(at) == 1) & (np.diff(item_of[at]) == 0)
+        before, after = np.full(len(at), -1), np.full(len(at), -1)
+        before[1:] = np.where(follows, group[:-1], -1)
+        after[:-1] = np.where(follows, group[1:], -1)
+        places[n] = tuple(_places(at, group, beside, len(first)) for beside in (before, after))
+    return Queries(np.array(ids, dtype=object), found.hashes, item_of, found.rows[:-1], built, places)
 
 
 def _codes(hashes: np.ndarray) -> np.ndarray:
@@ -176,7 +208,7 @@ def search_shard(texts: pa.Array, queries: Queries, want_matches: bool = True) -
         n_items = offsets[docs[:, 1] + 1] - offsets[docs[:, 1]]
         pairs.append(np.stack([np.repeat(docs[:, 0], n_items), items[W.ragged(offsets[docs[:, 1]], n_items)]], 1))
         if want_matches and len(where):
-            spots.append(_diagonals(where, at[window], length, row_of))
+            spots.append(_maximal(where, window, length, row_of, queries.places[length]))
     nothing.hits[:] = np.cumsum(deltas[:-1]) > 0
     nothing.doc_items = np.unique(np.concatenate(pairs), axis=0)
     for spot in spots:
@@ -187,15 +219,22 @@ def search_shard(texts: pa.Array, queries: Queries, want_matches: bool = True) -
     return nothing
 
 
-def _diagonals(where: np.ndarray, item_word: np.ndarray, length: int, row_of: np.ndarray) -> np.ndarray:
-    """Runs of windows that follow one another in both the document and the item, as maximal matches."""
-    by = np.lexsort((where, where - item_word))
-    where, item_word = where[by], item_word[by]
-    new = np.ones(len(where), bool)
-    new[1:] = (np.diff(where) != 1) | (np.diff(item_word) != 1) | (row_of[where[1:]] != row_of[where[:-1]])
-    starts = np.flatnonzero(new)
-    runs = np.diff(np.append(starts, len(where)))
-    return np.stack([row_of[where[starts]], where[starts], runs + length - 1, item_word[starts]], 1)
+def _maximal(where: np.ndarray, window: np.ndarray, length: int, row_of: np.ndarray, places: tuple[Places, Places]) -> np.ndarray:
+    """Verbatim matches that cannot be made longer on either side: document, word, words, word of the item, as rows.
+
+    An occurrence of a window and a position of it in an item begin a match unless the windows before both are the same, and
+    end one unless the windows after both are. Matches on one diagonal do not overlap, so its beginnings and ends, in order,
+    belong together."""
+    spot = where + row_of[where]  # with an empty place after each document
+    seen = np.full(len(row_of) + row_of[-1] + 3, -1)
+    seen[spot + 1] = window
+    edges = []
+    for beside, place in zip((seen[spot], seen[spot + 2]), places, strict=True):
+        of, item_word = place.other(window, beside)
+        by = np.lexsort((where[of], spot[of] - item_word))
+        edges.append((where[of][by], item_word[by]))
+    (begin, item_word), (end, _) = edges
+    return np.stack([row_of[begin], begin, end - begin + length, item_word], 1)
 
 
 def _passes(items: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[tuple[list[str], pa.Array]]:
@@ -215,7 +254,9 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
     A document word is hit if it lies in an occurrence of an item window (`window` consecutive words, or the whole of a
     shorter item). Null and empty texts have no words and no hits; an item without words never matches; repeated items
-    count by id; a null item id reads as ''. All columns of docs are kept, but for columns of the four new names.
+    count by id; a null item id reads as ''. ``matches`` holds every verbatim match of a document and an item, of at least a
+    window, that cannot be made longer on either side: its first word and words, the item and its first word there; each
+    once, also for repeated items. All columns of docs are kept, but for columns of the four new names.
     """
     new = {"n_words": "bigint", "n_hit": "bigint", "item_ids": "array<string>", "matches": MATCH}
     docs = docs.drop(*new)
@@ -249,8 +290,8 @@ def _merged(part: pa.RecordBatch, found: Found, queries: Queries, own_col: str)
     of_row = np.searchsorted(starts, found.rows)
     by_row = np.searchsorted(found.doc_items[:, 0], np.arange(n + 1))
     matches: dict[int, list] = {}
-    for doc, word, many, item, item_word in found.matches:
-        matches.setdefault(doc, []).append({"doc_word": word, "n_words": many, "item_id": queries.ids[item], "item_word": item_word})
+    for doc, word, many, item_id, item_word in sorted({(d, w, n, queries.ids[item], at) for d, w, n, item, at in found.matches}):
+        matches.setdefault(doc, []).append({"doc_word": word, "n_words": many, "item_id": item_id, "item_word": item_word})
     before_runs, before_ids, before = (part.column(c).to_pylist() for c in (own_col, "item_ids", "matches"))
     runs, n_hit, ids, all_matches = [], [], [], []
     for k in range(n):
@@ -307,5 +348,25 @@ def brute_force(texts: list[str | None], items: list[tuple[str, str | None]], wi
     return out
 
 
+def brute_matches(text: str | None, items: list[tuple[str, str | None]], window: int = WINDOW) -> list[tuple[int, int, str, int]]:
+    """The matches of one text by walking along every diagonal; for tests."""
+    import re
+
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    own, out = split(text), set()
+    for item, item_text in items:
+        theirs = split(item_text)
+        for shift in range(-len(theirs), len(own) + 1):
+            run = 0
+            for d in range(max(0, shift), min(len(own), shift + len(theirs)) + 1):
+                if d < min(len(own), shift + len(theirs)) and own[d] == theirs[d - shift]:
+                    run += 1
+                    continue
+                if run and run >= min(window, len(theirs)):
+                    out.add((d - run, run, item, d - run - shift))
+                run = 0
+    return sorted(out)
+
+
 def sha256_of(ids: list[str]) -> str:
     return hashlib.sha256(",".join(ids).encode()).hexdigest()
