@@ -531,6 +531,13 @@ _q("cache_stream", replay_ctes(1440), _REPLAYED, True)
 _q("rate_limit_stream", [_RATE_IN, rate_ctes("rate_in", DAY_US)],
    "select k as event_type, id as event_id, admitted, retry_after_ms from rate", True)
 SQL["budget_stream"] = SQL["budget_admit"]
+_q("write_usage_clustered", USAGE, """select cast(created_at as date) as created_on, virtual_key_id, provider, count(*) as requests,
+  min(created_at) as first_at, max(created_at) as last_at, coalesce(sum(cost_usd), 0)::decimal(18,6) as cost_usd
+  from usage group by all""")
+SQL["usage_sink"] = SQL["write_usage"]
+_q("read_usage_window", USAGE, """select provider, count(*) as requests, sum(latency_ms)::bigint as latency_ms,
+  min(created_at) as first_at, max(created_at) as last_at from usage
+  where created_at >= timestamp '2024-01-10 12:00:00' and created_at < timestamp '2024-01-14 00:00:00' group by provider""")
 SQL["breaker_stream"] = SQL["breaker_replay"]
 _q("usage_rollup_stream", USAGE, """select date_trunc('day', created_at)::timestamp as window_start, provider,
   count(*) as request_count, coalesce(sum(cost_usd), 0)::decimal(18,6) as total_cost_usd,

@@ -203,6 +203,37 @@ def write_usage(spark, d):
         F.coalesce(F.sum("cost_usd"), F.lit(0)).cast("decimal(18,6)").alias("cost_usd"))
 
 
+@query
+def usage_sink(spark, d):
+    """The fact table as a stream leaves it, drained twice over one log."""
+    path, log = scratch_path(spark, "usage-batches"), scratch_path(spark, "usage-log")
+    records = X.usage_of(S.read_table_stream(spark, d, "events"))
+    for _ in range(2):
+        S.usage_sink(records, path, "central", log)
+    return usage_io.read_batches(spark, path).groupBy("created_on", "virtual_key_id").agg(
+        F.count("*").alias("requests"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"),
+        F.coalesce(F.sum("cost_usd"), F.lit(0)).cast("decimal(18,6)").alias("cost_usd"))
+
+
+@query
+def write_usage_clustered(spark, d):
+    path = scratch_path(spark, "usage-clustered")
+    usage_io.write_usage_clustered(X.usage(spark, d), path)
+    return usage_io.read_usage(spark, path).groupBy("created_on", "virtual_key_id", "provider").agg(
+        F.count("*").alias("requests"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"),
+        F.coalesce(F.sum("cost_usd"), F.lit(0)).cast("decimal(18,6)").alias("cost_usd"))
+
+
+@query
+def read_usage_window(spark, d):
+    """Three days and a half of the fact table, read from their folders."""
+    path = scratch_path(spark, "usage")
+    usage_io.write_usage(X.usage(spark, d), path)
+    return usage_io.read_usage(spark, path, at("2024-01-10 12:00:00"), at("2024-01-14 00:00:00")).groupBy("provider").agg(
+        F.count("*").alias("requests"), F.sum("latency_ms").alias("latency_ms"), F.min("created_at").alias("first_at"),
+        F.max("created_at").alias("last_at"))
+
+
 # -- projections -------------------------------------------------------------------------------------------------------
 
 @query

@@ -13,6 +13,9 @@ WIRE = ("virtualKeyId bigint, requestedModel string, resolvedModel string, provi
 BODY = ("model string, messages array<struct<role: string, content: string>>, stream boolean, temperature double,"
         " max_tokens int, maxTokens int")
 
+#: bits of a rank in the clustered layout of the fact table
+CELL_BITS = 4
+
 
 def to_wire(usage: DataFrame) -> DataFrame:
     """Adds wire: the JSON event of a request log row (cost as plain text, null cost as "0", time as ISO text)."""
@@ -84,15 +87,61 @@ def parse_requests(bodies: DataFrame, strict_types: bool = False) -> DataFrame:
         F.coalesce(limit, F.lit(256)).alias("completion_limit"))
 
 
-def write_usage(usage: DataFrame, path: str, mode: str = "append") -> None:
+def write_usage(usage: DataFrame, path: str, mode: str = "append", partitions: int | None = None) -> None:
     """Fact files by day, sorted by key and time inside, for "this key, this period" reads.
 
     Range partitioning on (day, key, time) sizes files evenly even when one key or day dominates."""
     dated = usage.withColumn("created_on", F.to_date("created_at"))
     layout = ["created_on", "virtual_key_id", "created_at"]
-    (dated.repartitionByRange(*layout).sortWithinPartitions(*layout)
+    _laid_out(dated, layout, partitions).write.mode(mode).partitionBy("created_on").parquet(path)
+
+
+def _laid_out(rows: DataFrame, layout: list[str], partitions: int | None) -> DataFrame:
+    ranged = rows.repartitionByRange(partitions, *layout) if partitions else rows.repartitionByRange(*layout)
+    return ranged.sortWithinPartitions(*layout)
+
+
+def _rank(column: str, cuts: list) -> Column:
+    """How many of the cuts lie below the value, 0 for null: its place among 2**CELL_BITS."""
+    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(column))), F.lit(0)) if cuts else F.lit(0)
+
+
+def write_usage_clustered(usage: DataFrame, path: str, mode: str = "append", partitions: int | None = None) -> None:
+    """Fact files by day, near in key and in provider alike, for "this key" and "this provider" reads of a period.
+
+    Key and provider become ranks between quantiles of the rows, whose bits are interleaved; files hold ranges of that
+    order and then of time, so each spans few keys and few providers, which the statistics in its footer tell. A hot key or
+    provider takes several ranges, as time goes on within a cell. The providers, and the quantiles of the keys, reach the
+    driver: 15 values each."""
+    dated = usage.withColumn("created_on", F.to_date("created_at"))
+    places = 1 << CELL_BITS
+    shares = [k / places for k in range(1, places)]
+    keys = usage.agg(F.percentile_approx("virtual_key_id", shares).alias("cuts")).first()["cuts"] or []
+    names = [r["provider"] for r in usage.groupBy("provider").agg(F.count("*").alias("n")).filter("provider is not null")
+             .orderBy(F.desc("n"), "provider").limit(places - 1).collect()]
+    ranks = [_rank("virtual_key_id", sorted(set(keys))), _rank("provider", sorted(names))]
+    cell = sum((F.shiftleft(F.shiftright(rank, bit).bitwiseAND(F.lit(1)), 2 * bit + at)
+                for bit in range(CELL_BITS) for at, rank in enumerate(ranks)), F.lit(0))
+    layout = ["created_on", "_cell", "created_at"]
+    (_laid_out(dated.withColumn("_cell", cell), layout, partitions).drop("_cell")
      .write.mode(mode).partitionBy("created_on").parquet(path))
 
 
-def read_usage(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_usage(spark: SparkSession, path: str, since: Column | None = None, until: Column | None = None) -> DataFrame:
+    """The fact table, or its rows with since <= created_at < until; folders of other days are not read."""
+    rows = spark.read.parquet(path)
+    if since is not None:
+        rows = rows.filter((F.col("created_on") >= F.to_date(since)) & (F.col("created_at") >= since))
+    if until is not None:
+        rows = rows.filter((F.col("created_on") <= F.to_date(until)) & (F.col("created_at") < until))
+    return rows
+
+
+def write_batch(usage: DataFrame, path: str, writer: str, batch: int) -> None:
+    """One micro-batch of a writer, in a folder of its own: writing it again replaces it, so that nothing counts twice."""
+    write_usage(usage, f"{path}/writer={writer}/batch={batch}", "overwrite")
+
+
+def read_batches(spark: SparkSession, path: str, since: Column | None = None, until: Column | None = None) -> DataFrame:
+    """All micro-batches of all writers, pruned by day as in read_usage."""
+    return read_usage(spark, path, since, until).drop("writer", "batch")

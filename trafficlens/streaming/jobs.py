@@ -21,6 +21,7 @@ from trafficlens.functions.clock import epoch_us, instant, wall_time
 from trafficlens.operators.admission import MICRO, BreakerFold, RateFold, SpendFold
 from trafficlens.operators.scan import Fold
 from trafficlens.session import scratch_path
+from trafficlens.sources import usage_io
 
 _STATE = T.StructType([T.StructField("state", T.BinaryType())])
 SWEEP_MS = 60_000
@@ -225,3 +226,17 @@ def ingest_usage_stream(records: DataFrame, name: str = "usage") -> tuple[DataFr
     """(local, central): the same stream appended to two tables by two independent queries, so that a failing central
     table never holds back the local one."""
     return run_to_table(records, name + "-local"), run_to_table(records, name + "-central")
+
+
+def usage_sink(records: DataFrame, path: str, writer: str, log: str) -> None:
+    """Drains a stream of usage records into the fact table at `path`, each row once, whatever is run again.
+
+    The log keeps the range of the input that each micro-batch stands for. A micro-batch that fails, or whose end was not
+    noted, runs again over the same range after the restart and replaces the folder its first run left. A writer and its log
+    belong together: another log under one name would replace that writer's batches, so the log lies under its name.
+    Several sinks of one stream are writers with tables of their own and do not wait for each other. While a batch is
+    written, readers may see part of it."""
+    query = (records.writeStream
+             .foreachBatch(lambda rows, batch: usage_io.write_batch(rows, path, writer, batch))
+             .option("checkpointLocation", f"{log}/{writer}").trigger(availableNow=True).start())
+    query.awaitTermination()
