@@ -146,3 +146,9 @@ def test_openings_of_a_replay(spark):
     rows = spark.createDataFrame([("a", 1, True, "CLOSED"), ("a", 2, True, "OPEN"), ("a", 3, False, "OPEN"), ("a", 9, True, "OPEN"), ("b", 1, True, "CLOSED")],
                                  "k string, ts int, allowed boolean, state_after string")
     assert {tuple(r) for r in G.breaker_openings(rows, "k", "ts").collect()} == {("a", 2), ("a", 9)}
+
+
+def test_another_embedder(spark):
+    rows = spark.createDataFrame([(1, "a bb BB " + "x" * 40), (2, ""), (3, None)], "id bigint, prompt string")
+    got = {r.id: list(r.vec) for r in C.embed_prompts(rows, V.word_lengths).collect()}
+    assert got == {1: [1.0, 2.0, *[0.0] * 13, 1.0], 2: [0.0] * 16, 3: [0.0] * 16}

@@ -63,6 +63,15 @@ def embed(text: Column) -> Column:
     return _hash_slots(F.lower(text))
 
 
+def word_lengths(text: Column, dim: int = 16) -> Column:
+    """Another embedder, of built-in expressions: how many words of each length, the last slot for all longer ones."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
+    sizes = F.transform(words, lambda w: F.least(F.length(w), F.lit(dim)))
+    # bound once per row by an outer one-element transform
+    return F.transform(F.array(sizes), lambda all_: F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda k: F.size(
+        F.filter(all_, lambda n: n == k)).cast("float")))[0]
+
+
 def as_double(vec: Column) -> Column:
     return vec.cast("array<double>")
 

@@ -454,6 +454,11 @@ _DOCS = "src as (select doc_id as id, lang as tenant, text as prompt from docume
 _q("embed_corpus", [_DOCS, embedded("v", "src")], """select id, len(list_filter(vec, lambda x: x <> 0))::int as slots,
   list_sum(vec)::double as weight, list_inner_product(vec, list_transform(range(128), lambda i: i::double)) as moment,
   round(case when norm = 0 then 0 else list_max(vec) / norm end, 9) as largest from v""")
+_q("embed_other", "", f"""with sizes as (select doc_id as id, list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'),
+    lambda w: least(length(w), 16)) as n from documents),
+h as (select id, list_transform(range(1, 17), lambda k: len(list_filter(n, lambda x: x = k))::double) as vec from sizes)
+select id, list_sum(vec)::double as weight, list_inner_product(vec, list_transform(range(16), lambda i: i::double)) as moment,
+  round(sqrt(list_inner_product(vec, vec)), 9) as norm, timestamp '{AS_OF}' + to_minutes(60) as expires_at from h""")
 _q("build_index", VECTORS, f"select tenant, 'swift-s' as model, {signature('vec', 64)}::int as signature, id from vectors")
 _q("index_stats", VECTORS, f"""select tenant, 'swift-s' as model, {signature('vec', 64)}::int as signature,
   count(*) as entries from vectors group by all""")

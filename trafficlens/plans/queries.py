@@ -577,6 +577,15 @@ def embed_corpus(spark, d):
         F.round(F.array_max(V.l2_normalize(vec)), 9).alias("largest"))
 
 
+@query
+def embed_other(spark, d):
+    """Cache entries under another embedder."""
+    v = C.new_entries(X.doc_prompts(spark, d), at(AS_OF), embedder=V.word_lengths)
+    ramp = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: i.cast("double"))
+    return v.select("id", F.aggregate(V.as_double(F.col("vec")), F.lit(0.0), lambda s, x: s + x).alias("weight"),
+                    V.dot(F.col("vec"), ramp).alias("moment"), F.round(V.norm(F.col("vec")), 9).alias("norm"), "expires_at")
+
+
 @query
 def build_index(spark, d):
     return C.build_index(X.vectors(spark, d), VEC_DIM)
