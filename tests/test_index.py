@@ -152,3 +152,48 @@ def test_another_embedder(spark):
     rows = spark.createDataFrame([(1, "a bb BB " + "x" * 40), (2, ""), (3, None)], "id bigint, prompt string")
     got = {r.id: list(r.vec) for r in C.embed_prompts(rows, V.word_lengths).collect()}
     assert got == {1: [1.0, 2.0, *[0.0] * 13, 1.0], 2: [0.0] * 16, 3: [0.0] * 16}
+
+
+def brute(vectors, looked, threshold, ordered=False):
+    """(query, entry, similarity, whether a bucket is shared) of the pairs that reach the threshold, copies by smallest id."""
+    first = {}
+    for i, v in enumerate(vectors):
+        first.setdefault((i % 2, tuple(v)), i)
+    names = list(first.values())
+    for a in names:
+        for b in names:
+            size = np.sqrt((vectors[a] @ vectors[a]) * (vectors[b] @ vectors[b]))
+            sim = vectors[a] @ vectors[b] / size if size else 0.0
+            if a % 2 == b % 2 and sim >= threshold and (a < b or not ordered):
+                yield a, b, sim, bool(set(buckets(vectors[a], looked)) & set(buckets(vectors[b], 0)))
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    """Scopes of many blocks and blocks of many tiles; buckets may not pair rows."""
+    monkeypatch.setattr(C.split_blocks, "__defaults__", (7,))
+    monkeypatch.setattr(C, "TILE", (3, 5))
+    monkeypatch.setattr(C, "bucket_candidates", None)
+
+
+@pytest.mark.parametrize("probes", [0, 2, None])
+@pytest.mark.parametrize("mode", ["lsh", "lsh_then_exact", "exact"])
+def test_best_of_each_query_leaves_a_block_without_pairs(spark, vectors, small_blocks, mode, probes):
+    rows, best = frame(spark, vectors), {}
+    for a, b, sim, near in brute(vectors, PLANES if probes is None else probes, 0.5):
+        if mode == "exact" or near or mode == "lsh_then_exact":
+            best[a] = max(best.get(a, (0,)), (mode == "exact" or near, round(sim, 9), -b))
+    got = C.best_match(rows, rows, 0.5, DIM, mode, None, PLANES, TABLES, probes).collect()
+    names = {i: min(j for j, w in enumerate(vectors) if j % 2 == i % 2 and (w == v).all()) for i, v in enumerate(vectors)}
+    assert {r.id: (round(r.similarity, 9), r.match_id) for r in got} == {
+        i: (best[n][1], -best[n][2]) for i, n in names.items() if n in best}
+
+
+@pytest.mark.parametrize("probes", [0, 2, None])
+def test_recall_is_counted_inside_blocks(spark, vectors, small_blocks, probes):
+    want = list(brute(vectors, PLANES if probes is None else probes, 0.3, ordered=True))
+    got = C.lsh_recall(frame(spark, vectors), 0.3, DIM, PLANES, TABLES, probes).collect()
+    for r in got:
+        near = [n for a, _, _, n in want if f"t{a % 2}" == r.tenant]
+        assert (r.true_pairs, r.found, r.recall) == (len(near), sum(near), sum(near) / len(near))
+    assert len(got) == 2
