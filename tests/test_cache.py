@@ -176,3 +176,29 @@ def test_reading_live_entries_skips_expired_folders(spark, tmp_path):
     assert sorted(r.id for r in live.collect()) == [3, 4, 5]
     plan = live._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(expires_on" in plan
+
+
+@pytest.mark.parametrize("ttl", [None, 40])
+def test_replay_pairs_no_whole_scopes(spark, monkeypatch, ttl):
+    """Small blocks, tiles and rounds; a replay may not list all similar pairs of a scope."""
+    monkeypatch.setattr(skew.split_blocks, "__defaults__", (7,))
+    monkeypatch.setattr(C, "TILE", (3, 5))
+    monkeypatch.setattr(C, "SETTLE", 11)
+    monkeypatch.setattr(C, "exact_pairs", None)
+    rnd, at, data = random.Random(5), 0, []
+    for row in words(12, 150, 0.4):
+        at += rnd.choice([0, 1, 2, 9]) * 1_000_000
+        data.append((*row, at))
+    df = spark.createDataFrame(data, "id bigint, tenant string, model string, prompt string, us bigint")
+    df = C.embed_prompts(df.withColumn("ts", F.timestamp_micros("us").cast("timestamp_ntz")))
+    vec = {r[0]: plain_embed(r[3]) for r in data}
+    expected = plain_replay(data, 0.75, ttl and ttl * 1_000_000)
+    by_id = {r[0]: r for r in data}
+    got = {r.id: r for r in C.cache_replay(df, 0.75, 128, ttl, partitions=4).collect()}
+    assert {i: r.hit for i, r in got.items()} == expected
+    for i, r in got.items():
+        past = [s for s, hit in expected.items() if not hit and by_id[s][1] == by_id[i][1] and (by_id[s][4], s) < (by_id[i][4], i)
+                and (ttl is None or by_id[s][4] + ttl * 1_000_000 >= by_id[i][4])]
+        near = sorted((-round(plain_cosine(vec[i], vec[s]), 9), s) for s in past if plain_cosine(vec[i], vec[s]) >= 0.75)
+        assert r.match_id == (near[0][1] if near else None)
+        assert r.similarity == pytest.approx(-near[0][0] if near else 0.0, abs=1e-6)
