@@ -6,6 +6,7 @@ import pytest
 from compare import connect, rows_of
 from pyspark.sql import functions as F
 
+from trafficlens.operators.scan import Fold
 from trafficlens.plans import oracle
 from trafficlens.plans.queries import QUERIES
 from trafficlens.streaming import jobs as S
@@ -91,3 +92,21 @@ def test_files_out_of_time_order_lose_no_rows(spark, shuffled_parts, monkeypatch
         assert len(ours) == len(theirs)
     else:
         assert theirs and ours == theirs
+
+
+def test_a_busy_key_is_folded_in_steps(spark, tmp_path, monkeypatch):
+    """No more rows of a key at once than a step has, and the state goes from step to step."""
+    class Count(Fold):
+        columns = ["us"]
+        output = {"seen": ("bigint", None), "step": ("bigint", None)}
+
+        def run(self, state, rows):
+            n = len(rows["us"])
+            return {"seen": [(state or 0) + i + 1 for i in range(n)], "step": [n] * n}, (state or 0) + n
+
+    monkeypatch.setattr(S, "STEP_ROWS", 3)
+    spark.sql("select 'k' as key, id as us from range(20) union all select 'other', 7").write.parquet(str(tmp_path / "rows"))
+    rows = spark.readStream.schema("key string, us bigint").parquet(str(tmp_path / "rows"))
+    got = S.run_to_table(S._fold_stream(rows, "key", ["us"], Count()), "steps").collect()
+    assert sorted((r.key, r.us, r.seen) for r in got) == [*(("k", i, i + 1) for i in range(20)), ("other", 7, 1)]
+    assert max(r.step for r in got) == 3

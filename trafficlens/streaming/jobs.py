@@ -25,6 +25,8 @@ from trafficlens.sources import usage_io
 
 _STATE = T.StructType([T.StructField("state", T.BinaryType())])
 SWEEP_MS = 60_000
+#: rows of a key that are folded at once
+STEP_ROWS = 20_000
 
 
 def _marked(rows: DataFrame, lateness: str | None) -> DataFrame:
@@ -84,13 +86,16 @@ def _fold_stream(rows: DataFrame, key: str, order: list[str], fold: Fold) -> Dat
 
     def step(_, frames: Iterator[pd.DataFrame], state: GroupState):
         batch = pd.concat(list(frames), ignore_index=True).sort_values(order, ignore_index=True)
-        before = pickle.loads(state.get[0]) if state.exists else fold.start()
-        found, after = fold.run(before, {c: batch[c].to_numpy() for c in fold.columns})
+        after = pickle.loads(state.get[0]) if state.exists else fold.start()
+        # a key's rows are held as columns; only those of one step become Python objects
+        for a in range(0, len(batch), STEP_ROWS):
+            part = batch.iloc[a:a + STEP_ROWS]
+            found, after = fold.run(after, {c: part[c].to_numpy() for c in fold.columns})
+            done = part[[f.name for f in keep]].copy()
+            for column, values in found.items():
+                done[column] = pd.Series(values, dtype=object, index=done.index)
+            yield done
         state.update((pickle.dumps(after),))
-        done = batch[[f.name for f in keep]].copy()
-        for column, values in found.items():
-            done[column] = pd.Series(values, dtype=object, index=done.index)
-        yield done
 
     return rows.groupBy(key).applyInPandasWithState(
         step, T.StructType([*keep, *added]), _STATE, "append", GroupStateTimeout.NoTimeout)
