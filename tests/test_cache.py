@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,37 @@ def test_replay_pairs_no_whole_scopes(spark, monkeypatch, ttl):
         near = sorted((-round(plain_cosine(vec[i], vec[s]), 9), s) for s in past if plain_cosine(vec[i], vec[s]) >= 0.75)
         assert r.match_id == (near[0][1] if near else None)
         assert r.similarity == pytest.approx(-near[0][0] if near else 0.0, abs=1e-6)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.93, 0.99])
+def test_self_pairs_meet_once_in_a_triangle_of_blocks(spark, monkeypatch, threshold):
+    """Small blocks and tiles, many leading directions left out: the pairs are those of brute force, named by the smaller id."""
+    monkeypatch.setattr(skew.triangle_blocks, "__defaults__", (7,))
+    monkeypatch.setattr(C, "TILE", (3, 5))
+    monkeypatch.setattr(C, "HEAD", 3)
+    monkeypatch.setattr(C, "SETTLE", 4)
+    rnd = random.Random(8)
+    data = [(i, "t" if i % 3 else None, "m", [float(5 + rnd.randrange(3)) for _ in range(6)]) for i in range(150)] + [
+        (150, "t", "m", [0.0] * 6)]
+    df = spark.createDataFrame(data, "id bigint, tenant string, model string, vec array<double>")
+    got = {(r.left_id, r.right_id): r for r in C.similar_prompt_pairs(df, threshold, 6).collect() if r.left_id != r.right_id}
+    first, copies = {}, {}
+    for i, tenant, _, v in data:
+        gid = first.setdefault((tenant, tuple(v)), i)
+        copies[gid] = copies.get(gid, 0) + 1
+    unit = np.array([v for *_, v in data])
+    unit /= np.maximum(np.linalg.norm(unit, axis=1), 1e-300)[:, None]
+    sim = unit @ unit.T
+    expected = {(a, b) for a in copies for b in copies if a < b and data[a][1] == data[b][1] and sim[a, b] >= threshold}
+    assert set(got) == expected and len(expected) > 20
+    assert all(r.row_pairs == copies[a] * copies[b] and r.tenant == data[a][1] for (a, b), r in got.items())
+
+
+def test_pair_joins_shuffle_no_pair(spark):
+    """Scope and copies come from the blocks, so a pair is never joined back; a vector goes once to each block of its scope."""
+    df = C.embed_prompts(spark.createDataFrame(words(9, 90), "id bigint, tenant string, model string, prompt string"))
+    for joined in (C.similar_prompt_pairs(df, 0.6, 128), C.scoped_cosine_join(df, df, 0.6, 128)):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInArrow" in plan and "Join" not in plan
+    placed, on = skew.triangle_blocks(spark.range(60).withColumn("k", F.lit(1)), ["k"], "id", 10)
+    assert placed.count() == 60 * 6 and on == ["k", "_l", "_r"]
