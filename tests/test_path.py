@@ -111,3 +111,30 @@ def test_outcomes_follow_the_pass(spark):
         entry = rows[r["match_id"]]
         assert entry["served_model"] == r["primary_model"] and entry["tenant"] == r["tenant"]
         assert entry["ts"] + datetime.timedelta(milliseconds=entry["latency_ms"]) <= r["ts"]
+
+
+def test_prompts_named_by_id_give_the_same_answers(spark):
+    """Requests that carry only the id of their prompt, two ids with one vector among them."""
+    rows = traffic(5)
+    ids = {v: f"p{i}" for i, v in enumerate(sorted({r[6] for r in rows}))}
+    named = frame(spark, rows).withColumn("prompt_id", F.concat_ws(",", F.transform("vec", lambda x: x.cast("string"))))
+    named = named.withColumn("prompt_id", F.when(F.col("request_id") % 2 == 0, F.concat("prompt_id", F.lit("'"))).otherwise(F.col("prompt_id")))
+    prompts = named.select("prompt_id", "vec").distinct()
+    assert prompts.count() > len(ids)
+    got = gateway_pass(named.drop("vec"), 0.8, 8, TTL, 3, prompts)
+    assert {r["request_id"]: (r["match_id"], r["admitted"]) for r in got.collect()} == brute(rows, 0.8)
+
+
+def test_each_text_is_embedded_once(spark):
+    """No vector travels with a request: facts name their prompts, and only different texts that reach the cache are embedded."""
+    from trafficlens.plans import outcome
+    from trafficlens.sources import dims, fixtures
+
+    requests = fixtures.requests(spark, "/root/testdata/sf0.001")
+    facts, prompts = outcome.request_facts(requests, dims.load_keys(spark), dims.load_aliases(spark), dims.load_pricing(spark))
+    assert not {"vec", "messages", "_text"} & set(facts.columns)
+    named = facts.filter("prompt_id is not null").select("prompt_id")
+    assert prompts.count() == named.distinct().count() <= len(fixtures.LABELLED_PROMPTS) < named.count()
+    assert prompts.join(named.distinct(), "prompt_id").count() == prompts.count()
+    reaches = F.coalesce("auth_error", "body_error", "allow_error", "route_error").isNull()
+    assert facts.filter(reaches != F.col("prompt_id").isNotNull()).count() == 0

@@ -71,17 +71,30 @@ class PathFold(Fold):
         return {"match_id": match, "admitted": admitted, "spend_micro": after}, (spend, frozenset(open_), live)
 
 
-def _groups(requests: DataFrame, threshold: float, dim: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(request_id, asked, near) of lookups, (request_id, entry) of stores, and all links between groups of either kind."""
-    lookups = requests.filter("looks_up").select(F.col("request_id").alias("id"), "tenant", F.col("primary_model").alias("model"), "vec")
-    stores = requests.filter("served_model is not null").select(F.col("request_id").alias("id"), "tenant", F.col("served_model").alias("model"), "vec")
-    q_groups, s_groups = distinct_vectors(lookups), distinct_vectors(stores)
+def _groups(requests: DataFrame, prompts: DataFrame | None, threshold: float, dim: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What lookups of a prompt ask (tenant, primary_model, prompt, asked, near), where stores of it go (tenant,
+    served_model, prompt, entry), and all links between groups of either kind.
+
+    A prompt is its prompt_id, or its vector where there are no ``prompts``. Requests merge into different prompts of a scope
+    before anything is shuffled; only these meet their vectors."""
+    key = "vec" if prompts is None else "prompt_id"
+
+    def grouped(rows: DataFrame, model: str):
+        seen = rows.select(F.col("request_id").alias("id"), "tenant", F.col(model).alias("model"), key)
+        seen = seen.groupBy(*SCOPE, key).agg(F.min("id").alias("id"))
+        known = (seen if prompts is None else seen.join(prompts, key)).checkpoint()
+        return distinct_vectors(known), known
+
+    q_groups, lookups = grouped(requests.filter("looks_up"), "primary_model")
+    s_groups, stores = grouped(requests.filter("served_model is not null"), "served_model")
     pairs = exact_pairs(q_groups, s_groups, threshold, dim).checkpoint()
     near = pairs.groupBy(F.col("qid").alias("gid")).agg(F.collect_list(F.struct(F.col("eid").alias("entry"), "similarity")).alias("near"))
     # a group without a store near it keeps an empty list; lists grow with distinct similar prompts, not with copies
     known = q_groups.join(near, "gid", "left").select("gid", *SCOPE, "vec", F.coalesce("near", F.array().cast(NEAR)).alias("near"))
-    asked = with_group(lookups, known, "near").select(F.col("id").alias("request_id"), F.col("gid").alias("asked"), "near")
-    entries = with_group(stores, s_groups).select(F.col("id").alias("request_id"), F.col("gid").alias("entry"))
+    asked = with_group(lookups, known, "near").select(
+        "tenant", F.col("model").alias("primary_model"), key, F.col("gid").alias("asked"), "near")
+    entries = with_group(stores, s_groups).select(
+        "tenant", F.col("model").alias("served_model"), key, F.col("gid").alias("entry"))
     return asked, entries, pairs
 
 
@@ -101,14 +114,19 @@ def _parts(events: DataFrame, pairs: DataFrame) -> DataFrame:
     return marked.withColumn("part", F.to_json(F.struct("tenant", part.alias("p")))).drop("gid", "component", "tight")
 
 
-def gateway_pass(requests: DataFrame, threshold: float, dim: int, ttl_seconds: int, partitions: int | None = None) -> DataFrame:
+def gateway_pass(requests: DataFrame, threshold: float, dim: int, ttl_seconds: int, partitions: int | None = None,
+                 prompts: DataFrame | None = None) -> DataFrame:
     """match_id (the entry that answered), admitted (null on hits) and spend_micro for each request.
 
-    Needs request_id, ts, tenant, key_id, primary_model, served_model (null: no model served), vec, looks_up, latency_ms,
-    and micro amounts estimate, settled (what it really cost, 0 if nothing served) and budget. Other columns are kept. At one
+    Needs request_id, ts, tenant, key_id, primary_model, served_model (null: no model served), vec (or prompt_id, with
+    ``prompts`` as prompt_id and vec), looks_up, latency_ms, and micro amounts estimate, settled (what it really cost, 0 if nothing served) and budget. Other columns are kept. At one
     instant arrivals come before completions, then the smaller id."""
-    asked, entries, pairs = _groups(requests, threshold, dim)
-    events = requests.drop("vec").join(asked, "request_id", "left").join(entries, "request_id", "left").withColumns({
+    asked, entries, pairs = _groups(requests, prompts, threshold, dim)
+    key = "vec" if prompts is None else "prompt_id"
+    placed = lookup_join(requests, asked, ["tenant", "primary_model", key], "request_id", "left")
+    placed = lookup_join(placed, entries, ["tenant", "served_model", key], "request_id", "left")
+    events = placed.drop(key).withColumns({
+        "asked": F.when(F.col("looks_up"), F.col("asked")), "near": F.when(F.col("looks_up"), F.col("near")),
         "entry": F.coalesce("entry", F.lit(-1).cast("bigint")), "us": epoch_us(F.col("ts"))}).checkpoint()
     keyed = _parts(events, pairs).withColumns({
         "near_similarity": F.coalesce(F.col("near.similarity"), F.array().cast("array<double>")),

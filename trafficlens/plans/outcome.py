@@ -22,20 +22,23 @@ _FACTS = ["request_id", "ts", "key_id", "tenant", "rpm", "budget", "model", "str
 
 
 def request_facts(requests: DataFrame, keys: DataFrame, aliases: DataFrame, pricing: DataFrame,
-                  extra: list[str] = ()) -> DataFrame:
-    """Everything about a request that needs no other request: errors, route, estimate, and the vector of its prompt
-    where it gets as far as the cache. Map-side joins only.
+                  extra: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(facts, prompts). Facts: everything about a request that needs no other request: errors, route, estimate, and the
+    prompt_id of its text (a SHA-256) where it gets as far as the cache. Map-side joins only. Prompts: prompt_id, vec.
 
     The passes that follow all start from these narrow rows, so they are written out once and the message texts are read
-    once."""
+    once. Each different text is embedded once, and no vector travels with a request."""
     shared_dir(requests.sparkSession)
     checked = check_allowlist(validate_requests(authenticate(requests, keys)))
     routed = resolve_route(checked, aliases, pricing)
     sized = routed.withColumn("prompt_tokens", estimate_message_tokens(F.col("messages")))
     reaches = F.col("auth_error").isNull() & _static_error().isNull()
     text = F.when(reaches, render_messages(F.col("messages")))
-    priced = estimate_cost(sized, pricing).withColumn("vec", F.when(reaches, embed(text)))
-    return priced.select(*_FACTS, "vec", *extra).checkpoint()
+    priced = estimate_cost(sized, pricing).withColumn("_text", text)
+    read = priced.select(*_FACTS, "_text", F.unhex(F.sha2("_text", 256)).alias("prompt_id"), *extra).checkpoint()
+    # the text is part of the key, so copies merge in a hash table
+    texts = read.filter("_text is not null").select("prompt_id", "_text").distinct()
+    return read.drop("_text"), texts.select("prompt_id", embed(F.col("_text")).alias("vec")).checkpoint()
 
 
 def _static_error() -> Column:
@@ -52,7 +55,7 @@ def with_rates(facts: DataFrame, window_us: int = 60 * MICRO) -> DataFrame:
     return known.unionByName(unknown).checkpoint()
 
 
-def request_outcome(facts: DataFrame, aliases: DataFrame, pricing: DataFrame, health: DataFrame,
+def request_outcome(facts: DataFrame, prompts: DataFrame, aliases: DataFrame, pricing: DataFrame, health: DataFrame,
                     threshold: float = THRESHOLD, ttl_seconds: int = TTL_SECONDS, partitions: int | None = None) -> DataFrame:
     """The first rule each request fails: key, rate, body, allowlist, alias, (cache hit ends here), budget, dispatch.
 
@@ -60,7 +63,7 @@ def request_outcome(facts: DataFrame, aliases: DataFrame, pricing: DataFrame, he
     pass (operators/path.py), in which misses store, spend is settled or taken back on completion, and refused requests leave
     nothing; the others go round it by a union, so no request is joined back to itself."""
     own = [*_FACTS, "rate_error", "retry_after_ms", "completion_tokens", "latency_ms"]
-    extra = [c for c in facts.columns if c not in (*own[:-2], "vec")]
+    extra = [c for c in facts.columns if c not in (*own[:-2], "prompt_id")]
     refused = F.coalesce("auth_error", "rate_error", "body_error", "allow_error", "route_error")
     routed = route_around_outage(facts.filter(refused.isNull()), aliases, pricing, health)
     priced = price_usage(routed.withColumn("resolved_model", F.col("served_model")), pricing)
@@ -69,7 +72,7 @@ def request_outcome(facts: DataFrame, aliases: DataFrame, pricing: DataFrame, he
         *routed.columns, micro(F.col("estimate_usd")).alias("estimate"), (~F.col("stream")).alias("looks_up"),
         F.coalesce(micro(F.col("cost_usd")), F.lit(0).cast("bigint")).alias("settled")).withColumn(
         "budget_usd", F.col("budget")).withColumn("budget", micro(F.col("budget")))
-    passed = gateway_pass(sized, threshold, DIM, ttl_seconds, partitions).withColumns({
+    passed = gateway_pass(sized, threshold, DIM, ttl_seconds, partitions, prompts).withColumns({
         "cache_hit": F.col("match_id").isNotNull(), "budget_error": F.when(~F.col("admitted"), "BUDGET_EXHAUSTED")})
     kept = [*_FACTS, "rate_error", "retry_after_ms", *extra, "match_id", "cache_hit", "budget_error", "served_model",
             "served_provider", "fallback_used", "dispatch_error"]
