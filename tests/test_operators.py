@@ -159,3 +159,35 @@ def test_shared_folder_is_needed_off_local_masters(monkeypatch, spark):
 def test_a_page_too_large_is_an_error(spark):
     with pytest.raises(ValueError, match="100"):
         R.recent_requests(spark.range(1), 0, 101)
+
+
+def test_a_body_is_judged_without_its_messages_being_written(spark):
+    bodies = X.raw_bodies(spark, "/root/testdata/sf0.001")
+    judged = G.validate_requests(bodies)
+    assert "array_join" not in judged.select("body_error")._jdf.queryExecution().optimizedPlan().toString()
+    odd = spark.sql("""select * from values (1, 'm', null, 0.5d), (2, 'm', array(named_struct('role', 'u', 'content', 'x')), double('NaN')),
+        (3, null, array(named_struct('role', 'u', 'content', 'x')), null), (4, 'm', array(named_struct('role', 'u', 'content', null)), 0d),
+        (5, 'm', array(null), -1d), (6, 'm', array(named_struct('role', 'u', 'content', 'x')), null) as t(request_id, model, messages, temperature)""")
+    for rows in (judged, G.validate_requests(odd)):
+        assert rows.filter("(violations != '') != (body_error is not null)").count() == 0
+    assert rows.filter("body_error is null").collect()[0].request_id == 6
+
+
+def test_code_is_found_as_by_the_whole_pattern(spark):
+    from trafficlens.functions import text as T
+
+    texts = ["a sum of", "sums", "resum", "sqrt2", "the sqrt", "integral", "``", "```", "O(n)", "O n", "x=1", "a;b", "", None, "no code",
+             "intergral sum", "sum.", "[", "a)b", "sqrt_sum"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = F.rlike("t", F.lit(T.CODE_OR_MATH))
+    assert df.filter(~T.has_code(F.col("t")).eqNullSafe(whole)).count() == 0
+
+
+def test_trailing_blanks_end_where_the_text_ends(spark):
+    """A pattern's end mark also matches before a last line separator, which is no blank."""
+    from trafficlens.functions.text import word_count
+
+    df = spark.createDataFrame([("key \u0085",), ("\x00key\t ",), ("a b \r\n",), (" \t ",), ("",)], "t string")
+    assert [r[0] for r in df.select(extract_credential(F.lit(None).cast("string"), F.col("t"))).collect()] == [
+        "key \u0085", "key", "a b", "", ""]
+    assert [r[0] for r in df.select(word_count(F.col("t"))).collect()] == [2, 1, 2, 1, 1]

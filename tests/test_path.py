@@ -138,3 +138,38 @@ def test_each_text_is_embedded_once(spark):
     assert prompts.join(named.distinct(), "prompt_id").count() == prompts.count()
     reaches = F.coalesce("auth_error", "body_error", "allow_error", "route_error").isNull()
     assert facts.filter(reaches != F.col("prompt_id").isNotNull()).count() == 0
+
+
+def _counted(spark, rows):
+    """The rows, and how many of them have been read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+    return rows.mapInArrow(pass_on, rows.schema), read
+
+
+def test_requests_and_outcomes_are_read_a_fixed_number_of_times(spark):
+    """Once for what reaches the pass and once for what was refused; metering reads the outcomes once."""
+    from trafficlens.plans import outcome
+    from trafficlens.sources import dims
+    from trafficlens.sources import fixtures as X
+
+    folder = "/root/testdata/sf0.001"
+    keys, aliases, pricing = dims.load_keys(spark), dims.load_aliases(spark), dims.load_pricing(spark)
+    facts, prompts = outcome.request_facts(
+        X.requests(spark, folder), keys, aliases, pricing, ["completion_tokens", "latency_ms"])
+    facts = outcome.with_rates(facts)
+    health = pricing.select("provider", F.lit(True).alias("healthy")).distinct()
+    n = facts.count()
+    counted, read = _counted(spark, facts)
+    done = outcome.request_outcome(counted, prompts, aliases, pricing, health, ttl_seconds=30 * 86_400).checkpoint()
+    assert done.count() == n and read.value == 2 * n
+    counted, read = _counted(spark, done)
+    stored = facts.select(F.col("request_id").alias("match_id"), F.col("prompt_tokens").alias("stored_prompt_tokens"),
+                          F.col("completion_tokens").alias("stored_completion_tokens"))
+    rows = outcome.meter_requests(counted, stored, pricing).collect()
+    assert read.value == n and any(r.cache_hit for r in rows)
+    assert all(r.prompt_tokens and r.completion_tokens for r in rows if r.cache_hit)

@@ -91,7 +91,9 @@ def route_around_outage(routed: DataFrame, aliases: DataFrame, pricing: DataFram
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:
-    """Adds violations: every broken rule as 'field: message', joined by '; ' ('' when the body is valid)."""
+    """Adds violations: every broken rule as 'field: message', joined by '; ' ('' when the body is valid); body_error.
+
+    The error is decided without the texts, which are not built where nobody asks for them."""
     def turn_faults(m, i):
         at = F.concat(F.lit("messages["), i.cast("string"), F.lit("]"))
         return F.array_compact(F.array(
@@ -108,8 +110,10 @@ def validate_requests(requests: DataFrame) -> DataFrame:
         F.when(temp < 0.0, F.lit("temperature: below 0")),
         F.when(temp > 2.0, F.lit("temperature: above 2"))))
     faults = F.concat(head, turns, tail)
-    return requests.withColumn("violations", F.array_join(faults, "; ")).withColumn(
-        "body_error", F.when(F.col("violations") != "", "VALIDATION_FAILED"))
+    faulty = (is_blank(F.col("model")) | empty | F.exists(msgs, lambda m: is_blank(m["role"]) | is_blank(m["content"]))
+              | (temp < 0.0) | (temp > 2.0))
+    return requests.withColumns({
+        "violations": F.array_join(faults, "; "), "body_error": F.when(faulty, "VALIDATION_FAILED")})
 
 
 def dispatch_outcome(attempts: DataFrame, backoff_ms: int = 200, max_retries: int = 2) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.functions.text import estimate_message_tokens, render_messages
@@ -30,21 +30,18 @@ def request_facts(requests: DataFrame, keys: DataFrame, aliases: DataFrame, pric
     once. Each different text is embedded once, and no vector travels with a request."""
     shared_dir(requests.sparkSession)
     checked = check_allowlist(validate_requests(authenticate(requests, keys)))
-    routed = resolve_route(checked, aliases, pricing)
-    sized = routed.withColumn("prompt_tokens", estimate_message_tokens(F.col("messages")))
-    reaches = F.col("auth_error").isNull() & _static_error().isNull()
-    text = F.when(reaches, render_messages(F.col("messages")))
-    priced = estimate_cost(sized, pricing).withColumn("_text", text)
+    # the messages are read to the end before the joins, so that they are not copied from step to step
+    fine = F.col("auth_error").isNull() & F.coalesce("body_error", "allow_error").isNull()
+    sized = checked.withColumns({
+        "prompt_tokens": estimate_message_tokens(F.col("messages")), "_body": F.when(fine, render_messages(F.col("messages")))})
+    priced = estimate_cost(resolve_route(sized, aliases, pricing), pricing).withColumn(
+        "_text", F.when(F.col("route_error").isNull(), F.col("_body")))
     read = priced.select(*_FACTS, "_text", F.unhex(F.sha2("_text", 256)).alias("prompt_id"), *extra).checkpoint()
     # the text is part of the key, so copies merge in a hash table
     texts = read.filter("_text is not null").select("prompt_id", "_text").distinct()
     return read.drop("_text"), texts.select("prompt_id", embed(F.col("_text")).alias("vec")).checkpoint()
 
 
-def _static_error() -> Column:
-    return F.coalesce("body_error", "allow_error", "route_error")
-
-
 def with_rates(facts: DataFrame, window_us: int = 60 * MICRO) -> DataFrame:
     """facts with rate_error and retry_after_ms. Only requests of a known key draw on its rate; the others go round the
     ordered scan by a union. Rates depend on nothing else, so they come first and are written out once."""
@@ -59,7 +56,8 @@ def request_outcome(facts: DataFrame, prompts: DataFrame, aliases: DataFrame, pr
                     threshold: float = THRESHOLD, ttl_seconds: int = TTL_SECONDS, partitions: int | None = None) -> DataFrame:
     """The first rule each request fails: key, rate, body, allowlist, alias, (cache hit ends here), budget, dispatch.
 
-    Needs facts with rates, completion_tokens and latency_ms. Requests that get as far as the cache go through one ordered
+    Needs facts with rates, completion_tokens and latency_ms. Requests that get as far as the cache are written out once, as the
+    pass reads them several times, whatever the number of refused ones beside them. They go through one ordered
     pass (operators/path.py), in which misses store, spend is settled or taken back on completion, and refused requests leave
     nothing; the others go round it by a union, so no request is joined back to itself."""
     own = [*_FACTS, "rate_error", "retry_after_ms", "completion_tokens", "latency_ms"]
@@ -71,7 +69,7 @@ def request_outcome(facts: DataFrame, prompts: DataFrame, aliases: DataFrame, pr
     sized = priced.select(
         *routed.columns, micro(F.col("estimate_usd")).alias("estimate"), (~F.col("stream")).alias("looks_up"),
         F.coalesce(micro(F.col("cost_usd")), F.lit(0).cast("bigint")).alias("settled")).withColumn(
-        "budget_usd", F.col("budget")).withColumn("budget", micro(F.col("budget")))
+        "budget_usd", F.col("budget")).withColumn("budget", micro(F.col("budget"))).checkpoint()
     passed = gateway_pass(sized, threshold, DIM, ttl_seconds, partitions, prompts).withColumns({
         "cache_hit": F.col("match_id").isNotNull(), "budget_error": F.when(~F.col("admitted"), "BUDGET_EXHAUSTED")})
     kept = [*_FACTS, "rate_error", "retry_after_ms", *extra, "match_id", "cache_hit", "budget_error", "served_model",
@@ -101,9 +99,13 @@ def meter_requests(outcomes: DataFrame, stored_usage: DataFrame, pricing: DataFr
     Refusals (401, 429, 400, 403, 402) leave no row. Needs completion_tokens and latency_ms on the outcomes;
     ``stored_usage`` gives match_id, stored_prompt_tokens, stored_completion_tokens."""
     hit, failed = F.col("cache_hit"), F.col("error_code").isNotNull()
-    logged = outcomes.filter(~failed | (F.col("error_code") == "ALL_PROVIDERS_EXHAUSTED"))
+    shared_dir(outcomes.sparkSession)
+    # written out, as the outcomes are read several times below
+    logged = outcomes.filter(~failed | (F.col("error_code") == "ALL_PROVIDERS_EXHAUSTED")).checkpoint()
+    # most requests answer no other one, so they need not be sent to the join
+    answered = logged.filter("match_id is not null").select("match_id").distinct()
     # one entry may serve very many hits
-    joined = lookup_join(logged, stored_usage, ["match_id"], "request_id", "left")
+    joined = lookup_join(logged, stored_usage.join(answered, "match_id", "left_semi"), ["match_id"], "request_id", "left")
     rows = joined.select(
         F.col("request_id").alias("usage_id"), F.col("ts").alias("created_at"), F.col("key_id").alias("virtual_key_id"),
         F.col("model").alias("requested_model"), F.coalesce("served_model", "primary_model").alias("resolved_model"),
